@@ -135,6 +135,8 @@ def find(test: TestSet, hashes: np.ndarray, left: np.ndarray) -> tuple[np.ndarra
 
 def longest(p: np.ndarray, q: np.ndarray, length: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
     """Windows that follow each other along text and item joined to the longest verbatim matches."""
+    if not len(p):
+        return p, q, length, doc, item
     order = np.lexsort((p, p - q, item, doc))
     p, q, length, doc, item = p[order], q[order], length[order], doc[order], item[order]
     new = np.ones(len(p), bool)
