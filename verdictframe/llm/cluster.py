@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +40,37 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo the number of parts."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(parts))
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def keep_rows(documents: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows whose text the verdict keeps, as they are: all columns, in the task that reads them, without a join."""
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(verdict(batch.column(at)), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def summed(partials: DataFrame, key: str, value: str, tasks: int = 16) -> dict:
+    """Sums of equally long float64 vectors (binary) by a key of few values; each task holds one vector a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(v.as_buffer(), np.float64)
+                total[k] = total[k] + x if k in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["k", "v"])
+
+    out: dict = {}
+    spread = partials.select(F.col(key).cast("string").alias("k"), F.col(value).alias("v")).repartition(tasks)
+    for k, v in spread.mapInArrow(run, "k string, v binary").collect():
+        x = np.frombuffer(v, np.float64)
+        out[k] = out[k] + x if k in out else x
+    return out

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdictframe.llm import language, quality_classifier, quality_rules
 from verdictframe.llm.cluster import read
 from verdictframe.llm.decontaminate import report
 from verdictframe.llm.near_dedup import near_duplicates
@@ -13,13 +14,25 @@ from verdictframe.llm.near_dedup import near_duplicates
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(read(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_near_duplicates, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_quality_rules, op4_near_duplicates, op6_language_id, op9_quality_classifier, op10_decontamination)}
 SQL: dict[str, str] = {}

@@ -162,11 +162,13 @@ def shingles(hashes: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, n
 
 
 def distinct(values: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of each text, sorted by text and value, and how many each text has."""
+    """The distinct values of each text, sorted, and how many each text has; values come text by text."""
     if not len(values):
         return values, np.zeros(n_docs, np.int64)
-    order = np.lexsort((values, doc))
-    values, doc = values[order], doc[order]
+    values = values.copy()
+    stop = np.cumsum(np.bincount(doc, minlength=n_docs))
+    for a, b in zip(np.concatenate([[0], stop[:-1]]), stop, strict=True):
+        values[a:b].sort()
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
     return values[new], np.bincount(doc[new], minlength=n_docs)
