@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdictframe.llm import language, quality_classifier, quality_rules
+from verdictframe.llm import language, license_scan, packing, quality_classifier, quality_rules, warc
 from verdictframe.llm.cluster import read
 from verdictframe.llm.decontaminate import report
 from verdictframe.llm.near_dedup import near_duplicates
@@ -14,6 +15,11 @@ from verdictframe.llm.near_dedup import near_duplicates
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records' headers, and a digest of each whole record in place of its bytes."""
+    return warc.build(read(spark, sf_dir, "pages")).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -22,10 +28,18 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(read(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -34,5 +48,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_quality_rules, op4_near_duplicates, op6_language_id, op9_quality_classifier, op10_decontamination)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op2_warc_derivatives,
+        op3_quality_rules,
+        op4_near_duplicates,
+        op5_best_fit_packing,
+        op6_language_id,
+        op8_license_scan,
+        op9_quality_classifier,
+        op10_decontamination,
+    )
+}
 SQL: dict[str, str] = {}
