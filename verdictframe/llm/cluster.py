@@ -32,8 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches go to Python with no more than BATCH_BYTES each, or with one longer row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns of the input, whatever their names, cannot clash."""
+    bound_batches(df.sparkSession)
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 

@@ -7,14 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictframe.llm import language, license_scan, packing, quality_classifier, quality_rules, warc
-from verdictframe.llm.cluster import read
+from verdictframe.llm import chat, language, license_scan, packing, quality_classifier, quality_rules, url_filter, warc
+from verdictframe.llm.cluster import cut, read
 from verdictframe.llm.decontaminate import report
 from verdictframe.llm.near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """pages with a day of 2024 as their fetch time, which the table lacks."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")).alias("fetched_at"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the patterns that occur in pages: every host, domain and first segment, and a tenth of the rest.
+
+    Each pattern has up to three entries; actions, verdicts and days follow from digests of the pattern.
+    """
+    found = pages.select("page_id", F.explode(url_filter.patterns(F.col("url"))).alias("p")).where("p.specificity < 202 or page_id % 10 = 0")
+    patterns = found.select("p.pattern").distinct()
+    k = F.col("k").cast("string")
+    numbered = patterns.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    drawn = numbered.select("pattern", "k", F.conv(F.substring(F.md5(F.concat("pattern", F.lit("#"), k)), 1, 4), 16, 10).cast("int").alias("m"))
+    return drawn.where("m % 4 <> 3").select(
+        "pattern",
+        F.when(F.col("k") == 1, "remove").otherwise("add").alias("action"),
+        F.when(F.col("m") % 3 == 0, "allow").otherwise("block").alias("verdict"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("m") % 366).alias("listed_at"),
+    )
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.evaluate(captures(pages), list_entries(pages))
+
+
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records' headers, and a digest of each whole record in place of its bytes."""
     return warc.build(read(spark, sf_dir, "pages")).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
@@ -36,6 +64,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(read(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is recovered of the conversations' turns; a digest stands for the rendered text."""
+    blocks = cut(chat.transcripts(read(spark, sf_dir, "conversations")))
+    found = chat.recovered(blocks, chat.learn(blocks.where(~chat.held_out())))
+    return found.select("*", chat.held_out().alias("held_out"), F.sha2("rendered", 256).alias("rendered_sha256")).drop("rendered")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -51,14 +86,57 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_url_filter,
         op2_warc_derivatives,
         op3_quality_rules,
         op4_near_duplicates,
         op5_best_fit_packing,
         op6_language_id,
+        op7_chat_format,
         op8_license_scan,
         op9_quality_classifier,
         op10_decontamination,
     )
 }
-SQL: dict[str, str] = {}
+
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)(?::[0-9]+)?([^?#]*)"
+
+SQL: dict[str, str] = {
+    "op1_url_filter": rf"""
+WITH parsed AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched_at,
+         lower(regexp_extract(url, '{_URL}', 1)) AS h,
+         list_filter(string_split(regexp_extract(url, '{_URL}', 2), '/'), lambda s: s <> '') AS seg
+  FROM pages),
+labels AS (SELECT *, string_split(h, '.') AS lab FROM parsed WHERE h <> ''),
+lookups AS (
+  SELECT page_id, url, fetched_at, 'host:' || h AS pattern, 100 AS specificity FROM labels
+  UNION ALL SELECT page_id, url, fetched_at, 'prefix:' || h || '/' || seg[1], 201 FROM labels WHERE len(seg) >= 1
+  UNION ALL SELECT page_id, url, fetched_at, 'prefix:' || h || '/' || seg[1] || '/' || seg[2], 202 FROM labels WHERE len(seg) >= 2
+  UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(lab[-2:], '.'), 2 FROM labels WHERE len(lab) >= 2
+  UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(lab[-3:], '.'), 3 FROM labels WHERE len(lab) >= 3
+  UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(lab[-4:], '.'), 4 FROM labels WHERE len(lab) >= 4),
+patterns AS (SELECT DISTINCT pattern FROM lookups WHERE specificity < 202 OR page_id % 10 = 0),
+drawn AS (
+  SELECT pattern, k, CAST('0x' || substr(md5(pattern || '#' || k), 1, 4) AS INTEGER) AS m
+  FROM patterns, (VALUES (0), (1), (2)) AS t(k)),
+entries AS (
+  SELECT pattern, CASE WHEN k = 1 THEN 'remove' ELSE 'add' END AS action, CASE WHEN m % 3 = 0 THEN 'allow' ELSE 'block' END AS verdict,
+         DATE '2024-01-01' + CAST(m % 366 AS INTEGER) AS listed_at
+  FROM drawn WHERE m % 4 <> 3),
+one AS (
+  SELECT pattern, listed_at, max(action || ':' || verdict) AS entry FROM entries GROUP BY 1, 2),
+held AS (
+  SELECT pattern, split_part(entry, ':', 1) AS action, split_part(entry, ':', 2) AS verdict, listed_at AS valid_from,
+         lead(listed_at) OVER (PARTITION BY pattern ORDER BY listed_at) AS valid_to
+  FROM one),
+found AS (
+  SELECT l.page_id, l.url, l.fetched_at, l.specificity, h.pattern, h.verdict, h.valid_from
+  FROM lookups l JOIN held h ON l.pattern = h.pattern AND h.action = 'add'
+   AND l.fetched_at >= h.valid_from AND (h.valid_to IS NULL OR l.fetched_at < h.valid_to)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id, url, fetched_at ORDER BY specificity DESC, valid_from DESC, pattern DESC, verdict DESC) AS rn FROM found)
+SELECT p.page_id, p.url, p.fetched_at, coalesce(b.verdict, 'allow') AS verdict, b.pattern AS matched, b.valid_from
+FROM parsed p LEFT JOIN best b ON b.rn = 1 AND p.page_id = b.page_id AND p.url = b.url AND p.fetched_at = b.fetched_at
+""",
+}
