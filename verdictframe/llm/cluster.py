@@ -33,13 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 BATCH_BYTES = 8 << 20
+#: Fixed value: what Spark has where nothing is set.
+DEFAULT_BATCH_BYTES = "67108864b"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches go to Python with no more than BATCH_BYTES each, or with one longer row."""
+    """Arrow batches go to Python with no more than BATCH_BYTES each, or with one longer row; a setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key)) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    if spark.conf.get(key) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
