@@ -1,9 +1,10 @@
 """Connected components of a graph of any size: union-find inside the tasks, stars between them.
 
-Each round first joins the links of a task by union-find, which leaves at most one link for each node of the task,
-and then turns the graph towards its smallest nodes by a large-star and a small-star step (two shuffles on the
-nodes, with map-side minima). The number of rounds grows with the logarithm of the longest chain. Nothing but one
-count and one checksum a round comes to the driver.
+The links of a task are first joined by union-find, which leaves at most one link for each node of the task. A graph
+of which no more than LINKS_AT_ONCE links are left (16 bytes each) is finished by one more union-find. A larger one is
+turned towards its smallest nodes, round after round, by a large-star and a small-star step (shuffles on the nodes,
+with map-side minima) until nothing moves; the number of rounds grows with the logarithm of the longest chain. Nothing
+but one count and one checksum a round comes to the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from verdictframe.llm.cluster import cut
 
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: So many links are joined at once; more links of a task make further forests.
-LINKS_AT_ONCE = 2_000_000
+LINKS_AT_ONCE = 1_000_000
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,17 +75,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
     """node and root, the smallest node of its component, of all nodes that aren't roots themselves.
 
     links has columns u and v (long). Links of a node with itself, repeated links and links either way round are
     fine; links with a null are ignored. Without links the result is empty.
     """
-    edges = links.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
+    edges = cut(links.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_forests, "u long, v long"))
     before = None
     while True:
-        edges = cut(_small_star(_large_star(edges.mapInArrow(_forests, "u long, v long"))))
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before or now["n"] == 0:
+        if now["n"] <= at_once:
+            edges = cut(edges.coalesce(1).mapInArrow(_forests, "u long, v long"))
+        if now["n"] <= at_once or now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        edges = cut(_small_star(_large_star(edges)))
         before = now

@@ -204,7 +204,7 @@ def candidate_ties(sketches: DataFrame) -> DataFrame:
     """u, v: each member of a band bucket tied to the bucket's smallest member."""
     bands = sketches.select("doc_id", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {ROWS} + 1, {ROWS})))")).alias("band"))
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("last > v").select("band", "v")
-    return bands.join(buckets, "band").where("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct()
+    return bands.join(buckets, "band").where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
