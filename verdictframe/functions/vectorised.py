@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -25,6 +27,64 @@ def _pairwise(score):
     return lambda output, target: run(col(output), col(target))
 
 
+_ARTICLES = re.compile(r"\b(a|an|the)\b")
+_ASCII_PUNCTUATION = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_NOT_WORD = re.compile(r"[^\w\s]")
+
+
+def squad_tokens(text: str) -> list[str]:
+    """Lower-case tokens without punctuation (of ASCII, and what Unicode classes so) and articles."""
+    text = text.lower().translate(_ASCII_PUNCTUATION)
+    if not text.isascii():
+        for ch in {c for c in text if ord(c) > 127 and unicodedata.category(c).startswith("P")}:
+            text = text.replace(ch, "")
+    return _ARTICLES.sub(" ", text).split()
+
+
+def grounding_tokens(text: str) -> list[str]:
+    """Lower-case words; joiners are dropped, other punctuation is white space, combining marks stay."""
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("\u200c", "").replace("\u200d", "")
+        marks = {c for c in text if ord(c) > 127 and unicodedata.category(c).startswith("M")}
+        if marks:
+            return "".join(c if c in marks or not _NOT_WORD.match(c) else " " for c in text).split()
+    return _NOT_WORD.sub(" ", text).split()
+
+
+def _shared(a: list[str], b: list[str]) -> int:
+    return sum((Counter(a) & Counter(b)).values())
+
+
+def token_f1_score(output: str, target: str, tokens=squad_tokens) -> float:
+    """F1 over multisets of tokens; two texts without tokens score 1."""
+    a, b = tokens(output), tokens(target)
+    return 2 * _shared(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def jaccard_score(output: str, target: str) -> float:
+    a, b = set(output.split()), set(target.split())
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def longest_overlap_score(output: str, target: str) -> float:
+    """Shared tokens of the multisets by the longer token count; two empty texts score 0."""
+    a, b = output.split(), target.split()
+    return _shared(a, b) / max(len(a), len(b), 1)
+
+
+def larger_overlap_score(output: str, target: str) -> float:
+    """Shared distinct tokens by the larger set; two empty texts score 1."""
+    a, b = set(output.split()), set(target.split())
+    return len(a & b) / max(len(a), len(b)) if a or b else 1.0
+
+
+def recall_score(output: str, target: str) -> float:
+    """Share of the target's distinct tokens that the output has; 0 without any."""
+    a, b = set(grounding_tokens(output)), set(grounding_tokens(target))
+    return len(a & b) / len(b) if b else 0.0
+
+
 def _grams(items, n: int) -> Counter:
     return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
 
@@ -97,6 +157,12 @@ def word_accuracy_score(output: str, target: str) -> float:
     return max(0.0, 1 - edit_distance(a, b) / len(b))
 
 
+token_f1 = _pairwise(token_f1_score)
+plain_token_f1 = _pairwise(lambda a, b: token_f1_score(a, b, str.split))
+jaccard = _pairwise(jaccard_score)
+longest_overlap = _pairwise(longest_overlap_score)
+larger_overlap = _pairwise(larger_overlap_score)
+recall = _pairwise(recall_score)
 bleu = _pairwise(sentence_bleu)
 rouge_l = _pairwise(rouge_l_f1)
 chrf = _pairwise(chrf_score)

@@ -83,7 +83,7 @@ _register("txt30_toxicity_score", QA, lambda: S.toxicity_score("output"), "1 - (
 _register("txt34_keyword_detector", QA, lambda: S.keyword_detector("output", ["idiot", "moron", "stupid"], ["stupid"]), "CASE WHEN contains(lower(output), 'idiot') OR contains(lower(output), 'moron') THEN 0 ELSE 1 END")
 _TOX = "(1 - (" + " + ".join(f"contains(lower(output), '{s}')::INT" for s in S.TOXIC_STEMS) + f") / {len(S.TOXIC_STEMS)}.0)"
 _register("txt35_defcon", QA, lambda: S.defcon(S.toxicity_score("output")).cast("double"), f"CASE WHEN {_TOX} >= 0.9 THEN 1 WHEN {_TOX} >= 0.7 THEN 2 WHEN {_TOX} >= 0.5 THEN 3 WHEN {_TOX} >= 0.3 THEN 4 ELSE 5 END")
-_register("txt38_pairwise_overlap", QA, lambda: S.pairwise_overlap("output", "target"), "len(list_intersect({0}, {1}))::DOUBLE / greatest(len(list_distinct({0})), len(list_distinct({1})))".format(WORDS.format("output"), WORDS.format("target")))
+_register("txt38_pairwise_overlap", QA, lambda: V.larger_overlap("output", "target"), "len(list_intersect({0}, {1}))::DOUBLE / greatest(len(list_distinct({0})), len(list_distinct({1})))".format(WORDS.format("output"), WORDS.format("target")))
 _register("txt42_strip_thinking", CONV, lambda: F.length(T.strip_thinking(F.concat(F.lit("<think>"), F.col("input"), F.lit("</think>"), F.col("output")))).cast("double"), "length(output)", ("conv_id", "turn"))
 _register("txt14_bleu", NAMES, lambda: V.bleu("output", "target"), None)
 _register("txt15_rouge_l", NAMES, lambda: V.rouge_l("output", "target"), None)
