@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.functions import matching as M
 from verdictframe.functions import scorers as S
+from verdictframe.functions import structured as J
 from verdictframe.functions import text as T
 from verdictframe.functions import vectorised as V
 from verdictframe.operators import agents, comparison, judges, outcomes, prompts, rag, retrieval, safety, scoring
@@ -312,3 +313,34 @@ def test_streaming_statistics_equal_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.table("scored").collect()}
     want = {tuple(r) for r in windowed_statistics(df, ["exact_match"]).where("start < '2024-01-01 08:00:00'").collect()}
     assert got == want and len(got) == 12 and sum(r[3] for r in got) == 80
+
+
+SCHEMA_CASES = [
+    ({"type": "integer"}, "1.0", 1), ({"type": "integer"}, "true", 0), ({"const": 1}, "true", 0), ({"enum": [1, "a"]}, "1.0", 1),
+    ({"type": ["null", "string"], "maxLength": 2}, '"abc"', 0), ({"items": {"minimum": 2}}, "[2, 3]", 1), ({"items": {"minimum": 2}}, "[1]", 0),
+    ({"required": ["a"], "properties": {"a": {"pattern": "^x"}}}, '{"a": "xy"}', 1), ({"additionalProperties": False, "properties": {"a": {}}}, '{"b": 1}', 0),
+    ({"oneOf": [{"minimum": 1}, {"maximum": 3}]}, "2", 0), ({"not": {"type": "null"}}, "null", 0), ({"uniqueItems": True}, "[1, 1.0]", 0),
+    ({"$ref": "#/$defs/d", "$defs": {"d": {"multipleOf": 0.1}}}, "0.3", 1), ({"patternProperties": {"^n": {"type": "number"}}}, '{"n1": "x"}', 0),
+    (True, "3", 1), ({"type": "object"}, "```json\n{}\n```", 1), ({"type": "object"}, "{} x", 0),
+]
+
+
+@pytest.mark.parametrize("schema, text, want", SCHEMA_CASES)
+def test_json_schema(schema, text, want):
+    assert J.schema_score(text, schema) == want
+
+
+def test_json_schema_refuses_what_it_cannot_check():
+    with pytest.raises(ValueError, match="only references inside"):
+        J.valid(1, {"$ref": "http://x"}, {})
+    with pytest.raises(ValueError, match="aren't supported"):
+        J.valid(1, {"if": {}}, {})
+
+
+def test_fields_and_calls(spark):
+    assert J.field_scores('{"a": 1, "b": [1, 2]}', '{"b": [2, 1], "a": 1.0}') == (1, 1, 1)
+    assert J.field_scores('{"a": true}', '{"a": 1}') == (0, 0, 0) and J.field_scores("{", "{}") == (0, 0, 0)
+    assert J.field_scores('{"a": 1, "c": 2}', '{"a": 1}') == (2 / 3, 0.5, 1)
+    tools = {"f": {"type": "object", "properties": {"x": {"type": "object", "properties": {"y": {"type": "integer"}}}}, "required": ["x"]}}
+    rows = [("f", '{"x": {"y": 1}}'), ("f", '{"x": {"z": 1}}'), ("f", "{}"), ("g", "{}"), ("f", "{")]
+    assert values(spark, rows, J.call_valid("output", "target", tools)) == [True, False, False, False, False]
