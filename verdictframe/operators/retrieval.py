@@ -52,13 +52,23 @@ def retrieved_precision(ranked: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.coalesce(F.try_divide(total, F.count_if("relevant")), F.lit(0.0)).alias("context_precision"))
 
 
+#: So many queries are held against all vectors at once; they are the only broadcast side.
+QUERIES_AT_ONCE = 1000
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine) -> DataFrame:
     """query_id, item and rank of the k nearest vectors of each query, by a given similarity, ties by item.
 
-    queries is a stated set, held in blocks against all vectors; each task keeps its own best k before the shuffle
-    (a rank within the partition), so no group holds more than k rows a task.
+    queries (query_id, query) is a stated set, held in blocks of about QUERIES_AT_ONCE against all vectors. The rank is
+    limited within each task before the shuffle (a group limit of the window), so a query brings k rows a task.
     """
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", F.col("vec_id").alias("item"), F.round(cosine("embedding", "query"), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    out = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id"))
+        scored = pairs.select("query_id", F.col("vec_id").alias("item"), F.round(cosine("embedding", "query"), 6).alias("similarity"))
+        order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item")
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+        out = best if out is None else out.unionByName(best)
+    return out

@@ -103,7 +103,7 @@ def win08_first_failing_stage(spark, sf_dir):
 @query("SELECT case_id, o_orderkey AS episode_id, trial FROM (SELECT o_custkey AS case_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS trial FROM orders) WHERE trial <= 3")
 def win10_first_trials(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("episode_id"), F.row_number().over(w).cast("long").alias("trial")).where("trial <= 3")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("episode_id"), F.row_number().over(w).alias("trial")).where("trial <= 3").withColumn("trial", F.col("trial").cast("long"))
 
 
 @query("SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_user, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS last_assistant FROM conversations GROUP BY 1")
@@ -125,7 +125,7 @@ def win07_elo(spark, sf_dir):
 @query("SELECT c_mktsegment AS task, c_custkey AS case_id, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= 10")
 def flt12_limit_per_group(spark, sf_dir):
     w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("task"), F.col("c_custkey").alias("case_id"), F.row_number().over(w).cast("long").alias("place")).where("place <= 10")
+    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("task"), F.col("c_custkey").alias("case_id"), F.row_number().over(w).alias("place")).where("place <= 10").withColumn("place", F.col("place").cast("long"))
 
 
 @query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r")
