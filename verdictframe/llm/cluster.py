@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Fixed value: what Spark has where nothing is set.
 DEFAULT_BATCH_BYTES = "67108864b"
 
