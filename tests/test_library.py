@@ -2,16 +2,18 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from verdictframe.functions import calls as K
 from verdictframe.functions import matching as M
 from verdictframe.functions import scorers as S
 from verdictframe.functions import structured as J
 from verdictframe.functions import text as T
 from verdictframe.functions import vectorised as V
-from verdictframe.operators import agents, comparison, judges, outcomes, prompts, rag, retrieval, safety, scoring
+from verdictframe.operators import agents, comparison, judges, outcomes, prompts, rag, retrieval, safety, scoring, sinks
 from verdictframe.plans import api
 from verdictframe.sources import datasets, episodes
 from verdictframe.streaming.scoring import windowed_statistics
@@ -344,3 +346,49 @@ def test_fields_and_calls(spark):
     tools = {"f": {"type": "object", "properties": {"x": {"type": "object", "properties": {"y": {"type": "integer"}}}}, "required": ["x"]}}
     rows = [("f", '{"x": {"y": 1}}'), ("f", '{"x": {"z": 1}}'), ("f", "{}"), ("g", "{}"), ("f", "{")]
     assert values(spark, rows, J.call_valid("output", "target", tools)) == [True, False, False, False, False]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('{"name": "f", "arguments": {"b": 1, "a": 2}}', [("f", '{"a": 2, "b": 1}', None)]),
+        ('[{"function": {"name": "f", "arguments": "{}"}}, {"tool_name": "g", "parameters": {}}]', [("f", "{}", None), ("g", "{}", None)]),
+        ('x <tool_call>{"name": "f", "arguments": {"t": "</think> <tool_call>"}}</tool_call> y', [("f", '{"t": "</think> <tool_call>"}', None)]),
+        ('<think><tool_call>{"name": "no"}</tool_call></think><tool_call>\n{"name": "f"}\n</tool_call>', [("f", "{}", None)]),
+        ("<tool_call>not json</tool_call>", [("", None, "no call: not json")]),
+        ('<tool_call>{"name": "f", "arguments": {"x": ', [("f", None, "truncated")]),
+        ("the <tool_call> tag", []),
+        ('Action: [{"tool_name": "f", "parameters": {"q": 1}}]', [("f", '{"q": 1}', None)]),
+        ('[{"tool_name": "directly-answer", "parameters": {}}]', []),
+        ('say\n```json\n{"name": "f"}\n```', [("f", "{}", None)]),
+        ('{"name": "f", "arguments": "{"}', [("f", None, "arguments are no JSON")]),
+        ("", []), (None, []), ("plain", []), ('{"answer": 1}', []),
+    ],
+)
+def test_tool_calls_in_replies(text, want):
+    assert K.parse_calls(text) == want
+
+
+def test_tool_calls_are_found_in_linear_time(spark):
+    began = time.perf_counter()
+    for text in ("<tool_call>" * 20_000, "<think>" * 20_000, "<tool_call>" + "\n" * 20_000, "``` " + " " * 80_000):
+        K.parse_calls(text)
+    assert time.perf_counter() - began < 4
+    got = values(spark, [('{"name": "f"}', ""), (None, "")], F.size(K.tool_calls("output")))
+    assert got == [1, 0]
+
+
+def test_stress_report_names_the_broken_stage(spark):
+    got = {r.kind: r for r in rag.stress_report(rag.stress_cases(spark, 1)).collect()}
+    assert len(got) == 7 and all(r.flagged == [k] and r.first_failing_stage == rag.STAGE_OF[k] and r.control_clean for k, r in got.items())
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("s", "c", float("nan"), {}), (None, "d", 0.5, {"a": 1})], "source_id string, case_id string, score double, more map<string,int>")
+    lines = [json.loads(r.value) for r in sinks.sidecar(df).collect()]
+    assert [(x["key"], x["score"], x["more"]) for x in lines] == [("s", None, None), ("d", 0.5, {"a": 1})]
+    sinks.write_sidecar(df, str(tmp_path / "s"))
+    assert spark.read.text(str(tmp_path / "s")).count() == 2
+    sinks.provenance(df, str(tmp_path / "p"), ["in"])
+    sinks.provenance(df.repartition(3), str(tmp_path / "q"), ["in"])
+    assert spark.read.json(str(tmp_path / "p")).first() == spark.read.json(str(tmp_path / "q")).first()

@@ -164,3 +164,37 @@ def operational_stress(calls: DataFrame, by: str, slo_ms: float, error_budget: f
     return calls.groupBy(by).agg(
         F.percentile("latency_ms", 0.5).alias("p50"), p95.alias("p95"), F.try_divide(errors, n).alias("error_rate"), F.try_divide(timeouts, n).alias("timeout_rate"), (p95 <= slo_ms).alias("slo_met"), (rate <= error_budget).alias("within_budget")
     )
+
+
+#: Stages of a retrieval pipeline in their order, and the stage that each metric tests.
+STAGES = ["retrieval", "freshness", "access", "context", "citation", "answer", "abstention"]
+STAGE_OF = {"evidence_set_recall": "retrieval", "freshness": "freshness", "acl_compliance": "access", "context_retention": "context", "citation_support": "citation", "numeric_accuracy": "answer", "abstention": "abstention"}
+
+
+def stress_report(results: DataFrame) -> DataFrame:
+    """Per case: what its stress arm flagged, the first failing stage, and whether its control arm is clean.
+
+    results has case_id, kind, arm (stress or control), metric, value and status. A result is flagged when it was
+    scored below 1; a control is clean when something was scored and nothing flagged.
+    """
+    scored = F.col("status").isNull() & F.col("value").isNotNull()
+    flagged = scored & (F.col("value") < 1)
+    stress, control = F.col("arm") == "stress", F.col("arm") == "control"
+    order = F.create_map(*(x for m, s in STAGE_OF.items() for x in (F.lit(m), F.lit(STAGES.index(s)))))
+    first = F.min(F.when(stress & flagged, F.element_at(order, F.col("metric"))))
+    by = results.groupBy("case_id", "kind").agg(
+        F.array_sort(F.collect_set(F.when(stress & flagged, F.col("metric")))).alias("flagged"),
+        first.alias("first"),
+        (F.coalesce(F.bool_or(control & scored), F.lit(False)) & ~F.coalesce(F.bool_or(control & flagged), F.lit(False))).alias("control_clean"),
+    )
+    return by.select("case_id", "kind", "flagged", F.get(F.array(*map(F.lit, STAGES)), F.col("first")).alias("first_failing_stage"), "control_clean")
+
+
+def stress_cases(spark, n: int, seed: int = 0) -> DataFrame:
+    """Results of a deterministic stress fixture: n cases of each kind, where each kind breaks one metric's stress arm."""
+    kinds = list(STAGE_OF)
+    rows = spark.range(n * len(kinds)).select(F.concat(F.lit("case"), F.col("id").cast("string")).alias("case_id"), F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % len(kinds) + 1).cast("int")).alias("kind"))
+    each = rows.select("*", F.explode(F.array(F.lit("stress"), F.lit("control"))).alias("arm")).select("*", F.explode(F.array(*map(F.lit, kinds))).alias("metric"))
+    jitter = F.pmod(F.xxhash64("case_id", F.lit(seed)), F.lit(50)) / 100
+    value = F.when((F.col("arm") == "stress") & (F.col("metric") == F.col("kind")), jitter).otherwise(F.lit(1.0))
+    return each.select("*", value.alias("value"), F.lit(None).cast("string").alias("status"))
