@@ -286,12 +286,13 @@ def test_language(spark):
     rng = random.Random(1)
     sets = {"aa": ["kata", "moro", "tiki", "salu"], "bb": ["weng", "thirp", "stroff", "blick"], "ру": ["мама", "рама", "дом", "лес"]}
     rows = [(i, " ".join(rng.choice(sets[k]) for _ in range(30)), k) for i, k in enumerate(list(sets) * 40)]
-    odd = [(900, None, "aa"), (901, "", None), (902, "123 456 !!", "bb"), (903, "kata moro tiki salu kata moro " + "weng thirp stroff blick weng thirp stroff", None), (904, "дом", None)]
+    odd = [(900, None, "aa"), (901, "", None), (902, "123 456 !!", "bb"), (903, "kata moro tiki salu kata moro " + "weng thirp stroff blick weng thirp stroff", None), (904, "дом", None), (905, "😀 😀 «»", "aa"), (906, "ª", None)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").repartition(4)
     got = {r.doc_id: r for r in language.predict(clashing(docs)).collect()}
     assert len(got) == len(rows) + len(odd)
     assert all(got[d].lang_pred == k for d, _, k in rows)
     assert [got[d].lang_pred for d in (900, 901, 902, 903, 904)] == ["und", "und", "und", "bb", "ру"]
+    assert got[905].lang_pred == "und" and got[905].score == 0 and got[906].lang_pred in sets
     assert got[900].score == 0 and 0.5 < got[903].score < 0.6
     model = language.learn(docs)
     found = language.spans(docs.where("doc_id = 903"), model).orderBy("start_word").collect()

@@ -13,6 +13,7 @@ Rows with a null or empty language teach nothing. Further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +32,12 @@ SCRIPT_SHARE = 0.01
 UNDETERMINED = "und"
 
 #: First code point of each range, and the script that letters of the range belong to.
-SCRIPT_STARTS = [0x0000, 0x0041, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0750, 0x0900, 0x0980, 0x0E00, 0x0E80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2C60, 0x2C80, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0]
-SCRIPT_NAMES = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "arabic", "devanagari", "indic", "thai", "other", "georgian", "hangul", "ethiopic", "latin", "greek", "none", "latin", "other", "kana", "kana", "han", "han", "other", "hangul", "other"]
+SCRIPT_STARTS = [0x0000, 0x0041, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0750, 0x0900, 0x0980, 0x0E00, 0x0E80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2C60, 0x2C80, 0x2E00, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xE000, 0xF900, 0xFB00, 0xFE00, 0xFE70, 0xFF00, 0xFF21, 0xFF5B, 0xFF66, 0xFFE0, 0x1F000]
+SCRIPT_NAMES = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "arabic", "devanagari", "indic", "thai", "other", "georgian", "hangul", "ethiopic", "latin", "greek", "none", "latin", "other", "none", "kana", "kana", "han", "han", "other", "hangul", "other", "none", "han", "arabic", "none", "arabic", "none", "latin", "none", "kana", "none", "none"]
 SCRIPTS = sorted(set(SCRIPT_NAMES))
 _STARTS, _SCRIPT = np.array(SCRIPT_STARTS), np.array([SCRIPTS.index(s) for s in SCRIPT_NAMES])
 _NONE = SCRIPTS.index("none")
+_ASCII_LETTERS = re.compile("[A-Za-z]")
 _ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
 
@@ -182,6 +184,11 @@ def label_words(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
     return counts, labels, letters
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter of any script; the search ends at the first one."""
+    return bool(text) and (_ASCII_LETTERS.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def _predicted(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
@@ -194,8 +201,9 @@ def _predicted(model: Model):
                 votes = np.bincount(doc[labels >= 0] * k + labels[labels >= 0], minlength=n * k).reshape(n, k)
                 total = votes.sum(1)
                 best = votes.argmax(1)
-                lang = [model.languages[b] if t else UNDETERMINED for b, t in zip(best, total, strict=True)]
-                score = votes[np.arange(n), best] / np.maximum(total, 1)
+                written = np.array([has_letter(t) for t in batch.column(1).to_pylist()], bool)
+                lang = [model.languages[b] if w else UNDETERMINED for b, w in zip(best, written, strict=True)]
+                score = np.where(written, votes[np.arange(n), best] / np.maximum(total, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return run
