@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdictframe.functions import structured as J
 from verdictframe.functions import text as T
 from verdictframe.operators import comparison as C
+from verdictframe.operators import redteam as X
 from verdictframe.plans.agents import calls
 from verdictframe.plans.comparisons import _MSTATS, model_stats
 from verdictframe.plans.registry import query, table, view
@@ -156,3 +157,22 @@ def agt13_render_trace(spark, sf_dir):
 @query("SELECT u.user_id AS probe, count(*) AS total, count(*) FILTER (WHERE value > 300) AS invalid FROM events u GROUP BY 1")
 def rtm03_invalid_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("probe")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") > 300).alias("invalid"))
+
+
+def _detect_sql() -> str:
+    first = r"regexp_extract(lower(trim(text)), '^([^.!?\n]*[.!?]*)', 1)"
+    any_of = lambda parts: "(" + " OR ".join(f"contains(lower(text), '{p}')" for p in parts) + ")"
+    refusal = "regexp_matches(" + first + ", '" + "|".join(f"(?:{p})" for p in X.REFUSAL).replace("'", "''") + "')"
+    leak = "regexp_matches(lower(text), '" + "|".join(f"(?:{p})" for p in X.LEAK) + "')"
+    return f"SELECT conv_id, turn, {any_of(X.KEYWORDS)} AS keyword, {refusal} AS refusal, {any_of(X.SUCCESS)} AS injection_success, NOT {refusal} AND {leak} AS system_prompt_leak FROM conversations WHERE role = 'assistant'"
+
+
+@query(_detect_sql())
+def rtm02_detectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return rows.select("conv_id", "turn", *(detect(F.col("text")).alias(name) for name, detect in X.DETECTORS.items()))
+
+
+@query(None)
+def rtm01_probes(spark, sf_dir):
+    return X.probes(spark)
