@@ -7,8 +7,9 @@ host and the domains above it, at most PREFIX_DEPTH + DOMAIN_DEPTH of them) in t
 time; the most specific one decides, and among equally specific ones the latest.
 
 The join is an equi-join on the pattern with the dates as residual condition. Both sides are shuffled (the list grows
-with the crawl, so it is not broadcast); a hot host is split by the adaptive skew join. The verdict of a capture is an
-aggregate over the capture's own few lookups, combined before the shuffle.
+with the crawl, so it is not broadcast). Patterns that many captures share (hosts, domains, first path segments) are
+salted: their lookups are spread over SALTS keys by a hash of the capture, and their entries stand once in each. The
+verdict of a capture is an aggregate over the capture's own few lookups, combined before the shuffle.
 
 Defined results: a null or unparsable URL, or a null fetch time, matches nothing and is allowed, with a null entry.
 Entries with a null pattern or date are ignored; of several entries of a pattern with one date, the one whose action
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from verdictframe.llm.cluster import only
 
 PREFIX_DEPTH, DOMAIN_DEPTH = 2, 4
+SALTS = 32
+DEEP_PREFIX = r"^prefix:[^/]*/[^/]*/"
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)(?::[0-9]+)?([^?#]*)"
 
 
@@ -68,8 +71,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id
     rows = only(captures, capture_id, "url", "fetched_at")
     grouped = rows.groupBy(capture_id, "url", "fetched_at").agg(F.count(F.lit(1)).alias("copies"))
     looked_up = grouped.select("*", F.explode_outer(patterns(F.col("url"))).alias("p")).select(capture_id, "url", "fetched_at", "copies", F.col("p.pattern").alias("looked_up"), "p.specificity")
-    held = intervals(entries)
-    active = (F.col("looked_up") == F.col("pattern")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
+    shared = ~F.col("looked_up").rlike(DEEP_PREFIX)
+    looked_up = looked_up.withColumn("capture_salt", F.when(shared, F.pmod(F.xxhash64("url", capture_id), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    every = F.when(F.col("pattern").rlike(DEEP_PREFIX), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    held = intervals(entries).select("*", F.explode(every).alias("salt"))
+    active = (F.col("looked_up") == F.col("pattern")) & (F.col("capture_salt") == F.col("salt")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     found = looked_up.join(held, active, "left")
     best = F.max(F.when(F.col("pattern").isNotNull(), F.struct("specificity", "valid_from", "pattern", "verdict"))).alias("best")
     decided = found.groupBy(capture_id, "url", "fetched_at", "copies").agg(best)
