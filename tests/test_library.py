@@ -408,3 +408,24 @@ def test_red_team(spark):
     assert summary["jailbreak", "-"] is None and summary["prompt_injection", "keyword"] == 0.5
     df = [("a <think>b", "cut"), ("a <think>b", ""), ("<think>q</think> z", "")]
     assert values(spark, df, redteam.answer(F.col("output"), F.col("target") == "cut")) == ["a", "a b", "z"]
+
+
+def test_trace_and_task_records(spark):
+    traces = spark.createDataFrame([("q", "g", "x <Answer> yes\n</answer>", ["1", "2"], '["1"]'), ("q2", None, None, None, "7")], "question string, gold_answer string, final_answer string, retrieved_chunk_ids array<string>, gold_chunk_ids string")
+    got = [tuple(r) for r in episodes.trace_samples(traces).orderBy("input").collect()]
+    assert got == [(None, "q", "g", "yes", ["1", "2"], ["1"]), (None, "q2", None, "", None, ["7"])]
+    tasks = spark.createDataFrame([([("system", "s"), ("user", "u1"), ("user", "u2")], 5, "a", '["p"]')], "prompt array<struct<role:string,content:string>>, question_id int, gold_answer string, gold_path string")
+    assert [tuple(r) for r in episodes.task_samples(tasks).collect()] == [("5", "u2", "a", ["p"])]
+    records = spark.createDataFrame([("e1", "t1", " "), ("e2", "", "2024")], "i string, tenant_id string, timestamp string")
+    assert {r.evidence_id: r.join_keys for r in episodes.evidence_of(records, "audit_event", "i").collect()} == {"e1": {"tenant_id": ["t1"]}, "e2": {"timestamp": ["2024"]}}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from verdictframe.__main__ import main
+
+    for name, out in (("a", "4"), ("b", "5")):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"input": "2+2", "target": "4", "actual_output": out}) + "\n")
+    assert main(["list"]) == 0 and "exact_match" in capsys.readouterr().out
+    assert main(["evaluate", str(tmp_path / "a.jsonl"), "--save", str(tmp_path / "runs")]) == 0
+    assert main(["compare", str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")]) == 1
+    assert main(["compare", str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl")]) == 0

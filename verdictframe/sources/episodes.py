@@ -84,3 +84,61 @@ def join_evidence(wanted: DataFrame, evidence: DataFrame) -> DataFrame:
         .when((F.col("granularity") == "per_event") & ~F.array_contains(keys, "call_id"), "no call_id")
     )
     return both.select("request_id", "evidence_id", reason.isNull().alias("joined"), reason.alias("reason"))
+
+
+def answer_text(c: Column) -> Column:
+    """The text inside the first <answer> tag, else the whole text; an empty text for a null."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    pattern = r"(?is)<answer>(.*?)</answer>"
+    return F.regexp_replace(F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text), r"^\s+|\s+$", "")
+
+
+def trace_samples(rows: DataFrame) -> DataFrame:
+    """Rollout records (question, gold_answer, final_answer, retrieved_chunk_ids, gold_chunk_ids) as samples.
+
+    Their tool calls name no tools, so they stay out of tool-call scores; answers and retrieval can be scored. A
+    record's trajectory_id, where the table has one, is the sample's id.
+    """
+    id_ = F.col("trajectory_id").cast("string") if "trajectory_id" in rows.columns else F.lit(None).cast("string")
+
+    def ids(name: str) -> Column:
+        if name not in rows.columns:
+            return F.lit(None).cast("array<string>")
+        return flat_ids(F.col(name)) if rows.schema[name].dataType.simpleString() == "string" else F.col(name).cast("array<string>")
+
+    return rows.select(id_.alias("sample_id"), F.col("question").alias("input"), F.col("gold_answer").cast("string").alias("target"), answer_text(F.col("final_answer")).alias("actual_output"), ids("retrieved_chunk_ids").alias("retrieved"), ids("gold_chunk_ids").alias("reference_contexts"))
+
+
+def task_samples(rows: DataFrame) -> DataFrame:
+    """Task records (prompt, answer or gold_answer, question_id) as samples: something to run, not a result.
+
+    A prompt is a text or an array of messages (role, content), of which the last user's is the input.
+    """
+    is_chat = rows.schema["prompt"].dataType.typeName() == "array"
+    asked = F.try_element_at(F.filter("prompt", lambda m: m["role"] == "user"), F.lit(-1))["content"] if is_chat else F.col("prompt").cast("string")
+    answers = [F.col(c).cast("string") for c in ("answer", "gold_answer") if c in rows.columns]
+    target = F.coalesce(*answers) if answers else F.lit(None).cast("string")
+    contexts = [flat_ids(F.col(c).cast("string")) for c in ("message_ids", "gold_chunk_ids", "gold_path") if c in rows.columns and rows.schema[c].dataType.typeName() == "string"]
+    id_ = F.col("question_id").cast("string") if "question_id" in rows.columns else F.lit(None).cast("string")
+    return rows.select(id_.alias("sample_id"), asked.alias("input"), target.alias("target"), (F.coalesce(*contexts) if contexts else F.lit(None).cast("array<string>")).alias("reference_contexts"))
+
+
+#: For each kind of foreign record, how fine it is and which of its fields are ids that can be joined.
+EVIDENCE_KINDS = {
+    "audit_report": ("aggregate", ["timestamp"]),
+    "regression_report": ("aggregate", ["timestamp"]),
+    "audit_event": ("per_event", ["tenant_id", "timestamp"]),
+    "bench_row": ("per_case", ["prompt"]),
+    "data_sample": ("per_case", ["id", "source_uri"]),
+    "manifest": ("aggregate", ["pipeline_config_hash"]),
+    "faithfulness_report": ("aggregate", []),
+}
+
+
+def evidence_of(records: DataFrame, kind: str, id_column: str) -> DataFrame:
+    """Foreign records of a kind as evidence (evidence_id, granularity, join_keys); empty ids are no keys."""
+    granularity, keys = EVIDENCE_KINDS[kind]
+    present = [k for k in keys if k in records.columns]
+    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("v")) for k in present)), lambda e: F.length(F.trim(e["v"])) > 0) if present else F.array().cast("array<struct<key:string,v:string>>")
+    keyed = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], F.array(e["v"]))))
+    return records.select(F.col(id_column).cast("string").alias("evidence_id"), F.lit(granularity).alias("granularity"), keyed.alias("join_keys"))
