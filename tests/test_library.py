@@ -429,3 +429,59 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["evaluate", str(tmp_path / "a.jsonl"), "--save", str(tmp_path / "runs")]) == 0
     assert main(["compare", str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")]) == 1
     assert main(["compare", str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl")]) == 0
+
+
+def test_matching_modes_and_routes(spark):
+    rows = [(1, "predicted", "f", '{"a": 1, "b": 2}'), (1, "reference", "f", '{"a": 1}'), (2, "predicted", "f", '{"city": "New York"}'), (2, "reference", "f", '{"city": ["new-york"], "unit": ["", "c"]}'), (3, "predicted", "g", "{")]
+    df = spark.createDataFrame(rows, "episode_id int, side string, name string, arguments string")
+    assert {m: {r.episode_id: r.matched for r in M.matched_calls(df, m).collect()} for m in ("exact", "subset", "name", "accepted")} == {
+        "exact": {1: 0, 2: 0, 3: 0}, "subset": {1: 1, 2: 0, 3: 0}, "name": {1: 1, 2: 1, 3: 0}, "accepted": {1: 0, 2: 1, 3: 0}
+    }
+    said = spark.createDataFrame([(1, 0, "the same words here"), (1, 1, "the same words here."), (2, 0, "a"), (2, 1, "zzz")], "episode_id int, idx int, text string")
+    assert {r.episode_id: r.stagnates for r in M.stagnation(said).collect()} == {1: True, 2: False}
+    routes = spark.createDataFrame([(1, 0, 0.5, 1.0, 0.0, 0.0), (1, 1, 0.5, 1.0, 1.0, 0.0), (2, 0, 1.0, 1.0, 1.0, 1.0), (3, 0, 1.0, 1.0, 1.0, 1.0), (3, 1, 1.0, 1.0, 1.0, 1.0)], "episode_id int, route_no int, f1 double, recall double, strict double, in_order double")
+    assert {r.episode_id: (r.route_no, r.decided_by) for r in agents.best_route(routes).collect()} == {1: (1, "strict"), 2: (0, "only"), 3: (0, "place")}
+
+
+def test_recorded_agents(spark):
+    cases = spark.createDataFrame([("c1", "4", 5), ("c2", None, 5), ("c3", "x", 1), ("c4", "y", 9)], "case_id string, expected string, most_steps int")
+    found = spark.createDataFrame([("e1", "c1", None, 0, "4.", 2, None, "failure"), ("e2", "c1", None, 1, "5", 2, None, None), ("e3", "c2", None, 2, "z", 1, None, "success"), ("e4", "c3", None, 3, None, 7, "boom", None)], "episode_id string, case_id string, source_id string, listed_no int, final_answer string, n_steps int, error string, reward_verdict string")
+    rows, by_case = agents.evaluate_recorded(cases, found, trials=2)
+    got = {(r.case_id, r.trial): (r.status, r.verdict, r.disagrees) for r in rows.collect()}
+    assert got == {("c1", 1): ("completed", "success", True), ("c1", 2): ("completed", "failure", None), ("c2", 1): ("completed", "unknown", None), ("c3", 1): ("target_error", "error", None), ("c4", None): ("not_applicable", "unknown", None)}
+    assert {r.case_id: (r.n_success, r.pass_at_k, r.verdict) for r in by_case.collect()}["c1"] == (1, 0.5, "unknown")
+
+
+def test_judges_with_scripted_models(spark):
+    samples = spark.createDataFrame([(1, "a", "ctx"), (2, "b", "ctx"), (3, "c", "ctx")], "id int, output string, context string")
+    model = api.scripted({"judge a": "CHOICE: yes", "judge b": "hm"}, "No.")
+    got = {r.id: (r.value, r.status) for r in judges.judge(samples, model, "judge {output}", choices={"yes": 1.0, "no": 0.0}).collect()}
+    assert got == {1: (1, None), 2: (None, "unknown"), 3: (0, None)}
+    counted = judges.judge(samples, model, "judge {output}", choices={"yes": 1.0, "no": 0.0}, unknown_score=0.5).where("id = 2").first()
+    assert (counted.value, counted.status) == (0.5, None)
+
+    def claims():
+        def model(prompts_):
+            return ["NONE" if "Answer: c" in p else "1. one\n2. two" if "Answer:" in p else "1: SUPPORTED\n2: NOT_SUPPORTED" for p in prompts_]
+
+        return model
+
+    assert {r.id: r.faithfulness for r in judges.faithfulness(samples, claims).collect()} == {1: 0.5, 2: 0.5, 3: None}
+    assert values(spark, [("\nunsafe\nS1", ""), ("Safe", ""), ("?", "")], judges.guard_score(F.col("output"))) == [1, 0, None]
+
+
+def test_scorers_of_ones_own(spark):
+    @S.scorer(S.MINIMIZE, "length_gap")
+    def gap(output, target):
+        return abs(len(output) - len(target)) if target is not None else None
+
+    try:
+        assert values(spark, [("abc", "a"), ("a", None)], gap.build("output", "target")) == [2, None]
+        with pytest.raises(ValueError, match="exists"):
+            S.scorer(S.MINIMIZE, "length_gap")(lambda a, b: 0)
+        with pytest.raises(ValueError, match="direction"):
+            S.scorer("up", "other")(lambda a, b: 0)
+    finally:
+        del S.SCORERS["length_gap"]
+    samples = spark.createDataFrame(SAMPLES, SCHEMA).withColumns({"tools": F.lit(None).cast("string"), "choices": F.array(F.lit("x")), "contexts": F.lit(None).cast("array<string>")})
+    assert prompts.route(samples) == "mcq" and prompts.route(samples.limit(0)) == "generation"

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from verdictframe.functions import text as T
 from verdictframe.functions import vectorised as V
@@ -308,3 +310,16 @@ def register(scorer: Scorer) -> Scorer:
         raise ValueError("direction must be 'maximize' or 'minimize'")
     SCORERS[scorer.name] = scorer
     return scorer
+
+
+def scorer(direction: str, name: str | None = None, arguments: tuple[str, ...] = ("output", "target"), required: tuple[str, ...] = ()) -> Callable[[Callable[..., float]], Scorer]:
+    """Register a plain function of texts as a scorer that runs in Arrow batches; its direction must be said."""
+
+    def keep(f: Callable[..., float]) -> Scorer:
+        @F.pandas_udf(DoubleType())
+        def run(*columns: pd.Series) -> pd.Series:
+            return pd.Series([None if (v := f(*row)) is None else float(v) for row in zip(*columns, strict=True)], dtype="float64")
+
+        return register(Scorer(name or f.__name__, lambda *c: run(*(col(x) for x in c)), arguments, required, direction))
+
+    return keep

@@ -139,3 +139,40 @@ def elo(results: DataFrame, group: str, k: float = 32.0, initial: float = 1000.0
     values = F.map_values(F.aggregate("results", start, play))
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
     return results.groupBy(group).agg(ordered.alias("results")).select(group, F.greatest(F.lit(0.0), F.least(F.lit(2000.0), mean)).alias("elo_score"))
+
+
+def best_route(scores: DataFrame) -> DataFrame:
+    """The route of each episode that fits best (episode_id, route_no, f1, recall, strict, in_order), and what decided.
+
+    Routes are compared by f1, recall, strict, in_order, and last by their place; decided_by is the first of these in
+    which the best route is ahead of all others, 'only' for a single route.
+    """
+    keys = ["f1", "recall", "strict", "in_order"]
+    w = Window.partitionBy("episode_id")
+    ranked = scores.withColumn("place", F.row_number().over(w.orderBy(*(F.col(k).desc() for k in keys), "route_no"))).withColumn("n_routes", F.count(F.lit(1)).over(w))
+    decided = F.when(F.col("n_routes") == 1, F.lit("only"))
+    ahead = ranked
+    for i, k in enumerate(keys):
+        same = [F.col(x) for x in keys[: i + 1]]
+        ahead = ahead.withColumn(f"ties_{k}", F.count(F.lit(1)).over(Window.partitionBy("episode_id", *same)))
+        decided = decided.when(F.col(f"ties_{k}") == 1, F.lit(k))
+    return ahead.withColumn("decided_by", decided.otherwise(F.lit("place"))).where("place = 1").select("episode_id", "route_no", *keys, "n_routes", "decided_by")
+
+
+def evaluate_recorded(cases: DataFrame, episodes: DataFrame, trials: int = 1, k: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Recorded episodes against their cases: a row a trial, and a row a case.
+
+    cases has case_id, expected (an answer) and most_steps; episodes has episode_id, case_id, source_id, listed_no,
+    final_answer, n_steps, error and reward_verdict (what the source itself says, which decides nothing). A case
+    without an episode is not_applicable, and its verdict unknown.
+    """
+    from verdictframe.operators import outcomes as O  # noqa: E741, N812
+
+    matched = match_episodes(cases, episodes, trials).join(cases, "case_id").join(episodes.drop("case_id", "source_id", "listed_no"), "episode_id", "left")
+    oracle = O.answer_assertion(F.col("final_answer"), F.col("expected"))
+    verdict = F.when(F.col("error").isNotNull(), "error").otherwise(resolve_outcome(oracle, F.lit(None).cast("string")))
+    exhausted = O.budget_exhausted(F.col("n_steps"), F.col("most_steps"), F.lit(None), F.lit(None))
+    no = F.lit(False)
+    state = status(F.col("error").isNotNull(), no, exhausted, no, F.lit(True), F.col("episode_id").isNotNull())
+    rows = matched.select("case_id", "episode_id", "trial", "matched_by", state.alias("status"), verdict.alias("verdict"), O.disagreement(oracle, F.col("reward_verdict")).alias("disagrees"))
+    return rows, reliability(rows, "case_id", k)

@@ -84,3 +84,19 @@ def join_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
     own = questions.join(answers.select("id", "answer_id"), "id", "left")
     spare = answers.join(questions.select("id"), "id", "left_anti").groupBy("prefix").agg(F.min("answer_id").alias("spare_id"))
     return own.join(spare, (own["prefix"] == spare["prefix"]) & own["answer_id"].isNull(), "left").withColumn("answer_id", F.coalesce("answer_id", "spare_id"))
+
+
+def tool_prompt(text: Column, tools: Column, system: str | None = None) -> Column:
+    """A prompt that offers tools (JSON schemas, as one text) to a model without a channel of their own for them."""
+    head = F.lit("" if system is None else f"{system}\n\n")
+    asked = F.concat(F.lit("You can call these tools:\n"), tools, F.lit('\n\nTo call one, answer <tool_call>{"name": ..., "arguments": {...}}</tool_call>.\n\nUser: '), text)
+    return F.concat(head, asked)
+
+
+def route(samples: DataFrame) -> str:
+    """How a dataset is prompted: its first sample (by row_no) decides."""
+    first = samples.orderBy("row_no").select("tools", "choices", "contexts").head(1)
+    if not first:
+        return "generation"
+    tools, choices, contexts = first[0]
+    return "tool_call" if tools is not None else "mcq" if choices else "rag" if contexts else "generation"
