@@ -38,7 +38,7 @@ THRESHOLD = 75
 BANDS, ROWS = 48, 5
 SLOTS = BANDS * ROWS
 #: A block of a candidate group has about so many documents and shingles at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 400, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 128, 1_000_000
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("signature", pa.binary())])
 
@@ -79,13 +79,9 @@ def superminhash(values: np.ndarray, counts: np.ndarray, slots: int = SLOTS) ->
     return (best & U64(0xFF)).astype(np.uint8).reshape(n, slots)
 
 
-#: Texts of so many bytes are sketched at once; a permutation of SLOTS bytes is held for each of their shingles.
-SKETCH_BYTES = 1 << 20
-
-
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each chunk of texts, the index of its first text, the texts' shingle sets and the sizes of these."""
-    for lo, words in word_chunks(column, SPACED, lower=True, limit=SKETCH_BYTES):
+    for lo, words in word_chunks(column, SPACED, lower=True):
         yield lo, *distinct(*shingles(words.hashes(), words, WORDS), words.n_docs)
 
 
