@@ -230,6 +230,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """documents without those that aren't the first of their group; the columns stay as they are."""
+    """documents without those that aren't the first of their group; the columns stay as they are.
+
+    A row without an id can't be told from others, so it stays.
+    """
     removed = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("removed__"))
     return documents.join(removed, documents["doc_id"].cast("long") == F.col("removed__"), "left_anti")
