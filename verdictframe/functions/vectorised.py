@@ -7,6 +7,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from verdictframe.functions.text import col
+from verdictframe.functions.text import ARTICLES, col
 
 
 def _pairwise(score):
@@ -32,13 +33,25 @@ _ASCII_PUNCTUATION = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _NOT_WORD = re.compile(r"[^\w\s]")
 
 
+@lru_cache(maxsize=1 << 16)
+def _bare(token: str) -> tuple[str, ...]:
+    """What is left of a lower-case token without punctuation (of ASCII, and what Unicode classes so) and articles."""
+    token = token.translate(_ASCII_PUNCTUATION)
+    if not token.isascii():
+        token = "".join(c for c in token if ord(c) < 128 or not unicodedata.category(c).startswith("P"))
+    return tuple(_ARTICLES.sub(" ", token).split())
+
+
 def squad_tokens(text: str) -> list[str]:
-    """Lower-case tokens without punctuation (of ASCII, and what Unicode classes so) and articles."""
-    text = text.lower().translate(_ASCII_PUNCTUATION)
-    if not text.isascii():
-        for ch in {c for c in text if ord(c) > 127 and unicodedata.category(c).startswith("P")}:
-            text = text.replace(ch, "")
-    return _ARTICLES.sub(" ", text).split()
+    """Lower-case tokens without punctuation and articles."""
+    out: list[str] = []
+    for token in text.lower().split():
+        if token.isalnum():
+            if token not in ARTICLES:
+                out.append(token)
+        else:
+            out += _bare(token)
+    return out
 
 
 def grounding_tokens(text: str) -> list[str]:
@@ -53,7 +66,8 @@ def grounding_tokens(text: str) -> list[str]:
 
 
 def _shared(a: list[str], b: list[str]) -> int:
-    return sum((Counter(a) & Counter(b)).values())
+    x, y = Counter(a), Counter(b)
+    return sum(min(x[t], y[t]) for t in x.keys() & y.keys())
 
 
 def token_f1_score(output: str, target: str, tokens=squad_tokens) -> float:

@@ -12,8 +12,8 @@ from verdictframe.functions import text as T
 from verdictframe.functions import vectorised as V
 from verdictframe.plans.registry import plain, query, view
 
-#: Each document with its successor as the target.
-QA = "SELECT d1.doc_id AS sample_id, d1.lang AS task, d1.text AS output, d2.text AS target FROM {documents} d1 JOIN {documents} d2 ON d2.doc_id = d1.doc_id + 1"
+#: Each document with its successor as the target. Both sides are whole texts of one size, so neither is broadcast.
+QA = "SELECT /*+ MERGE(d2) */ d1.doc_id AS sample_id, d1.lang AS task, d1.text AS output, d2.text AS target FROM {documents} d1 JOIN {documents} d2 ON d2.doc_id = d1.doc_id + 1"
 #: Each user turn with the assistant turn that follows it.
 CONV = "SELECT u.conv_id, u.turn, u.text AS input, a.text AS output FROM {conversations} u JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"
 #: Short texts: each part's name, with the name of the next part as the target.
