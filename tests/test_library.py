@@ -485,3 +485,13 @@ def test_scorers_of_ones_own(spark):
         del S.SCORERS["length_gap"]
     samples = spark.createDataFrame(SAMPLES, SCHEMA).withColumns({"tools": F.lit(None).cast("string"), "choices": F.array(F.lit("x")), "contexts": F.lit(None).cast("array<string>")})
     assert prompts.route(samples) == "mcq" and prompts.route(samples.limit(0)) == "generation"
+
+
+def test_query_set_holds_every_twentieth_vector(spark, sf):
+    from verdictframe.plans import ranking, registry
+
+    want = {r.vec_id for r in registry.table(spark, sf, "embeddings").where("vec_id % 20 = 0").collect()}
+    assert len(want) > 10
+    assert {r.query_id for r in ranking.win01_rank_query_set(spark, sf).collect()} == want
+    assert {r.query_id for r in ranking.ret01_retrieval_query_set(spark, sf).collect()} <= want
+    assert {r.query_id for r in ranking.win02_context_precision_query_set(spark, sf).collect()} == want

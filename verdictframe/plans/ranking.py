@@ -23,41 +23,76 @@ h AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM
 a AS (SELECT query_id, sum(hit)::DOUBLE AS found, min(CASE WHEN hit = 1 THEN rank END) AS first_rank, sum(CASE WHEN hit = 1 THEN hits::DOUBLE / rank ELSE 0 END) AS precisions, sum(hit / log2(rank + 1)) AS dcg FROM h GROUP BY 1)
 """
 
+#: The query set of the *_query_set queries: every vector whose id is divisible by so much, which grows with embeddings.
+EVERY = 20
+_QUERY_SET = _RANKED.replace("SELECT min(vec_id) AS query_id, label FROM embeddings GROUP BY label", f"SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % {EVERY} = 0")
 
-def ranked(spark, sf_dir):
+
+def one_a_label(vectors):
+    return vectors.groupBy("label").agg(F.min("vec_id").alias("query_id"))
+
+
+def query_set(vectors):
+    return vectors.where(F.col("vec_id") % EVERY == 0).select("label", F.col("vec_id").alias("query_id"))
+
+
+def ranked(spark, sf_dir, chosen=one_a_label):
     vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.groupBy("label").agg(F.min("vec_id").alias("query_id"))
-    queries = vectors.join(first.select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query"))
+    queries = vectors.join(chosen(vectors).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query"))
     return R.nearest(vectors, queries, K, cosine)
 
 
-def relevant(spark, sf_dir):
+def relevant(spark, sf_dir, chosen=one_a_label):
     vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.groupBy("label").agg(F.min("vec_id").alias("query_id"))
-    return first.join(vectors, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item"), F.lit(1.0).alias("grade"))
+    return chosen(vectors).join(vectors, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item"), F.lit(1.0).alias("grade"))
+
+
+def retrieval(spark, sf_dir, chosen):
+    found = R.retrieval_scores(ranked(spark, sf_dir, chosen), relevant(spark, sf_dir, chosen), K)
+    return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "mrr", "average_precision", "ndcg")})
+
+
+def context_precision(spark, sf_dir, chosen):
+    gold = relevant(spark, sf_dir, chosen)
+    judged = ranked(spark, sf_dir, chosen).join(gold, ["query_id", "item"], "left").withColumn("relevant", F.col("grade").isNotNull())
+    return R.retrieved_precision(judged).withColumn("context_precision", F.round("context_precision", 6))
 
 
-@query(
-    _RANKED
-    + f"""SELECT g.query_id, CASE WHEN found > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_rate, round(found / {K}, 6) AS precision, round(found / n_relevant, 6) AS recall,
+_SCORES = f"""SELECT g.query_id, CASE WHEN found > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_rate, round(found / {K}, 6) AS precision, round(found / n_relevant, 6) AS recall,
  round(coalesce(1.0 / first_rank, 0), 6) AS mrr, round(precisions / least({K}, n_relevant), 6) AS average_precision,
  round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, {K} + 1) t(i) WHERE i <= n_relevant), 6) AS ndcg FROM g JOIN a ON g.query_id = a.query_id"""
-)
+_RANKS = "SELECT query_id, item, rank FROM k"
+_PRECISION = "SELECT query_id, round(CASE WHEN found > 0 THEN precisions / found ELSE 0 END, 6) AS context_precision FROM a"
+
+
+@query(_RANKED + _SCORES)
 def ret01_retrieval(spark, sf_dir):
-    found = R.retrieval_scores(ranked(spark, sf_dir), relevant(spark, sf_dir), K)
-    return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "mrr", "average_precision", "ndcg")})
+    return retrieval(spark, sf_dir, one_a_label)
+
+
+@query(_QUERY_SET + _SCORES)
+def ret01_retrieval_query_set(spark, sf_dir):
+    return retrieval(spark, sf_dir, query_set)
 
 
-@query(_RANKED + "SELECT query_id, item, rank FROM k")
+@query(_RANKED + _RANKS)
 def win01_rank(spark, sf_dir):
     return ranked(spark, sf_dir).select("query_id", "item", "rank")
 
 
-@query(_RANKED + "SELECT query_id, round(CASE WHEN found > 0 THEN precisions / found ELSE 0 END, 6) AS context_precision FROM a")
+@query(_QUERY_SET + _RANKS)
+def win01_rank_query_set(spark, sf_dir):
+    return ranked(spark, sf_dir, query_set).select("query_id", "item", "rank")
+
+
+@query(_RANKED + _PRECISION)
 def win02_context_precision(spark, sf_dir):
-    gold = relevant(spark, sf_dir)
-    judged = ranked(spark, sf_dir).join(gold, ["query_id", "item"], "left").withColumn("relevant", F.col("grade").isNotNull())
-    return R.retrieved_precision(judged).withColumn("context_precision", F.round("context_precision", 6))
+    return context_precision(spark, sf_dir, one_a_label)
+
+
+@query(_QUERY_SET + _PRECISION)
+def win02_context_precision_query_set(spark, sf_dir):
+    return context_precision(spark, sf_dir, query_set)
 
 
 #: Line items as a ranked list with repeated items: parts of an order by line, graded by quantity.
