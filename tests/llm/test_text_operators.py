@@ -338,6 +338,28 @@ def test_license_scan(spark, rows):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def scanned(spark, texts):
+    found = license_scan.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    return {r.doc_id: set(r.labels.split(",")) for r in found.collect()}
+
+
+def test_license_scan_finds_every_notice_of_a_text(spark):
+    notice = {label: n for label, n, _ in license_scan.TEMPLATES if len(n.split()) > 15}
+    others = [f"plain text number {i} about nothing" for i in range(100)]
+    both = scanned(spark, [f"{notice['bsd-3-clause']}. {notice['mit-notice']}", *others])
+    assert both[0] == {"bsd-3-clause", "mit-notice"}
+    rarer = "unencumbered domain mozilla gnu foundation published nc attribution commons creative apache redistribute " + "other words " * 5000
+    assert "isc" in scanned(spark, [rarer + notice["isc"], *(notice["isc"] for _ in range(3)), *others])[0]
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_license_scan_of_a_common_notice(spark, n):
+    notices = [(label, notice) for label, notice, _ in license_scan.TEMPLATES]
+    for label, notice in (notices[9], notices[11], notices[15]):
+        found = scanned(spark, [*[notice] * (2 * n), *["nothing of that kind"] * n])
+        assert all((label in found[i]) == (i < 2 * n) for i in found)
+
+
 def plain_best_fit(pieces, capacity, most):
     bins = []
     for p in sorted(pieces, key=lambda p: (-p[0], p[1], p[3] is None, p[3] or 0, p[4])):

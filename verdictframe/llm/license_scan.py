@@ -1,10 +1,11 @@
 """License scans by a positional rare-token index, in DataFrame functions alone.
 
 Templates are short licence notices. Their words carry the document frequencies of the scanned corpus; for each text
-the TOP rarest licence words it holds are looked up in the templates' postings, and the difference between a word's
-place in the text and its place in the template is the place where the template would start. A start on which enough
-rare words of a template agree, and inside whose window one of the template's mandatory phrases stands, is a match.
-Hits are exploded, so a text full of licence words is many rows; the postings and the templates, fixed tables of a few
+all rare licence words it holds are looked up in the templates' postings, and the difference between a word's place in
+the text and its place in the template is the place where the template would start. A start on which enough rare words
+of a template agree, and inside whose window one of the template's mandatory phrases stands, is a match. A template
+with fewer than LEAST rare words (its notice is common, or the table small) is also found by its anchors, the rarest
+words of its phrases whatever their frequency, in texts that hold such a phrase. Hits are exploded, so a text full of licence words is many rows; the postings and the templates, fixed tables of a few
 hundred rows, are the only broadcast sides. Rows are told apart by doc_id and a hash of the text.
 
 Base labels come from the places where a phrase's words stand consecutively.
@@ -43,7 +44,10 @@ TEMPLATES = [
     ("proprietary", "all rights reserved", ["all rights reserved"]),
 ]
 
+#: A template is held to so many of its rare words at most; all of them vote.
 TOP = 8
+#: A template with fewer rare words has so many anchors in each of its phrases.
+LEAST = 3
 #: Words that stand in more than this share of the texts are no rare words.
 COMMON_SHARE = 0.05
 #: A match needs this share of the rare words of the template that a lookup can find.
@@ -88,10 +92,22 @@ def base(words: Column, joined: Column) -> dict[str, Column]:
     }
 
 
-def postings(spark: SparkSession, templates: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """word, template and place of every word of every template."""
-    rows = [(w, k, i) for k, (_, notice, _) in enumerate(templates) for i, w in enumerate(notice.split())]
-    return spark.createDataFrame(rows, "word string, template int, place long")
+def anchors(templates: list[tuple[str, str, list[str]]], rare: dict[str, int], frequencies: dict[str, int]) -> dict[int, dict[str, set[str]]]:
+    """For each template with fewer than LEAST rare words: its phrases, each with its rarest words that stand in the notice."""
+    found = {}
+    for k, (_, notice, phrases) in enumerate(templates):
+        words = set(notice.split())
+        if len(words & set(rare)) < LEAST:
+            held = {p: sorted((frequencies[w], w) for w in set(p.split()) & words if w in frequencies) for p in phrases}
+            found[k] = {p: {w for _, w in ranked[:LEAST]} for p, ranked in held.items() if ranked}
+    return found
+
+
+def postings(spark: SparkSession, templates: list[tuple[str, str, list[str]]], rare: dict[str, int], anchored: dict[int, dict[str, set[str]]]) -> DataFrame:
+    """word, template and place of the rare words and anchors of every template, and which of both a word is."""
+    fixed = {k: set().union(*phrases.values()) for k, phrases in anchored.items()}
+    rows = [(w, k, i, w in rare, w in fixed.get(k, ())) for k, (_, notice, _) in enumerate(templates) for i, w in enumerate(notice.split()) if w in rare or w in fixed.get(k, ())]
+    return spark.createDataFrame(rows, "word string, template int, place long, is_rare boolean, is_anchor boolean")
 
 
 def _held(words: Column, vocabulary: list[str]) -> Column:
@@ -105,45 +121,52 @@ def word_frequencies(documents: DataFrame, vocabulary: list[str]) -> tuple[int,
     return documents.count(), {r["word"]: r["df"] for r in counted if r["word"] is not None}
 
 
-def licence_rows(documents: DataFrame, rare: dict[str, int]) -> DataFrame:
-    """Per row: doc_id, text_hash, the base columns and, for texts with rare licence words, their words and hits.
+def licence_rows(documents: DataFrame, rare: dict[str, int], anchored: dict[int, dict[str, set[str]]]) -> DataFrame:
+    """Per row: doc_id, text_hash, the base columns and, for texts with rare licence words or anchors, their words and hits.
 
-    hits are the places of the text's TOP rarest licence words.
+    hits are the places of the text's rare licence words, and of the anchors of the phrases it holds.
     """
     words = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
-    with_held = words.select("*", F.concat(F.lit(" "), F.array_join("words", GAP), F.lit(" ")).alias("joined"), _held(F.col("words"), sorted(rare)).alias("held"))
+    joined = words.select("*", F.concat(F.lit(" "), F.array_join("words", GAP), F.lit(" ")).alias("joined"))
+    held = _held(F.col("words"), sorted(rare))
+    none = F.array().cast("array<string>")
+    for phrase, kept in sorted({p: set().union(*(x[p] for x in anchored.values() if p in x)) for phrases in anchored.values() for p in phrases}.items()):
+        held = F.array_union(held, F.when(F.contains(F.col("joined"), F.lit(_phrase(phrase))), F.array(*(F.lit(w) for w in sorted(kept)))).otherwise(none))
+    with_held = joined.withColumn("held", held)
     columns = base(F.col("words"), F.col("joined"))
-    order = F.create_map(*(x for w in sorted(rare) for x in (F.lit(w), F.lit(rare[w])))) if rare else F.lit(None).cast("map<string,int>")
-    ranked = F.array_sort(F.transform("held", lambda w: F.struct(F.element_at(order, w).alias("df"), w.alias("word"))))
-    top = F.slice(F.transform(ranked, lambda x: x["word"]), 1, TOP)
     hit = F.size("held") > 0
-    picked = with_held.select("doc_id", "text_hash", *(c.alias(n) for n, c in columns.items()), F.when(hit, F.col("words")).alias("words"), F.when(hit, top).alias("top"))
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("long").alias("at"))), lambda x: F.array_contains(F.col("top"), x["word"]))
+    picked = with_held.select("doc_id", "text_hash", *(c.alias(n) for n, c in columns.items()), F.when(hit, F.col("words")).alias("words"), F.when(hit, F.col("held")).alias("held"))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("long").alias("at"))), lambda x: F.array_contains(F.col("held"), x["word"]))
     return picked.select("doc_id", "text_hash", *columns, "words", places.alias("hits"))
 
 
-def matches(rows: DataFrame, rare: dict[str, int], templates: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """doc_id, text_hash, label, start (word of the text at which the template begins) and share (of its rare words)."""
+def matches(rows: DataFrame, rare: dict[str, int], anchored: dict[int, dict[str, set[str]]], templates: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """doc_id, text_hash, label, start (word of the text at which the template begins) and share (of its rare words or anchors)."""
     findable = {k: min(TOP, len({w for w in notice.split() if w in rare})) for k, (_, notice, _) in enumerate(templates)}
+    fixed = {k: min((len(words) for words in phrases.values()), default=0) for k, phrases in anchored.items()}
     known = rows.sparkSession.createDataFrame(
-        [(k, label, len(notice.split()), findable[k], [_phrase(p) for p in phrases]) for k, (label, notice, phrases) in enumerate(templates)],
-        "template int, label string, size int, findable int, phrases array<string>",
+        [(k, label, len(notice.split()), findable[k], fixed.get(k, 0), [_phrase(p) for p in phrases]) for k, (label, notice, phrases) in enumerate(templates)],
+        "template int, label string, size int, findable int, fixed int, phrases array<string>",
     )
-    index = postings(rows.sparkSession, templates)
+    index = postings(rows.sparkSession, templates, rare, anchored)
     hits = rows.where("hits is not null").select("doc_id", "text_hash", F.explode("hits").alias("hit")).select("doc_id", "text_hash", "hit.word", "hit.at")
+
+    def enough(votes: str, of: str) -> Column:
+        return (F.col(of) > 0) & (F.col(votes) >= F.ceil(F.col(of) * AGREE))
+
     voted = (
         hits.join(F.broadcast(index), "word")
         .groupBy("doc_id", "text_hash", "template", (F.col("at") - F.col("place")).alias("start"))
-        .agg(F.count_distinct("word").alias("agree"))
+        .agg(F.count_distinct(F.when(F.col("is_rare"), F.col("word"))).alias("agree"), F.count_distinct(F.when(F.col("is_anchor"), F.col("word"))).alias("at_anchors"))
         .join(F.broadcast(known), "template")
-        .where((F.col("findable") > 0) & (F.col("agree") >= F.ceil(F.col("findable") * AGREE)))
+        .where(enough("agree", "findable") | enough("at_anchors", "fixed"))
     )
     sources = rows.where("hits is not null").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "words").dropDuplicates(["own_id", "own_hash"])
     same = F.col("text_hash").eqNullSafe(F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
     begin = F.greatest(F.lit(0), F.col("start"))
     window = F.concat(F.lit(" "), F.array_join(F.slice("words", (begin + 1).cast("int"), (F.col("size") + F.col("start") - begin).cast("int")), GAP), F.lit(" "))
     checked = voted.join(sources, same).where((F.col("size") + F.col("start") > 0)).where(F.exists("phrases", lambda p: F.contains(window, p)))
-    return checked.select("doc_id", "text_hash", "label", "start", F.least(F.lit(1.0), F.col("agree") / F.col("findable")).alias("share"))
+    return checked.select("doc_id", "text_hash", "label", "start", F.least(F.lit(1.0), F.greatest(F.try_divide("agree", "findable"), F.try_divide("at_anchors", "fixed"))).alias("share"))
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
@@ -152,8 +175,9 @@ def scan(documents: DataFrame, templates: list[tuple[str, str, list[str]]] | Non
     texts = only(documents, "doc_id", "text")
     n, frequencies = word_frequencies(texts, sorted({w for _, notice, _ in templates for w in notice.split()}))
     rare = {w: df for w, df in frequencies.items() if df <= max(1, COMMON_SHARE * n)}
-    rows = cut(licence_rows(texts, rare))
-    found = matches(rows, rare, templates).groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.collect_set("label").alias("found"), F.max("share").alias("share"), F.count(F.lit(1)).alias("n_matches"))
+    anchored = anchors(templates, rare, frequencies)
+    rows = cut(licence_rows(texts, rare, anchored))
+    found = matches(rows, rare, anchored, templates).groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.collect_set("label").alias("found"), F.max("share").alias("share"), F.count(F.lit(1)).alias("n_matches"))
     joined = rows.join(found, F.col("text_hash").eqNullSafe(F.col("found_hash")) & F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     every = F.array_sort(F.array_union("base_set", F.coalesce("found", F.array().cast("array<string>"))))
     return joined.select(
