@@ -400,6 +400,18 @@ def test_packing_holds_every_word_once(spark, docs, rows):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:30], "edited", *base[31:]])
+    texts = [(1, " ".join(base), "a"), (2, near, "b"), (None, " ".join(base).upper(), "c"), (4, "quite other words", "d")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    bins = [set(r.doc_ids) for r in packing.pack_apart(rows).collect()]
+    assert sorted(map(len, bins)) == [1, 1, 2] and not any(len(b & {1, 2, None}) > 1 for b in bins)
+    named = spark.createDataFrame([(*t, c) for t, c in zip(texts, (7, 7, None, 7), strict=True)], "doc_id long, text string, source string, component_id long")
+    apart = [set(r.doc_ids) for r in packing.pack(named, cluster="component_id").collect()]
+    assert len(apart) == 3 and not any(len(b & {1, 2, 4}) > 1 for b in apart)
+
+
 def test_chat_recovers_marked_turns():
     text = "System: Be kind.\n\nUser: Hello there?\nSecond line\n\nAssistant: Fine.\n\n### Human:\nMore\n"
     lines, features = chat.observe(text)

@@ -9,7 +9,9 @@ no piece of the same duplicate cluster (nor of the same text), and fewer than MO
 source. A set bit sends the search to the exact sets, so two values that share a bit don't keep pieces apart.
 
 Only id, word count, source and cluster are moved; texts stay where they are. The words are those between ASCII
-white space; the cluster is the hash of a text's words in lower case, unless a column says otherwise.
+white space; the cluster is the hash of a text's words in lower case, which only copies share, unless a column says
+otherwise. clustered() makes near copies (near_dedup) one cluster: a row has the component of its doc_id, and one
+without an id that of its text.
 
 Defined results: null texts, and texts without words, are in no bin. Repeated rows are repeated pieces (of one
 cluster, so never in one bin). A null source or id is a value like any other. Further columns are ignored.
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.llm.cluster import cut, only
+from verdictframe.llm.near_dedup import near_duplicates
 from verdictframe.llm.text_kernel import SPACED, U64, mix, word_chunks
 
 CAPACITY = 2048
@@ -45,13 +48,33 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = words.first()
             counts.append(words.counts)
             clusters.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(counts)), pa.array(np.concatenate(clusters))], names=["doc_id", "source", "n_words", "cluster"])
+        columns = [batch.column(0), batch.column(1), pa.array(np.concatenate(counts)), pa.array(np.concatenate(clusters)), *batch.columns[3:]]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "n_words", "cluster", *batch.schema.names[3:]])
 
 
-def measured(documents: DataFrame) -> DataFrame:
-    """doc_id, source (a hash), n_words and cluster of each row with words."""
-    rows = only(documents, "doc_id", "source", "text").select(F.col("doc_id").cast("long"), F.xxhash64("source").alias("source"), "text")
-    return rows.mapInArrow(_measured, "doc_id long, source long, n_words long, cluster long").where("n_words > 0")
+def measured(documents: DataFrame, cluster: str | None = None) -> DataFrame:
+    """doc_id, source (a hash), n_words and cluster of each row with words; a null of a cluster column means the text's hash."""
+    rows = only(documents, "doc_id", "source", "text") if cluster is None else only(documents, "doc_id", "source", "text", cluster).toDF("doc_id", "source", "text", "given")
+    plain = [F.col("doc_id").cast("long"), F.xxhash64("source").alias("source"), "text"]
+    out = "doc_id long, source long, n_words long, cluster long"
+    if cluster is None:
+        return rows.select(*plain).mapInArrow(_measured, out).where("n_words > 0")
+    given = F.when(F.col("given").isNotNull(), F.xxhash64("given")).alias("given")
+    found = rows.select(*plain, given).mapInArrow(_measured, f"{out}, given long").where("n_words > 0")
+    return found.select("doc_id", "source", "n_words", F.coalesce("given", "cluster").alias("cluster"))
+
+
+def clustered(documents: DataFrame) -> DataFrame:
+    """measured() with the near-duplicate component as cluster."""
+    rows = cut(measured(documents))
+    groups = near_duplicates(only(documents, "doc_id", "text")).where("doc_id is not null and n_shingles > 0")
+    components = cut(groups.groupBy("doc_id").agg(F.xxhash64(F.min("component_id")).alias("component")))
+    known = rows.where("doc_id is not null").join(components, "doc_id", "left").select("doc_id", "source", "n_words", "cluster", "component")
+    without = rows.where("doc_id is null")
+    wanted = known.join(without.select("cluster").distinct(), "cluster", "left_semi")
+    by_text = wanted.groupBy("cluster").agg(F.min("component").alias("component"))
+    unnamed = without.join(by_text, "cluster", "left").select("doc_id", "source", "n_words", "cluster", "component")
+    return known.unionByName(unnamed).select("doc_id", "source", "n_words", F.coalesce("component", "cluster").alias("cluster"))
 
 
 def best_fit(pieces: list[tuple], capacity: int, most_of_a_source: int) -> list[tuple[int, list[tuple]]]:
@@ -120,9 +143,22 @@ def _packed(capacity: int, most_of_a_source: int):
     return run
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, most_of_a_source: int = MOST_OF_A_SOURCE, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """A row a bin: shard, bin, used, residual, and of its pieces doc_ids, starts (first word) and lengths (words)."""
-    rows = cut(measured(documents))
+def pack(documents: DataFrame, capacity: int = CAPACITY, most_of_a_source: int = MOST_OF_A_SOURCE, shard_words: int = SHARD_WORDS, cluster: str | None = None) -> DataFrame:
+    """A row a bin: shard, bin, used, residual, and of its pieces doc_ids, starts (first word) and lengths (words).
+
+    cluster names a column of documents whose equal values may not share a bin.
+    """
+    return packed(measured(documents, cluster), capacity, most_of_a_source, shard_words)
+
+
+def pack_apart(documents: DataFrame, capacity: int = CAPACITY, most_of_a_source: int = MOST_OF_A_SOURCE, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """pack() with near copies kept apart."""
+    return packed(clustered(documents), capacity, most_of_a_source, shard_words)
+
+
+def packed(rows: DataFrame, capacity: int, most_of_a_source: int, shard_words: int) -> DataFrame:
+    """The bins of measured rows."""
+    rows = cut(rows)
     total = rows.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_words))
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_words") - 1, F.lit(capacity).cast("long")))
