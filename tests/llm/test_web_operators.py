@@ -42,6 +42,15 @@ def test_url_filter_at_fetch_time(spark):
 PAGE = '<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8"><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- no --><p>One&nbsp;two<br>three</p><div>x < y</div></body></html>'
 
 
+def test_url_filter_looks_up_entries_of_any_depth(spark):
+    urls = ["http://a.b.c.d.e.f/x", "https://h.org/1/2/3/4/5", "https://h.org/1/2/3/x", "https://z.com/", "https://z.net/"]
+    captures = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "date'2024-06-01' as fetched_at")
+    listed = ["domain:b.c.d.e.f", "prefix:h.org/1/2/3/4", "domain:com"]
+    entries = spark.createDataFrame([(p, "add", "block") for p in listed], "pattern string, action string, verdict string").selectExpr("*", "date'2024-01-01' as listed_at")
+    got = {r.page_id: r.matched for r in url_filter.evaluate(captures, entries).collect()}
+    assert got == {0: "domain:b.c.d.e.f", 1: "prefix:h.org/1/2/3/4", 2: None, 3: "domain:com", 4: None}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a.org/x", PAGE), (2, None, None), (3, "http://b.org/\r\nX-Bad: 1", ""), (1, "http://a.org/x", PAGE), (None, "http://c.org", "plain é text")]
     df = spark.createDataFrame([(*r, "z", 0) for r in rows], "page_id long, url string, html string, record string, record_id int")

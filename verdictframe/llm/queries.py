@@ -25,7 +25,7 @@ def list_entries(pages: DataFrame) -> DataFrame:
 
     Each pattern has up to three entries; actions, verdicts and days follow from digests of the pattern.
     """
-    found = pages.select("page_id", F.explode(url_filter.patterns(F.col("url"))).alias("p")).where("p.specificity < 202 or page_id % 10 = 0")
+    found = pages.select("page_id", F.explode(url_filter.patterns(F.col("url"), 2, 4, 2)).alias("p")).where("p.specificity < 202 or page_id % 10 = 0")
     patterns = found.select("p.pattern").distinct()
     k = F.col("k").cast("string")
     numbered = patterns.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))

@@ -3,8 +3,8 @@
 A list is a table of dated entries: a pattern (a host, a domain with all its hosts, or a URL prefix), an action (add or
 remove) and a verdict (block or allow). Entries become validity intervals: an entry holds from its date until the next
 entry of the same pattern, or for ever. A capture looks up the patterns that could match it (its URL's prefixes, its
-host and the domains above it, at most PREFIX_DEPTH + DOMAIN_DEPTH of them) in the intervals that hold at its fetch
-time; the most specific one decides, and among equally specific ones the latest.
+host and the domains above it, each as deep as the deepest entry of the list) in the intervals that hold at its fetch
+time; the most specific one decides (prefixes before hosts before domains), and among equally specific ones the latest.
 
 The join is an equi-join on the pattern with the dates as residual condition. Both sides are shuffled (the list grows
 with the crawl, so it is not broadcast). Patterns that many captures share (hosts, domains, first path segments) are
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from verdictframe.llm.cluster import only
 
-PREFIX_DEPTH, DOMAIN_DEPTH = 2, 4
 SALTS = 32
 DEEP_PREFIX = r"^prefix:[^/]*/[^/]*/"
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)(?::[0-9]+)?([^?#]*)"
@@ -39,17 +38,32 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, URL, 2)
 
 
-def patterns(url: Column) -> Column:
-    """(pattern, specificity) of every entry that could match: URL prefixes, the host, the domains above it."""
+def patterns(url: Column, prefix_depth: int, domain_depth: int, least_labels: int = 1) -> Column:
+    """(pattern, specificity) of every entry up to the depths that could match: URL prefixes, the host, the domains above it."""
     h, segments = host(url), F.filter(F.split(path(url), "/"), lambda s: s != "")
-    prefixes = [
-        F.when(F.size(segments) >= k, F.struct(F.concat(F.lit("prefix:"), h, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")).alias("pattern"), F.lit(200 + k).alias("specificity")))
-        for k in range(1, PREFIX_DEPTH + 1)
-    ]
+
+    def each(least: int, most: Column, make) -> Column:
+        ks = F.when(most >= least, F.sequence(F.lit(least), most))
+        return F.coalesce(F.transform(ks, make), F.array().cast("array<struct<pattern:string,specificity:int>>"))
+
+    def entry(pattern: Column, specificity: Column) -> Column:
+        return F.struct(pattern.alias("pattern"), specificity.cast("int").alias("specificity"))
+
     labels = F.split(h, r"\.")
-    domains = [F.when(F.size(labels) >= k, F.struct(F.concat(F.lit("domain:"), F.substring_index(h, ".", -k)).alias("pattern"), F.lit(k).alias("specificity"))) for k in range(2, DOMAIN_DEPTH + 1)]
-    own = F.struct(F.concat(F.lit("host:"), h).alias("pattern"), F.lit(100).alias("specificity"))
-    return F.array_compact(F.array(*prefixes, F.when(h.isNotNull(), own), *domains))
+    prefixes = each(1, F.least(F.size(segments), F.lit(prefix_depth)), lambda k: entry(F.concat(F.lit("prefix:"), h, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), k), "/")), k + 200))
+    domains = each(least_labels, F.least(F.size(labels), F.lit(domain_depth)), lambda k: entry(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")), k))
+    own = F.array(entry(F.concat(F.lit("host:"), h), F.lit(100)))
+    return F.when(h.isNotNull(), F.concat(prefixes, own, domains))
+
+
+def depths(entries: DataFrame) -> tuple[int, int]:
+    """The most path segments of a prefix and the most labels of a domain in a list."""
+    pattern = F.col("pattern")
+    found = entries.agg(
+        F.max(F.when(pattern.startswith("prefix:"), F.size(F.split(pattern, "/")) - 1)).alias("prefix"),
+        F.max(F.when(pattern.startswith("domain:"), F.size(F.split(pattern, r"\.")))).alias("domain"),
+    ).first()
+    return found["prefix"] or 0, found["domain"] or 0
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -70,14 +84,14 @@ def evaluate(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id
     """
     rows = only(captures, capture_id, "url", "fetched_at")
     grouped = rows.groupBy(capture_id, "url", "fetched_at").agg(F.count(F.lit(1)).alias("copies"))
-    looked_up = grouped.select("*", F.explode_outer(patterns(F.col("url"))).alias("p")).select(capture_id, "url", "fetched_at", "copies", F.col("p.pattern").alias("looked_up"), "p.specificity")
+    looked_up = grouped.select("*", F.explode_outer(patterns(F.col("url"), *depths(entries))).alias("p")).select(capture_id, "url", "fetched_at", "copies", F.col("p.pattern").alias("looked_up"), "p.specificity")
     shared = ~F.col("looked_up").rlike(DEEP_PREFIX)
     looked_up = looked_up.withColumn("capture_salt", F.when(shared, F.pmod(F.xxhash64("url", capture_id), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     every = F.when(F.col("pattern").rlike(DEEP_PREFIX), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     held = intervals(entries).select("*", F.explode(every).alias("salt"))
     active = (F.col("looked_up") == F.col("pattern")) & (F.col("capture_salt") == F.col("salt")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     found = looked_up.join(held, active, "left")
-    best = F.max(F.when(F.col("pattern").isNotNull(), F.struct("specificity", "valid_from", "pattern", "verdict"))).alias("best")
+    best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.substring_index("pattern", ":", 1).alias("kind"), "specificity", "valid_from", "pattern", "verdict"))).alias("best")
     decided = found.groupBy(capture_id, "url", "fetched_at", "copies").agg(best)
     return decided.select(
         capture_id,
