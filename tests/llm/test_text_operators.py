@@ -178,16 +178,17 @@ def leaky(rows):
 
 
 @pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 40])
-def test_contamination_equals_brute_force(spark, docs, rows, leaky, block_words, monkeypatch):
-    monkeypatch.setattr(decontaminate.contamination, "__defaults__", (10, "item_id", block_words))
+def test_contamination_equals_brute_force(spark, docs, rows, leaky, block_words):
     benchmark = spark.createDataFrame(leaky, "item_id long, text string")
-    got = Counter(tuple(r) for r in decontaminate.report(clashing(docs), clashing(benchmark.withColumnRenamed("item_id", "i")).drop("item_id").withColumnRenamed("i", "item_id")).collect())
+    items = clashing(benchmark.withColumnRenamed("item_id", "i")).drop("item_id").withColumnRenamed("i", "item_id")
+    got = Counter(tuple(r)[:6] for r in decontaminate.report(clashing(docs), items, block_words=block_words).collect())
     assert got == contamination(rows, leaky)
 
 
-def test_decontaminate_removes_affected_rows_only(spark, docs, rows, leaky):
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 200])
+def test_decontaminate_removes_affected_rows_only(spark, docs, rows, leaky, block_words):
     benchmark = spark.createDataFrame(leaky, "item_id long, text string")
-    clean = decontaminate.decontaminate(clashing(docs), benchmark)
+    clean = decontaminate.decontaminate(clashing(docs), benchmark, block_words=block_words)
     assert clean.columns == clashing(docs).columns
     assert Counter(r.doc_id for r in clean.collect()) == Counter(d for (d, *_, hit), k in contamination(rows, leaky).items() for _ in range(k) if not hit)
 
@@ -199,6 +200,49 @@ def test_longest_matches_have_their_places(spark):
     assert found == {1: [("q", 1, 1, 12)], 2: []}
 
 
+def longest_matches(text, items, window=10):
+    """(start, length) of the longest runs of at least a window shared with an item that lie in no longer one."""
+    w, tests = words(ALNUM, text), [words(ALNUM, t) for _, t in items]
+    own = []
+    for p in range(len(w)):
+        best = 0
+        for t in tests:
+            for q in range(len(t)):
+                n = 0
+                while p + n < len(w) and q + n < len(t) and w[p + n] == t[q + n]:
+                    n += 1
+                best = max(best, n)
+        own.append(best)
+    return [(p, n) for p, n in enumerate(own) if n >= window and (p == 0 or own[p - 1] <= n)]
+
+
+def test_longest_matches_equal_brute_force(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(10, 40)))) for k in range(25)]
+    items += [(30, items[0][1]), (31, "a " * 60), (32, items[1][1] + " a b")]
+    texts = [(k, " ".join(rng.choice("abc") for _ in range(150)) + " z " + items[k][1] + " " + items[k + 1][1]) for k in range(12)] + [(50, "a " * 200), (51, "")]
+    found = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    by_id = {str(i): words(ALNUM, t) for i, t in items}
+    for r in found:
+        w = words(ALNUM, r.text)
+        assert [(m.start, m.length) for m in r.matches] == longest_matches(r.text, items)
+        for m in r.matches:
+            assert by_id[m.item_id][m.item_start : m.item_start + m.length] == w[m.start : m.start + m.length]
+
+
+def test_periodic_texts_stay_linear():
+    import time
+
+    import pyarrow as pa
+
+    test = decontaminate.TestSet(list(range(300)), ["x " * 400] * 300, 10)
+    began = time.perf_counter()
+    n_words, spans, items, matches = decontaminate.scan_texts(test, pa.array(["x " * 40_000, "y"]))
+    assert time.perf_counter() - began < 10
+    assert (n_words.to_pylist(), len(items[0]), spans.to_pylist()) == ([40_000, 1], 300, [[{"start": 0, "length": 40_000}], []])
+    assert len(matches[0]) <= 40_000
+
+
 def test_contamination_of_empty_tables(spark, docs, rows):
     assert decontaminate.report(empty(spark), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
     none = decontaminate.report(docs, spark.createDataFrame([], "item_id long, text string"))

@@ -1,33 +1,38 @@
 """Benchmark decontamination by training suffix arrays.
 
-Each task takes its share of the training texts in chunks (the shards), builds a suffix array over the words of a
-chunk, and binary-searches every test suffix in it. The array is sparse: only suffixes whose leading words occur in
-the test set enter it, since no other suffix can hold a window of a test item. Suffixes are ranked by prefix
-doubling (1, 2, 4 and 8 words, then 8+2) in the rank space of the test set, so ranks of different shards agree.
-
-The test set is read in blocks of at most BLOCK_WORDS words; only one block at a time is held by a task, and each
-further block is one more pass in the same pipelined stage. There is no shuffle of the documents.
+Each task takes its share of the training texts in chunks (the shards). Prefix doubling (1, 2, 4, 8 words, then 8 + 2)
+gives each run of words its lexicographic rank among the runs of the test set, so that windows of test items are found
+in a shard by binary search of ranks. The words that windows cover are the only ones that a match can touch; their
+suffixes, and those of the test items concerned, are brought into full lexicographic order (the suffix array of the
+shard), every test suffix is binary-searched in it, and each training suffix has its longest match with one of the two
+test suffixes between which it stands. Matches that lie inside a longer one are left out, so there are never more
+matches than words, however often text and items repeat themselves. Equal test windows are one entry, with the set of
+items that hold it.
+
+The test set is read in blocks of about BLOCK_WORDS words. One block is one streamed pass without a shuffle. More
+blocks are passes one after another, each holding one block (driver and tasks); what each finds, keyed by a digest of
+the text, is written to the shared folder and joined to the rows at the end.
 
 Defined results: null and empty texts have no words and are never contaminated; a test item without words matches
-nothing; repeated items (the same id or the same text) each count; further columns of either input are ignored.
+nothing; items with the same id are one item, and a null id counts as the empty string; further columns of either
+input are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.cluster import only
-from verdictframe.llm.text_kernel import ALNUM, _PLACE, U64, mix, word_chunks
+from verdictframe.llm.cluster import ddl, ensure_checkpoint_dir, only
+from verdictframe.llm.text_kernel import ALNUM, U64, mix, word_chunks
 
-BLOCK_WORDS = 4_000_000
-STATE = "n_words long, matches array<struct<item_id:string, item_start:long, start:long, length:long>>"
-MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
+BLOCK_WORDS = 500_000
+FOUND = {"spans": "array<struct<start:long, length:long>>", "items": "array<string>", "matches": "array<struct<item_id:string, item_start:long, start:long, length:long>>"}
 
 
 def _rank(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -43,206 +48,311 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left.astype(np.int64) << 32) | right
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0]+1, ... (n[0] of them), lo[1], ..."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+
+
+class Windows:
+    """The distinct windows of one length: the tables of their ranks, their places, and the items that hold them."""
+
+    def __init__(self, length: int, widths: list[int], tables: list[np.ndarray], rank: np.ndarray, at: np.ndarray, item: np.ndarray):
+        self.length, self.widths, self.tables = length, widths, tables
+        order = np.lexsort((at, rank))
+        self.places = at[order]
+        self.first = np.searchsorted(rank[order], np.arange(1, int(rank.max(initial=0)) + 2))
+        # windows held by the same items are one class, so that a text meets each set of items once
+        pairs = np.unique(_pair(rank, item[at]))
+        holder, owner = pairs >> 32, pairs & 0xFFFFFFFF
+        first = np.searchsorted(holder, np.arange(1, len(self.first) + 1))
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(owner.astype(U64) + U64(1)))])
+        _, example, self.kind = np.unique(sums[first[1:]] - sums[first[:-1]], return_index=True, return_inverse=True)
+        self.owner, self.owner_first, self.owner_n = owner, first[example], first[example + 1] - first[example]
+
+
 class TestSet:
     """Words of the test items one after another, with the tables by which words and runs of words get their ranks."""
 
     __test__ = False
 
     def __init__(self, ids: list, texts: list[str | None], window: int):
-        self.window, self.ids = window, ["" if i is None else str(i) for i in ids]
-        hashes, item, place = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        names = ["" if i is None else str(i) for i in ids]
+        self.ids = sorted(set(names))
+        code = {name: k for k, name in enumerate(self.ids)}
+        hashes, row, place = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, words in word_chunks(pa.array(texts, pa.string()), ALNUM, lower=True):
             hashes.append(words.hashes())
-            item.append(words.doc + lo)
+            row.append(words.doc + lo)
             place.append(np.arange(len(words.doc)) - words.first()[:-1][words.doc])
-        h, self.item, self.place = np.concatenate(hashes), np.concatenate(item), np.concatenate(place)
+        h, row, self.place = np.concatenate(hashes), np.concatenate(row), np.concatenate(place)
+        self.window = window
+        self.item = np.array([code[n] for n in names], np.int64)[row] if len(row) else row
+        counts = np.bincount(row, minlength=len(ids)) if len(h) else np.zeros(len(ids), np.int64)
+        self.left = counts[row] - self.place if len(h) else np.zeros(0, np.int64)
         self.vocabulary = np.unique(h)
-        counts = np.bincount(self.item, minlength=len(ids)) if len(h) else np.zeros(len(ids), np.int64)
-        self.left = counts[self.item] - self.place if len(h) else np.zeros(0, np.int64)
-        self.tables: list[np.ndarray] = []
         ranks = _rank(self.vocabulary, h)
-        self.by_width = {1: ranks}
-        width = 1
+        self.words, by_width, width = ranks, {1: ranks}, 1
+        self.tables: list[np.ndarray] = []
         while width * 2 <= window:
             pairs = _pair(ranks, self._shifted(ranks, width))
             pairs[self.left < 2 * width] = -1
             self.tables.append(np.unique(pairs[pairs >= 0]))
-            ranks = _rank(self.tables[-1], pairs)
-            width *= 2
-            self.by_width[width] = ranks
-        self.width = width
-        #: Lengths of the windows to search: the full one, and that of each shorter item.
-        self.lengths = sorted({int(min(n, window)) for n in counts if n})
-        self.suffixes = {n: np.flatnonzero((self.left >= n) if n == window else ((self.place == 0) & (self.left == n))) for n in self.lengths}
-        #: How many leading words of a training suffix must be known for it to enter the array.
-        self.lead = max(w for w in self.by_width if not self.lengths or w <= self.lengths[0])
+            ranks, width = _rank(self.tables[-1], pairs), width * 2
+            by_width[width] = ranks
+        self.by_length = [self._windows(n, by_width) for n in sorted({int(min(n, window)) for n in counts if n})]
 
     def _shifted(self, ranks: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros_like(ranks)
-        out[: len(ranks) - by] = ranks[by:]
-        out[self.left <= by] = 0
+        out[: max(0, len(ranks) - by)] = ranks[by:]
         return out
 
-
-def _keys(ranks: dict[int, np.ndarray], at: np.ndarray, length: int, rest: np.ndarray | None = None) -> np.ndarray:
-    """One key for the first so many words of the suffixes at the given places: equal keys, equal words.
-
-    A suffix that runs off its text, or holds a run of words the test set lacks, gets the key 0.
-    """
-    total = np.zeros(len(at), U64)
-    dead = np.zeros(len(at), bool) if rest is None else rest < length
-    done, k = 0, 0
-    n = len(next(iter(ranks.values())))
-    while done < length:
-        width = max(w for w in ranks if w <= length - done)
-        r = ranks[width][np.minimum(at + done, n - 1)]
-        dead |= r == 0
-        total += r.astype(U64) * _PLACE[k]
-        done, k = done + width, k + 1
-    total = mix(total + U64(length))
-    total[dead] = 0
-    return total
-
-
-def find(test: TestSet, hashes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of test items among the words of a shard: word in the shard, word in the test set, length."""
-    none = (np.zeros(0, np.int64),) * 3
-    if not len(hashes) or not test.lengths:
-        return none
-    ranks, r, width = {1: _rank(test.vocabulary, hashes)}, None, 1
-    r = ranks[1]
+    def _windows(self, length: int, by_width: dict[int, np.ndarray]) -> Windows:
+        at = np.flatnonzero(self.left >= length if length == self.window else (self.place == 0) & (self.left == length))
+        widths, done = [], 0
+        while done < length:
+            widths.append(max(w for w in by_width if w <= length - done))
+            done += widths[-1]
+        rank, tables, done = by_width[widths[0]][at], [], widths[0]
+        for w in widths[1:]:
+            pairs = _pair(rank, by_width[w][at + done])
+            tables.append(np.unique(pairs))
+            rank, done = _rank(tables[-1], pairs), done + w
+        if not tables:  # the ranks have gaps where longer items hold runs of this width
+            tables.append(np.unique(_pair(rank, np.zeros_like(rank))))
+            rank = _rank(tables[-1], _pair(rank, np.zeros_like(rank)))
+        return Windows(length, widths, tables, rank, at, self.item)
+
+
+def occurrences(test: TestSet, hashes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Ranks of a shard's words in the test set, and for each length the places and ranks of the windows in the shard."""
+    words = _rank(test.vocabulary, hashes)
+    ranks, r, width = {1: words}, words, 1
     for table in test.tables:
         nxt = np.zeros_like(r)
         live = np.flatnonzero((r[:-width] > 0) & (r[width:] > 0) & (left[:-width] >= 2 * width)) if len(r) > width else np.zeros(0, np.int64)
         nxt[live] = _rank(table, _pair(r[live], r[live + width]))
         width *= 2
         ranks[width] = r = nxt
-    suffixes = np.flatnonzero(ranks[test.lead])
     found = []
-    for length in test.lengths:
-        keys = _keys(ranks, suffixes, length, left[suffixes])
-        order = np.argsort(keys, kind="stable")
-        array, keys = suffixes[order], keys[order]
-        queries = test.suffixes[length]
-        wanted = _keys(test.by_width, queries, length)
-        lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-        many = np.where(wanted == 0, 0, hi - lo)
-        if many.sum():
-            begin = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            found.append((array[begin], np.repeat(queries, many), np.full(many.sum(), length)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
-
-
-def longest(p: np.ndarray, q: np.ndarray, length: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows that follow each other along text and item joined to the longest verbatim matches."""
-    if not len(p):
-        return p, q, length, doc, item
-    order = np.lexsort((p, p - q, item, doc))
-    p, q, length, doc, item = p[order], q[order], length[order], doc[order], item[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] != p[:-1] + 1)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(p)) - 1
-    return p[at], q[at], p[last] - p[at] + length[last], doc[at], item[at]
-
-
-def _scan(test: TestSet, text_at: int):
+    for w in test.by_length:
+        at = np.flatnonzero((ranks[w.widths[0]] > 0) & (left >= w.length))
+        rank, done = ranks[w.widths[0]][at], w.widths[0]
+        if len(w.widths) == 1:
+            rank = _rank(w.tables[0], _pair(rank, np.zeros_like(rank)))
+        for more, table in zip(w.widths[1:], w.tables, strict=False):
+            rank, done = _rank(table, _pair(rank, ranks[more][at + done])), done + more
+            at, rank = at[rank > 0], rank[rank > 0]
+        found.append((at[rank > 0], rank[rank > 0]))
+    return words, found
+
+
+class Order:
+    """Suffixes of runs of words that stand one after another, in lexicographic order, by prefix doubling."""
+
+    def __init__(self, words: np.ndarray, left: np.ndarray):
+        """left: how many words each suffix has to the end of its run."""
+        self.left, width = left, 1
+        self.levels = [np.unique(words, return_inverse=True)[1] + 1]
+        while width < left.max(initial=0) and self.levels[-1].max() < len(words):
+            r = self.levels[-1]
+            behind = np.zeros_like(r)
+            on = np.flatnonzero(left > width)
+            behind[on] = r[on + width]
+            self.levels.append(np.unique(_pair(r, behind), return_inverse=True)[1] + 1)
+            width *= 2
+        self.rank = self.levels[-1]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many leading words the suffixes a and b share."""
+        n, most = np.zeros(len(a), np.int64), np.minimum(self.left[a], self.left[b])
+        for k in range(len(self.levels) - 1, -1, -1):
+            while True:  # the widest level may stand more than once in the length
+                go = np.flatnonzero(n + (1 << k) <= most)
+                go = go[self.levels[k][a[go] + n[go]] == self.levels[k][b[go] + n[go]]]
+                if not len(go):
+                    break
+                n[go] += 1 << k
+        return n
+
+
+def longest(test: TestSet, full: Windows, words: np.ndarray, at: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """start, length, test word of the longest matches of at least a window that lie in no longer one; windows at at, of rank."""
+    size = full.length
+
+    def covered(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words under windows, and whether each is the last of its run."""
+        place = np.unique((starts[:, None] + np.arange(size)).ravel())
+        return place, np.append(np.diff(place) != 1, True)
+
+    def to_end(last: np.ndarray) -> np.ndarray:
+        ends = np.flatnonzero(last)
+        return ends[np.searchsorted(ends, np.arange(len(last)))] - np.arange(len(last)) + 1
+
+    here, last = covered(at)
+    last[:-1] |= doc[here[1:]] != doc[here[:-1]]
+    seen = np.unique(rank) - 1
+    places = full.places[_ranges(full.first[seen], full.first[seen + 1] - full.first[seen])]
+    there, end = covered(places)
+    end[:-1] |= test.place[there[1:]] == 0
+    n = len(here)
+    order = Order(np.concatenate([words[here], test.words[there]]), np.concatenate([to_end(last), to_end(end)]))
+    array = np.argsort(order.rank[:n], kind="stable")  # the suffix array of the shard
+    tests = n + np.argsort(order.rank[n:], kind="stable")
+    insert = np.searchsorted(order.rank[:n][array], order.rank[tests], side="left")  # every test suffix, searched in it
+    place_in_array = np.empty(n, np.int64)
+    place_in_array[array] = np.arange(n)
+    starts = np.searchsorted(here, at)
+    after = np.searchsorted(insert, place_in_array[starts], side="right")
+    length, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for shift in (-1, 0):
+        neighbour = after + shift
+        ok = np.flatnonzero((neighbour >= 0) & (neighbour < len(tests)))
+        common = order.common(starts[ok], tests[neighbour[ok]])
+        better = common > length[ok]
+        length[ok[better]], best[ok[better]] = common[better], there[tests[neighbour[ok[better]]] - n]
+    end_at = np.maximum.accumulate(np.concatenate([[-1], (at + length)[:-1]])) if len(at) else at
+    keep = (at + length > end_at) | (np.concatenate([[True], doc[at[1:]] != doc[at[:-1]]]) if len(at) else np.zeros(0, bool))
+    return at[keep], length[keep], best[keep]
+
+
+def _list(doc: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Lists of values that come text by text."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32)), values)
+
+
+def scan_texts(test: TestSet, column: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """n_words, spans, items and matches of the texts of a column."""
+    rows = len(column)
+    counts = np.zeros(rows, np.int64)
+    spans, items, matches = [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 5), np.int64)]
+    for lo, words in word_chunks(column, ALNUM, lower=True):
+        counts[lo : lo + words.n_docs] = words.counts
+        if not len(words.starts) or not test.by_length:
+            continue
+        first, doc = words.first(), words.doc
+        left = first[1:][doc] - np.arange(len(doc))
+        ranks, found = occurrences(test, words.hashes(), left)
+        steps = np.zeros(len(doc) + 1, np.int64)
+        for w, (at, rank) in zip(test.by_length, found, strict=True):
+            if not len(at):
+                continue
+            np.add.at(steps, at, 1)
+            np.add.at(steps, at + w.length, -1)
+            held = np.unique(_pair(doc[at], w.kind[rank - 1]))
+            which = held & 0xFFFFFFFF
+            n = w.owner_n[which]
+            items.append(np.stack([np.repeat((held >> 32) + lo, n), w.owner[_ranges(w.owner_first[which], n)]], axis=1))
+            if w.length == test.window:
+                start, length, q = longest(test, w, ranks, at, rank, doc)
+            else:
+                start, length, q = at, np.full(len(at), w.length), w.places[w.first[rank - 1]]
+            matches.append(np.stack([doc[start] + lo, start - first[:-1][doc[start]], length, test.item[q], test.place[q]], axis=1))
+        hit = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+        if len(hit):
+            new = np.append(True, (np.diff(hit) != 1) | (doc[hit[1:]] != doc[hit[:-1]]))
+            begin = hit[new]
+            size = np.diff(np.append(np.flatnonzero(new), len(hit)))
+            spans.append(np.stack([doc[begin] + lo, begin - first[:-1][doc[begin]], size], axis=1))
+    s, i = np.concatenate(spans), np.unique(np.concatenate(items), axis=0)
+    m = np.concatenate(matches)
+    m = m[np.lexsort((m[:, 4], m[:, 3], m[:, 2], m[:, 1], m[:, 0]))]
+    names = pa.array(test.ids, pa.string())
+    struct = pa.StructArray.from_arrays
+    return (
+        pa.array(counts),
+        _list(s[:, 0], rows, struct([pa.array(s[:, 1]), pa.array(s[:, 2])], names=["start", "length"])),
+        _list(i[:, 0], rows, names.take(pa.array(i[:, 1]))),
+        _list(m[:, 0], rows, struct([names.take(pa.array(m[:, 3])), pa.array(m[:, 4]), pa.array(m[:, 1]), pa.array(m[:, 2])], names=["item_id", "item_start", "start", "length"])),
+    )
+
+
+def _scanned(df: DataFrame, test: TestSet) -> DataFrame:
+    at = df.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.zeros(batch.num_rows, np.int64)
-            owner, columns = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(4)]
-            for lo, words in word_chunks(batch.column(text_at), ALNUM, lower=True):
-                counts[lo : lo + words.n_docs] = words.counts
-                first = words.first()
-                left = first[1:][words.doc] - np.arange(len(words.doc))
-                p, q, length = find(test, words.hashes(), left)
-                p, q, length, doc, item = longest(p, q, length, words.doc[p], test.item[q])
-                owner.append(doc + lo)
-                for column, values in zip(columns, (item, test.place[q], p - first[:-1][doc], length), strict=True):
-                    column.append(values)
-            owner = np.concatenate(owner)
-            item, item_start, start, length = (np.concatenate(x) for x in columns)
-            order = np.argsort(owner, kind="stable")
-            names = pa.array(test.ids, pa.string()).take(pa.array(item[order])) if len(test.ids) else pa.array([], pa.string())
-            values = pa.StructArray.from_arrays([names, *(pa.array(x[order], pa.int64()) for x in (item_start, start, length))], names=["item_id", "item_start", "start", "length"])
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*batch.schema.names, "n_words", "matches"])
-
-    return run
-
-
-def _blocks(benchmark: DataFrame, id_column: str, block_words: int) -> list[tuple[list, list]]:
-    """The test items in blocks of a bounded number of characters, so that no block outgrows a task."""
-    items = benchmark.select(F.col(f"`{id_column}`").alias("item_id"), F.col("text").alias("text")).where(F.col("text").isNotNull())
-    size = items.select(F.sum(F.floor(F.length("text") / 2) + 1).alias("n")).first()["n"] or 0
-    n = max(1, -(-size // block_words))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    out = []
-    for k in range(n):
-        rows = (items.where(block == k) if n > 1 else items).collect()
-        out.append(([r[0] for r in rows], [r[1] for r in rows]))
-    return out
+            yield pa.RecordBatch.from_arrays([*batch.columns, *scan_texts(test, batch.column(at))], names=[*batch.schema.names, "n_words", "spans", "items", "matches"])
 
+    return df.mapInArrow(run, ", ".join([ddl(df), "n_words long", *(f"{c} {t}" for c, t in FOUND.items())]))
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """documents with n_words and matches, the longest verbatim matches with test items of at least a window.
 
-    A match has the item's id, its first word in the item and in the document (from 0) and its length in words. An
-    item of fewer words than a window is matched as a whole.
-    """
-    plain = [f.name for f in documents.schema.fields]
-    steps = []
-    for ids, texts in _blocks(benchmark, item_id, block_words):
-        test = TestSet(ids, texts, window)
+def _test_set(items: DataFrame, window: int) -> TestSet:
+    rows = items.select("item_id", "text").collect()
+    return TestSet([r[0] for r in rows], [r[1] for r in rows], window)
+
 
-        def step(df: DataFrame, test: TestSet = test) -> DataFrame:
-            schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), STATE])
-            out = df.mapInArrow(_scan(test, df.columns.index("text")), schema)
-            return out
+def _items(benchmark: DataFrame, item_id: str, block_words: int) -> tuple[DataFrame, int]:
+    """The test items with text, and in how many blocks they are taken: about block_words words each, or one longer item."""
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col("`text`").alias("text")).where(F.col("text").isNotNull())
+    size = items.select(F.sum(F.floor(F.length("text") / 2) + 1).alias("n")).first()["n"] or 0
+    return items, max(1, -(-size // block_words))
 
-        steps.append(step)
-    first = steps[0](documents)
-    if len(steps) == 1:
-        return first
 
-    def further(df: DataFrame, step) -> DataFrame:
-        kept = step(df.withColumnRenamed("n_words", "n_words_").withColumnRenamed("matches", "matches_"))
-        return kept.select(*(F.col(f"`{c}`") for c in plain), "n_words", F.concat("matches_", "matches").alias("matches"))
+def _found(texts: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """digest (of the text), spans, items and matches of the texts with a window of any block; a row a text."""
+    spark = texts.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/decontaminate-{uuid.uuid4().hex}"
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(f"{folder}/items")
+    stored = spark.read.parquet(f"{folder}/items")
+    for k in range(blocks):
+        found = _scanned(texts, _test_set(stored.where(F.col("block") == k), window)).where(F.size("items") > 0)
+        found.select(F.md5("text").alias("digest"), "spans", "items", "matches").dropDuplicates(["digest"]).write.mode("append").parquet(f"{folder}/found")
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "matches")]
+    return spark.read.parquet(f"{folder}/found").groupBy("digest").agg(*lists)
 
-    return reduce(further, steps[1:], first)
 
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """documents (a column text) with n_words and, of the windows of test items that occur, spans, items and matches.
 
-def hit_words(matches: str = "matches"):
-    """How many words the matches cover, each word once."""
-    spans = F.array_sort(F.transform(F.col(matches), lambda m: F.struct(m["start"].alias("a"), (m["start"] + m["length"]).alias("b"))))
+    spans are the runs of words that windows cover (start and length; those of several blocks may overlap), items the
+    ids of the items, and matches the longest verbatim matches with their places in item and text, in words from 0.
+    An item of fewer words than a window is matched as a whole.
+    """
+    items, blocks = _items(benchmark, item_id, block_words)
+    if blocks == 1:
+        return _scanned(documents, _test_set(items, window))
+    found = _found(documents.select("text"), items, blocks, window)
+    plain = [F.col(f"`{c}`") for c in documents.columns]
+    counted = _scanned(documents, TestSet([], [], window)).select(*plain, "n_words").withColumn("digest__", F.md5("text"))
+    return counted.join(found, F.col("digest__") == F.col("digest"), "left").select(*plain, "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in FOUND.items()))
+
+
+def hit_words(spans: str = "spans") -> Column:
+    """How many words the spans cover, each word once."""
+    ordered = F.array_sort(F.transform(F.col(spans), lambda m: F.struct(m["start"].alias("a"), (m["start"] + m["length"]).alias("b"))))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
 
     def step(acc, x):
         begin = F.greatest(acc["end"], x["a"])
         return F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - begin)).alias("n"), F.greatest(acc["end"], x["b"]).alias("end"))
 
-    return F.aggregate(spans, start, step, lambda acc: acc["n"])
+    return F.aggregate(ordered, start, step, lambda acc: acc["n"])
 
 
-def report(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    found = contamination(only(documents, "doc_id", "text"), only(benchmark, "item_id", "text"), window)
-    items = F.array_sort(F.array_distinct(F.col("matches.item_id")))
-    n_hit = hit_words()
+def report(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and longest_match (words; 0 without one)."""
+    found = contamination(only(documents, "doc_id", "text"), only(benchmark, "item_id", "text"), window, block_words=block_words)
+    items = F.array_sort(F.array_distinct(F.col("items")))
     return found.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        hit_words().alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (F.size("matches") > 0).alias("contaminated"),
+        (F.size("items") > 0).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest_match"),
     )
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """documents without those that hold a window of a test item; the columns stay as they are."""
     columns = documents.columns
-    named = documents.toDF(*(f"c{i}" for i in range(len(columns))))
-    with_text = named.withColumn("text", F.col(f"c{columns.index('text')}"))
-    clean = contamination(with_text, only(benchmark, "item_id", "text"), window).where(F.size("matches") == 0)
+    named = documents.toDF(*(f"c{i}" for i in range(len(columns)))).withColumn("text", F.col(f"c{columns.index('text')}"))
+    items, blocks = _items(only(benchmark, "item_id", "text"), "item_id", block_words)
+    if blocks == 1:
+        clean = _scanned(named, _test_set(items, window)).where(F.size("items") == 0)
+    else:
+        found = _found(named.select("text"), items, blocks, window).select("digest")
+        clean = named.join(found, F.md5("text") == F.col("digest"), "left_anti")
     return clean.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

@@ -1,13 +1,16 @@
 """Vectorised word handling over Arrow string columns, used inside Spark tasks.
 
-Everything works on the UTF-8 bytes of a batch of texts: word boundaries come from a 256-entry byte table, word
-hashes from prefix sums of a polynomial modulo 2**64, so that no Python object is made for a word. Texts are taken
-in chunks of a few megabytes (a longer text is a chunk of its own), which bounds the memory of a task. Null texts
-have no words.
+Everything works on the UTF-8 bytes of a batch of texts: word boundaries come from a 256-entry byte table, and words
+are hashed eight bytes at a time, all words of a chunk side by side, each step mixing the whole state (not a linear
+function of the bytes, so that no structure of a text makes words collide); words beyond LONG bytes take BLAKE2b. No
+Python object is made for a shorter word. Texts are taken in chunks of half a megabyte (a longer text is a chunk of
+its own), which bounds the memory of a task. Null texts have no words.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +34,13 @@ ALNUM = (
 LOWER = np.where((_BYTE >= 0x41) & (_BYTE <= 0x5A), _BYTE + 32, _BYTE).astype(np.uint8)
 
 _rng = np.random.default_rng(20240229)
-_LETTER = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
-_BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+_STEP = U64(0x9E3779B97F4A7C15)
 #: Multipliers by which the words of a shingle are combined.
 _PLACE = _rng.integers(1, 2**63, 64, dtype=U64) * U64(2) + U64(1)
-_powers: dict[str, np.ndarray] = {}
+#: Longer byte runs are hashed one by one.
+LONG = 256
+#: The bytes of a little-endian word that belong to a run with so many bytes left.
+_LEFT = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,15 +52,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def _power(base: np.uint64, n: int, key: str) -> np.ndarray:
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES), base, dtype=U64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=U64)
-        if n <= 2 * CHUNK_BYTES:
-            _powers[key] = have
-    return have[:n]
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, the same for equal runs everywhere."""
+    size = ends - starts
+    out = mix(size.astype(U64) + _STEP)
+    if not len(starts):
+        return out
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    out = mix((out ^ (eight[starts] & _LEFT[np.minimum(size, 8)])) * _STEP + _STEP)
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    at, left = starts[live] + 8, size[live] - 8
+    while len(live):
+        out[live] = mix((out[live] ^ (eight[at] & _LEFT[np.minimum(left, 8)])) * _STEP + _STEP)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 @dataclass
@@ -80,14 +92,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same for equal words everywhere."""
-        n = len(self.data)
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        sums = np.empty(n + 1, U64)
-        sums[0] = 0
-        np.cumsum(_LETTER[self.data] * _power(_BASE, n, "up"), out=sums[1:])
-        inner = (sums[self.ends] - sums[self.starts]) * _power(_BASE_INVERSE, n, "down")[self.starts]
-        return mix(inner + (self.ends - self.starts).astype(U64))
+        return run_hashes(self.data, self.starts, self.ends)
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
