@@ -61,11 +61,13 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def shingle_set(text):
+    w = words(SPACED, text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
 def groups(rows):
-    sets = {}
-    for d, text, *_ in rows:
-        w = words(SPACED, text)
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    sets = {d: shingle_set(text) for d, text, *_ in rows}
     parent = {d: d for d in sets}
 
     def find(x):
@@ -99,10 +101,65 @@ def test_deduplicate_keeps_columns_and_first_of_each_group(docs, rows):
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, root) in want.items() if d == root}
 
 
-def test_large_groups_are_verified_in_blocks(spark, docs, rows, monkeypatch):
+@pytest.mark.parametrize("slack", [near_dedup.SLACK, None])
+def test_large_groups_are_verified_in_blocks(spark, docs, rows, monkeypatch, slack):
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_SIGNATURES", 2)
+    want = groups(rows)
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, slack).collect()} == {(d, root) for d, (_, root) in want.items()}
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b), (8, b + " more"), (20, c), (20, c + " x y"), (21, None), (21, c)]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3), (7, 3), (9, 3), (8, 3), (20, 20), (21, 20), (21, 21)}  # the null text is on its own
+
+
+def edits(rng, base, n, vocabulary=10_000):
+    out = list(base)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"e{rng.randrange(vocabulary)}"
+    return out
+
+
+def test_boilerplate_makes_no_candidate_group(spark):
+    """Texts that share a third of their shingles and no more, and chains of edits between real groups."""
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(70)]
+    rows = [(i, " ".join(template + [f"u{i}x{k}" for k in range(70)])) for i in range(150)]
+    chain = [f"c{i}" for i in range(120)]
+    for i in range(40):
+        rows.append((1000 + i, " ".join(chain)))
+        chain = edits(rng, chain, 2)
+    base = [f"b{i}" for i in range(100)]
+    rows += [(2000 + i, " ".join(edits(rng, base, rng.randrange(0, 9)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = groups(rows)
     assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()} == {(d, root) for d, (_, root) in want.items()}
+    sets = near_dedup.cut(docs.mapInArrow(near_dedup._sketches, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")).where("doc_id < 1000")
+    tied = near_dedup.buckets(sets)
+    assert tied.select("doc_id").distinct().count() > 100
+    nothing = spark.createDataFrame([], "node long, root long")
+    assert near_dedup.candidate_groups(tied, sets, nothing, near_dedup.SLACK).count() == 0
+
+
+def test_words_of_any_structure_have_hashes_of_their_own():
+    import numpy as np
+
+    from verdictframe.llm.text_kernel import run_hashes
+
+    flip = str.maketrans("ab", "ba")
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(flip)
+    runs = [thue, thue.translate(flip), "", *("x" * k for k in range(1, 300)), *(thue[:k] for k in (128, 255, 256, 257, 1024)), *(thue.translate(flip)[:k] for k in (128, 255, 256, 257, 1024))]
+    runs = sorted(set(runs) | {r + "\0" for r in runs})
+    data = np.frombuffer("".join(runs * 2).encode(), np.uint8)
+    size = np.array([len(r) for r in runs * 2])
+    ends = np.cumsum(size)
+    found = run_hashes(data, ends - size, ends)
+    assert (found[: len(runs)] == found[len(runs) :]).all() and len(np.unique(found)) == len(runs)
 
 
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):

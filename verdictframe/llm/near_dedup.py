@@ -5,19 +5,27 @@
    over all elements of a text together; a slot that is filled in an early round can't be improved by a later one, so
    a text stops as soon as its slots are full (the early stop of the method).
 2. Texts with equal sets are collapsed to one representative. The slots of a signature are cut into bands; a band
-   that two representatives share makes them candidates. In each band bucket all members are tied to one of them
-   (as many rows as members, never all pairs), and the components of these ties are the candidate groups.
-3. Every candidate group is verified on full sets: groups of a bounded number of shingles in one piece, larger ones
-   in pairs of bounded blocks, so that all pairs of a group meet without a row for each pair. In a block, pairs are
-   passed by their lengths and by their signatures (five standard deviations below the threshold) to an exact count
-   of the shingles they share, and union-find keeps the links that make up the block's components.
-4. Distributed union-find over the verified links gives the groups.
-
-With 48 bands of 5 slots a pair of similarity 0.75 is missed with a probability of 2e-6.
+   that two representatives share puts them into one bucket, as a row a member, never as pairs.
+3. Each member of a bucket is held against a pivot (the smallest document of all its buckets) on full sets. Verified
+   links alone are united; a group of copies, however large, is mostly one component after this linear pass.
+4. Buckets whose members are now of several components are searched by signatures, in pairs of bounded blocks and
+   across components only; pairs whose signatures agree form candidate groups. So texts that share a band by chance,
+   or some boilerplate, never make up a group.
+5. Each candidate group is verified on full sets, again across its components: those of its largest component meet
+   the others, in pairs of bounded blocks, but not each other.
+6. Distributed union-find over the verified links gives the groups.
+
+Approximations: with 48 bands of 5 slots a pair of similarity 0.75 is in no common bucket with a probability of 2e-6;
+in steps 3 to 5 a pair is passed over when its signatures agree in fewer slots than SLACK standard deviations below the
+threshold (5: 3e-7 of the pairs at the threshold). slack=None counts every pair of a bucket on full sets.
+Every link that is used is confirmed on full sets.
+
+Hot buckets: members meet their bucket by an equi-join whose bucket side has a row a bucket (summed before the
+shuffle), which Spark's adaptive skew join splits; blocks bound what a task holds.
 
 Defined results: a null or empty text has no shingles and is a group of its own, kept. Rows with the same doc_id are
-the same document to the graph. A row with a null doc_id takes the group of its text, if others have it, and is kept
-only when it has none. Further columns are ignored.
+the same document, also when their texts differ: links of each text are links of the document. A row with a null
+doc_id takes the group of its text, if others have it, and is kept only when it has none. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.llm.cluster import cut, only
@@ -37,8 +45,9 @@ WORDS = 5
 THRESHOLD = 75
 BANDS, ROWS = 48, 5
 SLOTS = BANDS * ROWS
-#: A block of a candidate group has about so many documents and shingles at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 128, 1_000_000
+#: A block of full sets has about so many documents and shingles at most; a block of signatures so many documents.
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_SIGNATURES = 128, 1_000_000, 1024
+SLACK = 5.0
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("signature", pa.binary())])
 
@@ -103,124 +112,231 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(key1), pa.array(key2), flat.cast(pa.binary())], schema=SKETCH)
 
 
-MEMBER = "root long, lo int, hi int, doc_id long, signature binary, shingles binary"
+_MEMBER = [("root", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64()), ("label", pa.int64()), ("wide", pa.bool_()), ("signature", pa.binary()), ("shingles", pa.binary())]
+MEMBER = "root long, lo int, hi int, doc_id long, label long, wide boolean, signature binary, shingles binary"
+LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def block_pairs(wide: bool, block: int, narrow_blocks: int, wide_blocks: int) -> list[tuple[int, int]]:
+    """The pairs of blocks in which a member stands: narrow blocks meet each other and the wide ones, which don't meet."""
+    if wide:
+        return [(k, narrow_blocks + block) for k in range(narrow_blocks)]
+    own = [(block, block)] if narrow_blocks == 1 and not wide_blocks else [(min(block, k), max(block, k)) for k in range(narrow_blocks) if k != block]
+    return own + [(block, narrow_blocks + k) for k in range(wide_blocks)]
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full sets of candidates, once for each pair of blocks in which a candidate stands."""
-    names = ["root", "lo", "hi", "doc_id", "signature", "shingles"]
+    """The full sets of members, once for each pair of blocks in which a member stands."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _MEMBER, strict=True)], names=[n for n, _ in _MEMBER])
+
     for batch in batches:
-        root, blocks, block = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("root", "blocks", "block"))
+        rows: list[tuple] = []
+        fields = [batch.column(k).to_pylist() for k in ("doc_id", "key1", "root", "label", "wide", "block", "narrow_blocks", "wide_blocks", "signature")]
         for lo, values, counts in _sets(batch.column("text")):
+            keys = _sums(mix(values), counts)
             stop = np.cumsum(counts)
-            rows = []
             for i, (a, b) in enumerate(zip(stop - counts, stop, strict=True)):
-                at, full = lo + i, values[a:b].tobytes()
-                mine, doc_id, signature = int(block[at]), batch.column("doc_id")[at].as_py(), batch.column("signature")[at].as_py()
-                pairs = [(0, 0)] if blocks[at] == 1 else [(min(mine, k), max(mine, k)) for k in range(int(blocks[at])) if k != mine]
-                for x, y in pairs:
-                    rows.append((int(root[at]), x, y, doc_id, signature, full))
+                doc_id, key1, root, label, wide, block, narrow_blocks, wide_blocks, signature = (f[lo + i] for f in fields)
+                if key1 != keys[i]:  # another text of the same doc_id
+                    continue
+                full = values[a:b].tobytes()
+                for x, y in block_pairs(wide, block, narrow_blocks, wide_blocks):
+                    rows.append((root, x, y, doc_id, label, wide, signature, full))
                     if len(rows) >= 64:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
+                        yield out(rows)
                         rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
+        if rows:
+            yield out(rows)
+
+
+class _Union:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
 
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
 
-def verified(ids: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Links that make up the components of the block: pairs with 100 * shared >= threshold * together.
 
-    Pairs that are already connected are not counted again. A pair is counted unless its lengths or its signatures
-    rule it out, the latter five standard deviations below the threshold.
+def alike(size: np.ndarray, signatures: np.ndarray, wide: np.ndarray, label: np.ndarray, threshold: int, slack: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different labels, not both wide, which sizes and signatures don't rule out, and how many slots agree.
+
+    Sets come in the order of their sizes.
     """
     t = threshold / 100
-    enough = SLOTS * t - 5 * (SLOTS * t * (1 - t)) ** 0.5
+    enough = -1 if slack is None else SLOTS * t - slack * (SLOTS * t * (1 - t)) ** 0.5
+    left, right, same = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    low, high = np.searchsorted(size, -(-size * threshold // 100), side="left"), np.searchsorted(size, size * 100 // threshold, side="right")
+    for i in np.flatnonzero(~wide):
+        j = np.arange(low[i], high[i])
+        j = j[(label[j] != label[i]) & (wide[j] | (j > i))]
+        if not len(j):
+            continue
+        agree = (signatures[j] == signatures[i]).sum(1)
+        ok = agree >= enough
+        left.append(np.full(int(ok.sum()), i))
+        right.append(j[ok])
+        same.append(agree[ok])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(same)
+
+
+def verified(ids: np.ndarray, label: np.ndarray, wide: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], threshold: int = THRESHOLD, slack: float | None = SLACK) -> list[tuple[int, int]]:
+    """Links of a pair of blocks: pairs with 100 * shared >= threshold * together, as many as unite the labels.
+
+    Pairs that are already united (by equal labels or by links of the block) are not counted again.
+    """
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
-    ids, signatures, size = ids[order], signatures[order], size[order]
-    sets = [sets[i] for i in order]
-    left, right, alike = [], [], []
-    for i in range(len(ids) - 1):
-        stop = np.searchsorted(size, size[i] * 100 // threshold, side="right")
-        same = (signatures[i + 1 : stop] == signatures[i]).sum(1)
-        at = np.flatnonzero(same >= enough)
-        left.append(np.full(len(at), i))
-        right.append(at + i + 1)
-        alike.append(same[at])
-    if not left:
-        return []
-    left, right, alike = (np.concatenate(x) for x in (left, right, alike))
-    parent = list(range(len(ids)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for k in np.argsort(-alike, kind="stable"):
+    ids, label, wide, signatures, size, sets = ids[order], label[order], wide[order], signatures[order], size[order], [sets[i] for i in order]
+    left, right, same = alike(size, signatures, wide, label, threshold, slack)
+    labels, of = np.unique(label, return_inverse=True)
+    union, out = _Union(len(labels)), []
+    for k in np.argsort(-same, kind="stable"):
         i, j = int(left[k]), int(right[k])
-        a, b = find(i), find(j)
-        if a == b or ids[i] == ids[j]:
+        if ids[i] == ids[j] or union.find(of[i]) == union.find(of[j]):
             continue
         shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
         if 100 * shared >= threshold * (len(sets[i]) + len(sets[j]) - shared):
-            parent[max(a, b)] = min(a, b)
+            union.join(of[i], of[j])
             out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links of the pairs of blocks, whose rows come one pair after another."""
+def _groups(batches: Iterator[pa.RecordBatch], links) -> Iterator[pa.RecordBatch]:
+    """Links of the rows of each key (the first three columns), whose rows come one key after another."""
     held: list[tuple] = []
-    key = None
+    key, out = None, []
 
-    def links() -> list[tuple[int, int]]:
-        if len(held) < 2:
-            return []
-        return verified(np.array([r[0] for r in held]), np.stack([np.frombuffer(r[1], np.uint8) for r in held]), [np.frombuffer(r[2], U64) for r in held])
+    def found() -> list[tuple[int, int]]:
+        return links(*zip(*held, strict=True)) if len(held) > 1 else []
+
+    def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=LINK)
 
-    out: list[tuple[int, int]] = []
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(6)]
-        for root, lo, hi, *row in zip(*columns, strict=True):
-            if (root, lo, hi) != key:
-                out += links()
-                held, key = [], (root, lo, hi)
+        for a, b, c, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if (a, b, c) != key:
+                out += found()
+                held, key = [], (a, b, c)
             held.append(row)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
+            yield batch_of(out)
             out = []
-    if out := links():
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
+    if out := found():
+        yield batch_of(out)
+
+
+def _bytes(rows: tuple) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint8) for x in rows])
+
+
+def _verify(slack: float | None):
+    def links(ids, label, wide, signatures, sets):
+        return verified(np.array(ids), np.array(label), np.array(wide), _bytes(signatures), [np.frombuffer(x, U64) for x in sets], slack=slack)
+
+    return lambda batches: _groups(batches, links)
+
+
+def _estimate(slack: float | None):
+    """Pairs whose signatures agree, as many as unite what they tie together."""
 
+    def links(ids, label, wide, size, signatures):
+        size = np.array(size)
+        order = np.argsort(size, kind="stable")
+        ids = np.array(ids)[order]
+        left, right, _ = alike(size[order], _bytes(signatures)[order], np.array(wide)[order], np.array(label)[order], THRESHOLD, slack)
+        union = _Union(len(ids))
+        return [(int(ids[i]), int(ids[j])) for i, j in zip(left.tolist(), right.tolist(), strict=True) if union.join(i, j)]
 
-def candidate_ties(sketches: DataFrame) -> DataFrame:
-    """u, v: each member of a band bucket tied to the bucket's smallest member."""
-    bands = sketches.select("doc_id", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {ROWS} + 1, {ROWS})))")).alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("last > v").select("band", "v")
-    return bands.join(buckets, "band").where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
+    return lambda batches: _groups(batches, links)
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def buckets(sets: DataFrame) -> DataFrame:
+    """band, doc_id and first (the smallest doc_id of the bucket) of all members of buckets with several documents."""
+    bands = sets.select("doc_id", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {ROWS} + 1, {ROWS})))")).alias("band"))
+    several = bands.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("band", "first")
+    return bands.join(several, "band")
+
+
+def _blocks(n: Column, n_shingles: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK_DOCS, n_shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def verified_links(texts: DataFrame, sets: DataFrame, members: DataFrame, slack: float | None) -> DataFrame:
+    """u, v: links on full sets inside groups of members (root, doc_id, label, wide), across labels, not between wide ones."""
+    known = members.join(sets.select("doc_id", "key1", "signature", "n_shingles"), "doc_id")
+    n, shingles = F.count_if("wide"), F.sum(F.when(F.col("wide"), F.col("n_shingles")).otherwise(0))
+    sizes = known.groupBy("root").agg(_blocks(n, shingles).alias("wide_blocks"), _blocks(F.count(F.lit(1)) - n, F.sum("n_shingles") - shingles).alias("narrow_blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("wide"), F.col("wide_blocks")).otherwise(F.col("narrow_blocks"))).cast("int").alias("block")
+    placed = known.join(sizes, "root").select("doc_id", "key1", "signature", "root", "label", "wide", "narrow_blocks", "wide_blocks", block)
+    full = texts.join(placed, "doc_id").mapInArrow(_members, MEMBER)
+    return full.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_verify(slack), "u long, v long")
+
+
+def candidate_groups(tied: DataFrame, sets: DataFrame, united: DataFrame, slack: float | None) -> DataFrame:
+    """root, doc_id, label and wide of the members of candidate groups: documents of several components that look alike.
+
+    tied is as of buckets(), united has node and root of the components so far; label is a member's component, and
+    wide are the members of the group's largest one.
+    """
+    labelled = cut(tied.join(united.withColumnRenamed("root", "label"), F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+
+    def with_largest(rows: DataFrame, key: str) -> DataFrame:
+        """The rows of keys with several labels, and per key: the largest label, its size, the number of the others."""
+        each = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = each.groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where("labels > 1")
+        return rows.join(mixed.select(key, F.col("top.label").alias("largest"), F.col("top.n").alias("n_wide"), (F.col("all") - F.col("top.n")).alias("n_narrow")), key).withColumn("wide", F.col("label") == F.col("largest"))
+
+    mixed = with_largest(labelled, "band")
+    blocks = {c: F.ceil(F.col(f"n_{c}") / BLOCK_SIGNATURES).cast("int") for c in ("wide", "narrow")}
+    block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("wide"), F.col("wide_blocks")).otherwise(F.col("narrow_blocks"))).cast("int")
+    sized = mixed.select("band", "doc_id", "label", "wide", *(c.alias(f"{n}_blocks") for n, c in blocks.items())).withColumn("block", block)
+    # as block_pairs()
+    pair = "named_struct('lo', {}, 'hi', {})"
+    across = f"transform(sequence(0, narrow_blocks - 1), k -> {pair.format('k', 'narrow_blocks + block')})"
+    own = f"transform(filter(sequence(0, narrow_blocks - 1), k -> k <> block), k -> {pair.format('least(block, k)', 'greatest(block, k)')})"
+    to_wide = f"transform(sequence(0, wide_blocks - 1), k -> {pair.format('block', 'narrow_blocks + k')})"
+    places = F.when(F.col("wide"), F.expr(across)).otherwise(F.concat(F.expr(own), F.expr(to_wide)))
+    rows = sized.select("band", "doc_id", "label", "wide", F.explode(places).alias("p")).join(sets.select("doc_id", F.col("n_shingles").alias("size"), "signature"), "doc_id")
+    keyed = rows.select("band", "p.lo", "p.hi", "doc_id", "label", "wide", "size", "signature")
+    ties = keyed.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_estimate(slack), "u long, v long")
+    groups = components(ties)
+    nodes = groups.select(F.col("node").alias("doc_id"), "root").union(groups.select(F.col("root").alias("doc_id"), "root").distinct())
+    named = nodes.join(united.select("node", F.col("root").alias("label")), F.col("doc_id") == F.col("node"), "left").select("root", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    return with_largest(named, "root").select("root", "doc_id", "label", "wide")
+
+
+def near_duplicates(documents: DataFrame, slack: float | None = SLACK) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id and kept."""
     texts = only(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = cut(texts.mapInArrow(_sketches, "doc_id long, n_shingles long, key1 long, key2 long, signature binary"))
     keys = ["n_shingles", "key1", "key2"]
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    distinct_sets = cut(full.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature")))
-
-    ties = components(candidate_ties(distinct_sets.select("doc_id", "signature")))
-    roots = ties.select("node", "root").union(ties.select(F.col("root").alias("node"), "root").distinct())
-    candidates = distinct_sets.join(roots, F.col("doc_id") == F.col("node")).select("doc_id", "signature", "n_shingles", "root")
-    sizes = candidates.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = candidates.join(sizes, "root").select("doc_id", "signature", "root", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    members = texts.join(placed, "doc_id").mapInArrow(_members, MEMBER)
-    links = members.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_verify, "u long, v long")
-    groups = components(links)
-
-    labelled = distinct_sets.join(groups, F.col("doc_id") == F.col("node"), "left").select(*keys, F.coalesce("root", "doc_id").alias("component_id"))
+    sets = cut(full.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature")))
+
+    # rows of one doc_id with several texts tie these texts together
+    several = full.groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("a"), F.max(F.struct(*keys)).alias("b")).where("a <> b").select("doc_id")
+    of_id = full.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), *keys).join(sets.select(F.col("doc_id").alias("v"), *keys), keys).select("u", "v")
+
+    tied = cut(buckets(sets.select("doc_id", "signature")))
+    pivots = cut(tied.groupBy("doc_id").agg(F.min("first").alias("root")).where("root < doc_id"))
+    stars = pivots.select("root", "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("wide"))
+    stars = stars.union(pivots.select("root").distinct().select("root", F.col("root").alias("doc_id"), F.col("root").alias("label"), F.lit(False).alias("wide")))
+    first = cut(verified_links(texts, sets, stars, slack).union(of_id))
+    united = components(first)
+    further = verified_links(texts, sets, candidate_groups(tied, sets, united, slack), slack)
+    groups = components(united.select(F.col("node").alias("u"), F.col("root").alias("v")).union(further))
+
+    labelled = sets.join(groups, F.col("doc_id") == F.col("node"), "left").select(*keys, F.coalesce("root", "doc_id").alias("component_id"))
     return rows.join(labelled, keys, "left").select(
         "doc_id",
         "n_shingles",
