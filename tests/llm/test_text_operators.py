@@ -462,9 +462,10 @@ def test_license_scan_of_a_common_notice(spark, n):
 
 
 def plain_best_fit(pieces, capacity, most):
-    bins = []
+    bins, needed = [], max(1, -(-sum(p[0] for p in pieces) // capacity))
+    limit = {s: max(most, -(-2 * n // needed)) for s, n in Counter(p[2] for p in pieces).items()}
     for p in sorted(pieces, key=lambda p: (-p[0], p[1], p[3] is None, p[3] or 0, p[4])):
-        fits = [b for b in bins if b["room"] >= p[0] and p[1] not in b["clusters"] and b["sources"][p[2]] < most]
+        fits = [b for b in bins if b["room"] >= p[0] and p[1] not in b["clusters"] and b["sources"][p[2]] < limit[p[2]]]
         if not fits:
             bins.append({"room": capacity, "clusters": set(), "sources": Counter(), "no": len(bins), "pieces": []})
             fits = [bins[-1]]
@@ -476,11 +477,28 @@ def plain_best_fit(pieces, capacity, most):
     return sorted((b["room"], sorted(map(str, b["pieces"]))) for b in bins)
 
 
-def test_best_fit_equals_search_of_all_bins():
-    rng = random.Random(8)
-    pieces = [(rng.randrange(1, 100), rng.randrange(40) * 64, rng.randrange(6) * 64, i, 0) for i in range(300)]
-    got = packing.best_fit(pieces, 100, 2)
-    assert sorted((room, sorted(map(str, m))) for room, m in got) == plain_best_fit(pieces, 100, 2)
+@pytest.mark.parametrize(("clusters", "sources", "most"), [(40, 6, 2), (3, 6, 2), (300, 1, 2), (200, 2, 1), (1, 300, 4)])
+def test_best_fit_equals_search_of_all_bins(monkeypatch, clusters, sources, most):
+    monkeypatch.setattr(packing, "LARGE_CLUSTER", 5)
+    for seed in range(5):
+        rng = random.Random(seed)
+        pieces = [(rng.randrange(1, 100), rng.randrange(clusters) * 64, rng.randrange(sources) * 64, i, 0) for i in range(300)]
+        got = packing.best_fit(pieces, 100, most)
+        assert sorted((room, sorted(map(str, m))) for room, m in got) == plain_best_fit(pieces, 100, most)
+
+
+def test_best_fit_of_one_source_or_one_cluster_is_fast():
+    import time
+
+    rng = random.Random(2)
+    one_source = [(rng.randrange(1, 200), i, 5, i, 0) for i in range(40_000)]
+    one_cluster = [(rng.randrange(1, 200), i if i % 3 else 7, i % 50, i, 0) for i in range(20_000)]
+    for pieces in (one_source, one_cluster):
+        began = time.perf_counter()
+        bins = packing.best_fit(pieces, 2048, 4)
+        assert time.perf_counter() - began < 5
+        assert sum(len(m) for _, m in bins) == len(pieces)
+    assert sum(room for room, _ in packing.best_fit(one_source, 2048, 4)) < 0.1 * sum(p[0] for p in one_source)
 
 
 def test_packing_holds_every_word_once(spark, docs, rows):

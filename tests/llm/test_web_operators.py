@@ -68,11 +68,82 @@ def test_warc_round_trip(spark):
     block = warc.parse(bytes(text.record))[1].decode()
     assert block == "T & t\nOne two\nthree\nx < y"
     fields = warc.parse(bytes(meta.record))[1].decode()
-    assert "source-charset: utf-8" in fields and "source-content-language: en" in fields and f"text-digest: {warc.digest(block.encode())}" in fields
+    assert "declared-charset: utf-8" in fields and "declared-content-language: en" in fields and f"text-digest: {warc.digest(block.encode())}" in fields
+    assert "source-" not in fields and all("WARC-Date" not in warc.parse(bytes(r.record))[0] for r in got)
     assert warc.parse(bytes(pairs[2, "conversion"].record))[1] == b""
     assert warc.build(df.limit(0)).count() == 0
 
 
+def test_warc_keeps_source_headers_and_dates(spark):
+    rows = [(1, "http://a.org", "<p>x", "2024-05-01T00:00:00Z", "HTTP/1.1 404 Not Found\r\nContent-Type: text/html; a=b\r\nX-Two: v\r\nnonsense\r\n"), (2, "http://a.org", "<p>x", None, None)]
+    got = warc.build(spark.createDataFrame(rows, "page_id long, url string, html string, day string, head string"), "day", "head").collect()
+    by = {(r.page_id, r.record_type): warc.parse(bytes(r.record)) for r in got}
+    headers, block = by[1, "metadata"]
+    assert headers["WARC-Date"] == "2024-05-01T00:00:00Z" and "WARC-Date" not in by[2, "metadata"][0]
+    assert block.decode().splitlines()[:3] == ["source-status: HTTP/1.1 404 Not Found", "source-content-type: text/html; a=b", "source-x-two: v"]
+    assert b"source-" not in by[2, "metadata"][1]
+
+
+def parsed_text(page):
+    """The text of a page by the parser of the standard library."""
+    import re
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in warc.RAW | warc.HIDDEN:
+                self.hidden.append(tag)
+            elif tag in warc.BREAKS:
+                self.out.append("\n")
+            if tag in warc.RAW | warc.HIDDEN:
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if self.hidden and self.hidden[-1] == tag:
+                self.hidden.pop()
+            elif tag in warc.BREAKS and not self.hidden:
+                self.out.append("\n")
+
+        def handle_comment(self, data):
+            if not self.hidden:
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    text = re.sub(r"[^\S\n]+", " ", "".join(reader.out).replace("\xa0", " "))
+    return re.sub(r" ?\n[ \n]*", "\n", text).strip()
+
+
+def test_warc_text_equals_a_parser(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()]
+    odd = [PAGE, "", "a < b & c", '<p title="a>b">c</p>', "<P CLASS='x>y'>z<br/>w", "x<!-- a > b -->y", "<script>if (a<b) {}</script >t", "<div><span>a</span>b</div>c", "<style>p>q{}</style>x", "<noscript>n</noscript>m"]
+    for page in [*pages, *odd]:
+        assert warc.plain_text(page) == parsed_text(page or "")
+
+
+def test_warc_of_broken_and_long_pages():
+    import time
+
+    assert warc.plain_text("a<script>var x = '</p>'; b") == "a"
+    assert warc.plain_text("a<!-- b <p>c") == "a" and warc.plain_text("x <b y") == "x <b y"
+    assert warc.plain_text('<p title="a>b') == "b" and warc.plain_text("<noscript>a <b>b</b>") == "a b"
+    late = "<html>" + " " * 20_000 + '<meta name="x"><meta charset="KOI8-R"><html lang="ru">'
+    assert warc.read_page(late)[1] == [("charset", "koi8-r"), ("content-language", "ru")]
+    for unit in ("<!-- x", "<script>", '<a ="', "<p title='>", "<noscript>", "<meta ", "< ", "<a b=", '="<'):
+        began = time.perf_counter()
+        warc.plain_text(unit * (5_000_000 // len(unit)))
+        assert time.perf_counter() - began < 6, unit
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     import corpus_pipeline as pipeline
     from verdictframe.llm import decontaminate, near_dedup, quality_classifier, quality_rules

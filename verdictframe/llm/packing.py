@@ -1,12 +1,17 @@
 """Conflict-constrained best-fit packing of texts into sequences of a fixed number of words.
 
 A text longer than the capacity is cut into full pieces and a rest. Pieces are dealt by a hash of their id to shards
-of about SHARD_WORDS words (their number follows the size of the table), and each shard is packed on its own, so that
-no task holds more than a bounded number of pieces. In a shard, pieces come largest first; open bins are kept in the
-order of their residual room, and each carries a bitmap of its sources and one of its duplicate clusters. The search
-starts at the tightest bin that has room and goes on to its successors until a bin is found that is compatible:
-no piece of the same duplicate cluster (nor of the same text), and fewer than MOST_OF_A_SOURCE pieces of the same
-source. A set bit sends the search to the exact sets, so two values that share a bit don't keep pieces apart.
+of about SHARD_WORDS words and SHARD_PIECES pieces (their number follows the size of the table), and each shard is
+packed on its own, so that no task holds more than a bounded number of pieces. In a shard, pieces come largest first;
+open bins are kept in the order of their residual room, and each carries a bitmap of its sources and one of its
+duplicate clusters. The search starts at the tightest bin that has room and goes on to its successors until a bin is
+found that is compatible: no piece of the same duplicate cluster (nor of the same text), and fewer pieces of the same
+source than its limit. A set bit sends the search to the exact sets, so two values that share a bit don't keep pieces
+apart. The bins that are closed to a source, or to a cluster of many pieces, are also kept in the order of their room,
+and the search leaps over a run of them by bisection, so one source or cluster of any size doesn't make it walk.
+
+The limit of a source is MOST_OF_A_SOURCE, or, where the shard has too few sources for that, twice the number of its
+pieces that a bin takes on average if there are no more bins than the words need.
 
 Only id, word count, source and cluster are moved; texts stay where they are. The words are those between ASCII
 white space; the cluster is the hash of a text's words in lower case, which only copies share, unless a column says
@@ -19,7 +24,8 @@ cluster, so never in one bin). A null source or id is a value like any other. Fu
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +39,10 @@ from verdictframe.llm.text_kernel import SPACED, U64, mix, word_chunks
 
 CAPACITY = 2048
 MOST_OF_A_SOURCE = 4
-SHARD_WORDS = 4_000_000
+SHARD_WORDS, SHARD_PIECES = 4_000_000, 100_000
 BITS = 64
+#: A cluster with more pieces in a shard has its bins listed.
+LARGE_CLUSTER = 32
 BIN = "shard int, bin int, used long, residual long, doc_ids array<long>, starts array<long>, lengths array<long>"
 
 
@@ -77,9 +85,35 @@ def clustered(documents: DataFrame) -> DataFrame:
     return known.unionByName(unnamed).select("doc_id", "source", "n_words", F.coalesce("component", "cluster").alias("cluster"))
 
 
+def first_open(order: list[tuple[int, int]], at: int, closed: list[tuple[int, int]]) -> int:
+    """The first place of order from at on that isn't in closed, which is part of order; its length if there is none."""
+    base = bisect_left(closed, order[at])
+    if base == len(closed) or closed[base] != order[at]:
+        return at
+    lo, hi = at + 1, min(len(order), at + len(closed) - base)
+    while lo < hi:
+        middle = (lo + hi) // 2
+        if middle - at + 1 > bisect_right(closed, order[middle]) - base:
+            hi = middle
+        else:
+            lo = middle + 1
+    return lo
+
+
+def source_limits(pieces: list[tuple], capacity: int, most_of_a_source: int) -> dict[int, int]:
+    """How many pieces of each source a bin may hold, for the sources that have more."""
+    needed = max(1, -(-sum(p[0] for p in pieces) // capacity))
+    limits = {source: max(most_of_a_source, -(-2 * n // needed)) for source, n in Counter(p[2] for p in pieces).items()}
+    return {source: most for source, most in limits.items() if most < len(pieces)}
+
+
 def best_fit(pieces: list[tuple], capacity: int, most_of_a_source: int) -> list[tuple[int, list[tuple]]]:
     """Bins as (room left, pieces); a piece is (n_words, cluster, source, doc_id, start)."""
+    limits = source_limits(pieces, capacity, most_of_a_source)
+    large = {c for c, n in Counter(p[1] for p in pieces).items() if n > LARGE_CLUSTER}
     order: list[tuple[int, int]] = []  # (room left, bin), the tightest first
+    closed: dict[tuple[str, int], list[tuple[int, int]]] = defaultdict(list)  # parts of order, closed to a source or cluster
+    closed_to: list[list[tuple[str, int]]] = []  # the same by bin
     members: list[list[tuple]] = []
     rooms: list[int] = []
     clusters: list[set] = []
@@ -92,11 +126,13 @@ def best_fit(pieces: list[tuple], capacity: int, most_of_a_source: int) -> list[
         at, chosen = bisect_left(order, (n, -1)), -1
         while at < len(order):
             b = order[at][1]
-            apart = not (cluster_bits[b] & cluster_bit and cluster in clusters[b])
-            if apart and not (source_bits[b] & source_bit and sources[b].get(source, 0) >= most_of_a_source):
+            if source_bits[b] & source_bit and sources[b].get(source, 0) >= limits.get(source, capacity + 1):
+                at = first_open(order, at, closed["source", source])
+            elif cluster_bits[b] & cluster_bit and cluster in clusters[b]:
+                at = first_open(order, at, closed["cluster", cluster]) if cluster in large else at + 1
+            else:
                 chosen = b
                 break
-            at += 1
         if chosen < 0:
             chosen = len(members)
             members.append([])
@@ -105,17 +141,26 @@ def best_fit(pieces: list[tuple], capacity: int, most_of_a_source: int) -> list[
             sources.append({})
             cluster_bits.append(0)
             source_bits.append(0)
+            closed_to.append([])
         else:
-            order.pop(at)
+            entry = order.pop(at)
+            for key in closed_to[chosen]:
+                closed[key].pop(bisect_left(closed[key], entry))
         members[chosen].append(piece)
         rooms[chosen] -= n
         clusters[chosen].add(cluster)
         cluster_bits[chosen] |= cluster_bit
+        if cluster in large:
+            closed_to[chosen].append(("cluster", cluster))
         count = sources[chosen][source] = sources[chosen].get(source, 0) + 1
-        if count >= most_of_a_source:
+        if count == limits.get(source, 0):
             source_bits[chosen] |= source_bit
+            closed_to[chosen].append(("source", source))
         if rooms[chosen] > 0:
-            insort(order, (rooms[chosen], chosen))
+            entry = (rooms[chosen], chosen)
+            insort(order, entry)
+            for key in closed_to[chosen]:
+                insort(closed[key], entry)
     return list(zip(rooms, members, strict=True))
 
 
@@ -159,8 +204,9 @@ def pack_apart(documents: DataFrame, capacity: int = CAPACITY, most_of_a_source:
 def packed(rows: DataFrame, capacity: int, most_of_a_source: int, shard_words: int) -> DataFrame:
     """The bins of measured rows."""
     rows = cut(rows)
-    total = rows.agg(F.sum("n_words").alias("n")).first()["n"] or 0
-    shards = max(1, -(-total // shard_words))
+    n_pieces = F.floor((F.col("n_words") - 1) / capacity) + 1
+    total, pieces = (x or 0 for x in rows.agg(F.sum("n_words"), F.sum(n_pieces)).first())
+    shards = max(1, -(-total // shard_words), -(-pieces // SHARD_PIECES))
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_words") - 1, F.lit(capacity).cast("long")))
     cuts = rows.select("doc_id", "source", "cluster", F.col("n_words").alias("all_words"), start.alias("start"))
     pieces = cuts.select(
