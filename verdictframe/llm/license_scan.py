@@ -1,12 +1,15 @@
 """License scans by a positional rare-token index, in DataFrame functions alone.
 
-Templates are short licence notices. Their words carry the document frequencies of the scanned corpus; for each text
-all rare licence words it holds are looked up in the templates' postings, and the difference between a word's place in
-the text and its place in the template is the place where the template would start. A start on which enough rare words
-of a template agree, and inside whose window one of the template's mandatory phrases stands, is a match. A template
-with fewer than LEAST rare words (its notice is common, or the table small) is also found by its anchors, the rarest
-words of its phrases whatever their frequency, in texts that hold such a phrase. Hits are exploded, so a text full of licence words is many rows; the postings and the templates, fixed tables of a few
-hundred rows, are the only broadcast sides. Rows are told apart by doc_id and a hash of the text.
+Templates are short licence notices with mandatory key phrases. A template matches at a place of a text when at least
+the share AGREE of its words stand at their places behind it, and one of its phrases stands inside that window. This
+definition doesn't depend on the other texts. The matches are found by an index: of each template, the postings of its
+rarest words (by document frequency over the scanned texts, a ranking and nothing more) are kept, so many that a match
+must hold one of them in its place: one word more than a match may lack. A text's licence words are looked up in the
+postings, the difference between the two places is where the template would begin, and the words of all postings are
+intersected there by relative position. Only texts with a mandatory phrase are looked up at all.
+
+Each text is cut into words once. What follows stays inside its row: no shuffle but that of the word counts, and the
+index, a fixed table of a few hundred entries, is part of the plan.
 
 Base labels come from the places where a phrase's words stand consecutively.
 
@@ -16,7 +19,9 @@ last word, score 0. Repeated rows each get a row. Further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.llm.cluster import cut, only
@@ -44,13 +49,7 @@ TEMPLATES = [
     ("proprietary", "all rights reserved", ["all rights reserved"]),
 ]
 
-#: A template is held to so many of its rare words at most; all of them vote.
-TOP = 8
-#: A template with fewer rare words has so many anchors in each of its phrases.
-LEAST = 3
-#: Words that stand in more than this share of the texts are no rare words.
-COMMON_SHARE = 0.05
-#: A match needs this share of the rare words of the template that a lookup can find.
+#: A match needs this share of the template's words in their places.
 AGREE = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,95 +91,81 @@ def base(words: Column, joined: Column) -> dict[str, Column]:
     }
 
 
-def anchors(templates: list[tuple[str, str, list[str]]], rare: dict[str, int], frequencies: dict[str, int]) -> dict[int, dict[str, set[str]]]:
-    """For each template with fewer than LEAST rare words: its phrases, each with its rarest words that stand in the notice."""
-    found = {}
-    for k, (_, notice, phrases) in enumerate(templates):
-        words = set(notice.split())
-        if len(words & set(rare)) < LEAST:
-            held = {p: sorted((frequencies[w], w) for w in set(p.split()) & words if w in frequencies) for p in phrases}
-            found[k] = {p: {w for _, w in ranked[:LEAST]} for p, ranked in held.items() if ranked}
+def needed(size: int) -> int:
+    """How many words of a template of so many words must stand in their places."""
+    return math.ceil(AGREE * size)
+
+
+def postings(templates: list[tuple[str, str, list[str]]], frequencies: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+    """word: (template, place) of the rarest words of each template, of which every match holds at least one in its place."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for k, (_, notice, _) in enumerate(templates):
+        words = notice.split()
+        rarest = sorted(range(len(words)), key=lambda i: (frequencies.get(words[i], 0), words[i], i))
+        for place in rarest[: len(words) - needed(len(words)) + 1]:
+            found.setdefault(words[place], []).append((k, place))
     return found
 
 
-def postings(spark: SparkSession, templates: list[tuple[str, str, list[str]]], rare: dict[str, int], anchored: dict[int, dict[str, set[str]]]) -> DataFrame:
-    """word, template and place of the rare words and anchors of every template, and which of both a word is."""
-    fixed = {k: set().union(*phrases.values()) for k, phrases in anchored.items()}
-    rows = [(w, k, i, w in rare, w in fixed.get(k, ())) for k, (_, notice, _) in enumerate(templates) for i, w in enumerate(notice.split()) if w in rare or w in fixed.get(k, ())]
-    return spark.createDataFrame(rows, "word string, template int, place long, is_rare boolean, is_anchor boolean")
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def _held(words: Column, vocabulary: list[str]) -> Column:
-    return F.array_intersect(words, F.array(*(F.lit(w) for w in vocabulary)).cast("array<string>"))
+def licence_rows(documents: DataFrame, templates: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """Per row: doc_id, the base columns, the licence words it holds, and its words if it holds a mandatory phrase."""
+    vocabulary = sorted({w for _, notice, _ in templates for w in notice.split()})
+    words = documents.select("doc_id", tokens(F.col("text")).alias("words"))
+    joined = words.select("*", F.concat(F.lit(" "), F.array_join("words", GAP), F.lit(" ")).alias("joined"))
+    phrased = F.lit(False)
+    for phrase in sorted({p for _, _, phrases in templates for p in phrases}):
+        phrased = phrased | F.contains(F.col("joined"), F.lit(_phrase(phrase)))
+    columns = base(F.col("words"), F.col("joined"))
+    return joined.select("doc_id", *(c.alias(n) for n, c in columns.items()), F.array_intersect("words", _strings(vocabulary)).alias("held"), F.when(phrased, F.col("words")).alias("words"))
 
 
-def word_frequencies(documents: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """How many texts there are, and how many hold each licence word; as many rows as licence words come to the driver."""
-    held = F.explode_outer(_held(tokens(F.col("text")), vocabulary)).alias("word")
-    counted = documents.select(held).groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()
-    return documents.count(), {r["word"]: r["df"] for r in counted if r["word"] is not None}
+def word_frequencies(rows: DataFrame) -> dict[str, int]:
+    """In how many texts each licence word stands; as many rows as there are licence words come to the driver."""
+    return {r["word"]: r["df"] for r in rows.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
 
 
-def licence_rows(documents: DataFrame, rare: dict[str, int], anchored: dict[int, dict[str, set[str]]]) -> DataFrame:
-    """Per row: doc_id, text_hash, the base columns and, for texts with rare licence words or anchors, their words and hits.
+#: A place where a template would begin is one number: the template above these bits, the place and BEFORE below.
+PLACE_BITS, BEFORE = 40, 1 << 20
 
-    hits are the places of the text's rare licence words, and of the anchors of the phrases it holds.
-    """
-    words = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
-    joined = words.select("*", F.concat(F.lit(" "), F.array_join("words", GAP), F.lit(" ")).alias("joined"))
-    held = _held(F.col("words"), sorted(rare))
-    none = F.array().cast("array<string>")
-    for phrase, kept in sorted({p: set().union(*(x[p] for x in anchored.values() if p in x)) for phrases in anchored.values() for p in phrases}.items()):
-        held = F.array_union(held, F.when(F.contains(F.col("joined"), F.lit(_phrase(phrase))), F.array(*(F.lit(w) for w in sorted(kept)))).otherwise(none))
-    with_held = joined.withColumn("held", held)
-    columns = base(F.col("words"), F.col("joined"))
-    hit = F.size("held") > 0
-    picked = with_held.select("doc_id", "text_hash", *(c.alias(n) for n, c in columns.items()), F.when(hit, F.col("words")).alias("words"), F.when(hit, F.col("held")).alias("held"))
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("long").alias("at"))), lambda x: F.array_contains(F.col("held"), x["word"]))
-    return picked.select("doc_id", "text_hash", *columns, "words", places.alias("hits"))
-
-
-def matches(rows: DataFrame, rare: dict[str, int], anchored: dict[int, dict[str, set[str]]], templates: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """doc_id, text_hash, label, start (word of the text at which the template begins) and share (of its rare words or anchors)."""
-    findable = {k: min(TOP, len({w for w in notice.split() if w in rare})) for k, (_, notice, _) in enumerate(templates)}
-    fixed = {k: min((len(words) for words in phrases.values()), default=0) for k, phrases in anchored.items()}
-    known = rows.sparkSession.createDataFrame(
-        [(k, label, len(notice.split()), findable[k], fixed.get(k, 0), [_phrase(p) for p in phrases]) for k, (label, notice, phrases) in enumerate(templates)],
-        "template int, label string, size int, findable int, fixed int, phrases array<string>",
-    )
-    index = postings(rows.sparkSession, templates, rare, anchored)
-    hits = rows.where("hits is not null").select("doc_id", "text_hash", F.explode("hits").alias("hit")).select("doc_id", "text_hash", "hit.word", "hit.at")
-
-    def enough(votes: str, of: str) -> Column:
-        return (F.col(of) > 0) & (F.col(votes) >= F.ceil(F.col(of) * AGREE))
-
-    voted = (
-        hits.join(F.broadcast(index), "word")
-        .groupBy("doc_id", "text_hash", "template", (F.col("at") - F.col("place")).alias("start"))
-        .agg(F.count_distinct(F.when(F.col("is_rare"), F.col("word"))).alias("agree"), F.count_distinct(F.when(F.col("is_anchor"), F.col("word"))).alias("at_anchors"))
-        .join(F.broadcast(known), "template")
-        .where(enough("agree", "findable") | enough("at_anchors", "fixed"))
-    )
-    sources = rows.where("hits is not null").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "words").dropDuplicates(["own_id", "own_hash"])
-    same = F.col("text_hash").eqNullSafe(F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
-    begin = F.greatest(F.lit(0), F.col("start"))
-    window = F.concat(F.lit(" "), F.array_join(F.slice("words", (begin + 1).cast("int"), (F.col("size") + F.col("start") - begin).cast("int")), GAP), F.lit(" "))
-    checked = voted.join(sources, same).where((F.col("size") + F.col("start") > 0)).where(F.exists("phrases", lambda p: F.contains(window, p)))
-    return checked.select("doc_id", "text_hash", "label", "start", F.least(F.lit(1.0), F.greatest(F.try_divide("agree", "findable"), F.try_divide("at_anchors", "fixed"))).alias("share"))
+
+def matches(words: Column, held: Column, templates: list[tuple[str, str, list[str]]], index: dict[str, list[tuple[int, int]]]) -> Column:
+    """array of (template, start, share): the matches of a text's words, by their template and place."""
+    offsets = F.create_map(*(x for w in sorted(index) for x in (F.lit(w), F.array(*(F.lit((k << PLACE_BITS) + BEFORE - place) for k, place in index[w])).cast("array<bigint>"))))
+    known = F.array(*(F.struct(_strings(notice.split()).alias("words"), F.lit(len(notice.split())).alias("size"), F.lit(needed(len(notice.split()))).alias("needed"), _strings([_phrase(p) for p in phrases]).alias("phrases")) for _, notice, phrases in templates))
+    looked_up = F.array_intersect(held, _strings(sorted(index)))
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.cast("long").alias("at"))), lambda x: F.array_contains(looked_up, x["word"]))
+    starts = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(offsets, x["word"]), lambda o: o + x["at"])))))
+
+    def place(code: Column) -> Column:
+        template = F.get(known, F.shiftright(code, PLACE_BITS).cast("int"))
+        start = (F.pmod(code, F.lit(1 << PLACE_BITS)) - BEFORE).cast("int")
+        agree = F.size(F.filter(F.sequence(F.lit(0), template["size"] - 1), lambda i: F.get(words, start + i) == F.get(template["words"], i)))
+        return F.struct(F.shiftright(code, PLACE_BITS).cast("int").alias("template"), start.alias("start"), agree.alias("agree"))
+
+    def holds(m: Column) -> Column:
+        template = F.get(known, m["template"])
+        begin = F.greatest(F.lit(0), m["start"])
+        window = F.concat(F.lit(" "), F.array_join(F.slice(words, begin + 1, template["size"] + m["start"] - begin), GAP), F.lit(" "))
+        return F.when(m["agree"] >= template["needed"], F.exists(template["phrases"], lambda p: F.contains(window, p))).otherwise(False)
+
+    found = F.filter(F.transform(starts, place), holds)
+    return F.transform(found, lambda m: F.struct(m["template"].alias("template"), m["start"].alias("start"), (m["agree"] / F.get(known, m["template"])["size"]).alias("share")))
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and n_matches."""
     templates = TEMPLATES if templates is None else templates
-    texts = only(documents, "doc_id", "text")
-    n, frequencies = word_frequencies(texts, sorted({w for _, notice, _ in templates for w in notice.split()}))
-    rare = {w: df for w, df in frequencies.items() if df <= max(1, COMMON_SHARE * n)}
-    anchored = anchors(templates, rare, frequencies)
-    rows = cut(licence_rows(texts, rare, anchored))
-    found = matches(rows, rare, anchored, templates).groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.collect_set("label").alias("found"), F.max("share").alias("share"), F.count(F.lit(1)).alias("n_matches"))
-    joined = rows.join(found, F.col("text_hash").eqNullSafe(F.col("found_hash")) & F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-    every = F.array_sort(F.array_union("base_set", F.coalesce("found", F.array().cast("array<string>"))))
-    return joined.select(
+    rows = cut(licence_rows(only(documents, "doc_id", "text"), templates))
+    index = postings(templates, word_frequencies(rows))
+    none = F.array().cast("array<struct<template:int,start:int,share:double>>")
+    found = rows.withColumn("found", F.when(F.col("words").isNotNull(), matches(F.col("words"), F.col("held"), templates, index)).otherwise(none))
+    labels = F.array_distinct(F.transform("found", lambda m: F.get(_strings([label for label, _, _ in templates]), m["template"])))
+    every = F.array_sort(F.array_union("base_set", labels))
+    return found.select(
         "doc_id",
         "n_words",
         "n_base",
@@ -188,6 +173,6 @@ def scan(documents: DataFrame, templates: list[tuple[str, str, list[str]]] | Non
         "last_word",
         F.array_join("base_set", ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
-        F.when(F.size("base_set") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
-        F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"),
+        F.when(F.size("base_set") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("found", lambda m: m["share"])), F.lit(0.0))).alias("score"),
+        F.size("found").cast("long").alias("n_matches"),
     )
