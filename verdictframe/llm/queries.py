@@ -65,10 +65,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is recovered of the conversations' turns; a digest stands for the rendered text."""
+    """What is recovered of the conversations' turns, with the turns and their canonical rendering."""
     blocks = cut(chat.transcripts(read(spark, sf_dir, "conversations")))
-    found = chat.recovered(blocks, chat.learn(blocks.where(~chat.held_out())))
-    return found.select("*", chat.held_out().alias("held_out"), F.sha2("rendered", 256).alias("rendered_sha256")).drop("rendered")
+    return chat.recovered(blocks, chat.learn(blocks.where(~chat.held_out()))).withColumn("held_out", chat.held_out())
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
