@@ -404,17 +404,105 @@ def test_language(spark):
     assert [tuple(r)[2:] for r in language.predict(unknown).collect()] == [("und", 0.0)]
 
 
-def test_viterbi_equals_all_paths():
+def path_value(s, path, penalty):
+    return sum(s[t, k] for t, k in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:], strict=False))
+
+
+@pytest.mark.parametrize("segment", [1, 2, 512])
+def test_viterbi_equals_all_paths(monkeypatch, segment):
     import itertools
 
+    monkeypatch.setattr(language, "SEGMENT", segment)
     rng = np.random.default_rng(4)
     for n in range(1, 6):
         s = rng.normal(size=(n, 3))
-        best = max(itertools.product(range(3), repeat=n), key=lambda p: sum(s[t, k] for t, k in enumerate(p)) - 0.7 * sum(a != b for a, b in zip(p, p[1:], strict=False)))
+        best = max(itertools.product(range(3), repeat=n), key=lambda p: path_value(s, p, 0.7))
         both = language.viterbi(np.concatenate([s, s[:1]]), np.array([n, 0, 1]), 0.7)
         assert tuple(both[:n]) == best and both[n] == s[0].argmax()
 
 
+def plain_language_model(rows):
+    """Trigram counts, scripts' use and word labels in plain Python: rows are (text, lang)."""
+    import math
+    import unicodedata
+
+    def trigrams(data):
+        clean = [b if b >= 128 or chr(b).isalnum() else 32 for b in data]
+        out = []
+        for i, b in enumerate(clean):
+            key = ((clean[i - 1] if i else 32) * 0x9E3779B1 + b * 0x85EBCA77 + (clean[i + 1] if i + 1 < len(clean) else 32) * 0xC2B2AE3D) % 2**32
+            key ^= key >> 15
+            out.append((key * 0x27D4EB2F % 2**32) >> 17)
+        return out
+
+    def word_spans(data):
+        return [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", data)]
+
+    def script(word):
+        return next((unicodedata.name(c).split()[0] for c in word.decode() if c.isalpha()), None)
+
+    grams, scripts = defaultdict(Counter), defaultdict(Counter)
+    for text, lang in rows:
+        data = text.lower().encode()
+        g = trigrams(data)
+        for a, b in word_spans(data):
+            grams[lang].update(g[a:b])
+            if k := script(data[a:b]):
+                scripts[lang][k] += sum(map(str.isalpha, data[a:b].decode()))
+    languages = sorted(grams)
+    total = {x: sum(grams[x].values()) + 0.5 * language.BUCKETS for x in languages}
+
+    def log(x, g):
+        return math.log((grams[x][g] + 0.5) / total[x])
+
+    def predict(text):
+        data = text.lower().encode()
+        g, scores = trigrams(data), []
+        for a, b in word_spans(data):
+            k = script(data[a:b])
+            if k is None:
+                continue
+            able = [x for x in languages if scripts[x][k] >= 0.01 * max(1, sum(scripts[x].values()))] or languages
+            scores.append([sum(log(x, t) - sum(log(y, t) for y in languages) / len(languages) for t in g[a:b]) - (0 if x in able else 1e3) for x in languages])
+        best, back = scores[0], []
+        for s in scores[1:]:
+            top = max(range(len(languages)), key=lambda k: best[k])
+            came = [top if best[top] - language.SWITCH_PENALTY > best[k] else k for k in range(len(languages))]
+            best = [max(best[k], best[top] - language.SWITCH_PENALTY) + s[k] for k in range(len(languages))]
+            back.append(came)
+        path = [max(range(len(languages)), key=lambda k: best[k])]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        votes = Counter(path)
+        k = min(votes, key=lambda k: (-votes[k], k))
+        return languages[k], votes[k] / len(path)
+
+    return predict
+
+
+def test_language_equals_a_plain_model(spark, monkeypatch):
+    rng = random.Random(21)
+    sets = {"aa": ["kata", "moro", "tiki", "salu", "été"], "bb": ["kata", "weng", "thirp", "blick", "groß"], "ру": ["мама", "рама", "дом", "лес"], "zz": ["𠀀𠀁", "一二"]}
+    rows = [(i, " ".join(rng.choice(sets[k]) for _ in range(30)), k) for i, k in enumerate(list(sets) * 20)]
+    mixed = [(100 + i, " ".join(rng.choice(sets[rng.choice(list(sets))] if rng.random() < 0.1 else sets[k]) for k in rng.choices(list(sets), k=3) for _ in range(40)), None) for i in range(40)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    predict = plain_language_model([(t, k) for _, t, k in rows])
+    want = {d: predict(t) for d, t, _ in rows + mixed}
+    for r in language.identify(docs, model).collect():
+        assert (r.lang_pred, pytest.approx(r.score)) == want[r.doc_id]
+    import pyarrow as pa
+
+    texts = pa.array([t for _, t, _ in rows + mixed] + [" ".join(t for _, t, _ in mixed), None, "x" * 3000, "1 " * 900 + "дом"])
+    counts, labels = language.label_words(texts, model)
+    for chunk, segment in ((64, 7), (500, 512), (1 << 19, 16)):
+        monkeypatch.setattr(language, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(language, "SEGMENT", segment)
+        got = language.label_words(texts, model)
+        assert (got[0] == counts).all() and (got[1] == labels).all()
+    assert list(language._written(pa.array(["1 2", None, "дом", "a", "1" * 5000 + "é", "𠀀", "😀"]))) == [False, False, True, True, True, True, False]
+
+
 NOTICES = ["Licensed under the Apache License, Version 2.0.", "x GNU GENERAL PUBLIC LICENSE gnu general public license y", "cc by cc by", "mit\nlicense mit license", "Released under the MIT License. All rights reserved.", "gnu general public licenses", "the the the of"]
 
 
