@@ -2,6 +2,8 @@
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from verdictframe.llm import url_filter, warc
 
 
@@ -51,6 +53,32 @@ def test_url_filter_looks_up_entries_of_any_depth(spark):
     assert got == {0: "domain:b.c.d.e.f", 1: "prefix:h.org/1/2/3/4", 2: None, 3: "domain:com", 4: None}
 
 
+def test_url_filter_salts_shared_patterns(spark, monkeypatch):
+    urls = [f"https://hot.org/a/b/{i % 7}" for i in range(60)] + [f"https://x{i}.net/" for i in range(10)]
+    captures = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").selectExpr("*", "date'2024-06-01' as fetched_at")
+    listed = ["prefix:hot.org/a/b", "prefix:hot.org/a/b/3", "host:x3.net", "domain:hot.org"]
+    entries = spark.createDataFrame([(p, "add", "block") for p in listed], "pattern string, action string, verdict string").selectExpr("*", "date'2024-01-01' as listed_at")
+    plain = sorted(map(tuple, url_filter.evaluate(captures, entries).collect()), key=str)
+    assert {r[4] for r in plain} == {"prefix:hot.org/a/b", "prefix:hot.org/a/b/3", "host:x3.net", None}
+    monkeypatch.setattr(url_filter, "HOT", 5)
+    for most in (0, 100):
+        monkeypatch.setattr(url_filter, "BROADCAST_PATTERNS", most)
+        assert sorted(map(tuple, url_filter.evaluate(captures, entries).collect()), key=str) == plain
+
+
+def test_url_query_equals_sql(spark, sf):
+    import duckdb
+
+    from verdictframe.llm import queries
+
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    got = queries.op1_url_filter(spark, sf).toPandas()
+    want = c.sql(queries.SQL["op1_url_filter"]).df()
+    assert len(got) == len(want) and list(got.columns) == list(want.columns)
+    assert sorted(map(str, got.astype(str).values.tolist())) == sorted(map(str, want.assign(fetched_at=want.fetched_at.dt.date, valid_from=want.valid_from.dt.date).astype(str).replace("NaT", "None").values.tolist()))
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a.org/x", PAGE), (2, None, None), (3, "http://b.org/\r\nX-Bad: 1", ""), (1, "http://a.org/x", PAGE), (None, "http://c.org", "plain é text")]
     df = spark.createDataFrame([(*r, "z", 0) for r in rows], "page_id long, url string, html string, record string, record_id int")
@@ -150,14 +178,18 @@ def test_pipeline_stage_by_stage(spark, sf):
 
     assert [name for name, _ in pipeline.STAGES] == ["quality_classifier", "quality_rules", "near_dedup", "benchmark_decontamination", "best_fit_packing"]
     docs, labels, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
-    columns = docs.columns
+    columns, all_docs = docs.columns, docs
 
     def ids(df):
         return sorted(r.doc_id for r in df.select("doc_id").collect())
 
+    def by_rules(d):
+        trees = {r.doc_id for r in quality_rules.verdicts(all_docs, labels).where("kept").collect()}
+        return d.where(F.col("doc_id").isin(sorted(trees)))
+
     decisions = {
         "quality_classifier": lambda d: quality_classifier.score(d, labels).where("predicted = 1"),
-        "quality_rules": lambda d: quality_rules.verdicts(d, labels).where("kept"),
+        "quality_rules": by_rules,
         "near_dedup": lambda d: near_dedup.near_duplicates(d).where("kept"),
         "benchmark_decontamination": lambda d: decontaminate.report(d, benchmark).where("not contaminated"),
     }

@@ -3,11 +3,14 @@
 The standardised document statistics are mapped to FEATURES_OUT cosines whose inner products approximate a Gaussian
 kernel. Each partition sums its share of the normal equations over the labelled rows; the sums (one matrix of fixed
 size a partition) are added up in a second stage, and only 16 such matrices come to the driver, which solves for the
-weights. The raw scores of the labelled rows are counted in BINS bins of equal width, over which pooling of
-adjacent violators fits the isotonic calibration. All labelled rows take part; there is no sample.
+weights. One labelled row in CALIBRATE (by a hash of its id) is kept out of the sums; the raw scores of these rows are
+counted in BINS bins of equal width, over which pooling of adjacent violators fits the isotonic calibration. So the
+calibration is fitted on rows that the weights have not seen. All labelled rows take part; there is no sample. Their
+statistics are cut once, by a checkpoint.
 
 Defined results: a null text counts as an empty one and gets a score like any other; labels that are null are
-ignored, repeated labels count repeatedly; without any label every score is 0.5. Ids, sources and languages are never
+ignored, repeated labels count repeatedly; without any label every score is 0.5; with so few that one of the two parts
+is empty, both take all rows. Ids, sources and languages are never
 inputs of a score. Further columns are ignored.
 """
 
@@ -25,7 +28,7 @@ from verdictframe.llm.cluster import cut, fold, keep_rows, only, summed
 from verdictframe.llm.statistics import FEATURES, document_statistics, matrix, text_statistics
 
 FEATURES_OUT, WIDTH, RIDGE, BINS = 192, 3.0, 1e-3, 400
-ACCEPT = 0.3
+ACCEPT, CALIBRATE = 0.3, 4
 LOW, HIGH = -0.5, 1.5
 
 
@@ -69,9 +72,13 @@ def isotonic(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
 def fit(statistics: DataFrame, labels: DataFrame, use: Column) -> Model:
     """The model of labels.quality over the labelled rows for which use holds; statistics as of document_statistics."""
     known = only(labels, "doc_id", "quality").where(F.col("quality").isNotNull()).withColumnRenamed("doc_id", "labelled")
-    train = statistics.select("doc_id", "features").where(use).join(known, F.col("doc_id") == F.col("labelled")).select("features", F.col("quality").cast("double").alias("y"))
+    held = (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0).alias("held")
+    train = cut(statistics.select("doc_id", "features").where(use).join(known, F.col("doc_id") == F.col("labelled")).select("features", F.col("quality").cast("double").alias("y"), held))
+    sizes = {r["held"]: r["n"] for r in train.groupBy("held").agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart = len(sizes) == 2
+    to_solve, to_calibrate = (train.where(F.col("held") == h) if apart else train for h in (False, True))
     d = len(FEATURES)
-    moments = train.select(F.posexplode("features").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale")).collect()
+    moments = to_solve.select(F.posexplode("features").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale")).collect()
     model = Model(np.zeros(d), np.ones(d))
     if not moments:
         return model
@@ -85,7 +92,7 @@ def fit(statistics: DataFrame, labels: DataFrame, use: Column) -> Model:
             total += z.T @ np.concatenate([z, batch.column(1).to_numpy()[:, None]], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(["sum"]), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
 
-    total = summed(train.mapInArrow(equations, "k string, v binary"), "k", "v")["sum"].reshape(FEATURES_OUT + 1, FEATURES_OUT + 2)
+    total = summed(to_solve.select("features", "y").mapInArrow(equations, "k string, v binary"), "k", "v")["sum"].reshape(FEATURES_OUT + 1, FEATURES_OUT + 2)
     a, b = total[:, :-1], total[:, -1]
     ridge = RIDGE * a[-1, -1] * np.eye(len(a)) / FEATURES_OUT
     ridge[-1, -1] = 0
@@ -95,7 +102,7 @@ def fit(statistics: DataFrame, labels: DataFrame, use: Column) -> Model:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(model.bins(matrix(batch.column(0)))), batch.column(1)], names=["bin", "y"])
 
-    counts = train.mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")).collect()
+    counts = to_calibrate.select("features", "y").mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")).collect()
     ones, n = np.zeros(BINS), np.zeros(BINS)
     for r in counts:
         ones[r["bin"]], n[r["bin"]] = r["ones"], r["n"]

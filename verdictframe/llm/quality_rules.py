@@ -141,14 +141,16 @@ def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return statistics.mapInArrow(judged, f"doc_id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, kept boolean, probability double")
 
 
-def kept(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def kept(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """documents that pass the base rules and the trees; the columns stay as they are.
 
-    The ids to learn from are at most train_rows, so they are broadcast and no text is shuffled.
+    learn_from has the labelled texts to learn from, if documents were filtered before and lack the bad ones. The ids
+    to learn from are at most train_rows, so they are broadcast and no text is shuffled.
     """
     known = only(labels, "doc_id", "quality").where(F.col("quality").isNotNull()).where(fold("doc_id", 5) != 0)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select(F.col("doc_id").alias("labelled"))
-    texts = only(documents, "doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"), "left_semi")
+    source = documents if learn_from is None else learn_from
+    texts = only(source, "doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"), "left_semi")
     forest = fit(document_statistics(texts).select("doc_id", "features"), labels, train_rows)
 
     def verdict(column: pa.Array) -> np.ndarray:

@@ -20,12 +20,16 @@ def captures(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")).alias("fetched_at"))
 
 
+#: Prefixes and domains of the list are as deep as this, which is deeper than the pages' URLs.
+LIST_DEPTH = 32
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
-    """A dated list over the patterns that occur in pages: every host, domain and first segment, and a tenth of the rest.
+    """A dated list over the patterns that occur in pages: every host, and every domain and prefix of any depth.
 
     Each pattern has up to three entries; actions, verdicts and days follow from digests of the pattern.
     """
-    found = pages.select("page_id", F.explode(url_filter.patterns(F.col("url"), 2, 4, 2)).alias("p")).where("p.specificity < 202 or page_id % 10 = 0")
+    found = pages.select(F.explode(url_filter.patterns(F.col("url"), LIST_DEPTH, LIST_DEPTH, 2)).alias("p"))
     patterns = found.select("p.pattern").distinct()
     k = F.col("k").cast("string")
     numbered = patterns.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
@@ -110,12 +114,11 @@ WITH parsed AS (
 labels AS (SELECT *, string_split(h, '.') AS lab FROM parsed WHERE h <> ''),
 lookups AS (
   SELECT page_id, url, fetched_at, 'host:' || h AS pattern, 100 AS specificity FROM labels
-  UNION ALL SELECT page_id, url, fetched_at, 'prefix:' || h || '/' || seg[1], 201 FROM labels WHERE len(seg) >= 1
-  UNION ALL SELECT page_id, url, fetched_at, 'prefix:' || h || '/' || seg[1] || '/' || seg[2], 202 FROM labels WHERE len(seg) >= 2
-  UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(lab[-2:], '.'), 2 FROM labels WHERE len(lab) >= 2
-  UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(lab[-3:], '.'), 3 FROM labels WHERE len(lab) >= 3
-  UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(lab[-4:], '.'), 4 FROM labels WHERE len(lab) >= 4),
-patterns AS (SELECT DISTINCT pattern FROM lookups WHERE specificity < 202 OR page_id % 10 = 0),
+  UNION ALL SELECT page_id, url, fetched_at, 'prefix:' || h || '/' || array_to_string(seg[1:k], '/'), 200 + k
+  FROM labels, LATERAL (SELECT unnest(range(1, least(len(seg), {LIST_DEPTH}) + 1)) AS k)
+  UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(lab[-k:], '.'), k
+  FROM labels, LATERAL (SELECT unnest(range(2, least(len(lab), {LIST_DEPTH}) + 1)) AS k)),
+patterns AS (SELECT DISTINCT pattern FROM lookups),
 drawn AS (
   SELECT pattern, k, CAST('0x' || substr(md5(pattern || '#' || k), 1, 4) AS INTEGER) AS m
   FROM patterns, (VALUES (0), (1), (2)) AS t(k)),

@@ -7,9 +7,10 @@ host and the domains above it, each as deep as the deepest entry of the list) in
 time; the most specific one decides (prefixes before hosts before domains), and among equally specific ones the latest.
 
 The join is an equi-join on the pattern with the dates as residual condition. Both sides are shuffled (the list grows
-with the crawl, so it is not broadcast). Patterns that many captures share (hosts, domains, first path segments) are
-salted: their lookups are spread over SALTS keys by a hash of the capture, and their entries stand once in each. The
-verdict of a capture is an aggregate over the capture's own few lookups, combined before the shuffle.
+with the crawl, so it is not broadcast). Lookups of a pattern that more than HOT captures share, of whatever kind, are
+spread over salts in proportion to their number, by a hash of the capture, and the pattern's entries stand once in
+each. How many captures share a pattern is counted with sums before the shuffle. The verdict of a capture is an
+aggregate over the capture's own few lookups, combined before the shuffle.
 
 Defined results: a null or unparsable URL, or a null fetch time, matches nothing and is allowed, with a null entry.
 Entries with a null pattern or date are ignored; of several entries of a pattern with one date, the one whose action
@@ -21,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictframe.llm.cluster import only
+from verdictframe.llm.cluster import cut, only
 
-SALTS = 32
-DEEP_PREFIX = r"^prefix:[^/]*/[^/]*/"
+HOT = 4096
+#: So many shared patterns at most are broadcast (some ten megabytes); more are joined by a shuffle.
+BROADCAST_PATTERNS = 100_000
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)(?::[0-9]+)?([^?#]*)"
 
 
@@ -85,10 +87,12 @@ def evaluate(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id
     rows = only(captures, capture_id, "url", "fetched_at")
     grouped = rows.groupBy(capture_id, "url", "fetched_at").agg(F.count(F.lit(1)).alias("copies"))
     looked_up = grouped.select("*", F.explode_outer(patterns(F.col("url"), *depths(entries))).alias("p")).select(capture_id, "url", "fetched_at", "copies", F.col("p.pattern").alias("looked_up"), "p.specificity")
-    shared = ~F.col("looked_up").rlike(DEEP_PREFIX)
-    looked_up = looked_up.withColumn("capture_salt", F.when(shared, F.pmod(F.xxhash64("url", capture_id), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    every = F.when(F.col("pattern").rlike(DEEP_PREFIX), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    held = intervals(entries).select("*", F.explode(every).alias("salt"))
+    hot = cut(looked_up.groupBy(F.col("looked_up").alias("shared")).agg(F.sum("copies").alias("n")).where(F.col("n") > HOT).select("shared", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_PATTERNS else hot
+    salted = looked_up.join(hot, F.col("looked_up") == F.col("shared"), "left").drop("shared")
+    looked_up = salted.withColumn("capture_salt", F.coalesce(F.pmod(F.xxhash64("url", capture_id, "fetched_at"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    listed = intervals(entries).join(hot, F.col("pattern") == F.col("shared"), "left").drop("shared")
+    held = listed.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")).drop("salts")
     active = (F.col("looked_up") == F.col("pattern")) & (F.col("capture_salt") == F.col("salt")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     found = looked_up.join(held, active, "left")
     best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.substring_index("pattern", ":", 1).alias("kind"), "specificity", "valid_from", "pattern", "verdict"))).alias("best")
