@@ -23,8 +23,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the boosted trees."""
-    return quality_rules.kept(docs, read(spark, sf_dir, "labels"))
+    """Documents that pass the base rules and the boosted trees, which learn from the labelled rows of all documents."""
+    return quality_rules.kept(docs, read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,16 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; what the stages keep is written under spark.checkpoint.dir."""
+    """The rows of the last stage over documents.
+
+    What a stage keeps is written under spark.checkpoint.dir, and removed when the next stage is written.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
@@ -64,4 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
