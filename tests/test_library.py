@@ -189,7 +189,7 @@ def test_safety(spark):
     assert kinds == [["openai_key", "github_token", "private_key"]]
     tokens = ["a1b2c3d4e5f6g7h8i9j0KLMNOPQRSTUVWX", "0123456789abcdef0123456789abcdef", "a" * 40]
     assert values(spark, [(t, "") for t in tokens], safety.high_entropy(F.col("output"))) == [True, False, False]
-    assert values(spark, [("Lo siento, no", "es"), ("Hola", "es"), ("x", "xx"), (" ", "es"), ("I’m sorry. x", "en")], safety.refused(F.col("output"), F.col("target"))) == [1, 0, None, None, 1]
+    assert values(spark, [("Samahani, hapana", "sw"), ("Habari", "sw"), ("x", "xx"), (" ", "sw"), ("I’m sorry. x", "en"), ("I cannot help", "ta"), ("Siwezi", None)], safety.refused(F.col("output"), F.col("target"))) == [1, 0, None, None, 1, 1, 1]
 
 
 @pytest.mark.parametrize(
@@ -462,7 +462,7 @@ def test_judges_with_scripted_models(spark):
 
     def claims():
         def model(prompts_):
-            return ["NONE" if "Answer: c" in p else "1. one\n2. two" if "Answer:" in p else "1: SUPPORTED\n2: NOT_SUPPORTED" for p in prompts_]
+            return ["NONE" if "Answer: c" in p else "1. one\n2. two" if "Answer:" in p else "1: SUPPORTED\n2: UNSUPPORTED" for p in prompts_]
 
         return model
 

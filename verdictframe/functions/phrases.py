@@ -1,0 +1,37 @@
+"""Phrase tables: what a phrase is made of, stated as data, and one matcher made from it.
+
+A phrase is a tuple of parts that follow one another with a blank between: a string is words as they are, a tuple is
+any one of several strings ("" makes it optional), and a number is a gap of at most so many characters.
+"""
+
+from __future__ import annotations
+
+import re
+
+Part = str | int | tuple[str, ...]
+Phrase = tuple[Part, ...] | str
+
+
+def _one_of(part: str | tuple[str, ...]) -> str:
+    options = [part] if isinstance(part, str) else [o for o in part if o]
+    return "(?:" + "|".join(re.escape(o).replace("\\ ", " ").replace("\\-", "-") for o in options) + ")"
+
+
+def pattern(phrase: Phrase, begins: bool = True, ends: bool = False) -> str:
+    """The regular expression of a phrase; begins and ends: no letter or digit may stand before or after it."""
+    parts = (phrase,) if isinstance(phrase, str) else phrase
+    out, blank = "", False
+    for part in parts:
+        if isinstance(part, int):
+            out, blank = f"{out}.{{0,{part}}}", False
+            continue
+        before = " " if blank else ""
+        optional = isinstance(part, tuple) and "" in part
+        out += f"(?:{before}{_one_of(part)})?" if optional else before + _one_of(part)
+        blank = True
+    return ("(?<![\\p{L}\\p{N}])" if begins else "") + out + ("(?![\\p{L}\\p{N}])" if ends else "")
+
+
+def any_pattern(phrases: list[Phrase], begins: bool = True, ends: bool = False) -> str:
+    """The regular expression, blind to case, of any of the phrases."""
+    return "(?is)" + "|".join(f"(?:{pattern(p, begins, ends)})" for p in phrases)

@@ -60,7 +60,7 @@ def strip_thinking(c: Column | str) -> Column:
 
 
 def fold_apostrophes(c: Column | str) -> Column:
-    return F.translate(col(c), "’‘", "''")
+    return F.translate(col(c), "’‘ʼ′", "''''")
 
 
 def multiset_overlap(a: Column | str, b: Column | str) -> Column:
@@ -99,3 +99,13 @@ def entropy(token: Column | str) -> Column:
     n = F.size(chars)
     shares = F.transform(F.array_distinct(chars), lambda ch: F.size(F.filter(chars, lambda x: x == ch)) / n)
     return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+
+def digest(c: Column | str, length: int = 64) -> Column:
+    """The first hex digits of a text's SHA-256."""
+    return F.substring(F.sha2(col(c), 256), 1, length)
+
+
+def json_path(c: Column | str, path: str) -> Column:
+    """The value at a dotted path of a JSON text, as a string: keys, and [n] for items; null if there is none."""
+    return F.get_json_object(col(c), f"$.{path}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verdictframe.functions.text import bind
+
 
 def normal(c: Column) -> Column:
     """Lower case, thousands commas dropped, runs of blanks, $, commas and % as one blank, full stops stripped."""
@@ -13,6 +15,14 @@ def normal(c: Column) -> Column:
     return F.regexp_replace(squeezed, r"^\.+|\.+$", "")
 
 
+def stands_apart(text: Column, part: Column) -> Column:
+    """Whether a part stands somewhere in a text and is no piece of a longer word or number there."""
+    around = F.split(F.replace(text, part, F.lit("\x00")), "\x00", -1)
+    left = F.slice(around, F.lit(1), F.greatest(F.size(around) - 1, F.lit(0)))
+    apart = F.zip_with(left, F.slice(around, 2, F.size(left)), lambda a, b: ~F.coalesce(F.right(a, F.lit(1)).rlike(r"[\w.]") | F.left(b, F.lit(1)).rlike(r"\w"), F.lit(False)))
+    return (F.length(part) > 0) & F.exists(apart, lambda x: x)
+
+
 def verdict(evidence: Column, holds: Column) -> Column:
     """unknown without evidence, else success or failure."""
     return F.when(evidence.isNull(), "unknown").when(holds, "success").otherwise("failure")
@@ -39,8 +49,7 @@ def answer_assertion(answer: Column, reference: Column, mode: str = "normalized"
     elif mode == "normalized":
         holds = normal(answer) == normal(reference)
     elif mode == "contains":
-        quoted = F.concat(F.lit(r"(?<![\w.])\Q"), normal(reference), F.lit(r"\E(?!\w)"))
-        holds = F.regexp_like(normal(answer), quoted)
+        holds = bind(stands_apart, normal(answer), normal(reference))
     else:
         raise ValueError("mode must be 'exact', 'normalized' or 'contains'")
     return verdict(F.when(reference.isNotNull(), answer), holds)

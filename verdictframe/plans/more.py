@@ -8,9 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdictframe.functions import structured as J
+from verdictframe.functions.phrases import any_pattern
 from verdictframe.functions import text as T
 from verdictframe.operators import comparison as C
 from verdictframe.operators import redteam as X
+from verdictframe.operators.refusals import patterns
 from verdictframe.plans.agents import calls
 from verdictframe.plans.comparisons import _MSTATS, model_stats
 from verdictframe.plans.registry import query, table, view
@@ -162,9 +164,12 @@ def rtm03_invalid_counts(spark, sf_dir):
 def _detect_sql() -> str:
     first = r"regexp_extract(lower(trim(text)), '^([^.!?\n]*[.!?]*)', 1)"
     any_of = lambda parts: "(" + " OR ".join(f"contains(lower(text), '{p}')" for p in parts) + ")"
-    refusal = "regexp_matches(" + first + ", '" + "|".join(f"(?:{p})" for p in X.REFUSAL).replace("'", "''") + "')"
-    leak = "regexp_matches(lower(text), '" + "|".join(f"(?:{p})" for p in X.LEAK) + "')"
-    return f"SELECT conv_id, turn, {any_of(X.KEYWORDS)} AS keyword, {refusal} AS refusal, {any_of(X.SUCCESS)} AS injection_success, NOT {refusal} AND {leak} AS system_prompt_leak FROM conversations WHERE role = 'assistant'"
+    # the other engine's patterns can't look around
+    plain = lambda p: p.replace("(?<![\\p{L}\\p{N}])", "(?:^|[^\\p{L}\\p{N}])").replace("(?![\\p{L}\\p{N}])", "(?:[^\\p{L}\\p{N}]|$)").replace("'", "''")
+    refusal = f"regexp_matches({first}, '{plain(any_pattern(X.REFUSAL))}')"
+    leak = f"regexp_matches(text, '{plain(any_pattern(X.LEAK, ends=True))}')"
+    any_language = " OR ".join(f"regexp_matches({first}, '{plain(p)}')" for p in patterns().values())
+    return f"SELECT conv_id, turn, {any_of(X.KEYWORDS)} AS keyword, {refusal} AS refusal, {any_of(X.SUCCESS)} AS injection_success, NOT {refusal} AND {leak} AS system_prompt_leak, {any_language} AS refusal_multilingual FROM conversations WHERE role = 'assistant'"
 
 
 @query(_detect_sql())
