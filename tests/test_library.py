@@ -495,3 +495,162 @@ def test_query_set_holds_every_twentieth_vector(spark, sf):
     assert {r.query_id for r in ranking.win01_rank_query_set(spark, sf).collect()} == want
     assert {r.query_id for r in ranking.ret01_retrieval_query_set(spark, sf).collect()} <= want
     assert {r.query_id for r in ranking.win02_context_precision_query_set(spark, sf).collect()} == want
+
+
+def most_placed(groups, turns):
+    """The most groups that fit into turns, by trying all."""
+    from collections import Counter
+
+    if not groups:
+        return 0
+    best = most_placed(groups[1:], turns)
+    for k, turn in enumerate(turns):
+        if Counter(groups[0]) <= Counter(turn):
+            best = max(best, 1 + most_placed(groups[1:], [*turns[:k], list((Counter(turn) - Counter(groups[0])).elements()), *turns[k + 1 :]]))
+    return best
+
+
+def test_parallel_calls_equal_all_placements():
+    from collections import Counter
+
+    rng = random.Random(3)
+    for _ in range(300):
+        groups = [rng.choices("abcd", k=rng.randrange(2, 4)) for _ in range(rng.randrange(5))]
+        turns = [rng.choices("abcd", k=rng.randrange(6)) for _ in range(rng.randrange(5))]
+        assert M.placed_groups([Counter(g) for g in groups], [Counter(t) for t in turns]) == most_placed(groups, turns)
+    assert M.parallel_scores([["a", "b"], ["c"]], [["a", "b"], ["c", "d"]]) == (0.5, 1.0, 1.0, False)
+    assert M.parallel_scores([["a", "c"]], [["a", "b"], ["c", "d"]]) == (0.0, 0.0, 1.0, False)
+    assert M.parallel_scores([["a"]], [["a"]]) == (None, None, 1.0, False)
+    assert M.parallel_scores([], [["a", "b"]]) == (0.0, None, 0.0, False)
+
+
+@pytest.mark.parametrize("n", [15, 20, 100, 1000, 2000])
+def test_parallel_calls_of_a_perfect_prediction_are_fast(n):
+    for turns in ([[f"a{i}", f"b{i}"] for i in range(n)], [["a", "b"]] * n):
+        began = time.perf_counter()
+        assert M.parallel_scores(turns, turns) == (1.0, 1.0, 1.0, False)
+        assert time.perf_counter() - began < 5
+
+
+def test_matching_bounds():
+    began = time.perf_counter()
+    assert M.maximum_matching(["x"] * 2000, ["x"] * 2000, lambda a, b: a == b) == 2000
+    assert time.perf_counter() - began < 10
+    began = time.perf_counter()
+    assert M.in_order([[f"c{i}"] for i in range(20_000)], [["c0"], ["c19999"]]) == 1.0
+    assert time.perf_counter() - began < 1
+
+
+def test_maximum_matching_equals_all_pairings():
+    from itertools import permutations
+
+    rng = random.Random(5)
+    for _ in range(100):
+        edges = {(i, j) for i in range(5) for j in range(5) if rng.random() < 0.35}
+        best = max(sum((i, p[i]) in edges for i in range(5)) for p in permutations(range(5)))
+        assert M.maximum_matching(list(range(5)), list(range(5)), lambda a, b: (a, b) in edges) == best
+
+
+def test_paired_bootstrap_by_its_definition(spark):
+    import numpy as np
+
+    rng = random.Random(1)
+    rows = [("g", f"{i:03d}", rng.choice([0.0, 1.0]), rng.choice([0.0, 1.0, 1.0])) for i in range(40)] + [("one", "x", 1.0, 0.0), ("same", "a", 1.0, 1.0), ("same", "b", 0.5, 0.5)]
+    pairs = spark.createDataFrame(rows, "g string, sample_id string, baseline double, candidate double")
+    got = {r.g: r for r in comparison.paired_bootstrap(pairs, ["g"], 300, 7, 0.9).collect()}
+    base, cand = np.array([r[2] for r in rows[:40]]), np.array([r[3] for r in rows[:40]])
+    picks = random.Random(7)
+    draws = [[picks.randrange(40) for _ in range(40)] for _ in range(300)]
+    means = np.array([(cand - base)[d].mean() for d in draws])
+    observed = (cand - base).mean()
+    r = got["g"]
+    assert (r.n, r.mean_baseline, r.mean_candidate, r.delta) == (40, *map(pytest.approx, (base.mean(), cand.mean(), observed)))
+    assert (r.ci_low, r.ci_high) == tuple(map(pytest.approx, np.quantile(means, [0.05, 0.95])))
+    extreme = (np.abs(means - observed) >= abs(observed) - 1e-9).sum()
+    assert r.p_value == pytest.approx((extreme + 1) / 301) and r.significant == (r.p_value < 0.05)
+    assert (got["one"].n, got["one"].p_value) == (1, None) and got["same"].p_value == 1.0
+    for wrong in ({"n_resamples": 0}, {"confidence": 1.0}):
+        with pytest.raises(ValueError):
+            comparison.paired_bootstrap(pairs, ["g"], **wrong)
+    approximate = {r.g: r for r in comparison.poisson_bootstrap(pairs, ["g"]).collect()}
+    assert approximate["g"].delta == pytest.approx(observed) and abs(approximate["g"].ci_low - np.quantile(means, 0.025)) < 0.1
+    weights = comparison.poisson_weights(np.arange(2000), 50)
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.05
+
+
+def test_splits(spark):
+    from verdictframe.operators import splits
+
+    rows = spark.createDataFrame([(7 * i % 101, f"s{i % 3}") for i in range(100)], "id int, s string").repartition(7)
+    assert [r.id for r in splits.first_share(rows, 0.25, "id").orderBy("id").collect()] == sorted(7 * i % 101 for i in range(100))[:25]
+    assert [r.row_no for r in splits.ordinal(rows, "id").orderBy("id").collect()] == list(range(100))
+    counts = {r.split: r["count"] for r in splits.sequential_split(rows, (0.8, 0.1, 0.1), "id").groupBy("split").count().collect()}
+    assert counts == {"train": 80, "val": 10, "test": 10}
+    again = [sorted((r.id, r.split) for r in splits.random_split(x, (0.5, 0.25, 0.25), "id").collect()) for x in (rows, rows.repartition(3))]
+    assert again[0] == again[1] and again[0] != sorted((r.id, r.split) for r in splits.random_split(rows, (0.5, 0.25, 0.25), "id", seed=1).collect())
+    assert values(spark, [("c", ""), (None, "")], splits.answer_index(F.col("output"))) == [2, None]
+    with pytest.raises(Exception, match="not an answer letter"):
+        values(spark, [("x", "")], splits.answer_index(F.col("output")))
+
+
+def test_reports(spark):
+    from verdictframe.operators import reports
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, v int")
+    with pytest.raises(ValueError, match="k: a"):
+        reports.duplicates(rows, "k", strict=True)
+    with pytest.raises(ValueError, match="several values of v: a"):
+        reports.lineage_conflicts(rows, "k", "v", strict=True)
+    models = spark.createDataFrame([("base", 0.5, 8.0, 10.0), ("small", 0.25, 2.0, 40.0)], "model string, score double, size double, per_second double")
+    assert [tuple(r) for r in reports.tradeoff(models, "base").collect()] == [("small", 0.5, 0.25, 4.0)]
+    assert {r.model: r.size_ratio for r in reports.size_table(models, "base").collect()} == {"base": 1.0, "small": 0.25}
+    usage = spark.createDataFrame([("m", 1_000_000, 0), ("m", 0, 1_000_000), ("n", 5, 5)], "model string, prompt_tokens long, completion_tokens long")
+    pricing = spark.createDataFrame([("m", 2.0, 6.0)], "model string, prompt_price double, completion_price double")
+    assert {r.model: (r.cost, r.cost_share) for r in reports.cost_table(usage, pricing).collect()} == {"m": (8.0, 1.0), "n": (None, None)}
+    scores = spark.createDataFrame([("s1", "acc", "x", 1.0), ("s1", "acc", "y", 0.0), ("s2", "acc", "x", 0.5), ("s2", "acc", "y", 0.5), ("s3", "acc", "x", 1.0)], "sample_id string, name string, model string, value double").withColumn("direction", F.lit("maximize"))
+    assert [tuple(r) for r in reports.pairwise(scores, ["x", "y"]).collect()] == [("acc", "x", "y", 1, 0, 1)]
+    predictions = spark.createDataFrame([("m", True, None, None), ("m", False, "length", None), ("m", None, None, "boom")], "model string, correct boolean, reason string, error string")
+    assert tuple(reports.failure_summary(predictions).first()) == ("m", 3, 2, 1, 1, pytest.approx(2 / 3))
+
+
+def test_more_judges_with_scripted_models(spark):
+    def model_of(reply):
+        return lambda: lambda prompts_: [reply(p) for p in prompts_]
+
+    rows = spark.createDataFrame([(1, "q?", "One fact. Two facts.", "ctx", "Gold one. Gold two.", ["c1", "c2", "c3"]), (2, "q?", "<think>x</think> ", None, None, None)], "id int, input string, output string, context string, target string, contexts array<string>")
+    lines = model_of(lambda p: "1. a\n2. b\n3. c" if "List every" in p else "1: ADDRESSES\n2: OFF_TOPIC\n3: ADDRESSES")
+    assert {r.id: r.answer_relevancy for r in judges.answer_relevancy(rows, lines).collect()} == {1: pytest.approx(2 / 3), 2: None}
+    grounded = model_of(lambda p: "1: SUPPORTED\n2: UNSUPPORTED")
+    assert {r.id: r.response_groundedness for r in judges.response_groundedness(rows, grounded).collect()} == {1: 0.5, 2: None}
+    recall = model_of(lambda p: "1: ATTRIBUTED\n2: ATTRIBUTED")
+    assert {r.id: r.context_recall for r in judges.context_recall(rows, recall).collect()} == {1: 1.0, 2: None}
+    useful = model_of(lambda p: "1: RELEVANT\n2: IRRELEVANT\n3: RELEVANT")
+    assert {r.id: (r.context_precision, r.context_relevance) for r in judges.context_precision(rows, useful).collect()} == {1: (pytest.approx((1 + 2 / 3) / 2), pytest.approx(2 / 3)), 2: (None, None)}
+    contradicted = model_of(lambda p: "1. a\n2. b" if "claim" in p and "Answer:" in p else "1: SUPPORTED\n2: CONTRADICTED")
+    found = judges.faithfulness(rows, contradicted).where("id = 1").first()
+    assert (found.faithfulness, found.hallucination, found.contradicted) == (0.5, 0.5, 1)
+    graded = judges.run_judge(rows, model_of(lambda p: "SCORE: 4" if "(75%)" in p else "?"), judges.g_eval([("clear", 3.0, ""), ("short", 1.0, "few words")]), threshold=0.5).where("id = 1").first()
+    assert (graded.value, graded.passed, graded.status) == (0.75, True, None)
+    bias = judges.run_judge(rows, model_of(lambda p: "SCORE: 0.25"), "bias_judge", threshold=0.5).first()
+    assert (bias.value, bias.direction, bias.passed) == (0.25, "minimize", True)
+    calls = spark.createDataFrame([(1, 0, "t", "a()"), (1, 1, "t", "b()"), (2, 0, "t", "c()")], "episode_id int, idx int, input string, call string")
+    chosen = model_of(lambda p: "CHOICE: yes" if "Calls so far:\n(none)" in p and "a()" in p else "CHOICE: no" if "Calls so far:\na()" in p else "?")
+    assert {r.episode_id: (r.n_calls, r.n_judged, r.tool_selection, r.status) for r in judges.tool_selection(calls, chosen).collect()} == {1: (2, 2, 0.5, None), 2: (1, 0, None, "unknown")}
+    replies = [("yes", "harmbench", 1), ("No.", "shield_gemma", 0), ("none", "granite_guardian", None), ("Harmful request: no\nHarmful response: yes", "wildguard", 1), ("Harmful request: yes", "wildguard", None)]
+    for reply, profile, want in replies:
+        assert values(spark, [(reply, "")], judges.guard_score(F.col("output"), profile)) == [want]
+    guarded = judges.guard(rows, model_of(lambda p: "unsafe\nS1,S10")).first()
+    assert (guarded.value, guarded.categories) == (1.0, ["S1", "S10"])
+    with pytest.raises(ValueError):
+        judges.guard(rows, lines, "llama_guard", "hate")
+
+
+def test_secrets_in_json(spark):
+    doc = json.dumps({"api_key": "x", "password_length": 8, "pin": 1234, "note": "sk-" + "a1" * 12, "digest": "Zz9" * 14, "deep": [{"token": None}, "ghp_" + "b2" * 12]})
+    shown = json.loads(values(spark, [(doc, "")], safety.redact_json("output", keys=["NOTE"]))[0])
+    assert shown == {"api_key": "[REDACTED]", "password_length": 8, "pin": "[REDACTED]", "note": "[REDACTED]", "digest": "Zz9" * 14, "deep": [{"token": None}, "[REDACTED]"]}
+    found = values(spark, [(doc, ""), (None, ""), ("{broken", "")], safety.json_secrets("output"))
+    assert [(f.path, f.kind) for f in found[0]] == [("api_key", "secret_key_name"), ("password_length", "secret_key_name"), ("pin", "secret_key_name"), ("note", "openai_key"), ("deep[0].token", "secret_key_name"), ("deep[1]", "github_token")]
+    assert found[1:] == [[], []]
+    token = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF"
+    assert values(spark, [(f"x {token} y", "")], safety.redact(F.col("output"))) == ["x [REDACTED] y"]

@@ -150,6 +150,11 @@ def lexical_groundedness(output: Column | str, contexts: Column | str) -> Column
     return F.when(F.size(col(contexts)) > 0, T.bind(grounded, tokens, vocabulary))
 
 
+def likeliest(logprobs: Column | str) -> Column:
+    """0-based place of the choice with the highest log-likelihood; of equals the first."""
+    return (F.array_position(col(logprobs), F.array_max(col(logprobs))) - 1).cast("int")
+
+
 def perplexity(logprobs: Column | str) -> Column:
     """exp of the mean negative log-probability; null for no tokens. Lower is better."""
     n = F.size(col(logprobs))

@@ -109,3 +109,8 @@ def digest(c: Column | str, length: int = 64) -> Column:
 def json_path(c: Column | str, path: str) -> Column:
     """The value at a dotted path of a JSON text, as a string: keys, and [n] for items; null if there is none."""
     return F.get_json_object(col(c), f"$.{path}")
+
+
+def shared(a: Column, b: Column) -> Column:
+    """How many distinct tokens two arrays share."""
+    return F.size(F.array_intersect(a, b))

@@ -61,12 +61,6 @@ def permission(calls: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_calls"), F.avg((allowed & ~denied).cast("double")).alias("tool_permission"))
 
 
-def parallel_detection(calls: DataFrame) -> DataFrame:
-    """Turns of each episode (episode_id, turn) that hold two calls or more, and the share of turns they are."""
-    per_turn = calls.groupBy("episode_id", "turn").agg(F.count(F.lit(1)).alias("k"))
-    return per_turn.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(F.col("k") >= 2).alias("parallel_turns"), F.avg((F.col("k") >= 2).cast("double")).alias("parallel_share"))
-
-
 def reliability(trials: DataFrame, case: str, k: int = 2) -> DataFrame:
     """Verdict counts of each case's trials, pass@k, all-of-k, consistency, variance and the majority's verdict.
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from verdictframe.functions.scorers import MINIMIZE
 from verdictframe.operators.scoring import measured
@@ -110,45 +114,104 @@ def comparison_table(statistics: DataFrame, models: Sequence[str]) -> DataFrame:
     return wide.withColumn("winner", winner)
 
 
+def _check_resampling(n_resamples: int, confidence: float) -> None:
+    if n_resamples < 1:
+        raise ValueError(f"n_resamples must be at least 1, not {n_resamples}")
+    if not 0 < confidence < 1:
+        raise ValueError(f"confidence must lie between 0 and 1, not {confidence}")
+
+
+#: Differences this near to each other, or to zero, count as equal, beside a change of this size.
+TIE = 1e-9
+#: Fixed value: a change with a smaller p-value is significant.
+SIGNIFICANT = 0.05
+BOOTSTRAP = "n long, mean_baseline double, mean_candidate double, delta double, ci_low double, ci_high double, p_value double, significant boolean"
+
+
+def resampled(baseline: list[float], candidate: list[float], n_resamples: int, seed: int, confidence: float) -> tuple:
+    """A row of BOOTSTRAP: one seeded stream of picks; the interval is interpolated, and ties count as extreme."""
+    n = len(baseline)
+    if n < 2:
+        return (n, *[None] * 7)
+    differences = [c - b for b, c in zip(baseline, candidate, strict=True)]
+    observed = math.fsum(differences) / n
+    least = abs(observed) - TIE * max(1.0, abs(observed))
+    rng, means, extreme = random.Random(seed), [], 0
+    for _ in range(n_resamples):
+        picks = [rng.randrange(n) for _ in range(n)]
+        means.append(math.fsum(differences[i] for i in picks) / n)
+        extreme += abs(math.fsum(differences[i] - observed for i in picks) / n) >= least
+    tail, p = (1 - confidence) / 2, (extreme + 1) / (n_resamples + 1)
+    low, high = np.quantile(means, [tail, 1 - tail])
+    return n, math.fsum(baseline) / n, math.fsum(candidate) / n, observed, float(low), float(high), p, p < SIGNIFICANT
+
+
 def paired_bootstrap(pairs: DataFrame, by: Sequence[str], n_resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """Exact paired bootstrap of each group's (baseline, candidate) pairs: delta, interval and two-sided p-value.
+    """Exact paired bootstrap of each group's (baseline, candidate) pairs: both means, delta, interval, two-sided p-value.
 
     A group is one comparison and is resampled in one task, in the order of sample_id, with one seeded stream; this
-    is meant for groups that fit a task. poisson_bootstrap() has no such limit.
+    is meant for groups that fit a task. poisson_bootstrap() has no such limit. Fewer than two pairs give nulls.
     """
-    schema = ", ".join([*(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by), "n long, delta double, ci_low double, ci_high double, p_value double"])
+    _check_resampling(n_resamples, confidence)
+    schema = ", ".join([*(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by), BOOTSTRAP])
+    names = [part.split()[0] for part in BOOTSTRAP.split(", ")]
 
-    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample_id", kind="stable")
-        d = (pdf["candidate"] - pdf["baseline"]).tolist()
-        keys = {c: [pdf[c].iloc[0]] for c in by}
-        n = len(d)
-        if n < 2:
-            return pd.DataFrame({**keys, "n": [n], "delta": [d[0]], "ci_low": [None], "ci_high": [None], "p_value": [None]})
-        rng, observed = random.Random(seed), sum(d) / n
-        means = sorted(sum(d[rng.randrange(n)] for _ in range(n)) / n for _ in range(n_resamples))
-        extreme = sum(abs(m - observed) >= abs(observed) - 1e-9 for m in means)
-        tail = (1 - confidence) / 2
-        lo, hi = (means[min(n_resamples - 1, max(0, int(q * n_resamples)))] for q in (tail, 1 - tail))
-        return pd.DataFrame({**keys, "n": [n], "delta": [observed], "ci_low": [lo], "ci_high": [hi], "p_value": [(extreme + 1) / (n_resamples + 1)]})
-
-    return pairs.groupBy(*by).applyInPandas(resampled, schema)
-
-
-def poisson_bootstrap(pairs: DataFrame, by: Sequence[str], n_resamples: int = 200) -> DataFrame:
+        row = resampled(pdf["baseline"].tolist(), pdf["candidate"].tolist(), n_resamples, seed, confidence)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, **{k: [v] for k, v in zip(names, row, strict=True)}})
+
+    return pairs.groupBy(*by).applyInPandas(run, schema)
+
+
+#: Cumulative shares of Poisson(1).
+_POISSON = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119])
+
+
+def poisson_weights(keys: np.ndarray, n_resamples: int) -> np.ndarray:
+    """keys x resamples: how often each key is drawn, from a hash of the key and the resample's number."""
+    x = keys.astype(np.uint64)[:, None] + np.arange(1, n_resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(33))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    return np.searchsorted(_POISSON, u, side="right")
+
+
+def poisson_bootstrap(pairs: DataFrame, by: Sequence[str], n_resamples: int = 200, confidence: float = 0.95) -> DataFrame:
     """Approximate paired bootstrap for groups of any size: each row gets a Poisson(1) weight in each resample.
 
-    Weights come from a hash of the sample and the resample's number, so they don't depend on partitions; each
-    resample is a partial aggregate, and nothing larger than a group's n_resamples means is brought together.
+    Weights come from a hash of the sample and the resample's number, so they don't depend on partitions. Each task
+    sums its rows to one vector of n_resamples weights and one of weighted differences a group; only these are shuffled.
     """
-    u = (F.pmod(F.xxhash64("sample_id", "b"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    cumulative = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum(((u > c).cast("int") for c in cumulative), F.lit(0))
-    drawn = pairs.select(*by, "sample_id", (F.col("candidate") - F.col("baseline")).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("b")).withColumn("w", weight)
-    means = drawn.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"), F.avg("d").alias("observed"), F.count(F.lit(1)).alias("n"))
-    extreme = F.count_if(F.abs(F.col("m") - F.col("observed")) >= F.abs("observed") - 1e-9)
+    _check_resampling(n_resamples, confidence)
+    rows = pairs.select(*by, F.xxhash64("sample_id").alias("key__"), (F.col("candidate") - F.col("baseline")).cast("double").alias("d__"))
+    keys = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups = list(zip(*(c.to_pylist() for c in batch.columns[:-2]), strict=True)) if by else [()] * batch.num_rows
+            key, d = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            at: dict[tuple, list[int]] = {}
+            for i, g in enumerate(groups):
+                at.setdefault(g, []).append(i)
+            for g, places in at.items():
+                for lo in range(0, len(places), 4096):
+                    part = places[lo : lo + 4096]
+                    w = poisson_weights(key[part], n_resamples)
+                    x = np.stack([w.sum(0), d[part] @ w, np.full(n_resamples, len(part)), np.full(n_resamples, d[part].sum())])
+                    total[g] = total[g] + x if g in total else x
+        for g, x in total.items():
+            columns = [pa.array([v] * n_resamples, t) for v, t in zip(g, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n_resamples)), *(pa.array(r.astype(float)) for r in x)], names=[*by, "b", "w", "wd", "n", "d"])
+
+    kinds = [to_arrow_type(pairs.schema[c].dataType) for c in by]
+    partial = rows.mapInArrow(sums, f"{keys}{', ' if by else ''}b long, w double, wd double, n double, d double")
+    means = partial.groupBy(*by, "b").agg(F.try_divide(F.sum("wd"), F.sum("w")).alias("m"), (F.sum("d") / F.sum("n")).alias("observed"), F.sum("n").cast("long").alias("n"))
+    extreme = F.count_if(F.abs(F.col("m") - F.col("observed")) >= F.abs("observed") - TIE * F.greatest(F.lit(1.0), F.abs("observed")))
+    tail = (1 - confidence) / 2
     return means.groupBy(*by).agg(
-        F.max("n").alias("n"), F.first("observed").alias("delta"), F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"), ((extreme + 1) / (n_resamples + 1)).alias("p_value")
+        F.max("n").alias("n"), F.first("observed").alias("delta"), F.percentile("m", tail).alias("ci_low"), F.percentile("m", 1 - tail).alias("ci_high"), ((extreme + 1) / (n_resamples + 1)).alias("p_value")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.functions import matching as M
 from verdictframe.operators import agents as A
+from verdictframe.operators import reports as O  # noqa: N812
 from verdictframe.plans.registry import query, table
 
 _CALLS = "WITH c AS (SELECT user_id AS episode_id, event_id, event_type AS name, props, event_type || ':' || props AS call_key, value, ts, date_trunc('hour', ts) AS turn FROM events)"
@@ -41,9 +42,21 @@ def agt07_tool_permission(spark, sf_dir):
     return A.permission(c, rules).withColumn("tool_permission", F.round("tool_permission", 6))
 
 
-@query(_CALLS + ", t AS (SELECT episode_id, turn, count(*) AS k FROM c GROUP BY 1, 2) SELECT episode_id, count(*) AS n_turns, count(*) FILTER (WHERE k >= 2) AS parallel_turns, round(avg(CASE WHEN k >= 2 THEN 1.0 ELSE 0 END), 6) AS parallel_share FROM t GROUP BY 1")
+@query(
+    _CALLS
+    + """, p AS (SELECT episode_id, turn, count(*) FILTER (WHERE value >= 20) AS p, count(*) FILTER (WHERE value < 60) AS r FROM c GROUP BY 1, 2)
+SELECT episode_id, CASE WHEN (max(p) >= 2) = (max(r) >= 2) THEN 1.0::DOUBLE ELSE 0 END AS parallel_detection FROM p GROUP BY 1 HAVING max(r) > 0"""
+)
 def agt03_parallel_detection(spark, sf_dir):
-    return A.parallel_detection(calls(spark, sf_dir)).withColumn("parallel_share", F.round("parallel_share", 6))
+    c = calls(spark, sf_dir)
+    return M.parallel_tool_calls(c.where("value >= 20"), c.where("value < 60")).select("episode_id", "parallel_detection")
+
+
+@query(None)
+def agt03_parallel_calls(spark, sf_dir):
+    """Recall, precision and detection of parallel groups: calls of one hour are a turn."""
+    c = calls(spark, sf_dir)
+    return M.parallel_tool_calls(c.where("value >= 20"), c.where("value < 60"))
 
 
 @query(None)
@@ -88,21 +101,21 @@ def epi03_outcome(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), A.resolve_outcome(oracle, judge).alias("outcome"))
 
 
-@query("WITH k AS (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS a, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY 1) SELECT conv_id AS episode_id, CASE WHEN a > 0 AND s > 0 THEN 'full' WHEN a > 0 THEN 'answer_only' ELSE 'none' END AS coverage FROM k")
+@query("WITH k AS (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS a, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY 1) SELECT conv_id AS episode_id, CASE WHEN a > 0 AND s > 0 AND u > 2 THEN 'full' WHEN s > 0 THEN 'tool_names_only' WHEN a > 0 THEN 'answer_only' ELSE 'none' END AS coverage FROM k")
 def epi06_coverage_label(spark, sf_dir):
     def has(role):
         return F.bool_or(F.col("role") == role)
 
-    k = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("episode_id")).agg(has("assistant").alias("a"), has("system").alias("s"))
-    return k.select("episode_id", F.when(F.col("a") & F.col("s"), "full").when(F.col("a"), "answer_only").otherwise("none").alias("coverage"))
+    k = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("episode_id")).agg(has("assistant").alias("a"), has("system").alias("s"), (F.count_if(F.col("role") == "user") > 2).alias("u"))
+    return k.select("episode_id", O.coverage_label(F.col("a"), F.col("s"), F.col("u")).alias("coverage"))
 
 
 @query("SELECT o_custkey AS case_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def epi10_duplicate_cases(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return O.duplicates(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id")), "case_id")
 
 
 @query("SELECT count(*) AS unpaired FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def join16_pairing_coverage(spark, sf_dir):
     results = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("call_id"))
-    return results.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id")), "call_id", "left_anti").agg(F.count(F.lit(1)).alias("unpaired"))
+    return O.unpaired(results, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id")), "call_id")
\ No newline at end of file

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdictframe.operators import prompts as P
+from verdictframe.operators import splits as S
+from verdictframe.sources.datasets import inspect, unpivot_languages
 from verdictframe.plans.registry import query, table
 from verdictframe.plans.text import CONV
 from verdictframe.plans.registry import plain, view
@@ -65,28 +67,27 @@ def flt01_applicable(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", P.applicable("text", "lang").alias("applicable"))
 
 
-@query("SELECT event_id, lang_key, CAST(v AS DOUBLE) AS v FROM (SELECT event_id, unnest(['value', 'double']) AS lang_key, unnest([value, value * 2]) AS v FROM events)")
+@query("WITH w AS (SELECT event_id, event_type AS en, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE upper(event_type) END AS de, CASE WHEN event_id % 5 > 0 THEN 'x' END AS fr FROM events), l AS (UNPIVOT w ON en, de, fr INTO NAME lang VALUE input) SELECT event_id, lang, input FROM l WHERE trim(input) <> ''")
 def src10_unpivot(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "value", (F.col("value") * 2).alias("double"))
-    return rows.unpivot(["event_id"], ["value", "double"], "lang_key", "v")
+    """Wide prompts in three languages, some of them blank."""
+    wide = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("en"), F.when(F.col("event_id") % 3 == 0, F.lit(" ")).otherwise(F.upper("event_type")).alias("de"), F.when(F.col("event_id") % 5 > 0, F.lit("x")).alias("fr"))
+    return unpivot_languages(wide, "event_id", ["en", "de", "fr"])
 
 
 @query("SELECT o_orderkey AS sample_id, instr('ABCDE', chr(CAST(64 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS INTEGER))) - 1 AS target FROM orders")
 def src12_answer_letters(spark, sf_dir):
     letter = F.element_at(F.array(*map(F.lit, "ABCDE")), F.substring("o_orderpriority", 1, 1).cast("int"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.instr(F.lit("ABCDE"), letter) - 1).cast("long").alias("target"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), S.answer_index(letter).alias("target"))
 
 
 @query("SELECT u.conv_id, u.turn, a.turn AS answer_turn FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
 def src15_turn_pairs(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lead("turn").over(w).alias("answer_turn"), F.lead("role").over(w).alias("next"))
-    return rows.where("role = 'user' and next = 'assistant' and answer_turn = turn + 1").select("conv_id", "turn", "answer_turn")
+    return S.turn_pairs(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "answer_turn")
 
 
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS n_conversations FROM conversations GROUP BY 1")
 def src16_inspect(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("n_conversations"))
+    return inspect(table(spark, sf_dir, "conversations"), "role", "conv_id")
 
 
 @query("SELECT c_custkey, c_acctbal, coalesce(s1.s_suppkey, s2.s_suppkey) AS answer_id FROM customer c LEFT JOIN supplier s1 ON s1.s_suppkey = c.c_custkey LEFT JOIN (SELECT min(s_suppkey) AS s_suppkey, s_nationkey FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)) GROUP BY s_nationkey) s2 ON s1.s_suppkey IS NULL AND s2.s_nationkey = c.c_nationkey")

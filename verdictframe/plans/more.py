@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdictframe.functions import structured as J
@@ -12,7 +11,11 @@ from verdictframe.functions.phrases import any_pattern
 from verdictframe.functions import text as T
 from verdictframe.operators import comparison as C
 from verdictframe.operators import redteam as X
+from verdictframe.operators import reports as O  # noqa: N812
+from verdictframe.operators import splits as P
+from verdictframe.operators.judges import label_probabilities
 from verdictframe.operators.refusals import patterns
+from verdictframe.operators.safety import red_team_summary
 from verdictframe.plans.agents import calls
 from verdictframe.plans.comparisons import _MSTATS, model_stats
 from verdictframe.plans.registry import query, table, view
@@ -41,16 +44,13 @@ def txt25_field_f1(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents) WHERE rn <= floor(n * 0.7)")
 def flt02_first_in_order(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    cut = d.agg(F.percentile("doc_id", 0.0).alias("least"), F.count(F.lit(1)).alias("n")).first()
-    return d.where(F.col("doc_id") < F.lit(int(cut["least"]) + int(cut["n"] * 0.7)))
+    return P.first_share(table(spark, sf_dir, "documents").select("doc_id", "lang"), 0.7, "doc_id")
 
 
 @query("SELECT event_id, (value < 1 AND event_type IN ('error', 'view')) AS no_answer FROM events")
 def flt07_no_answer(spark, sf_dir):
     reason = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "length")
-    failed = (F.col("value") < 1) & F.coalesce(reason.isin("length", "error", "abort", "content_filter"), F.lit(False))
-    return table(spark, sf_dir, "events").select("event_id", failed.alias("no_answer"))
+    return table(spark, sf_dir, "events").select("event_id", O.no_answer(F.col("value") < 1, reason).alias("no_answer"))
 
 
 @query("SELECT conv_id, CASE WHEN a = 0 THEN 'trace.tool_calls' WHEN s = 0 THEN 'case.allowed_tools' END AS missing FROM (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS a, count(*) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY 1)")
@@ -59,33 +59,32 @@ def flt08_eligibility(spark, sf_dir):
         return F.count_if(F.col("role") == role)
 
     k = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(n("assistant").alias("a"), n("system").alias("s"))
-    return k.select("conv_id", F.when(F.col("a") == 0, "trace.tool_calls").when(F.col("s") == 0, "case.allowed_tools").alias("missing"))
+    return O.eligibility(k, {"trace.tool_calls": F.col("a") > 0, "case.allowed_tools": F.col("s") > 0}).select("conv_id", "missing")
 
 
 @query("SELECT o_custkey AS case_id, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END), 6) AS rate FROM orders GROUP BY 1 HAVING avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END) >= 0.5")
 def flt09_disagreements(spark, sf_dir):
-    rate = F.avg((F.col("o_orderstatus") == "F").cast("double"))
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(rate.alias("rate")).where("rate >= 0.5").withColumn("rate", F.round("rate", 6))
+    verdicts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.lit("O").alias("one"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("other"))
+    rates = O.disagreement(verdicts, "case_id").select("case_id", F.col("disagreement_rate").alias("rate"))
+    return O.at_least(rates, "rate", 0.5).withColumn("rate", F.round("rate", 6))
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS passed, round(count(*) FILTER (WHERE quality = 1)::DOUBLE / count(*), 6) AS pass_rate FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
 def agg27_pass_rates(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return joined.rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("passed"), F.round(F.count_if(F.col("quality") == 1) / F.count(F.lit(1)), 6).alias("pass_rate"))
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", (F.col("quality") == 1).alias("passed"))
+    return O.pass_rates(joined, "lang").withColumn("pass_rate", F.round("pass_rate", 6))
 
 
 #: Results of another harness: 'metric,filter' keys in a map, one of them a standard error.
 @query("SELECT c_mktsegment || ':' || 'acc' AS name, round(avg(c_acctbal), 6) AS value FROM customer GROUP BY c_mktsegment UNION ALL SELECT c_mktsegment || ':' || 'acc_norm', round(max(c_acctbal), 6) FROM customer GROUP BY c_mktsegment")
 def agg31_harness_results(spark, sf_dir):
     raw = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.create_map(F.lit("acc,none"), F.avg("c_acctbal"), F.lit("acc_stderr,none"), F.stddev("c_acctbal"), F.lit("acc_norm,strict"), F.max("c_acctbal")).alias("results"))
-    each = raw.select("c_mktsegment", F.explode("results").alias("key", "value")).where("key not like '%\\_stderr,%'")
-    return each.select(F.concat_ws(":", "c_mktsegment", F.substring_index("key", ",", 1)).alias("name"), F.round("value", 6).alias("value"))
+    return O.harness_results(raw, "c_mktsegment").withColumn("value", F.round("value", 6))
 
 
 @query("SELECT conv_id, turn, len(list_intersect(regexp_split_to_array(input, ' '), regexp_split_to_array(output, ' ')))::BIGINT AS shared FROM (SELECT u.conv_id, u.turn, u.text AS input, a.text AS output FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')")
 def set04_shared_tokens(spark, sf_dir):
-    a, b = F.split("input", " "), F.split("output", " ")
-    return view(spark, sf_dir, CONV).select("conv_id", "turn", F.size(F.array_intersect(a, b)).cast("long").alias("shared"))
+    return view(spark, sf_dir, CONV).select("conv_id", "turn", T.shared(F.split("input", " "), F.split("output", " ")).cast("long").alias("shared"))
 
 
 @query(r"""WITH p AS (SELECT u.conv_id, u.turn, u.text AS input, a.text AS output FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
@@ -97,21 +96,19 @@ def set05_multiset_overlap(spark, sf_dir):
 
 @query("SELECT l_orderkey AS source_id, count(DISTINCT l_linestatus) AS n_values FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) > 1")
 def set08_lineage_conflicts(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source_id")).agg(F.count_distinct("l_linestatus").alias("n_values")).where("n_values > 1")
+    return O.lineage_conflicts(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), "l_linestatus"), "source_id", "l_linestatus")
 
 
 @query(_MSTATS + " SELECT name, model, round(mean, 6) AS score, n, round(std, 6) AS std, row_number() OVER (PARTITION BY name ORDER BY mean DESC, model) AS place FROM s")
 def cmp05_per_metric(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("mean"), "model")).cast("long")
-    return model_stats(spark, sf_dir).select("name", "model", F.round("mean", 6).alias("score"), "n", F.round("std", 6).alias("std"), place.alias("place"))
+    return O.per_metric(model_stats(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("score", "std")})
 
 
 @query("SELECT c_mktsegment AS model, count(*) AS n_calls, round(avg(o_totalprice), 4) AS mean_ms, round(quantile_cont(o_totalprice, 0.95), 4) AS p95_ms, round(count(*) / (sum(o_totalprice) / 1000), 9) AS per_second FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def cmp07_performance_table(spark, sf_dir):
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy(F.col("c_mktsegment").alias("model")).agg(
-        F.count(F.lit(1)).alias("n_calls"), F.round(F.avg("o_totalprice"), 4).alias("mean_ms"), F.round(F.percentile("o_totalprice", 0.95), 4).alias("p95_ms"), F.round(F.count(F.lit(1)) / (F.sum("o_totalprice") / 1000), 9).alias("per_second")
-    )
+    found = O.performance_table(joined.select(F.col("c_mktsegment").alias("model"), "o_totalprice"), "model", "o_totalprice")
+    return found.withColumns({"mean_ms": F.round("mean_ms", 4), "p95_ms": F.round("p95_ms", 4), "per_second": F.round("per_second", 9)})
 
 
 @query("WITH f AS (SELECT o_custkey, avg(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), g AS (SELECT o_custkey, avg(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT f.o_custkey AS case_id, round(g.m / f.m, 6) AS retention FROM f JOIN g ON f.o_custkey = g.o_custkey")
@@ -121,19 +118,18 @@ def cmp04_retention(spark, sf_dir):
     return f.join(g, "o_custkey").select(F.col("o_custkey").alias("case_id"), F.round(C.retention(F.col("g"), F.col("f")), 6).alias("retention"))
 
 
-@query("SELECT c_custkey, round(CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 0.9 * 1.0 + 0.1 * 0.5 WHEN 'MACHINERY' THEN 0.6 * 0.5 + 0.4 * 0.0 ELSE 1.0 END AS DOUBLE), 6) AS score FROM customer")
+@query("SELECT c_custkey, round(CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 0.9 * 1.0 + 0.1 * 0.5 WHEN 'MACHINERY' THEN 0.6 * 0.5 + 0.4 * 0.0 ELSE 1.0 END AS DOUBLE), 6) AS score, CASE c_mktsegment WHEN 'MACHINERY' THEN 'fair' ELSE 'good' END AS label FROM customer")
 def jdg13_label_probabilities(spark, sf_dir):
-    """Expected score of label probabilities: the sum over labels of probability times the label's score."""
-    p = F.when(F.col("c_mktsegment") == "BUILDING", F.create_map(F.lit("good"), F.lit(0.9), F.lit("fair"), F.lit(0.1))).when(F.col("c_mktsegment") == "MACHINERY", F.create_map(F.lit("fair"), F.lit(0.6), F.lit("bad"), F.lit(0.4))).otherwise(F.create_map(F.lit("good"), F.lit(1.0), F.lit("bad"), F.lit(0.0)))
-    label_score = F.create_map(F.lit("good"), F.lit(1.0), F.lit("fair"), F.lit(0.5), F.lit("bad"), F.lit(0.0))
-    score = F.aggregate(F.map_entries(p), F.lit(0.0), lambda acc, e: acc + e["value"] * F.element_at(label_score, e["key"]))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(score, 6).alias("score"))
+    """Expected score and likeliest label of label probabilities, with labels of the encoder's own names."""
+    p = F.when(F.col("c_mktsegment") == "BUILDING", F.create_map(F.lit("LABEL_0"), F.lit(0.9), F.lit("fair"), F.lit(0.1))).when(F.col("c_mktsegment") == "MACHINERY", F.create_map(F.lit("fair"), F.lit(0.6), F.lit("bad"), F.lit(0.4))).otherwise(F.create_map(F.lit("LABEL_0"), F.lit(0.5), F.lit("other"), F.lit(0.5)))
+    found = label_probabilities(p, {"good": 1.0, "fair": 0.5, "bad": 0.0}, {"LABEL_0": "good"})
+    return table(spark, sf_dir, "customer").select("c_custkey", found.alias("f")).select("c_custkey", F.round("f.value", 6).alias("score"), "f.label")
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(text, '`') OR contains(text, '(') THEN regexp_extract(text, '^([^`(]*)', 1) ELSE text END AS answer FROM conversations WHERE role = 'assistant'")
+@query("SELECT conv_id, turn, text AS answer FROM conversations WHERE role = 'assistant'")
 def prj11_thinking_strip(spark, sf_dir):
-    answer = F.split(T.strip_thinking("text"), "[`(]")[0]
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", answer.alias("answer"))
+    replies = F.concat(F.lit("<think>"), F.col("role"), F.lit("</think>"), F.col("text"))
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.strip_thinking(replies).alias("answer"))
 
 
 @query("SELECT page_id, coalesce(nullif(regexp_extract(url, '/([0-9]+)[.]html', 1), ''), url) AS scored FROM pages")
@@ -158,7 +154,8 @@ def agt13_render_trace(spark, sf_dir):
 
 @query("SELECT u.user_id AS probe, count(*) AS total, count(*) FILTER (WHERE value > 300) AS invalid FROM events u GROUP BY 1")
 def rtm03_invalid_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("probe")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") > 300).alias("invalid"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("probe"), (F.col("value") > 300).alias("invalid"), F.lit(True).alias("passed"))
+    return red_team_summary(rows, "probe").select("probe", "total", "invalid")
 
 
 def _detect_sql() -> str:

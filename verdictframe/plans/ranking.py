@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from verdictframe.functions.scorers import cosine
+from verdictframe.functions.scorers import cosine, likeliest
 from verdictframe.operators import agents as A
+from verdictframe.operators import reports as O  # noqa: N812
 from verdictframe.operators import retrieval as R
+from verdictframe.operators import splits as P
 from verdictframe.plans.registry import query, table
 
 K = 20
@@ -106,12 +108,9 @@ def win01_duplicates_hold_place(spark, sf_dir):
 
 @query("WITH g AS (SELECT l_orderkey AS query_id, l_quantity AS grade, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS rank, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS best FROM lineitem) SELECT query_id, round(sum(grade / log2(rank + 1)) / sum(grade / log2(best + 1)), 6) AS ndcg FROM g GROUP BY 1")
 def win03_ndcg(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey")
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("query_id"), F.col("l_quantity").alias("grade"), F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_extendedprice")).alias("rank"), F.row_number().over(w.orderBy(F.desc("l_quantity"))).alias("best")
-    )
-    gain = F.sum(F.col("grade") / F.log2(F.col("rank") + 1)) / F.sum(F.col("grade") / F.log2(F.col("best") + 1))
-    return rows.groupBy("query_id").agg(F.round(gain, 6).alias("ndcg"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.row_number().over(w).alias("rank"), F.col("l_quantity").alias("grade")).withColumn("item", F.col("rank"))
+    return R.retrieval_scores(rows.select("query_id", "item", "rank"), rows.select("query_id", "item", "grade")).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
 def episodes(spark, sf_dir):
@@ -131,22 +130,19 @@ def win06_turns(spark, sf_dir):
 
 @query("SELECT o_custkey AS case_id, min(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 ELSE 5 END) AS first_failing FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
 def win08_first_failing_stage(spark, sf_dir):
-    stage = F.substring("o_orderpriority", 1, 1).cast("int")
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("case_id")).agg(F.min(stage).alias("first_failing"))
+    checks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("stage"), (F.col("o_orderstatus") == "O").alias("failed"))
+    return O.first_failing_stage(checks, "case_id")
 
 
 @query("SELECT case_id, o_orderkey AS episode_id, trial FROM (SELECT o_custkey AS case_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS trial FROM orders) WHERE trial <= 3")
 def win10_first_trials(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("episode_id"), F.row_number().over(w).alias("trial")).where("trial <= 3").withColumn("trial", F.col("trial").cast("long"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("episode_id"), "o_orderdate")
+    return P.limit_per_group(rows, ["case_id"], 3, "o_orderdate", "episode_id").select("case_id", "episode_id", F.col("place").alias("trial"))
 
 
 @query("SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_user, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS last_assistant FROM conversations GROUP BY 1")
 def win11_last_turns(spark, sf_dir):
-    def last(role):
-        return F.max_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn"))).alias(f"last_{role}")
-
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(last("user"), last("assistant"))
+    return P.last_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["user", "assistant"])
 
 
 @query(None)
@@ -159,17 +155,18 @@ def win07_elo(spark, sf_dir):
 
 @query("SELECT c_mktsegment AS task, c_custkey AS case_id, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= 10")
 def flt12_limit_per_group(spark, sf_dir):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("task"), F.col("c_custkey").alias("case_id"), F.row_number().over(w).alias("place")).where("place <= 10").withColumn("place", F.col("place").cast("long"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("task"), F.col("c_custkey").alias("case_id"), "c_acctbal")
+    return P.limit_per_group(rows, ["task"], 10, F.desc("c_acctbal"), "case_id").drop("c_acctbal")
 
 
 @query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r")
 def flt03_stratified_split(spark, sf_dir):
-    w = Window.partitionBy("lang")
-    i, n = F.row_number().over(w.orderBy("doc_id")) - 1, F.count(F.lit(1)).over(w)
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", i.alias("i"), n.alias("n"))
-    train, val = F.floor(F.col("n") * 0.8), F.floor(F.col("n") * 0.1)
-    return rows.select("doc_id", F.when(F.col("i") < train, "train").when(F.col("i") < train + val, "val").otherwise("test").alias("split"))
+    return P.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), (0.8, 0.1, 0.1), "lang", "doc_id").drop("lang")
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r")
+def flt03_sequential_split(spark, sf_dir):
+    return P.sequential_split(table(spark, sf_dir, "documents").select("doc_id"), (0.8, 0.1, 0.1), "doc_id")
 
 
 @query("SELECT case_id, priority FROM (SELECT o_custkey AS case_id, 100 * count(*) FILTER (WHERE o_orderstatus = 'F') + 5 * count(*) FILTER (WHERE o_orderstatus = 'P') + round(sum(o_totalprice) / 1e7, 6) AS priority FROM orders GROUP BY 1) ORDER BY priority DESC, case_id LIMIT 25")
@@ -185,4 +182,4 @@ def srt03_review_queue(spark, sf_dir):
 @query("SELECT o_orderkey AS sample_id, list_position([o_totalprice, o_custkey * 100.0, o_orderkey * 10.0], greatest(o_totalprice, o_custkey * 100.0, o_orderkey * 10.0)) - 1 AS choice FROM orders")
 def srt07_loglikelihood_argmax(spark, sf_dir):
     lp = F.array(F.col("o_totalprice"), F.col("o_custkey") * 100.0, F.col("o_orderkey") * 10.0)
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.array_position(lp, F.array_max(lp)) - 1).cast("int").alias("choice"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), likeliest(lp).alias("choice"))
\ No newline at end of file

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdictframe.functions.scorers import Scorer, contains, exact_match, starts_with, token_overlap
+from verdictframe.operators import reports as O  # noqa: N812
 from verdictframe.operators import scoring as R
+from verdictframe.operators.agents import best_route
 from verdictframe.plans.registry import query, table, view
 from verdictframe.plans.text import QA, WORDS
 
@@ -116,13 +118,13 @@ def agg07_failed_zeros(spark, sf_dir):
 
 @query("SELECT event_type AS model, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total_tokens, count(*) AS n_calls FROM events GROUP BY 1")
 def agg08_token_usage(spark, sf_dir):
-    tokens = F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0).cast("long"))
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.sum(tokens).alias("total_tokens"), F.count(F.lit(1)).alias("n_calls"))
+    calls = table(spark, sf_dir, "events").withColumnRenamed("event_type", "model")
+    return O.token_usage(calls, "model", F.get_json_object("props", "$.k").try_cast("long"))
 
 
 @query("SELECT event_type AS metric, count(*) AS n_errors FROM events WHERE value > 200 GROUP BY 1")
 def agg09_error_census(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value > 200").groupBy(F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("n_errors"))
+    return O.error_census(table(spark, sf_dir, "events").where("value > 200").select(F.col("event_type").alias("metric")))
 
 
 _TRIALS = "SELECT o_custkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failure' ELSE 'unknown' END AS verdict FROM {orders}"
@@ -150,23 +152,40 @@ def agg20_pass_at_k(spark, sf_dir):
     return counts.agg(F.round(F.avg(R.pass_at_k(n, F.col("s"), 2)), 6).alias("mean_pass_at_2"), F.count_if(F.col("s") == F.col("f")).alias("ties"), F.count(F.lit(1)).alias("n_cases"))
 
 
-@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
+@query(
+    """WITH r AS (SELECT l_orderkey AS e, l_linenumber AS r, round(max(l_discount) * 20) AS f1, round(max(l_tax) * 20) AS rec FROM lineitem GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY f1 DESC, rec DESC, r) AS place, count(*) OVER (PARTITION BY e) AS n, count(*) OVER (PARTITION BY e, f1) AS t1, count(*) OVER (PARTITION BY e, f1, rec) AS t2 FROM r)
+SELECT r AS route_no, CASE WHEN t1 = 1 THEN 'f1' WHEN t2 = 1 THEN 'recall' ELSE 'place' END AS decided_by, count(*) AS n FROM k WHERE place = 1 AND n > 1 GROUP BY 1, 2"""
+)
 def agg11_route_distribution(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    """Which route each order took: its lines are routes whose fits are their discount and tax, rounded so that they tie."""
+    li = table(spark, sf_dir, "lineitem")
+    routes = li.groupBy(F.col("l_orderkey").alias("episode_id"), F.col("l_linenumber").alias("route_no")).agg(F.round(F.max("l_discount") * 20).alias("f1"), F.round(F.max("l_tax") * 20).alias("recall"), F.lit(0.0).alias("strict"), F.lit(1.0).alias("in_order"))
+    return O.route_distribution(best_route(routes))
 
 
-@query("SELECT o_custkey AS case_id, round(median(o_totalprice), 6) AS median_latency, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_completed, count(*) AS n FROM orders GROUP BY 1")
+@query(
+    """SELECT o_custkey AS case_id, round(median(o_totalprice), 6) AS median_latency, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_success, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_failure,
+ count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS n_unknown, 0::BIGINT AS n_error, count(*) FILTER (WHERE o_orderpriority <> '5-LOW') AS n_completed, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n_full FROM orders GROUP BY 1"""
+)
 def agg19_agent_summary(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.round(F.median("o_totalprice"), 6).alias("median_latency"), F.count_if(F.col("o_orderstatus") == "F").alias("n_completed"), F.count(F.lit(1)).alias("n"))
+    verdict = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failure").otherwise("unknown")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), verdict.alias("verdict"), F.when(F.col("o_orderpriority") != "5-LOW", "completed").alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", "full").alias("coverage"), F.col("o_totalprice").alias("latency"))
+    return O.agent_summary(rows, "case_id").withColumn("median_latency", F.round("median_latency", 6))
 
 
-@query("SELECT o_custkey AS case_id, round(avg(CASE WHEN o_orderstatus <> substr(o_orderpriority, 1, 1) THEN 1.0 ELSE 0 END), 6) AS disagreement_rate, count(*) FILTER (WHERE o_orderstatus <> substr(o_orderpriority, 1, 1)) AS n_disagree FROM orders GROUP BY 1")
+@query(
+    """WITH v AS (SELECT o_custkey AS case_id, o_orderstatus AS a, CASE WHEN o_orderpriority = '1-URGENT' THEN 'F' WHEN o_orderpriority <> '5-LOW' THEN 'O' END AS b FROM orders),
+k AS (SELECT case_id, a || '->' || b AS kind, count(*) AS k FROM v WHERE a <> b GROUP BY 1, 2), s AS (SELECT case_id, string_agg(kind || '=' || k, ',' ORDER BY kind) AS kinds, CAST(sum(k) AS BIGINT) AS n FROM k GROUP BY 1)
+SELECT v.case_id, round(coalesce(max(n)::DOUBLE / nullif(count(b), 0), 0), 6) AS disagreement_rate, coalesce(max(n), 0) AS n_disagree, coalesce(max(kinds), '') AS kinds FROM v LEFT JOIN s ON v.case_id = s.case_id GROUP BY 1"""
+)
 def agg18_disagreement(spark, sf_dir):
-    differ = F.col("o_orderstatus") != F.substring("o_orderpriority", 1, 1)
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.round(F.avg(differ.cast("double")), 6).alias("disagreement_rate"), F.count_if(differ).alias("n_disagree"))
+    verdicts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderstatus").alias("one"), F.when(F.col("o_orderpriority") != "5-LOW", F.when(F.col("o_orderpriority") == "1-URGENT", "F").otherwise("O")).alias("other"))
+    found = O.disagreement(verdicts, "case_id")
+    return found.select("case_id", F.round("disagreement_rate", 6).alias("disagreement_rate"), "n_disagree", F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("kinds"))
 
 
 @query("WITH h AS (SELECT o_custkey AS experiment, o_orderstatus AS run, avg(o_totalprice) AS headline FROM orders GROUP BY 1, 2) SELECT experiment, round(avg(headline), 4) AS mean_headline FROM h GROUP BY 1")
 def agg15_experiment_mean(spark, sf_dir):
-    headline = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.avg("o_totalprice").alias("headline"))
-    return headline.groupBy(F.col("o_custkey").alias("experiment")).agg(F.round(F.avg("headline"), 4).alias("mean_headline"))
+    found = O.experiment_mean(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "experiment"), "experiment", "o_orderstatus", "o_totalprice")
+    return found.withColumn("mean_headline", F.round("mean_headline", 4))
\ No newline at end of file

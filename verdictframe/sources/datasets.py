@@ -153,3 +153,8 @@ def unpivot_languages(df: DataFrame, id_col: str, languages: list[str], limit: i
     rows = df if limit is None else df.orderBy(id_col).limit(limit)
     long = rows.unpivot([id_col], languages, "lang", "input")
     return long.where(F.length(F.trim("input")) > 0)
+
+
+def inspect(df: DataFrame, by: str, group: str) -> DataFrame:
+    """What a dataset holds: n rows and n_conversations (distinct groups) of each kind."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("n_conversations"))
