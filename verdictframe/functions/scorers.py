@@ -110,7 +110,13 @@ def f1_score(output: Column | str, target: Column | str, normalize: bool = True)
 
 def token_overlap(output: Column | str, target: Column | str) -> Column:
     """Jaccard similarity of the token sets; two empty texts score 1."""
-    return V.jaccard(output, target)
+
+    def share(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        together = F.size(a) + F.size(b) - both
+        return F.when(together == 0, F.lit(1.0)).otherwise(both / together)
+
+    return T.bind(share, F.array_distinct(T.split(_text(output))), F.array_distinct(T.split(_text(target))))
 
 
 def bm25_similarity(output: Column | str, target: Column | str) -> Column:
@@ -193,8 +199,11 @@ def toxicity_score(output: Column | str, stems: list[str] | None = None) -> Colu
 def representation_skew(output: Column | str, terms: dict[str, dict[str, list[str]]] | None = None) -> Column:
     """Mean over the axes mentioned of the distance from an even spread over the groups present; lower is better."""
     axes = []
-    words = F.filter(F.split(F.lower(col(output)), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w != "")
-    for groups in (SKEW_TERMS if terms is None else terms).values():
+    chosen = SKEW_TERMS if terms is None else terms
+    named = sorted({w for groups in chosen.values() for words in groups.values() for w in words})
+    # one pass over the words; the groups are counted among the few that are left
+    words = F.filter(F.split(F.lower(col(output)), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w.isin(named))
+    for groups in chosen.values():
 
         def spread(tokens: Column, groups: dict[str, list[str]] = groups) -> Column:
             counts = F.array(*(among(tokens, w) for w in groups.values()))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from verdictframe.operators.scoring import pass_at_k, pass_hat_k
 
@@ -114,25 +118,36 @@ def resolve_outcome(oracle: Column, judge: Column) -> Column:
 
 
 def elo(results: DataFrame, group: str, k: float = 32.0, initial: float = 1000.0) -> DataFrame:
-    """Mean rating of each group's players after its results (winner, loser) in the order of seq, held to 0..2000.
+    """elo_score: the mean rating of each group's players after its results (winner, loser) in the order of seq, held to 0..2000.
 
-    The fold is sequential by definition: a group's results are one ordered array.
+    The fold is sequential by definition: a group's results pass through one task as a sorted stream, of which the
+    task holds the ratings of the group's players and nothing else.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "winner", "loser")))
-    start = F.create_map().cast("map<string,double>")
-
-    def rating(ratings: Column, player: Column) -> Column:
-        return F.coalesce(F.try_element_at(ratings, player), F.lit(initial))
-
-    def play(ratings: Column, r: Column) -> Column:
-        w, l = rating(ratings, r["winner"]), rating(ratings, r["loser"])  # noqa: E741
-        gain = k * (1 - 1 / (1 + F.pow(F.lit(10.0), (l - w) / 400)))
-        others = F.map_filter(ratings, lambda p, _: (p != r["winner"]) & (p != r["loser"]))
-        return F.map_concat(others, F.when(r["winner"] != r["loser"], F.map_from_arrays(F.array(r["winner"], r["loser"]), F.array(w + gain, l - gain))).otherwise(F.map_from_arrays(F.array(r["winner"]), F.array(w))))
 
-    values = F.map_values(F.aggregate("results", start, play))
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
-    return results.groupBy(group).agg(ordered.alias("results")).select(group, F.greatest(F.lit(0.0), F.least(F.lit(2000.0), mean)).alias("elo_score"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratings: dict[str, float] = {}
+        key = None
+
+        def row() -> pa.RecordBatch:
+            score = min(2000.0, max(0.0, sum(ratings.values()) / len(ratings)))
+            return pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([score])], names=[group, "elo_score"])
+
+        for batch in batches:
+            for g, winner, loser in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ratings and g != key:
+                    yield row()
+                    ratings = {}
+                key = g
+                w, l = ratings.get(winner, initial), ratings.get(loser, initial)  # noqa: E741
+                gain = k * (1 - 1 / (1 + 10 ** ((l - w) / 400)))
+                ratings[winner] = w + gain
+                ratings[loser] = ratings[winner] - gain if winner == loser else l - gain
+        if ratings:
+            yield row()
+
+    kind = to_arrow_type(results.schema[group].dataType)
+    ordered = results.repartition(group).sortWithinPartitions(group, "seq").select(group, "winner", "loser")
+    return ordered.mapInArrow(run, f"`{group}` {results.schema[group].dataType.simpleString()}, elo_score double")
 
 
 def best_route(scores: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +56,65 @@ def retrieved_precision(ranked: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.coalesce(F.try_divide(total, F.count_if("relevant")), F.lit(0.0)).alias("context_precision"))
 
 
-#: So many queries are held against all vectors at once; they are the only broadcast side.
-QUERIES_AT_ONCE = 1000
+#: So many queries are held against all vectors at once; only they come to the driver and go to the tasks.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 10_000, 256
+_PLACES = 1 << 40
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of unit length from an array column; a row of zeros stays one."""
+    x = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1)
+
+
+def _nearest_in_task(query_ids: np.ndarray, unit: np.ndarray, k: int):
+    """The k nearest of a task's vectors, which come in the order of their ids, to each query, by matrix products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = np.iinfo(np.int64).min
+        best, ids, seen = np.full((len(query_ids), k), nothing), [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids.append(batch.column(0).to_numpy())
+            rows = _matrix(batch.column(1))
+            for lo in range(0, len(rows), ROWS_AT_ONCE):
+                part = rows[lo : lo + ROWS_AT_ONCE]
+                similarity = unit @ part.T
+                # a whole number orders by similarity to six places, then by the place of the vector
+                key = (np.sign(similarity) * np.floor(np.abs(similarity) * 1e6 + 0.5)).astype(np.int64) * _PLACES + (_PLACES - 1 - (seen + np.arange(len(part))))
+                key[query_ids[:, None] == ids[-1][lo : lo + ROWS_AT_ONCE]] = nothing
+                both = np.concatenate([best, key], axis=1)
+                best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                seen += len(part)
+        if seen:
+            q, at = np.nonzero(best > nothing)
+            found = best[q, at]
+            items = np.concatenate(ids)[_PLACES - 1 - found % _PLACES]
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(items), pa.array(found // _PLACES / 1e6)], names=["query_id", "item", "similarity"])
+
+    return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine) -> DataFrame:
-    """query_id, item and rank of the k nearest vectors of each query, by a given similarity, ties by item.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, item and rank of the k nearest vectors (vec_id, embedding) of each query, by cosine similarity to six places, ties by item.
 
-    queries (query_id, query) is a stated set, held in blocks of about QUERIES_AT_ONCE against all vectors. The rank is
-    limited within each task before the shuffle (a group limit of the window), so a query brings k rows a task.
+    queries (query_id, query) is a stated set, held in blocks of QUERIES_AT_ONCE against all vectors; a block is one
+    scan, in which each task keeps the best k of its own vectors, so a query brings k rows a task to the shuffle.
     """
     blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    ordered = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null").sortWithinPartitions("vec_id")
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", F.col("vec_id").alias("item"), F.round(cosine("embedding", "query"), 6).alias("similarity"))
-        order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item")
-        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+        rows = part.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>")).orderBy("query_id").toArrow()
+        if not rows.num_rows:
+            continue
+        ids, unit = rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks())
+        best = ordered.mapInArrow(_nearest_in_task(ids, unit, k), "query_id long, item long, similarity double")
         out = best if out is None else out.unionByName(best)
-    return out
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, item long, similarity double, rank long")
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item")
+    return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.functions.scorers import MINIMIZE, SCORERS, Scorer
+from verdictframe.operators.splits import ordinal
 
 UNKNOWN, NOT_TESTED = "unknown", "not_tested"
 
@@ -53,12 +54,14 @@ def percentiles(values: DataFrame, by: Sequence[str], column: str, points: Seque
 def indexed_percentiles(values: DataFrame, by: Sequence[str], column: str, points: Sequence[float]) -> DataFrame:
     """Percentiles that take the value at place int(p/100 * (n-1)) of the sorted values, without interpolation.
 
-    A rank over the group picks the rows, so no group is collected into an array.
+    The values of all groups are range-partitioned together and numbered, so that a large group is sorted by many
+    tasks; the places wanted are a row a group and point.
     """
-    ordered = Window.partitionBy(*by).orderBy(column)
-    ranked = values.where(F.col(column).isNotNull()).select(*by, column, F.row_number().over(ordered).alias("rank__"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("n__"))
-    picked = [F.max(F.when(F.col("rank__") == F.floor(F.lit(p / 100) * (F.col("n__") - 1)) + 1, F.col(column))).alias(f"p{p:g}") for p in points]
-    return ranked.groupBy(*by).agg(*picked)
+    numbered = ordinal(values.where(F.col(column).isNotNull()).select(*by, column), *by, column)
+    groups = numbered.groupBy(*by).agg(F.min("row_no").alias("start__"), F.count(F.lit(1)).alias("n__"))
+    wanted = F.array(*(F.struct(F.lit(f"p{p:g}").alias("point__"), (F.col("start__") + F.floor(F.lit(p / 100) * (F.col("n__") - 1))).alias("at__")) for p in points))
+    picked = numbered.select("row_no", *by, column).join(groups.select(F.inline(wanted)), F.col("row_no") == F.col("at__"))
+    return picked.groupBy(*by).agg(*(F.max(F.when(F.col("point__") == f"p{p:g}", F.col(column))).alias(f"p{p:g}") for p in points))
 
 
 def unscored(scores: DataFrame, *by: str) -> DataFrame:

@@ -66,7 +66,15 @@ def agt02_trajectory_match(spark, sf_dir):
     return M.trajectory(c.where("name in ('click', 'view')"), c.where("name in ('view', 'purchase')"))
 
 
-@query(None)
+_STEPS = ", s AS (SELECT episode_id AS e, name AS b, lag(name) OVER (PARTITION BY episode_id ORDER BY ts, event_id) AS a FROM c), e AS (SELECT DISTINCT e, a, b FROM s WHERE a <> b)"
+
+
+@query(
+    _CALLS.replace("WITH c", "WITH RECURSIVE c")
+    + _STEPS
+    + """, reach AS (SELECT e, a, b FROM e UNION SELECT r.e, r.a, e.b FROM reach r JOIN e ON e.e = r.e AND e.a = r.b), k AS (SELECT episode_id, call_key, count(*) AS k FROM c GROUP BY 1, 2), m AS (SELECT episode_id, max(k) >= 3 AS repeated FROM k GROUP BY 1)
+SELECT episode_id, repeated, episode_id IN (SELECT e FROM reach WHERE a = b) AS cycle FROM m"""
+)
 def agt06_loops(spark, sf_dir):
     """Episodes whose calls repeat a key three times, or whose transitions hold a cycle."""
     return M.loops(calls(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from verdictframe.functions.scorers import cosine, likeliest
+from verdictframe.functions.scorers import likeliest
 from verdictframe.operators import agents as A
 from verdictframe.operators import reports as O  # noqa: N812
 from verdictframe.operators import retrieval as R
@@ -41,7 +41,7 @@ def query_set(vectors):
 def ranked(spark, sf_dir, chosen=one_a_label):
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.join(chosen(vectors).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query"))
-    return R.nearest(vectors, queries, K, cosine)
+    return R.nearest(vectors, queries, K)
 
 
 def relevant(spark, sf_dir, chosen=one_a_label):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdictframe.functions import scorers as S
 from verdictframe.functions import text as T
 from verdictframe.functions import vectorised as V
+from verdictframe.operators.comparison import GRADES, grade
 from verdictframe.plans.registry import plain, query, view
 
 #: Each document with its successor as the target. Both sides are whole texts of one size, so neither is broadcast.
@@ -83,15 +84,20 @@ _register("txt30_toxicity_score", QA, lambda: S.toxicity_score("output"), "1 - (
 _register("txt34_keyword_detector", QA, lambda: S.keyword_detector("output", ["idiot", "moron", "stupid"], ["stupid"]), "CASE WHEN contains(lower(output), 'idiot') OR contains(lower(output), 'moron') THEN 0 ELSE 1 END")
 _TOX = "(1 - (" + " + ".join(f"contains(lower(output), '{s}')::INT" for s in S.TOXIC_STEMS) + f") / {len(S.TOXIC_STEMS)}.0)"
 _register("txt35_defcon", QA, lambda: S.defcon(S.toxicity_score("output")).cast("double"), f"CASE WHEN {_TOX} >= 0.9 THEN 1 WHEN {_TOX} >= 0.7 THEN 2 WHEN {_TOX} >= 0.5 THEN 3 WHEN {_TOX} >= 0.3 THEN 4 ELSE 5 END")
-_register("txt38_pairwise_overlap", QA, lambda: V.larger_overlap("output", "target"), "len(list_intersect({0}, {1}))::DOUBLE / greatest(len(list_distinct({0})), len(list_distinct({1})))".format(WORDS.format("output"), WORDS.format("target")))
+_register("txt38_pairwise_overlap", QA, lambda: S.pairwise_overlap("output", "target"), "len(list_intersect({0}, {1}))::DOUBLE / greatest(len(list_distinct({0})), len(list_distinct({1})))".format(WORDS.format("output"), WORDS.format("target")))
 _register("txt42_strip_thinking", CONV, lambda: F.length(T.strip_thinking(F.concat(F.lit("<think>"), F.col("input"), F.lit("</think>"), F.col("output")))).cast("double"), "length(output)", ("conv_id", "turn"))
 _register("txt14_bleu", NAMES, lambda: V.bleu("output", "target"), None)
 _register("txt15_rouge_l", NAMES, lambda: V.rouge_l("output", "target"), None)
 _register("txt16_chrf", NAMES, lambda: V.chrf("output", "target"), None)
 _register("txt17_word_error_rate", NAMES, lambda: V.word_accuracy("output", "target"), None)
+#: The same over whole documents, the longest of which have 20,000 words.
+_register("txt14_bleu_documents", QA, lambda: V.bleu("output", "target"), None)
+_register("txt15_rouge_l_documents", QA, lambda: V.rouge_l("output", "target"), None)
+_register("txt16_chrf_documents", QA, lambda: V.chrf("output", "target"), None)
+_register("txt17_word_error_rate_documents", QA, lambda: V.word_accuracy("output", "target"), None)
 _register("txt12_is_json", "SELECT event_id AS sample_id, props AS output FROM {events}", lambda: V.is_json("output", ["k"]), "CASE WHEN json_valid(output) AND json_extract(output, '$.k') IS NOT NULL THEN 1 ELSE 0 END")
 _register("txt23_nli_label", "SELECT o_orderkey AS sample_id, CASE o_orderstatus WHEN 'F' THEN 'ENTAILMENT' WHEN 'O' THEN 'contradiction' ELSE 'neutral' END AS label FROM {orders}", lambda: S.nli_score("label"), "CASE label WHEN 'ENTAILMENT' THEN 1 WHEN 'contradiction' THEN 0 ELSE 0.5 END")
-_register("txt41_grade_delta", "SELECT c_custkey AS sample_id, c_acctbal / 10000 AS delta FROM {customer}", lambda: F.when(F.col("delta") >= 0.05, 2.0).when(F.col("delta") >= 0.02, 1.0).otherwise(0.0), "CASE WHEN delta >= 0.05 THEN 2 WHEN delta >= 0.02 THEN 1 ELSE 0 END")
+_register("txt41_grade_delta", "SELECT c_custkey AS sample_id, c_acctbal / 10000 AS delta FROM {customer}", lambda: F.array_position(F.array(*map(F.lit, GRADES)), grade(F.col("delta"), F.lit("minimize"))).cast("double") - 2, "CASE WHEN delta >= 0.05 THEN 2 WHEN delta >= 0.02 THEN 1 ELSE 0 END")
 
 
 @query(_multiset(SQUAD, "CASE WHEN coalesce(n_out, 0) + coalesce(n_tgt, 0) = 0 THEN 1 ELSE 2 * shared / (n_out + n_tgt) END", QA))
@@ -115,7 +121,7 @@ def txt20_cosine_similarity(spark, sf_dir):
 _TERMS = {axis: {g: "|".join(w) for g, w in groups.items()} for axis, groups in S.SKEW_TERMS.items()}
 
 
-def _skew_sql() -> str:
+def _skew_sql(score: str = "{0}") -> str:
     counts, axes = [], []
     for axis, groups in _TERMS.items():
         for g, words in groups.items():
@@ -123,8 +129,9 @@ def _skew_sql() -> str:
         listed = f"list_filter([{', '.join(f'{axis}_{g}' for g in groups)}], lambda n: n > 0)"
         axes.append(f"CASE WHEN len({listed}) = 1 THEN 1.0 WHEN len({listed}) > 1 THEN 0.5 * list_sum(list_transform({listed}, lambda n: abs(n / list_sum({listed}) - 1.0 / len({listed})))) END AS {axis}_skew")
     value = ", ".join(f"{a}_skew" for a in _TERMS)
+    skew = f"coalesce(list_avg(list_filter([{value}], lambda s: s IS NOT NULL)), 0)"
     split = r"regexp_split_to_array(lower(output), '[^\p{L}\p{M}\p{N}_]+')"
-    return f"WITH v AS ({plain(QA)}), w AS (SELECT sample_id, {split} AS tok FROM v), c AS (SELECT sample_id, {', '.join(counts)} FROM w), x AS (SELECT sample_id, {', '.join(axes)} FROM c) SELECT sample_id, round(coalesce(list_avg(list_filter([{value}], lambda s: s IS NOT NULL)), 0), 6) AS score FROM x"
+    return f"WITH v AS ({plain(QA)}), w AS (SELECT sample_id, {split} AS tok FROM v), c AS (SELECT sample_id, {', '.join(counts)} FROM w), x AS (SELECT sample_id, {', '.join(axes)} FROM c) SELECT x.sample_id, round({score.format(skew)}, 6) AS score FROM x JOIN v ON v.sample_id = x.sample_id"
 
 
 @query(_skew_sql())
@@ -132,6 +139,6 @@ def txt31_representation_skew(spark, sf_dir):
     return view(spark, sf_dir, QA).select("sample_id", F.round(S.representation_skew("output"), 6).alias("score"))
 
 
-@query(None)
+@query(_skew_sql("0.6 * " + _TOX + " + 0.4 * (1 - {0})"))
 def txt32_hate_speech_score(spark, sf_dir):
     return view(spark, sf_dir, QA).select("sample_id", F.round(S.hate_speech_score("output"), 6).alias("score"))
