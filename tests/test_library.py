@@ -654,3 +654,98 @@ def test_secrets_in_json(spark):
     assert found[1:] == [[], []]
     token = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF"
     assert values(spark, [(f"x {token} y", "")], safety.redact(F.col("output"))) == ["x [REDACTED] y"]
+
+
+def test_benchmarks_in_their_layouts(spark, tmp_path):
+    from verdictframe.sources import benchmarks as B
+
+    def rows(name, data, schema):
+        return [tuple(r) for r in B.SCENARIOS[name](spark.createDataFrame(data, schema)).collect()]
+
+    assert rows("arc", [("q", (["x", "y"], ["A", "B"]), "B")], "question string, choices struct<text:array<string>,label:array<string>>, answerKey string") == [("q", ["x", "y"], "B", "mcq")]
+    assert rows("hellaswag", [("c", ["x", "y"], 1)], "ctx string, endings array<string>, label int") == [("c", ["x", "y"], "1", "mcq")]
+    assert rows("truthfulqa", [("q", (["x", "y"], [0, 1])), ("p", (["z"], [0]))], "question string, mc1_targets struct<choices:array<string>,labels:array<int>>") == [("q", ["x", "y"], "1", "mcq"), ("p", ["z"], "0", "mcq")]
+    assert rows("mmlu", [("q", ["x"], 0)], "question string, choices array<string>, answer int") == [("q", ["x"], "0", "mcq")]
+    assert rows("humaneval", [("def f():", "  pass")], "prompt string, canonical_solution string") == [("def f():", "  pass", "generation")]
+    safe = B.xstest(spark.createDataFrame([(1, "p", "homonyms"), (2, "r", "contrast_homonyms")], "id int, prompt string, type string")).collect()
+    assert [(r.sample_id, r.label) for r in safe] == [("xstest-1", "safe"), ("xstest-2", "unsafe")]
+    (tmp_path / "possible_answer").mkdir()
+    (tmp_path / "BFCL_v3_simple.json").write_text('\n'.join(json.dumps(x) for x in (
+        {"id": "simple_0", "question": [[{"role": "system", "content": "s"}, {"role": "user", "content": "add"}]], "function": [{"name": "math.add"}]},
+        {"id": "simple_1-2", "question": [[{"role": "user", "content": "sub"}]], "function": [{"name": "sub"}]},
+        {"id": "simple_9", "question": [[{"role": "user", "content": "none"}]], "function": []})))
+    (tmp_path / "possible_answer" / "BFCL_v3_simple.json").write_text('\n'.join(json.dumps(x) for x in (
+        {"id": "simple_0", "ground_truth": [{"math.add": {"a": [1], "b": [2, ""]}}]}, {"id": "simple_1-7", "ground_truth": [{"sub": {"a": [1]}}]})))
+    got = {r.sample_id: r for r in B.read_function_calls(spark, f"{tmp_path}/BFCL_v3_simple.json", dots_to_underscores=True).collect()}
+    assert set(got) == {"simple_0", "simple_1-2"} and got["simple_0"].input == "add" and got["simple_1-2"].answer_id == "simple_1-7"
+    assert json.loads(got["simple_0"].expected_tool_calls) == [{"math_add": {"a": [1], "b": [2, ""]}}] and "math_add" in got["simple_0"].tools
+    for bad in ("x.json", "BFCL_v3_multi_turn_base.json"):
+        with pytest.raises(ValueError):
+            B.category_of(bad)
+
+
+def test_run_store(spark, tmp_path):
+    from verdictframe.plans.store import ExperimentStore, RunStore, rescore, write_table
+
+    samples = spark.createDataFrame([("s1", 0, "a", "a"), ("s2", 1, "b", "c")], "sample_id string, row_no long, actual_output string, target string")
+    run, other = (api.evaluate(samples, [name], name=name) for name in ("exact_match", "levenshtein"))
+    store = RunStore(spark, f"{tmp_path}/runs")
+    assert store.fingerprints() == [] and store.get("x") is None and "x" not in store
+    experiments = ExperimentStore(store)
+    experiments.save("my set", [run, other], {"k": 1})
+    assert sorted(store.fingerprints()) == sorted([run.fingerprint, other.fingerprint]) and experiments.names() == ["my_set"]
+    loaded, metadata = experiments.load("my set")
+    assert metadata == {"k": 1} and [r.name for r in loaded] == ["exact_match", "levenshtein"]
+    assert sorted(map(str, loaded[0].statistics().collect())) == sorted(map(str, run.statistics().collect()))
+    again = rescore(store, run.fingerprint, ["equals"])
+    assert again.fingerprint not in store and {r.name: r["mean"] for r in again.statistics().collect()} == {"equals": 0.5}
+    assert store.scores().select("fingerprint").distinct().count() == 2
+    with pytest.raises(KeyError):
+        store.load("nothing")
+    assert store.clear([run.fingerprint]) == 1 and store.clear() == 1 and store.fingerprints() == []
+    for fmt in ("csv", "json", "parquet"):
+        write_table(run.scores, f"{tmp_path}/{fmt}", fmt)
+        assert (spark.read.option("header", True).csv if fmt == "csv" else spark.read.format(fmt).load)(f"{tmp_path}/{fmt}").count() == 2
+    with pytest.raises(ValueError):
+        write_table(run.scores, f"{tmp_path}/x", "xml")
+
+
+def test_fields_with_aligned_lists(spark):
+    from verdictframe.functions import fields
+
+    def f1(output, target, **rules):
+        return fields.aligned_scores(json.dumps(output), json.dumps(target), fields.Rules(**rules))
+
+    assert f1({"a": 1, "b": [1, 2]}, {"a": 1.0, "b": [2, 1]})[0] == 1.0
+    assert f1({"a": 1, "x": 2}, {"a": 2, "y": 1}) == (0.0, 0.0, 0.0, ["a"])
+    target = {"items": [{"sku": "A", "n": 1}, {"sku": "B", "n": 2}]}
+    assert f1({"items": [{"sku": "B", "n": 2}, {"sku": "A", "n": 1}]}, target)[0] == 1.0
+    assert f1({"items": [{"sku": "C", "n": 1}]}, target, keys="sku")[:3] == (0.0, 0.0, 0.0)
+    assert f1({"items": [{"sku": "B", "n": 1}]}, target, keys={"it*": "sku"})[:3] == (pytest.approx(2 / 6), 0.5, 0.25)
+    assert f1({"p": "$1,234.50", "d": "01/02/2024"}, {"p": 1234.4, "d": "2024-02-01"}, numbers=True, tolerance=0.2, dates=["%d/%m/%Y", "%Y-%m-%d"])[0] == 1.0
+    assert f1({"n": " Ann  Lee", "t": 9}, {"n": "ann lee", "t": 1}, fold_case=True, ignore=["t"])[0] == 1.0
+    assert f1({"a": [{"v": "x"}]}, {"a": [{"v": "X!"}]}, normalizers={"a[].v": lambda v: v.strip("!").lower()})[0] == 1.0
+    assert f1({"a": True}, {"a": 1})[0] == 0.0 and f1({}, {})[0] == 1.0 and fields.aligned_scores("no", "{}", fields.Rules())[0] == 0.0
+    with pytest.raises(ValueError):
+        fields.aligned_scores("{}", "3", fields.Rules())
+    got = spark.createDataFrame([('{"a": 1}', '{"a": 2}')], "output string, target string").select(fields.aligned_field_f1("output", "target").alias("s")).first().s
+    assert (got.field_f1, got.wrong) == (0.0, ["a"])
+    own = '{"type": "object", "required": ["k"]}'
+    assert values(spark, [('{"k": 1}', own), ("{}", own), ("{}", None)], J.json_schema_valid_each("output", "target")) == [1, 0, None]
+
+
+def test_hooks_of_ones_own(spark):
+    redteam.register_detector("shouts", lambda reply: reply == F.upper(reply))
+    redteam.register_probe("calm", ["Speak."], ["shouts"])
+    got = {r.detector: r.passed for r in redteam.run(spark, api.scripted({}, "LOUD"), ["calm"]).collect()}
+    assert got == {"shouts": False}
+    for taken in (lambda: redteam.register_probe("calm", [], []), lambda: redteam.register_probe("new", [], ["none"]), lambda: redteam.register_detector("shouts", None)):
+        with pytest.raises(ValueError):
+            taken()
+    rows = [('{"n": 3}', ""), (None, ""), ("{}", "")]
+    big = outcomes.custom(F.col("output"), lambda e: F.get_json_object(e, "$.n").cast("int") > 2)
+    assert values(spark, rows, big) == ["success", "unknown", "unknown"]
+    spec = outcomes.from_spec({"kind": "state", "key": "n", "equals": "3"}, F.col("output"), F.lit(None), F.lit(None))
+    assert values(spark, rows, spec) == ["success", "unknown", "unknown"]
+    one, two = (S.Scorer("own", build, ("output",)) for build in (lambda o: F.length(o), lambda o: F.length(o) + 1))
+    assert api.fingerprint({}, [one]) != api.fingerprint({}, [two]) and api.fingerprint({}, [one]) == api.fingerprint({}, [one])

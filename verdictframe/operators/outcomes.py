@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +65,19 @@ def disagreement(oracle: Column, other: Column) -> Column:
 
 def budget_exhausted(steps: Column, most_steps: Column, ms: Column, most_ms: Column) -> Column:
     return F.coalesce(steps > most_steps, F.lit(False)) | F.coalesce(ms > most_ms, F.lit(False))
+
+
+def custom(evidence: Column, predicate: Callable[[Column], Column]) -> Column:
+    """A predicate of one's own over an episode's evidence; a null verdict, like no evidence, is unknown."""
+    held = predicate(evidence)
+    return F.when(held.isNotNull(), verdict(evidence, held)).otherwise("unknown")
+
+
+def from_spec(spec: Mapping[str, object], state: Column, answer: Column, reference: Column) -> Column:
+    """The verdict of an oracle that data describes: kind state (key, equals, contains) or answer (mode)."""
+    kind = spec.get("kind")
+    if kind == "state":
+        return state_assertion(state, str(spec["key"]), spec.get("equals"), spec.get("contains"))
+    if kind == "answer":
+        return answer_assertion(answer, reference, str(spec.get("mode", "normalized")))
+    raise ValueError(f"no oracle of kind {kind!r}")
