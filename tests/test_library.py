@@ -749,3 +749,36 @@ def test_hooks_of_ones_own(spark):
     assert values(spark, rows, spec) == ["success", "unknown", "unknown"]
     one, two = (S.Scorer("own", build, ("output",)) for build in (lambda o: F.length(o), lambda o: F.length(o) + 1))
     assert api.fingerprint({}, [one]) != api.fingerprint({}, [two]) and api.fingerprint({}, [one]) == api.fingerprint({}, [one])
+
+
+def test_small_operators(spark, tmp_path):
+    from verdictframe import errors
+    from verdictframe.operators import reports
+
+    assert judges.option_label_problems(["ok", "", "a{b}", "x" * 65, "a\nb"]) and not judges.option_label_problems(["good", "very good"])
+    with pytest.raises(ValueError):
+        judges.Judge("j", "t", (("good {x}", 1.0),))
+    asked = prompts.requests(spark.createDataFrame([("s",)], "sample_id string"), F.array(F.lit("a"), F.lit("b")))
+    assert [tuple(r) for r in asked.collect()] == [("s", 0, "a"), ("s", 1, "b")]
+    made = prompts.annotate(spark.createDataFrame([("1",), ("x",)], "output string"), "n", "int", int, "output").collect()
+    assert [(r.n, r.n_error is None) for r in made] == [(1, True), (None, False)]
+    says = outcomes.python_predicate(lambda e: {"t": True, "f": False, "u": "unknown", "n": None}[e], "1")
+    assert values(spark, [(x, "") for x in ("t", "f", "u", "n", "zz", None)], says(F.col("output"))) == ["success", "failure", "unknown", "unknown", "error", "unknown"]
+    rows = spark.createDataFrame([("g", f"{i}", 0.0, float(i % 3 == 0)) for i in range(12)], "g string, sample_id string, baseline double, candidate double")
+    there, back = comparison.paired_bootstrap(rows, ["g"], 100).first(), comparison.significance(rows, ["g"], n_resamples=100).first()
+    assert (back.delta, back.ci_low, back.ci_high, back.p_value) == (-there.delta, -there.ci_high, -there.ci_low, there.p_value)
+    lines = reports.provenance_lines(spark.createDataFrame([("dataset", "d", "c", "lib", "1", "sft", "base"), ("model", "m", None, None, None, None, None)], "kind string, ref string, config string, library string, version string, method string, base_model string"))
+    assert [r.line for r in lines.collect()] == ["dataset: d [c] -- lib 1 sft, base base"]
+    (tmp_path / "lines.txt").write_text("one\n\n two\n")
+    assert sorted(r.input for r in datasets.read_lines(spark, f"{tmp_path}/lines.txt").collect()) == [" two", "one"]
+    (tmp_path / "data.csv").write_text("q,a\nhow?,so\n")
+    descriptor = {"distribution": [{"@id": "f", "contentUrl": "data.csv", "encodingFormat": "text/csv"}], "recordSet": [{"name": "qa", "field": [{"name": "qa/question", "source": {"fileObject": {"@id": "f"}, "extract": {"column": "q"}}}, {"name": "qa/answer", "source": {"fileObject": {"@id": "f"}, "extract": {"column": "a"}}}]}]}
+    (tmp_path / "croissant.json").write_text(json.dumps(descriptor))
+    assert [tuple(r) for r in datasets.read_croissant(spark, f"{tmp_path}/croissant.json", "qa", "question", "answer").collect()] == [("how?", "so")]
+    with pytest.raises(ValueError):
+        datasets.read_croissant(spark, f"{tmp_path}/croissant.json", "qa", "none")
+    name, held = datasets.listed(spark, [{"input": "a"}], "input string, target string")
+    assert name == datasets.listed(spark, [{"input": "a"}], "input string")[0] and held.first().target is None
+    messages = spark.createDataFrame([(1, 0, "the weather in paris now", ["rome", "paris"]), (1, 1, "the weather in rome now", ["rome", "paris"]), (2, 0, "again the same", []), (2, 1, "again the same", [])], "episode_id int, idx int, text string, argument_words array<string>")
+    assert {r.episode_id: r.stagnates for r in M.stagnation(messages).collect()} == {1: False, 2: True}
+    assert issubclass(errors.ModelTimeoutError, errors.VerdictError) and errors.MissingExtraError("x").package == "x"

@@ -114,3 +114,14 @@ def json_path(c: Column | str, path: str) -> Column:
 def shared(a: Column, b: Column) -> Column:
     """How many distinct tokens two arrays share."""
     return F.size(F.array_intersect(a, b))
+
+
+def money(c: Column | str) -> Column:
+    """The number of a text with a currency sign and thousands commas; null if it is none."""
+    bare = F.replace(F.trim(col(c)), F.lit(","), F.lit(""))
+    return F.regexp_replace(bare, r"^([+-]?)\s*[$€£₹]\s*", "$1").try_cast("double")
+
+
+def date_of(c: Column | str, formats: list[str]) -> Column:
+    """The date that a text is by the first of the formats (Spark's patterns) that fits; null if none does."""
+    return F.coalesce(*(F.try_to_timestamp(F.trim(col(c)), F.lit(f)) for f in formats)).cast("date")

@@ -230,3 +230,9 @@ def cost(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """run_id and cost of runs' token usage (run_id, model, prompt_tokens, completion_tokens) at prices a million tokens."""
     joined = usage.join(pricing, "model", "left")
     return joined.select("run_id", (F.col("prompt_tokens") / 1e6 * F.col("prompt_price") + F.col("completion_tokens") / 1e6 * F.col("completion_price")).alias("cost"))
+
+
+def significance(pairs: DataFrame, by: Sequence[str], **settings) -> DataFrame:
+    """paired_bootstrap() with the change counted from the candidate to the baseline: delta negated, interval negated and swapped."""
+    found = paired_bootstrap(pairs, by, **settings)
+    return found.select(*by, "n", "mean_baseline", "mean_candidate", (0.0 - F.col("delta")).alias("delta"), (0.0 - F.col("ci_high")).alias("ci_low"), (0.0 - F.col("ci_low")).alias("ci_high"), "p_value", "significant")

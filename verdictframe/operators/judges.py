@@ -196,6 +196,25 @@ def verdict_share(reply: Column, n: Column, labels: list[str], good: str) -> Col
     return bind(lambda found: F.size(F.filter(found, lambda x: x == good)) / F.size(found), item_labels(reply, n, labels))
 
 
+#: Fixed value: an option label has at most so many characters.
+LABEL_LENGTH = 64
+
+
+def option_label_problems(labels: list[object]) -> list[str]:
+    """What is wrong with option labels: they are fixed, short texts that carry nothing into a prompt but themselves."""
+    found = []
+    for label in labels:
+        if not isinstance(label, str) or not label.strip():
+            found.append(f"{label!r} is no text")
+        elif len(label) > LABEL_LENGTH:
+            found.append(f"{label[:20]!r}... has more than {LABEL_LENGTH} characters")
+        elif set(label) & set("{}"):
+            found.append(f"{label!r} holds a placeholder")
+        elif not label.isprintable():
+            found.append(f"{label!r} holds a control character")
+    return found
+
+
 @dataclass(frozen=True)
 class Judge:
     """What a judge asks for and how its reply is read: by choice, or on a scale."""
@@ -213,6 +232,8 @@ class Judge:
             raise ValueError("give either choices or a scale")
         if self.direction not in (MAXIMIZE, MINIMIZE):
             raise ValueError("direction must be 'maximize' or 'minimize'")
+        if problems := option_label_problems([k for k, _ in self.choices]):
+            raise ValueError("; ".join(problems))
 
     def prompt(self) -> str:
         """The template, the reasoning asked for first, and how the verdict is to be written."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,3 +82,30 @@ def from_spec(spec: Mapping[str, object], state: Column, answer: Column, referen
     if kind == "answer":
         return answer_assertion(answer, reference, str(spec.get("mode", "normalized")))
     raise ValueError(f"no oracle of kind {kind!r}")
+
+
+def python_predicate(predicate: Callable[[str], object], version: str) -> Callable[[Column], Column]:
+    """A plain function over an episode's evidence as an oracle: true, false or a verdict's name; what it raises is an error.
+
+    The version stands for what the function does: change it with the function.
+    """
+    if not version:
+        raise ValueError("a predicate needs a version")
+
+    def one(evidence: str | None) -> str:
+        if evidence is None:
+            return "unknown"
+        try:
+            said = predicate(evidence)
+        except Exception:  # noqa: BLE001
+            return "error"
+        if said is None or said in ("success", "failure", "unknown"):
+            return said or "unknown"
+        return "success" if said is True else "failure" if said is False else "error"
+
+    @F.pandas_udf("string")
+    def run(evidence: pd.Series) -> pd.Series:
+        return pd.Series([one(e) for e in evidence])
+
+    run.version = version
+    return lambda evidence: run(evidence)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +103,25 @@ def route(samples: DataFrame) -> str:
         return "generation"
     tools, choices, contexts = first[0]
     return "tool_call" if tools is not None else "mcq" if choices else "rag" if contexts else "generation"
+
+
+def requests(samples: DataFrame, prompts: Column) -> DataFrame:
+    """An adapter of one's own: samples with request_no and prompt, a row for each of the prompts (an array) that it makes of one."""
+    return samples.select("*", F.posexplode(prompts).alias("request_no", "prompt"))
+
+
+def annotate(samples: DataFrame, name: str, kind: str, annotator: Callable[..., object], *columns: str) -> DataFrame:
+    """samples with a column that a plain function makes of others, in Arrow batches, and name_error where it failed."""
+
+    @F.pandas_udf(f"value {kind}, error string")
+    def run(*values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for row in zip(*values, strict=True):
+            try:
+                rows.append((annotator(*row), None))
+            except Exception as e:  # noqa: BLE001
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["value", "error"])
+
+    made = samples.withColumn("made__", run(*(F.col(f"`{c}`") for c in columns)))
+    return made.select(*(F.col(f"`{c}`") for c in samples.columns), F.col("made__.value").alias(name), F.col("made__.error").alias(f"{name}_error"))

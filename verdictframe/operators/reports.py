@@ -184,3 +184,55 @@ def summary_text(statistics: DataFrame, title: str) -> str:
     rows = statistics.orderBy("name").collect()
     lines = [f"# {title}", "", "| metric | n | mean | std |", "|---|---|---|---|"]
     return "\n".join([*lines, *(f"| {r['name']} | {r['n']} | {r['mean']:.4f} | {r['std']:.4f} |" for r in rows)]) + "\n"
+
+
+def recorded_only(rows: DataFrame) -> DataFrame:
+    """The rows of recorded results: those that are tasks to run (is_task) aren't scored."""
+    return rows.where(~F.coalesce(F.col("is_task"), F.lit(False)))
+
+
+#: Scorers by what of an episode must have been observed, each group by all of its needs.
+SUPPORTED = [
+    (("tool_call_names", "tool_call_arguments"), (), ["tool_call_f1", "trajectory_match", "tool_call_validity", "redundant_tool_calls"]),
+    (("tool_call_names", "tool_call_arguments", "parallel_grouping"), (), ["parallel_tool_calls"]),
+    (("tool_call_names",), ("tool_call_arguments",), ["tool_call_f1_name", "tool_call_validity"]),
+    (("retrieved_contexts",), (), ["retrieval"]),
+]
+
+
+def supported_scorers(coverage: Column) -> Column:
+    """Which scorers an episode can feed, by its coverage (a map of parts to observed, missing or inferred)."""
+
+    def seen(part: str) -> Column:
+        return F.coalesce(F.try_element_at(coverage, F.lit(part)) == "observed", F.lit(False))
+
+    out = F.array(F.lit("task_completion"))
+    for needs, lacks, scorers in SUPPORTED:
+        holds = F.lit(True)
+        for part in needs:
+            holds = holds & seen(part)
+        for part in lacks:
+            holds = holds & ~seen(part)
+        out = F.concat(out, F.when(holds, F.array(*map(F.lit, scorers))).otherwise(F.array().cast("array<string>")))
+    return out
+
+
+def event_coverage(label: Column, events: Column) -> Column:
+    """observed, missing or inferred: an explicit label wins; a null list was never captured, an empty one was."""
+    return F.coalesce(label, F.when(events.isNull(), "missing").otherwise("observed"))
+
+
+def stress_coverage(results: DataFrame) -> DataFrame:
+    """Per metric of stressed results (metric, status, flagged): scored, flagged, pass, unknown and not_tested."""
+    scored = F.col("status") == "scored"
+    return results.groupBy("metric").agg(
+        F.count_if(scored).alias("scored"), F.count_if(scored & F.col("flagged")).alias("flagged"), F.count_if(scored & ~F.col("flagged")).alias("pass"),
+        F.count_if(F.col("status") == "unknown").alias("unknown"), F.count_if(F.col("status") == "not_tested").alias("not_tested"),
+    )
+
+
+def provenance_lines(inputs: DataFrame) -> DataFrame:
+    """line: what each input (kind, ref, config, library, version, method, base_model) is and what made it."""
+    ref = F.concat(F.col("ref"), F.coalesce(F.concat(F.lit(" ["), F.col("config"), F.lit("]")), F.lit("")))
+    made = F.concat(F.concat_ws(" ", "library", "version", "method"), F.coalesce(F.concat(F.lit(", base "), F.col("base_model")), F.lit("")))
+    return inputs.where("coalesce(library, version, method) is not null").select(F.concat(F.col("kind"), F.lit(": "), ref, F.lit(" -- "), made).alias("line"))

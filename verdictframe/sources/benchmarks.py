@@ -30,10 +30,10 @@ def mmlu(df: DataFrame) -> DataFrame:
     return df.select(*_choice("question", F.col("choices"), F.col("answer")))
 
 
-def truthfulqa(df: DataFrame) -> DataFrame:
+def truthfulqa(df: DataFrame, *keep: str) -> DataFrame:
     """question and mc1_targets (choices, labels): the target is the place of the first true choice, 0 without one."""
     first = F.greatest(F.array_position("mc1_targets.labels", 1) - 1, F.lit(0))
-    return df.select(*_choice("question", F.col("mc1_targets.choices"), first))
+    return df.select(*keep, *_choice("question", F.col("mc1_targets.choices"), first))
 
 
 def humaneval(df: DataFrame) -> DataFrame:

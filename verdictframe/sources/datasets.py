@@ -6,10 +6,14 @@ reference, '[]' is no call), actual_output, kind and metadata (JSON of all other
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Columns that fill a field of the sample.
 FIELDS = ["input", "target", "id", "task", "kind", "choices", "retrieval_context", "metadata", "tags", "actual_output", "tools", "expected_tool_calls", "reference_contexts", "actual_trace"]
@@ -158,3 +162,57 @@ def unpivot_languages(df: DataFrame, id_col: str, languages: list[str], limit: i
 def inspect(df: DataFrame, by: str, group: str) -> DataFrame:
     """What a dataset holds: n rows and n_conversations (distinct groups) of each kind."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("n_conversations"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A sample for each line of a text that isn't blank."""
+    return numbered(spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("input")))
+
+
+def listed(spark: SparkSession, rows: list[dict], schema: str) -> tuple[str, DataFrame]:
+    """Samples held in memory, as a table, and a name for it that follows from what they say."""
+    name = hashlib.sha256(json.dumps(rows, sort_keys=True, default=str).encode()).hexdigest()[:12]
+    return f"list_{name}", spark.createDataFrame([tuple(r.get(f.name) for f in _parse(schema)) for r in rows], schema)
+
+
+def _parse(schema: str):
+    return StructType.fromDDL(schema).fields
+
+
+#: How the files of a dataset descriptor are read, by their encoding.
+ENCODINGS = {"text/csv": "csv", "application/jsonlines": "json", "application/x-ndjson": "json", "application/json": "json", "application/x-parquet": "parquet", "application/vnd.apache.parquet": "parquet"}
+
+
+def read_croissant(spark: SparkSession, path: str, record_set: str, input_col: str = "input", target_col: str = "target") -> DataFrame:
+    """input and target of a record set that a dataset descriptor (JSON-LD) describes, read from its files beside the descriptor."""
+    described = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+    def named(items: list[dict], name: str) -> dict:
+        found = [i for i in items if name in (i.get("name"), i.get("@id"))]
+        if not found:
+            raise ValueError(f"{path} has no {name!r}")
+        return found[0]
+
+    fields = named(described.get("recordSet", []), record_set).get("field", [])
+
+    def source(column: str) -> dict | None:
+        mine = [f for f in fields if str(f.get("name") or f.get("@id")).rsplit("/", 1)[-1] == column]
+        return mine[0]["source"] if mine else None
+
+    wanted = source(input_col)
+    if wanted is None:
+        raise ValueError(f"{record_set!r} has no field {input_col!r}")
+    file = wanted.get("fileObject") or wanted.get("fileSet") or wanted.get("distribution")
+    spread = named(described.get("distribution", []), file["@id"] if isinstance(file, dict) else file)
+    place = spread.get("contentUrl") or spread.get("includes")
+    form = ENCODINGS.get(spread.get("encodingFormat"))
+    if form is None:
+        raise ValueError(f"no reader for {spread.get('encodingFormat')!r}")
+    where = place if "://" in place or place.startswith("/") else f"{path.rsplit('/', 1)[0]}/{place}"
+    rows = spark.read.option("header", True).csv(where) if form == "csv" else spark.read.format(form).load(where)
+
+    def column(of: dict | None, name: str) -> Column:
+        inner = (of or {}).get("extract", {}).get("column")
+        return (F.col(f"`{inner}`") if inner else F.lit(None)).cast("string").alias(name)
+
+    return rows.select(column(wanted, "input"), column(source(target_col), "target"))
