@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from verdictframe.llm import chat, decontaminate, language, license_scan, near_dedup, packing, quality_classifier, quality_rules
+from verdictframe.llm import chat, cluster, decontaminate, language, license_scan, near_dedup, packing, quality_classifier, quality_rules
 from verdictframe.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -672,8 +672,10 @@ def test_chat_over_conversations(spark):
     assert chat.recovered(blocks.limit(0), chat.learn(blocks.limit(0))).count() == 0
 
 
-def test_long_conversations_are_decoded_in_one_piece(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_long_conversations_are_decoded_in_one_piece(spark, monkeypatch, broadcast_rows):
     """Blocks put together are what one Viterbi path over the whole transcript gives, also with gaps and crowded blocks."""
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(chat, "BLOCK_TURNS", 4)
     monkeypatch.setattr(chat, "BLOCK_ROWS", 6)
     rows = [(c, t * (1 + c % 3) if c % 3 < 2 else t, r, x) for c, t, r, x in conversations(random.Random(7), 30, 60)] + [(90, 1, "user", f"same {i}") for i in range(20)]

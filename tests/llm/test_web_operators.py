@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from verdictframe.llm import url_filter, warc
+from verdictframe.llm import cluster, url_filter, warc
 
 
 def test_url_filter_at_fetch_time(spark):
@@ -62,7 +62,7 @@ def test_url_filter_salts_shared_patterns(spark, monkeypatch):
     assert {r[4] for r in plain} == {"prefix:hot.org/a/b", "prefix:hot.org/a/b/3", "host:x3.net", None}
     monkeypatch.setattr(url_filter, "HOT", 5)
     for most in (0, 100):
-        monkeypatch.setattr(url_filter, "BROADCAST_PATTERNS", most)
+        monkeypatch.setattr(cluster, "BROADCAST_ROWS", most)
         assert sorted(map(tuple, url_filter.evaluate(captures, entries).collect()), key=str) == plain
 
 

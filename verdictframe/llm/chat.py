@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.cluster import only, summed
+from verdictframe.llm.cluster import broadcast_if_small, only, summed
 
 ROLES = ["system", "user", "assistant", "other"]
 #: Names under which speakers of each role are announced.
@@ -186,7 +186,9 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     rows = only(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-1 << 40)).cast("long"))
     crowded = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS).select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
-    parted = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left")
+    crowded, n = broadcast_if_small(crowded)
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
+    parted = rows.join(crowded, same, "left") if n else rows.withColumn("parts", F.lit(None).cast("long"))
     part = F.coalesce(F.pmod(F.xxhash64("turn", "role", "text", F.monotonically_increasing_id()), F.col("parts")), F.lit(0)).cast("long").alias("part")
     turn = F.struct("turn", "role", "text")
     return parted.select("conv_id", "block", part, turn.alias("x")).groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list("x")).alias("turns"))
@@ -268,6 +270,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def path_borders(blocks: DataFrame, model: Model) -> DataFrame:
     """conv_id, block, part, before and last: the states around the blocks of conversations with several blocks."""
     several = blocks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("block", "part")).alias("first")).where("n > 1").withColumnRenamed("conv_id", "c")
+    several, _ = broadcast_if_small(several)
     longer = blocks.join(several, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("goes_on", F.struct("block", "part") != F.col("first")).select("conv_id", "block", "part", "turns", "goes_on")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +291,7 @@ def recovered(blocks: DataFrame, model: Model) -> DataFrame:
     """
     around = path_borders(blocks, model).select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.col("part").alias("p"), "before", "last")
     same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")) & (F.col("part") == F.col("p"))
+    around, _ = broadcast_if_small(around)
     placed = blocks.join(around, same, "left").select("conv_id", "block", "part", "turns", "before", "last")
     names = ["conv_id", "block", "part", "n_lines", "n_turns", "n_found", "lines_right", "turns_right", "goes_on", "turns", "rendered"]
     kinds = [pa.int64()] * 8 + [pa.bool_(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.string()]

@@ -32,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A side of a join with so many short rows at most (some tens of megabytes) may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, cut, and how many rows it has; marked for a broadcast if they are BROADCAST_ROWS at most, else for a shuffle like any other."""
+    stored = cut(df)
+    n = stored.count()
+    return (F.broadcast(stored) if n <= BROADCAST_ROWS else stored), n
+
+
 BATCH_BYTES = 4 << 20
 #: Fixed value: what Spark has where nothing is set.
 DEFAULT_BATCH_BYTES = "67108864b"

@@ -22,11 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictframe.llm.cluster import cut, only
+from verdictframe.llm.cluster import broadcast_if_small, only
 
 HOT = 4096
-#: So many shared patterns at most are broadcast (some ten megabytes); more are joined by a shuffle.
-BROADCAST_PATTERNS = 100_000
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)(?::[0-9]+)?([^?#]*)"
 
 
@@ -87,8 +85,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id
     rows = only(captures, capture_id, "url", "fetched_at")
     grouped = rows.groupBy(capture_id, "url", "fetched_at").agg(F.count(F.lit(1)).alias("copies"))
     looked_up = grouped.select("*", F.explode_outer(patterns(F.col("url"), *depths(entries))).alias("p")).select(capture_id, "url", "fetched_at", "copies", F.col("p.pattern").alias("looked_up"), "p.specificity")
-    hot = cut(looked_up.groupBy(F.col("looked_up").alias("shared")).agg(F.sum("copies").alias("n")).where(F.col("n") > HOT).select("shared", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_PATTERNS else hot
+    hot, _ = broadcast_if_small(looked_up.groupBy(F.col("looked_up").alias("shared")).agg(F.sum("copies").alias("n")).where(F.col("n") > HOT).select("shared", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
     salted = looked_up.join(hot, F.col("looked_up") == F.col("shared"), "left").drop("shared")
     looked_up = salted.withColumn("capture_salt", F.coalesce(F.pmod(F.xxhash64("url", capture_id, "fetched_at"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
     listed = intervals(entries).join(hot, F.col("pattern") == F.col("shared"), "left").drop("shared")
