@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdictframe.functions.phrases import Phrase, any_pattern
+from verdictframe.functions.text import bind, fold_apostrophes, split
+
 
 def evidence_recall(retrieved: DataFrame, required: DataFrame) -> DataFrame:
     """Per case: evidence_set_recall (1 if some set is held in full) and best_recall (of the best set).
@@ -71,33 +74,72 @@ def citation_support(cited: DataFrame, declared: DataFrame, gold: DataFrame) ->
     """Per case: n, support (inside a declared span), precision (overlaps gold) and recall (of the gold spans).
 
     Spans are doc_id, start and end (exclusive); cited has case_id and cite_id besides, gold case_id and gold_id.
-    Joins are equi-joins on the document with the span condition as residual; semi-joins keep them free of copies.
+    Where cited and declared have a version, wrong_version_rate is the share of the citations whose span is declared in
+    another version alone; they support nothing. Joins are equi-joins on the document with the span condition as
+    residual; semi-joins keep them free of copies.
     """
+    versioned = "version" in cited.columns and "version" in declared.columns
     c = cited.alias("c")
     inside = (F.col("c.doc_id") == F.col("d.doc_id")) & (F.col("d.start") <= F.col("c.start")) & (F.col("c.end") <= F.col("d.end"))
     meets = (F.col("c.doc_id") == F.col("g.doc_id")) & (F.col("c.case_id") == F.col("g.case_id")) & (F.col("c.start") < F.col("g.end")) & (F.col("g.start") < F.col("c.end"))
     n = cited.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    if versioned:
+        placed = c.join(declared.alias("d"), inside, "left_semi")
+        current = inside & (F.col("c.version").isNull() | F.col("d.version").isNull() | (F.col("c.version") == F.col("d.version")))
+        wrong = placed.alias("c").join(declared.alias("d"), current, "left_anti").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_wrong"))
+        n = n.join(wrong, "case_id", "left").fillna(0, ["n_wrong"])
+        inside = current
     supported = c.join(declared.alias("d"), inside, "left_semi").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_supported"))
     precise = c.join(gold.alias("g"), meets, "left_semi").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_precise"))
     n_gold = gold.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_gold"))
     found = gold.alias("g").join(c, meets, "left_semi").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_found"))
     all_cases = n.join(supported, "case_id", "left").join(precise, "case_id", "left").join(n_gold, "case_id", "left").join(found, "case_id", "left").fillna(0)
+    rate = [(F.col("n_wrong") / F.col("n")).alias("wrong_version_rate")] if versioned else []
     return all_cases.select(
-        "case_id", "n", (F.col("n_supported") / F.col("n")).alias("support"), (F.col("n_precise") / F.col("n")).alias("precision"), F.try_divide(F.col("n_found"), F.col("n_gold")).alias("recall")
+        "case_id", "n", *rate, (F.col("n_supported") / F.col("n")).alias("support"), (F.col("n_precise") / F.col("n")).alias("precision"), F.try_divide(F.col("n_found"), F.col("n_gold")).alias("recall")
     )
 
 
-#: Phrases with which a reply declines to answer.
-ABSTENTIONS = ["i don't know", "i do not know", "not enough information", "insufficient information", "cannot answer", "can't answer", "unable to answer", "no information", "cannot determine", "not sure"]
+#: Phrases that decline wherever they stand in the first sentence, those that decline at its beginning,
+#: those that decline in a reply of so many words at most, and what opens an answer.
+DECLINES = [
+    "cannot answer", "can't answer", "unable to answer", "i don't have", "i do not have", "cannot provide", "i cannot", "unable to determine",
+    "cannot determine", "i'm not able", "i am not able", "i am unable", "i'm unable",
+]
+DECLINING_OPENERS = ["insufficient information", "no information", "no relevant", "not able to", "there is no information", "there is insufficient information"]
+DECLINES_SHORTLY: list[Phrase] = [
+    ("insufficient information", ("to", "for", "in", "about", "regarding")),
+    ("no", ("relevant", ""), "information", ("about", "on", "regarding", "in", "to", "for", "that")),
+    ("no relevant", ("information", "document", "documents", "context", "passage", "passages", "source", "sources", "data", "result", "results")),
+]
+SHORT_WORDS, ANSWER = 25, "yes"
+
+
+def declines(reply: Column) -> Column:
+    """Whether the first sentence of a reply declines to answer, by its phrases; null without a reply."""
+
+    def judged(words: Column) -> Column:
+        first = F.split(F.array_join(words, " "), r"(?<=[.!?])\s+", 2)[0]
+
+        def said(sentence: Column) -> Column:
+            anywhere = sentence.contains(DECLINES[0])
+            for phrase in DECLINES[1:]:
+                anywhere = anywhere | sentence.contains(phrase)
+            opens = F.lit(False)
+            bare = F.ltrim(sentence, F.lit("*_`'\" "))
+            for phrase in DECLINING_OPENERS:
+                opens = opens | bare.startswith(phrase)
+            short = (F.size(words) <= SHORT_WORDS) & ~sentence.rlike(rf"^\W*{ANSWER}\b") & sentence.rlike(any_pattern(DECLINES_SHORTLY, ends=True))
+            return anywhere | opens | short
+
+        return F.when(F.size(words) > 0, bind(said, first))
+
+    return bind(judged, split(F.lower(fold_apostrophes(reply))))
 
 
 def abstained(flag: Column, n_claims: Column, reply: Column) -> Column:
-    """Whether a reply abstains: its explicit flag, else no claims, else a phrase in its first sentence."""
-    first = F.lower(F.regexp_extract(F.translate(reply, "’", "'"), r"(?s)^\s*([^.!?\n]*)", 1))
-    phrase = F.lit(False)
-    for p in ABSTENTIONS:
-        phrase = phrase | F.contains(first, F.lit(p))
-    return F.when(flag.isNotNull(), flag).when(n_claims.isNotNull() & (n_claims == 0), True).otherwise(phrase)
+    """Whether a reply abstains: its explicit flag, else no claims, else by its phrases; null without any of these."""
+    return F.when(flag.isNotNull(), flag).when(n_claims.isNotNull(), n_claims == 0).otherwise(declines(reply))
 
 
 def numeric_accuracy(gold: Column, reply: Column) -> Column:
@@ -112,10 +154,14 @@ def numeric_accuracy(gold: Column, reply: Column) -> Column:
 
 
 def agreement(rows: DataFrame, *by: str) -> DataFrame:
-    """Judge against human verdicts (booleans human, judge): confusion, agreement, Cohen's kappa and error rates."""
-    labelled = rows.where("human is not null and judge is not null")
+    """Judge against human verdicts (booleans human, judge): confusion, agreement, Cohen's kappa and error rates.
+
+    n_unlabeled rows lack a human verdict, n_missing_judge have one and lack the judge's; neither is in the confusion.
+    Groups without a row that has both have a status unknown, and null rates.
+    """
     h, j = F.col("human"), F.col("judge")
-    counts = labelled.groupBy(*by).agg(F.count_if(h & j).alias("tp"), F.count_if(~h & j).alias("fp"), F.count_if(h & ~j).alias("fn"), F.count_if(~h & ~j).alias("tn"))
+    missing = [F.count_if(h.isNull()).alias("n_unlabeled"), F.count_if(h.isNotNull() & j.isNull()).alias("n_missing_judge")]
+    counts = rows.groupBy(*by).agg(*missing, F.count_if(h & j).alias("tp"), F.count_if(~h & j).alias("fp"), F.count_if(h & ~j).alias("fn"), F.count_if(~h & ~j).alias("tn"))
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     observed = F.try_divide(F.col("tp") + F.col("tn"), n)
     chance = F.try_divide((F.col("tp") + F.col("fp")) * (F.col("tp") + F.col("fn")) + (F.col("fn") + F.col("tn")) * (F.col("fp") + F.col("tn")), n * n)
@@ -126,6 +172,7 @@ def agreement(rows: DataFrame, *by: str) -> DataFrame:
         F.when(chance < 1, F.try_divide(observed - chance, 1 - chance)).alias("kappa"),
         F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")).alias("false_pass_rate"),
         F.try_divide(F.col("fn"), F.col("fn") + F.col("tp")).alias("false_negative_rate"),
+        F.when(n > 0, "scored").otherwise("unknown").alias("status"),
     )
 
 
@@ -156,13 +203,19 @@ def review_queue(cases: DataFrame, budget: int) -> DataFrame:
 
 
 def operational_stress(calls: DataFrame, by: str, slo_ms: float, error_budget: float) -> DataFrame:
-    """Per scenario: latencies p50 and p95, error and timeout rates, and whether objective and budget hold."""
+    """Per scenario: latencies p50 and p95, error and timeout rates, and whether objective and budget hold.
+
+    Where calls say whether retrieval was partial and whether a false answer was given (partial, answered_falsely),
+    also safe_degradation: that no call with partial retrieval was answered falsely; null without one that says so.
+    """
     n = F.count("outcome")
     errors, timeouts = F.count_if(F.col("outcome") == "error"), F.count_if(F.col("outcome") == "timeout")
     rate = F.try_divide(errors + timeouts, n)
     p95 = F.percentile("latency_ms", 0.95)
+    says = {"partial", "answered_falsely"} <= set(calls.columns)
+    safe = [(~F.bool_or(F.when(F.col("partial"), F.col("answered_falsely")))).alias("safe_degradation")] if says else []
     return calls.groupBy(by).agg(
-        F.percentile("latency_ms", 0.5).alias("p50"), p95.alias("p95"), F.try_divide(errors, n).alias("error_rate"), F.try_divide(timeouts, n).alias("timeout_rate"), (p95 <= slo_ms).alias("slo_met"), (rate <= error_budget).alias("within_budget")
+        F.percentile("latency_ms", 0.5).alias("p50"), p95.alias("p95"), F.try_divide(errors, n).alias("error_rate"), F.try_divide(timeouts, n).alias("timeout_rate"), (p95 <= slo_ms).alias("slo_met"), (rate <= error_budget).alias("within_budget"), *safe
     )
 
 

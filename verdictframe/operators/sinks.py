@@ -4,19 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, MapType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
 
 
 def finite(df: DataFrame) -> DataFrame:
-    """df with infinite and undefined numbers as null, and empty maps as null."""
+    """df with infinite and undefined numbers as null, wherever they stand, and empty maps as null."""
 
-    def plain(c: str, kind) -> Column:
-        x = F.col(f"`{c}`")
+    def bad(kind) -> bool:
+        if isinstance(kind, (ArrayType, MapType)):
+            return isinstance(kind, MapType) or bad(kind.elementType)
+        return any(bad(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else isinstance(kind, (DoubleType, FloatType))
+
+    def plain(x: Column, kind) -> Column:
         if isinstance(kind, (DoubleType, FloatType)):
             return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-        return F.when(F.size(x) > 0, x) if isinstance(kind, MapType) else x
-
-    return df.select(*(plain(f.name, f.dataType).alias(f.name) for f in df.schema.fields))
+        if not bad(kind):
+            return x
+        if isinstance(kind, ArrayType):
+            return F.transform(x, lambda v: plain(v, kind.elementType))
+        if isinstance(kind, MapType):
+            inner = F.transform_values(x, lambda _, v: plain(v, kind.valueType)) if bad(kind.valueType) else x
+            return F.when(F.size(x) > 0, inner)
+        return F.when(x.isNotNull(), F.struct(*(plain(x.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
+
+    return df.select(*(plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
 
 
 def sidecar(results: DataFrame) -> DataFrame:

@@ -84,21 +84,21 @@ def join08_evidence_recall(spark, sf_dir):
     return found.withColumn("best_recall", F.round("best_recall", 6))
 
 
-VERDICTS = "SELECT l.quality = 1 AS human, l.toxic = 0 AS judge, d.lang AS dimension FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id"
+VERDICTS = "SELECT CASE WHEN l.doc_id % 11 > 0 THEN l.quality = 1 END AS human, CASE WHEN l.doc_id % 7 > 0 THEN l.toxic = 0 END AS judge, d.lang AS dimension FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id"
 _AGREE = f"WITH v AS ({plain(VERDICTS)})"
-_COUNTS = "count(*) FILTER (WHERE human AND judge) AS tp, count(*) FILTER (WHERE NOT human AND judge) AS fp, count(*) FILTER (WHERE human AND NOT judge) AS fn, count(*) FILTER (WHERE NOT human AND NOT judge) AS tn, count(*) AS n"
+_COUNTS = "count(*) FILTER (WHERE human AND judge) AS tp, count(*) FILTER (WHERE NOT human AND judge) AS fp, count(*) FILTER (WHERE human AND NOT judge) AS fn, count(*) FILTER (WHERE NOT human AND NOT judge) AS tn, count(*) FILTER (WHERE human IS NOT NULL AND judge IS NOT NULL) AS n"
 
 
 @query(
     _AGREE
-    + f", c AS (SELECT dimension, {_COUNTS} FROM v GROUP BY 1), k AS (SELECT *, (tp + tn)::DOUBLE / n AS po, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn))::DOUBLE / (n * n) AS pe FROM c) SELECT dimension, tp, fp, fn, tn, n, round(po, 6) AS agreement, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa, round(fp::DOUBLE / nullif(fp + tn, 0), 6) AS false_pass_rate, round(fn::DOUBLE / nullif(fn + tp, 0), 6) AS false_negative_rate FROM k"
+    + f", c AS (SELECT dimension, {_COUNTS}, count(*) FILTER (WHERE human IS NULL) AS n_unlabeled, count(*) FILTER (WHERE human IS NOT NULL AND judge IS NULL) AS n_missing_judge FROM v GROUP BY 1), k AS (SELECT *, (tp + tn)::DOUBLE / n AS po, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn))::DOUBLE / (n * n) AS pe FROM c) SELECT dimension, tp, fp, fn, tn, n, n_unlabeled, n_missing_judge, 'scored' AS status, round(po, 6) AS agreement, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa, round(fp::DOUBLE / nullif(fp + tn, 0), 6) AS false_pass_rate, round(fn::DOUBLE / nullif(fn + tp, 0), 6) AS false_negative_rate FROM k"
 )
 def agg22_agreement(spark, sf_dir):
     found = G.agreement(view(spark, sf_dir, VERDICTS), "dimension")
     return found.withColumns({c: F.round(c, 6) for c in ("agreement", "kappa", "false_pass_rate", "false_negative_rate")})
 
 
-@query(_AGREE + f" SELECT CASE WHEN grouping(dimension) = 1 THEN '(all)' ELSE dimension END AS dimension, {_COUNTS}, round((count(*) FILTER (WHERE human = judge))::DOUBLE / count(*), 6) AS agreement FROM v GROUP BY GROUPING SETS ((), (dimension))")
+@query(_AGREE + f" SELECT CASE WHEN grouping(dimension) = 1 THEN '(all)' ELSE dimension END AS dimension, {_COUNTS}, round((count(*) FILTER (WHERE human = judge))::DOUBLE / count(*), 6) AS agreement FROM v WHERE human IS NOT NULL AND judge IS NOT NULL GROUP BY GROUPING SETS ((), (dimension))")
 def agg23_calibration(spark, sf_dir):
     return G.calibration(view(spark, sf_dir, VERDICTS), "dimension").withColumn("agreement", F.round("agreement", 6))
 
@@ -111,19 +111,50 @@ def agg24_stress_matrix(spark, sf_dir):
     return G.stress_matrix(view(spark, sf_dir, _BUCKET))
 
 
-_OPS = "SELECT user_id, value AS latency_ms, CASE WHEN event_type = 'error' THEN 'error' WHEN value > 150 THEN 'timeout' ELSE 'ok' END AS outcome FROM {events}"
+_OPS = "SELECT user_id, value AS latency_ms, CASE WHEN event_type = 'error' THEN 'error' WHEN value > 150 THEN 'timeout' ELSE 'ok' END AS outcome, event_id % 4 = 0 AS partial, event_id % 9 = 0 AS answered_falsely FROM {events}"
 
 
-@query(f"SELECT user_id, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(count(*) FILTER (WHERE outcome = 'error')::DOUBLE / count(*), 6) AS error_rate, round(count(*) FILTER (WHERE outcome = 'timeout')::DOUBLE / count(*), 6) AS timeout_rate, quantile_cont(latency_ms, 0.95) <= 150 AS slo_met, count(*) FILTER (WHERE outcome <> 'ok')::DOUBLE / count(*) <= 0.25 AS within_budget FROM ({plain(_OPS)}) GROUP BY 1")
+@query(f"SELECT user_id, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(count(*) FILTER (WHERE outcome = 'error')::DOUBLE / count(*), 6) AS error_rate, round(count(*) FILTER (WHERE outcome = 'timeout')::DOUBLE / count(*), 6) AS timeout_rate, quantile_cont(latency_ms, 0.95) <= 150 AS slo_met, count(*) FILTER (WHERE outcome <> 'ok')::DOUBLE / count(*) <= 0.25 AS within_budget, NOT bool_or(CASE WHEN partial THEN answered_falsely END) AS safe_degradation FROM ({plain(_OPS)}) GROUP BY 1")
 def agg26_operational_stress(spark, sf_dir):
     found = G.operational_stress(view(spark, sf_dir, _OPS), "user_id", 150.0, 0.25)
     return found.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "error_rate", "timeout_rate")})
 
 
-@query("SELECT conv_id, turn, regexp_matches(lower(regexp_extract(text, '^\\s*([^.!?\\n]*)', 1)), 'not sure|cannot|unable') AS abstained FROM conversations WHERE role = 'assistant'")
+#: Replies, and whether their phrases decline.
+_DECLINED = [
+    ("I’m not able to say. It is 5.", True),
+    ("It is 5. I cannot say more.", False),
+    ("No relevant fee applies", True),
+    ("Yes, there is no relevant document for it.", False),
+    ("In short there is no relevant document for it.", True),
+    ("Customers not able to pay are charged.", False),
+    ("*Insufficient information* to tell", True),
+]
+
+
+def _reply(k: int) -> str:
+    return "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN {x[k] if isinstance(x[k], bool) else repr(x[k])}" for i, x in enumerate(_DECLINED)) + " END"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_id % 2 = 0 WHEN event_id % 5 = 1 THEN event_id % 3 = 0 WHEN event_id % 5 = 2 THEN NULL ELSE {_reply(1)} END AS abstained FROM events")
 def rst05_abstention(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return rows.select("conv_id", "turn", G.abstained(F.lit(None).cast("boolean"), F.lit(None).cast("int"), F.col("text")).alias("abstained"))
+    """By an explicit flag, by the number of claims, without any signal, and by phrases."""
+    rows = view(spark, sf_dir, f"SELECT event_id, {_reply(0)} AS reply FROM {{events}}")
+    k = F.col("event_id") % 5
+    flag, claims = F.when(k == 0, F.col("event_id") % 2 == 0), F.when(k == 1, F.col("event_id") % 3)
+    return rows.select("event_id", G.abstained(flag, claims, F.when(k != 2, F.col("reply"))).alias("abstained"))
+
+
+@query(
+    """WITH s AS (SELECT l_suppkey AS case_id, l_orderkey AS doc_id, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity AS b, l_partkey % 3 AS v, l_linenumber, row_number() OVER () AS id FROM lineitem), d AS (SELECT doc_id, a, b, case_id % 3 AS v FROM s WHERE l_linenumber = 1),
+j AS (SELECT s.id, max((d.v = s.v)::INT) AS same FROM s JOIN d ON d.doc_id = s.doc_id AND d.a <= s.a AND s.b <= d.b GROUP BY 1)
+SELECT case_id, count(*) AS n, round(count(*) FILTER (WHERE same = 1)::DOUBLE / count(*), 6) AS support, round(count(*) FILTER (WHERE same = 0)::DOUBLE / count(*), 6) AS wrong_version_rate FROM s LEFT JOIN j ON s.id = j.id GROUP BY 1"""
+)
+def rst04_wrong_version(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("case_id"), F.col("l_orderkey").alias("doc_id"), "l_linenumber", (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + F.col("l_quantity")).alias("end"), (F.col("l_partkey") % 3).alias("version"))
+    first = rows.where("l_linenumber = 1")
+    found = G.citation_support(rows, first.withColumn("version", F.col("case_id") % 3), first.drop("version"))
+    return found.select("case_id", "n", *(F.round(c, 6).alias(c) for c in ("support", "wrong_version_rate")))
 
 
 @query("SELECT c_custkey AS case_id, CASE WHEN CAST(substr(c_name, 10) AS BIGINT) = CAST(substr(s_name, 10) AS BIGINT) THEN 1.0::DOUBLE ELSE 0 END AS numeric_accuracy FROM customer JOIN supplier ON c_nationkey = s_nationkey")
