@@ -790,3 +790,17 @@ def test_numbers_that_json_cannot_hold(spark):
     first, second = sinks.finite(rows).collect()
     assert first.asDict(True) == {"a": [1.0, None], "s": {"x": None, "y": [{"z": None}]}, "m": {"a": None, "b": 2.0}, "e": None}
     assert second.asDict(True) == {"a": None, "s": None, "m": None, "e": {"k": "v"}}
+
+
+def test_routes_are_scored(spark):
+    predicted = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 1, "c"), (2, 0, "z")], "episode_id long, turn int, call_key string")
+    routes = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "d"), (1, 1, 0, "a"), (1, 1, 0, "b"), (1, 1, 1, "c"), (2, 0, 0, "z")], "episode_id long, route_no int, turn int, call_key string")
+    got = {(r.episode_id, r.route_no): (r.f1, r.recall, r.strict, r.in_order) for r in agents.score_routes(predicted, routes).collect()}
+    assert got == {(1, 0): (pytest.approx(0.4), 0.5, 0.0, 0.5), (1, 1): (1.0, 1.0, 1.0, 1.0), (2, 0): (1.0, 1.0, 1.0, 1.0)}
+    best = {r.episode_id: (r.route_no, r.decided_by) for r in agents.best_route(agents.score_routes(predicted, routes)).collect()}
+    assert best == {1: (1, "f1"), 2: (0, "only")}
+    many = spark.range(65).selectExpr("1L as episode_id", "cast(id as int) as route_no", "0 as turn", "'a' as call_key")
+    with pytest.raises(ValueError, match="65 routes"):
+        agents.score_routes(predicted, many)
+    with pytest.raises(ValueError, match="the pool has 1"):
+        prompts.few_shot_from(spark.createDataFrame([("q",)], "input string"), spark.createDataFrame([("q", "a")], "input string, target string"), 2, "input")

@@ -185,3 +185,50 @@ def evaluate_recorded(cases: DataFrame, episodes: DataFrame, trials: int = 1, k:
     state = status(F.col("error").isNotNull(), no, exhausted, no, F.lit(True), F.col("episode_id").isNotNull())
     rows = matched.select("case_id", "episode_id", "trial", "matched_by", state.alias("status"), verdict.alias("verdict"), O.disagreement(oracle, F.col("reward_verdict")).alias("disagrees"))
     return rows, reliability(rows, "case_id", k)
+
+
+#: How long a rendered trace may be, and what stands for its middle and for calls where there are none.
+TRACE_LENGTH, TRUNCATED, NO_CALLS = 6000, "\n...(truncated)...\n", "(no tool calls)"
+
+
+def head_and_tail(text: Column, limit: int = TRACE_LENGTH) -> Column:
+    """A text of at most so many characters, else its beginning (the task) and its end (the last actions)."""
+    half = limit // 2
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(half)), F.lit(TRUNCATED), F.right(text, F.lit(half))))
+
+
+def render_trace(messages: DataFrame, limit: int = TRACE_LENGTH) -> DataFrame:
+    """trace: a readable transcript of each episode's messages (episode_id, idx, role, content, calls) for a judge.
+
+    calls is the text of a message's tool calls, or null.
+    """
+    content = F.coalesce("content", F.lit(""))
+    called = F.concat(F.lit("] tool_calls: "), F.col("calls"), F.when(content != "", F.concat(F.lit(" | "), content)).otherwise(""))
+    line = F.concat(F.lit("["), F.coalesce("role", F.lit("?")), F.coalesce(called, F.concat(F.lit("] "), content)))
+    by = messages.select("episode_id", F.struct("idx", line.alias("line")).alias("m"), "calls").groupBy("episode_id").agg(F.array_sort(F.collect_list("m")).alias("m"), F.count("calls").alias("n_calls"))
+    lines = F.transform("m", lambda x: x["line"])
+    text = F.array_join(F.when(F.col("n_calls") == 0, F.array_append(lines, F.lit(NO_CALLS))).otherwise(lines), "\n")
+    return by.select("episode_id", head_and_tail(text, limit).alias("trace"))
+
+
+#: Fixed value: so many routes may one reference name.
+MOST_ROUTES = 64
+
+
+def score_routes(predicted: DataFrame, routes: DataFrame) -> DataFrame:
+    """episode_id, route_no, f1, recall, strict and in_order of each route (episode_id, route_no, turn, call_key) of a reference.
+
+    predicted has episode_id, turn and call_key. More than MOST_ROUTES routes of an episode raise.
+    """
+    from verdictframe.functions.matching import trajectory
+
+    most = routes.groupBy("episode_id").agg(F.count_distinct("route_no").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if most > MOST_ROUTES:
+        raise ValueError(f"a reference names {most} routes; {MOST_ROUTES} at most")
+    names = routes.select("episode_id", "route_no").distinct()
+    both = F.struct("episode_id", "route_no").alias("episode_id")
+    mine = predicted.join(names, "episode_id").select(both, "turn", "call_key")
+    theirs = routes.select(both, "turn", "call_key")
+    overlap = tool_call_scores(mine, theirs).select("episode_id", F.col("tool_call_f1").alias("f1"), F.col("tool_call_recall").alias("recall"))
+    found = trajectory(mine, theirs).join(overlap, "episode_id")
+    return found.select("episode_id.episode_id", "episode_id.route_no", "f1", "recall", F.col("trajectory_strict").alias("strict"), F.col("trajectory_in_order").alias("in_order"))

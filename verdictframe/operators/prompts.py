@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdictframe.functions.text import bind
+
 
 def generation(text: Column) -> Column:
     return text
@@ -125,3 +127,24 @@ def annotate(samples: DataFrame, name: str, kind: str, annotator: Callable[...,
 
     made = samples.withColumn("made__", run(*(F.col(f"`{c}`") for c in columns)))
     return made.select(*(F.col(f"`{c}`") for c in samples.columns), F.col("made__.value").alias(name), F.col("made__.error").alias(f"{name}_error"))
+
+
+def few_shot_from(samples: DataFrame, pool: DataFrame, n: int, *order: str, separator: str = "\n\n") -> DataFrame:
+    """samples with prompt: their input behind the first n examples (input, target) of a pool, in its order.
+
+    The n examples come to the driver; a pool with fewer raises.
+    """
+    shots = pool.orderBy(*order).select("input", "target").limit(n).collect() if n else []
+    if len(shots) < n:
+        raise ValueError(f"{n} examples are wanted, and the pool has {len(shots)}")
+    return samples.withColumn("prompt", few_shot(F.col("input"), [f"{s['input']}\n{s['target'] or ''}" for s in shots], separator))
+
+
+def cast_annotation(text: Column, kind: str) -> Column:
+    """(extracted, value, cast_failed): an annotation's text, its value of a type, and whether it has one and can't be cast."""
+
+    def read(t: Column) -> Column:
+        value = t.try_cast(kind)
+        return F.struct(t.alias("extracted"), value.alias("value"), (t.isNotNull() & value.isNull()).alias("cast_failed"))
+
+    return bind(read, text)

@@ -62,6 +62,19 @@ def prj10_cast(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.regex_annotation(F.col("url"), "/([0-9]+)", 1).try_cast("long").alias("number"))
 
 
+@query("SELECT page_id, regexp_extract(url, '/([^/]*)$', 1) AS extracted, TRY_CAST(regexp_extract(url, '/([^/]*)$', 1) AS BIGINT) AS value, TRY_CAST(regexp_extract(url, '/([^/]*)$', 1) AS BIGINT) IS NULL AS cast_failed FROM pages")
+def prj10_cast_failed(spark, sf_dir):
+    found = P.cast_annotation(P.regex_annotation(F.col("url"), "/([^/]*)$", 1, ""), "long")
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("f")).select("page_id", "f.*")
+
+
+@query("WITH p AS (SELECT string_agg(text || chr(10) || item_id || chr(10) || chr(10), '' ORDER BY item_id) AS prefix FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3)) SELECT doc_id, sha256(prefix || text) AS prompt_sha256 FROM documents, p")
+def prj04_few_shot(spark, sf_dir):
+    pool = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("input"), F.col("item_id").cast("string").alias("target"))
+    samples = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input"))
+    return P.few_shot_from(samples, pool, 3, "item_id").select("doc_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 @query("SELECT doc_id, text IS NOT NULL AND lang IS NOT NULL AS applicable FROM documents")
 def flt01_applicable(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", P.applicable("text", "lang").alias("applicable"))

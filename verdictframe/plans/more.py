@@ -13,6 +13,7 @@ from verdictframe.operators import comparison as C
 from verdictframe.operators import redteam as X
 from verdictframe.operators import reports as O  # noqa: N812
 from verdictframe.operators import splits as P
+from verdictframe.operators.agents import render_trace
 from verdictframe.operators.judges import label_probabilities
 from verdictframe.operators.refusals import patterns
 from verdictframe.operators.safety import red_team_summary
@@ -146,10 +147,14 @@ def prj14_judge_prompt(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", render("Q: {input} / expected: {expected}", {"input": F.col("text"), "expected": F.lit(None).cast("string")}).alias("prompt"))
 
 
-@query("SELECT user_id AS episode_id, count(*) AS n_events, string_agg(event_type, ',' ORDER BY ts, event_id) AS trace FROM events GROUP BY 1")
+@query(
+    """WITH m AS (SELECT conv_id, string_agg('[' || role || ']' || CASE WHEN turn % 4 = 1 THEN ' tool_calls: f(' || turn || ') | ' || text ELSE ' ' || text END, chr(10) ORDER BY turn) || CASE WHEN count(*) FILTER (WHERE turn % 4 = 1) = 0 THEN chr(10) || '(no tool calls)' ELSE '' END AS t FROM conversations GROUP BY 1)
+SELECT conv_id AS episode_id, sha256(CASE WHEN length(t) <= 1000 THEN t ELSE t[:500] || chr(10) || '...(truncated)...' || chr(10) || right(t, 500) END) AS trace_sha256 FROM m"""
+)
 def agt13_render_trace(spark, sf_dir):
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("episode_id")).agg(F.count(F.lit(1)).alias("n_events"), F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("trace"))
+    calls = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("f("), F.col("turn").cast("string"), F.lit(")")))
+    messages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("idx"), "role", F.col("text").alias("content"), calls.alias("calls"))
+    return render_trace(messages, 1000).select("episode_id", T.digest("trace").alias("trace_sha256"))
 
 
 @query("SELECT u.user_id AS probe, count(*) AS total, count(*) FILTER (WHERE value > 300) AS invalid FROM events u GROUP BY 1")
