@@ -734,7 +734,9 @@ def test_fields_with_aligned_lists(spark):
     assert values(spark, [('{"k": 1}', own), ("{}", own), ("{}", None)], J.json_schema_valid_each("output", "target")) == [1, 0, None]
 
 
-def test_hooks_of_ones_own(spark):
+def test_hooks_of_ones_own(spark, monkeypatch):
+    for name in ("PROBES", "DETECTORS", "DETECTORS_OF"):  # what is added here goes again
+        monkeypatch.setattr(redteam, name, dict(getattr(redteam, name)))
     redteam.register_detector("shouts", lambda reply: reply == F.upper(reply))
     redteam.register_probe("calm", ["Speak."], ["shouts"])
     got = {r.detector: r.passed for r in redteam.run(spark, api.scripted({}, "LOUD"), ["calm"]).collect()}
