@@ -109,14 +109,11 @@ def f1_score(output: Column | str, target: Column | str, normalize: bool = True)
 
 
 def token_overlap(output: Column | str, target: Column | str) -> Column:
-    """Jaccard similarity of the token sets; two empty texts score 1."""
+    """Jaccard similarity of the token sets; two empty texts score 1.
 
-    def share(a: Column, b: Column) -> Column:
-        both = F.size(F.array_intersect(a, b))
-        together = F.size(a) + F.size(b) - both
-        return F.when(together == 0, F.lit(1.0)).otherwise(both / together)
-
-    return T.bind(share, F.array_distinct(T.split(_text(output))), F.array_distinct(T.split(_text(target))))
+    In Arrow batches: array built-ins inside the JVM gave the same scores in three times the time.
+    """
+    return V.jaccard(output, target)
 
 
 def bm25_similarity(output: Column | str, target: Column | str) -> Column:

@@ -76,6 +76,11 @@ def token_f1_score(output: str, target: str, tokens=squad_tokens) -> float:
     return 2 * _shared(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
+def jaccard_score(output: str, target: str) -> float:
+    a, b = set(output.split()), set(target.split())
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def longest_overlap_score(output: str, target: str) -> float:
     """Shared tokens of the multisets by the longer token count; two empty texts score 0."""
     a, b = output.split(), target.split()
@@ -139,12 +144,23 @@ def _character_grams(text: str, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
+#: Texts of so many characters together are counted as strings, longer ones as arrays of hashes.
+SHORT = 2000
+
+
 def chrf_score(output: str, target: str, n: int = 6, beta: float = 1.0) -> float:
     """F of the mean precision and the mean recall of character n-grams, up to the longer text; 0 for an empty side."""
     if not output or not target:
         return 0.0
     orders = min(n, max(len(output), len(target)))
     p = r = 0.0
+    if len(output) + len(target) <= SHORT:
+        for k in range(1, orders + 1):
+            x, y = (Counter([t[i : i + k] for i in range(len(t) - k + 1)]) for t in (output, target))
+            shared = sum(min(c, y[g]) for g, c in x.items() if g in y)
+            p += shared / max(1, len(output) - k + 1) / orders
+            r += shared / max(1, len(target) - k + 1) / orders
+        return 0.0 if p + r == 0 else (1 + beta**2) * p * r / (beta**2 * p + r)
     for (x, in_x), (y, in_y) in zip(_character_grams(output, orders), _character_grams(target, orders), strict=True):
         _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
         shared = int(np.minimum(in_x[i], in_y[j]).sum())
@@ -174,6 +190,7 @@ def word_accuracy_score(output: str, target: str) -> float:
 
 token_f1 = _pairwise(token_f1_score)
 plain_token_f1 = _pairwise(lambda a, b: token_f1_score(a, b, str.split))
+jaccard = _pairwise(jaccard_score)
 longest_overlap = _pairwise(longest_overlap_score)
 recall = _pairwise(recall_score)
 bleu = _pairwise(sentence_bleu)

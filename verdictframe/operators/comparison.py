@@ -136,11 +136,9 @@ def resampled(baseline: list[float], candidate: list[float], n_resamples: int, s
     differences = [c - b for b, c in zip(baseline, candidate, strict=True)]
     observed = math.fsum(differences) / n
     least = abs(observed) - TIE * max(1.0, abs(observed))
-    rng, means, extreme = random.Random(seed), [], 0
-    for _ in range(n_resamples):
-        picks = [rng.randrange(n) for _ in range(n)]
-        means.append(math.fsum(differences[i] for i in picks) / n)
-        extreme += abs(math.fsum(differences[i] - observed for i in picks) / n) >= least
+    draw, values = random.Random(seed).randrange, np.array(differences)
+    means = np.array([values[[draw(n) for _ in range(n)]].mean() for _ in range(n_resamples)])
+    extreme = int((np.abs(means - observed) >= least).sum())
     tail, p = (1 - confidence) / 2, (extreme + 1) / (n_resamples + 1)
     low, high = np.quantile(means, [tail, 1 - tail])
     return n, math.fsum(baseline) / n, math.fsum(candidate) / n, observed, float(low), float(high), p, p < SIGNIFICANT
