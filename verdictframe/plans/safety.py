@@ -37,8 +37,9 @@ _MASKED = "list_reduce(list_prepend({0}, " + _TOKENS + f"), lambda a, t: replace
 
 @query(f"WITH r AS (SELECT doc_id, text, {_nested('text')} AS plain FROM documents), m AS (SELECT doc_id, text, {_MASKED.format('plain')} AS redacted FROM r) SELECT doc_id, sha256(redacted) AS redacted_sha256, redacted <> text AS changed FROM m")
 def sec01_redact(spark, sf_dir):
-    redacted = S.redact(F.col("text"), patterns=PATTERNS)
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redacted, 256).alias("redacted_sha256"), (redacted != F.col("text")).alias("changed"))
+    # the masked text is a column of its own, so that it is made once
+    masked = table(spark, sf_dir, "documents").select("doc_id", "text", S.redact(F.col("text"), patterns=PATTERNS).alias("masked"))
+    return masked.select("doc_id", F.sha2("masked", 256).alias("redacted_sha256"), (F.col("masked") != F.col("text")).alias("changed"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{S.TOKEN}')) AS n_tokens FROM documents")
