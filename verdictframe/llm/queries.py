@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictframe.llm import chat, language, license_scan, packing, quality_classifier, quality_rules, url_filter, warc
+from verdictframe.llm import chat, filter_audit, language, license_scan, packing, quality_classifier, quality_rules, source_audit, url_filter, warc
 from verdictframe.llm.cluster import cut, read
 from verdictframe.llm.decontaminate import report
 from verdictframe.llm.near_dedup import near_duplicates
@@ -86,6 +86,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -99,6 +107,8 @@ QUERIES: dict[str, Query] = {
         op8_license_scan,
         op9_quality_classifier,
         op10_decontamination,
+        op12_source_divergence,
+        op13_filter_interaction,
     )
 }
 
@@ -140,5 +150,68 @@ best AS (
   SELECT *, row_number() OVER (PARTITION BY page_id, url, fetched_at ORDER BY specificity DESC, valid_from DESC, pattern DESC, verdict DESC) AS rn FROM found)
 SELECT p.page_id, p.url, p.fetched_at, coalesce(b.verdict, 'allow') AS verdict, b.pattern AS matched, b.valid_from
 FROM parsed p LEFT JOIN best b ON b.rn = 1 AND p.page_id = b.page_id AND p.url = b.url AND p.fetched_at = b.fetched_at
+""",
+    "op12_source_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= {source_audit.MIN_DOCS}),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v.v
+  FROM groups g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(n) OVER (PARTITION BY lang, term) AS lang_n, sum(n) OVER (PARTITION BY lang) AS lang_total FROM cells),
+priced AS (
+  SELECT lang, source, term, n,
+         CAST(1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v)::HUGEINT AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v)::HUGEINT AS BIGINT) AS q
+  FROM summed),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM priced WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= {source_audit.TOP_TERMS}
+""",
+    "op13_filter_interaction": r"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+marked AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY 1),
+masks AS (
+  SELECT r.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+         CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN r.doc_id > min(r.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM raw r LEFT JOIN marked m ON m.doc_id = r.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY 1, 2),
+orders(o) AS (
+  SELECT ''
+  UNION ALL
+  SELECT o || c FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t(c) WHERE strpos(o, c) = 0),
+steps AS (
+  SELECT c.*, o AS filter_order, s AS step, o[s] AS filter, 1 << (strpos('ABCDE', o[s]) - 1) AS bit
+  FROM cells c, orders, (VALUES (1), (2), (3), (4), (5)) t(s) WHERE length(o) = 5),
+seen AS (
+  SELECT *, mask & bit AS fails, coalesce(bit_or(mask & bit) OVER (PARTITION BY part, mask, filter_order ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM steps),
+figures AS (
+  SELECT part, filter_order, step, filter,
+         CAST(sum(CASE WHEN (before | fails) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN fails > 0 AND before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN fails > 0 AND before > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN fails > 0 AND before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN fails > 0 AND before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM seen GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM figures
 """,
 }
