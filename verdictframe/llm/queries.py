@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictframe.llm import chat, filter_audit, language, license_scan, packing, quality_classifier, quality_rules, source_audit, url_filter, warc
+from verdictframe.llm import chat, filter_audit, language, license_scan, packing, pii, quality_classifier, quality_rules, source_audit, url_filter, warc
 from verdictframe.llm.cluster import cut, read
 from verdictframe.llm.decontaminate import report
 from verdictframe.llm.near_dedup import near_duplicates
@@ -86,6 +86,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(read(spark, sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
         op8_license_scan,
         op9_quality_classifier,
         op10_decontamination,
+        op11_pii,
         op12_source_divergence,
         op13_filter_interaction,
     )
