@@ -38,8 +38,8 @@ _BYTE = np.arange(256)
 #: Bytes of terms: ASCII letters and everything outside ASCII.
 LETTERS = (_BYTE >= 0x80) | ((_BYTE >= 0x41) & (_BYTE <= 0x5A)) | ((_BYTE >= 0x61) & (_BYTE <= 0x7A))
 #: A task adds up so many rows before it sends them on.
-PENDING = 400_000
-CHUNK = 4 << 20
+PENDING = 200_000
+CHUNK = 2 << 20
 
 
 def _texts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
