@@ -106,7 +106,8 @@ def test_personal_data_adds_other_forms_and_spares_numbers(spark):
 def test_personal_data_trees_in_the_plan_equal_the_arrays(spark):
     docs, _ = learned(spark)
     spans = pii.located(pii.proposals(docs))
-    model = pii.fit(spans)
+    model = pii.fit(spans, 1000)
+    assert pii.fit(spans, 10**9, train_rows=30) is None and pii.fit(spans, 0) is None
     names = pii.features()
     rows = spans.where("kind is not null").withColumns(names).withColumn("p", model.probability(list(names))).collect()
     plain = quality_rules.Forest.probabilities(model.forest, np.array([[r[n] for n in names] for r in rows]))

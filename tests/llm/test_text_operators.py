@@ -109,6 +109,15 @@ def test_large_groups_are_verified_in_blocks(spark, docs, rows, monkeypatch, sla
     assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, slack).collect()} == {(d, root) for d, (_, root) in want.items()}
 
 
+def test_deduplicate_keeps_one_of_repeated_rows_and_of_copies_without_id(spark):
+    same, other = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(30))
+    rows = [(1, same), (1, same), (2, same), (None, same), (None, same), (None, other), (None, other), (5, None), (5, None), (6, ""), (None, None), (None, None), (7, other + " x y z " + same)]
+    kept = near_dedup.deduplicate(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, own int")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, same), (None, other), (5, None), (6, ""), (None, None), (7, other + " x y z " + same)])
+    unique = spark.createDataFrame([(1, same), (2, same), (3, other)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.deduplicate(unique).collect()) == [1, 3]
+
+
 def test_rows_of_one_id_are_one_document(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
     rows = [(3, a), (7, a), (7, b), (9, b), (8, b + " more"), (20, c), (20, c + " x y"), (21, None), (21, c)]
@@ -287,6 +296,18 @@ def test_longest_matches_equal_brute_force(spark):
             assert by_id[m.item_id][m.item_start : m.item_start + m.length] == w[m.start : m.start + m.length]
 
 
+def test_hits_come_from_the_search_in_the_suffix_array(monkeypatch):
+    import pyarrow as pa
+
+    item = "a b c d e f g h i j k l"
+    test = decontaminate.TestSet(["q", "short"], [item, "m n"], 10)
+    column = pa.array(["x " + item + " y m n " + item])
+    n_words, spans, items, matches = decontaminate.scan_texts(test, column)
+    assert items.to_pylist() == [["q", "short"]] and [(m["start"], m["length"]) for m in matches[0].as_py()] == [(1, 12), (14, 2), (16, 12)]
+    monkeypatch.setattr(decontaminate.Shard, "search", lambda self, w: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert [x.to_pylist() for x in decontaminate.scan_texts(test, column)] == [n_words.to_pylist(), [[]], [[]], [[]]]
+
+
 def test_periodic_texts_stay_linear():
     import time
 
@@ -404,6 +425,20 @@ def test_language(spark):
     assert [tuple(r)[2:] for r in language.predict(unknown).collect()] == [("und", 0.0)]
 
 
+def test_three_hundred_languages_are_told_apart():
+    """More labels than a byte holds."""
+    rng = np.random.default_rng(3)
+    truth = np.repeat(rng.integers(0, 300, 60), 30)
+    scores = rng.normal(0, 1, (len(truth), 300))
+    scores[np.arange(len(truth)), truth] += 30
+    for segment in (7, 512):
+        language.SEGMENT, before = segment, language.SEGMENT
+        try:
+            assert (language.viterbi(scores, np.array([len(truth)])) == truth).all()
+        finally:
+            language.SEGMENT = before
+
+
 def path_value(s, path, penalty):
     return sum(s[t, k] for t, k in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:], strict=False))
 
@@ -506,6 +541,29 @@ def test_language_equals_a_plain_model(spark, monkeypatch):
 NOTICES = ["Licensed under the Apache License, Version 2.0.", "x GNU GENERAL PUBLIC LICENSE gnu general public license y", "cc by cc by", "mit\nlicense mit license", "Released under the MIT License. All rights reserved.", "gnu general public licenses", "the the the of"]
 
 
+_HEAD = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_FREE = "{0} This program is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+#: Text: labels.
+MATRIX = {
+    _FREE.format("A.", "", "2"): "gpl,gpl-2.0-or-later",
+    _FREE.format("B.", "", "3"): "gpl,gpl-3.0-or-later",
+    _FREE.format("C.", "Lesser ", "2.1"): "lgpl-2.1-or-later",
+    _FREE.format("D.", "Lesser ", "3"): "lgpl-3.0-or-later",
+    _FREE.format("E.", "Affero ", "3"): "agpl-3.0-or-later",
+    "F. You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+    f"G. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {_HEAD} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS": "bsd-2-clause",
+    f"H. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {_HEAD} 3. Neither the name of ACME Example Incorporated nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE AUTHORS": "bsd-3-clause",
+    "I. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: see elsewhere": "bsd",
+    f"J. {_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    f"K. {_GRANT}. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES": "0bsd",
+    f"L. {_GRANT} to those who ask": "isc-like",
+    "M. Permission is hereby granted, free of charge, to any natural person or to any company obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software": "mit-notice",
+    "N. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-1.0",
+    "O. either version 3 of the license, then much else " + "and so on " * 40 + _FREE.format("", "", "2"): "gpl,gpl-2.0-or-later",
+}
+
+
 def test_license_scan(spark, rows):
     rows = [*rows, *((3000 + i, t, "en", "s", 0) for i, t in enumerate(NOTICES)), (3001, NOTICES[1], "en", "s", 0)]
     got = license_scan.scan(clashing(spark.createDataFrame(rows, SCHEMA).repartition(3))).collect()
@@ -528,16 +586,32 @@ def test_license_scan(spark, rows):
 
 
 def plain_matches(text):
-    """The labels, their best share and the number of matches by trying each template at each place."""
+    """The labels, their best share and the number of matches by trying each piece of each template at each place."""
     w, labels, share, n = words(ALNUM, text), set(), 0.0, 0
-    for label, notice, phrases in license_scan.TEMPLATES:
-        t = notice.split()
-        for start in range(-len(t), len(w)):
-            agree = sum(0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(t))
-            if agree >= -(-len(t) * 6 // 10):
-                window = w[max(0, start) : start + len(t)]
-                if any(window[i : i + len(p.split())] == p.split() for p in phrases for i in range(len(window))):
-                    labels, share, n = labels | {label}, max(share, agree / len(t)), n + 1
+    pieces = license_scan.pieces_of(license_scan.TEMPLATES)
+    for k, (label, notice, phrases) in enumerate(license_scan.TEMPLATES):
+        size, stands, found = len(notice.split()), [], {}
+        for j, p in enumerate(pieces):
+            if p.template == k:
+                for start in range(-len(p.words), len(w)):
+                    agree = sum(0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(p.words))
+                    if agree == len(p.words) if p.phrase else agree >= -(-len(p.words) * 6 // 10):
+                        stands.append((start - p.offset, j, agree, p.phrase))
+        for bucket in {b // license_scan.DRIFT - d for b, *_ in stands for d in (0, 1)}:
+            near = [s for s in stands if 0 <= s[0] - bucket * license_scan.DRIFT < 2 * license_scan.DRIFT]
+            best = {}
+            for begin, j, agree, phrase in near:
+                old = best.get(j, (0, begin, phrase))
+                best[j] = (max(old[0], agree), min(old[1], begin), phrase)
+            total = sum(a for a, _, phrase in best.values() if not phrase)
+            if total >= -(-size * 6 // 10) and sum(phrase for *_, phrase in best.values()) == len(phrases):
+                start = min(b for _, b, _ in best.values())
+                found[start] = max(found.get(start, 0), total / size)
+        if found:
+            labels, share, n = labels | {label}, max(share, *found.values()), n + len(found)
+    for family, members in license_scan.FAMILIES.items():
+        if labels & set(members):
+            labels -= {family}
     return labels, share, n
 
 
@@ -549,7 +623,7 @@ def test_license_scan_equals_a_scan_of_all_places(spark):
     for _ in range(60):
         w = [x if rng.random() > 0.25 else rng.choice(["software", "the", "zz", "license"]) for n in rng.sample(notices, 3) for x in [*n.split(), *["filler"] * rng.randrange(4)]]
         texts.append(" ".join(w[rng.randrange(5) :]))
-    texts += [f"{long[1]}. {long[2]}", "unencumbered mozilla gnu foundation " + "other words " * 5000 + long[-1]]
+    texts += [*MATRIX, f"{long[1]}. {long[2]}", "unencumbered mozilla gnu foundation " + "other words " * 5000 + long[-1]]
     texts += [long[2]] * 100  # a notice that every other text carries
     rows = [(i, t) for i, t in enumerate(texts)]
     for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
@@ -566,6 +640,20 @@ def test_license_labels_do_not_depend_on_the_table(spark, texts):
     assert all(r.labels == {"none": "", "mit": "mit,mit-notice"}.get(texts[r.doc_id], texts[r.doc_id]) for r in found)
 
 
+def test_license_labels_tell_versions_and_clauses_apart(spark):
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(MATRIX)), "doc_id long, text string")).collect()
+    texts = list(MATRIX)
+    assert {texts[r.doc_id]: r.labels for r in found} == MATRIX
+
+
+def test_license_scan_of_long_texts(spark):
+    """A notice in every tenth part of a megabyte, and a megabyte of one notice's words."""
+    notice = next(n for label, n, _ in license_scan.TEMPLATES if label == "gpl-2.0-or-later")
+    texts = [("filler words of no notice " * 4000 + notice + ". ") * 10, "permission is hereby granted free of charge " * 20_000]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].labels == "gpl,gpl-2.0-or-later" and got[0].n_matches == 10 and got[1].labels == ""
+
+
 def plain_best_fit(pieces, capacity, most):
     bins, needed = [], max(1, -(-sum(p[0] for p in pieces) // capacity))
     limit = {s: max(most, -(-2 * n // needed)) for s, n in Counter(p[2] for p in pieces).items()}

@@ -1,13 +1,14 @@
 """Benchmark decontamination by training suffix arrays.
 
 Each task takes its share of the training texts in chunks (the shards). Prefix doubling (1, 2, 4, 8 words, then 8 + 2)
-gives each run of words its lexicographic rank among the runs of the test set, so that windows of test items are found
-in a shard by binary search of ranks. The words that windows cover are the only ones that a match can touch; their
-suffixes, and those of the test items concerned, are brought into full lexicographic order (the suffix array of the
-shard), every test suffix is binary-searched in it, and each training suffix has its longest match with one of the two
-test suffixes between which it stands. Matches that lie inside a longer one are left out, so there are never more
-matches than words, however often text and items repeat themselves. Equal test windows are one entry, with the set of
-items that hold it.
+sorts the shard's own suffixes (those of words that test items have, too) as far as a window goes. Every distinct test
+window, of whose words none is missing from the shard, is binary-searched in that array, and the range between its lower
+and upper bound has the places where it stands: hits, items and matches come from these ranges alone. The words that
+windows cover are the only ones that a longer match can touch; their suffixes, and those of the test items concerned,
+are brought into full order, every test suffix is binary-searched in it, and each training suffix has its longest match
+with one of the two test suffixes between which it stands. Matches that lie inside a longer one are left out, so there
+are never more matches than words, however often text and items repeat themselves. Equal test windows are one entry,
+with the set of items that hold it.
 
 The test set is read in blocks of about BLOCK_WORDS words. One block is one streamed pass without a shuffle. More
 blocks are passes one after another, each holding one block (driver and tasks); what each finds, keyed by a digest of
@@ -54,10 +55,10 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of one length: the tables of their ranks, their places, and the items that hold them."""
+    """The distinct windows of one length: their places, and the items that hold them; widths are the runs that make them up."""
 
-    def __init__(self, length: int, widths: list[int], tables: list[np.ndarray], rank: np.ndarray, at: np.ndarray, item: np.ndarray):
-        self.length, self.widths, self.tables = length, widths, tables
+    def __init__(self, length: int, widths: list[int], rank: np.ndarray, at: np.ndarray, item: np.ndarray):
+        self.length, self.widths = length, widths
         order = np.lexsort((at, rank))
         self.places = at[order]
         self.first = np.searchsorted(rank[order], np.arange(1, int(rank.max(initial=0)) + 2))
@@ -71,7 +72,7 @@ class Windows:
 
 
 class TestSet:
-    """Words of the test items one after another, with the tables by which words and runs of words get their ranks."""
+    """Words of the test items one after another, and their distinct windows."""
 
     __test__ = False
 
@@ -92,12 +93,10 @@ class TestSet:
         self.vocabulary = np.unique(h)
         ranks = _rank(self.vocabulary, h)
         self.words, by_width, width = ranks, {1: ranks}, 1
-        self.tables: list[np.ndarray] = []
         while width * 2 <= window:
             pairs = _pair(ranks, self._shifted(ranks, width))
             pairs[self.left < 2 * width] = -1
-            self.tables.append(np.unique(pairs[pairs >= 0]))
-            ranks, width = _rank(self.tables[-1], pairs), width * 2
+            ranks, width = _rank(np.unique(pairs[pairs >= 0]), pairs), width * 2
             by_width[width] = ranks
         self.by_length = [self._windows(n, by_width) for n in sorted({int(min(n, window)) for n in counts if n})]
 
@@ -112,38 +111,79 @@ class TestSet:
         while done < length:
             widths.append(max(w for w in by_width if w <= length - done))
             done += widths[-1]
-        rank, tables, done = by_width[widths[0]][at], [], widths[0]
+        rank, done = by_width[widths[0]][at], widths[0]
         for w in widths[1:]:
-            pairs = _pair(rank, by_width[w][at + done])
-            tables.append(np.unique(pairs))
-            rank, done = _rank(tables[-1], pairs), done + w
-        if not tables:  # the ranks have gaps where longer items hold runs of this width
-            tables.append(np.unique(_pair(rank, np.zeros_like(rank))))
-            rank = _rank(tables[-1], _pair(rank, np.zeros_like(rank)))
-        return Windows(length, widths, tables, rank, at, self.item)
-
-
-def occurrences(test: TestSet, hashes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Ranks of a shard's words in the test set, and for each length the places and ranks of the windows in the shard."""
-    words = _rank(test.vocabulary, hashes)
-    ranks, r, width = {1: words}, words, 1
-    for table in test.tables:
-        nxt = np.zeros_like(r)
-        live = np.flatnonzero((r[:-width] > 0) & (r[width:] > 0) & (left[:-width] >= 2 * width)) if len(r) > width else np.zeros(0, np.int64)
-        nxt[live] = _rank(table, _pair(r[live], r[live + width]))
-        width *= 2
-        ranks[width] = r = nxt
-    found = []
-    for w in test.by_length:
-        at = np.flatnonzero((ranks[w.widths[0]] > 0) & (left >= w.length))
-        rank, done = ranks[w.widths[0]][at], w.widths[0]
-        if len(w.widths) == 1:
-            rank = _rank(w.tables[0], _pair(rank, np.zeros_like(rank)))
-        for more, table in zip(w.widths[1:], w.tables, strict=False):
-            rank, done = _rank(table, _pair(rank, ranks[more][at + done])), done + more
-            at, rank = at[rank > 0], rank[rank > 0]
-        found.append((at[rank > 0], rank[rank > 0]))
-    return words, found
+            rank, done = np.unique(_pair(rank, by_width[w][at + done]), return_inverse=True)[1] + 1, done + w
+        # without gaps, where longer items hold runs of this width
+        return Windows(length, widths, np.unique(rank, return_inverse=True)[1] + 1, at, self.item)
+
+
+class Shard:
+    """The suffixes of a shard's words that test items have, too, ordered by prefix doubling, and the search of test windows in them.
+
+    ranks[w] has the place of each run of w words among the shard's own distinct runs, 0 where a word is missing from
+    the test items or the text ends; tables[w] has these runs as pairs of ranks of half the width.
+    """
+
+    def __init__(self, test: TestSet, hashes: np.ndarray, left: np.ndarray):
+        self.test, self.left = test, left
+        self.words = _rank(test.vocabulary, hashes)
+        width = 1
+        self.ranks, self.tables = {1: self.words}, {}
+        while width * 2 <= test.window:
+            r = self.ranks[width]
+            on = np.flatnonzero((r[:-width] > 0) & (r[width:] > 0) & (left[:-width] >= 2 * width)) if len(r) > width else np.zeros(0, np.int64)
+            rank = np.zeros_like(r)
+            self.tables[2 * width], inverse = np.unique(_pair(r[on], r[on + width]), return_inverse=True)
+            rank[on] = inverse + 1
+            width *= 2
+            self.ranks[width] = rank
+
+    def _of_test(self, places: np.ndarray, length: int) -> dict[int, np.ndarray]:
+        """Ranks of the runs of test words under windows at places, searched in the shard's tables."""
+        words = self.test.words
+        under = np.unique((places[:, None] + np.arange(length)).ravel())
+        ranks, width = {1: words}, 1
+        while width * 2 <= length:
+            r, rank = ranks[width], np.zeros_like(words)
+            on = under[under + 2 * width <= len(words)]
+            on = on[(r[on] > 0) & (r[on + width] > 0) & (self.test.left[on] >= 2 * width)]
+            rank[on] = _rank(self.tables[2 * width], _pair(r[on], r[on + width]))
+            width *= 2
+            ranks[width] = rank
+        return ranks
+
+    def search(self, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the shard, ascending, and ranks of the test windows that stand there.
+
+        The suffixes long enough are sorted by their first words; the lower and upper bound of each test window in
+        that order enclose the places where it stands.
+        """
+        none = np.zeros(0, np.int64)
+        has = np.zeros(len(self.test.vocabulary) + 1, bool)
+        has[self.words] = True
+        missing = np.concatenate([[0], np.cumsum(~has[self.test.words])])
+        window = w.places[w.first[:-1]]
+        number = np.flatnonzero(missing[window + w.length] == missing[window])  # the others miss a word
+        at = np.flatnonzero((self.ranks[w.widths[0]] > 0) & (self.left >= w.length))
+        if not len(number) or not len(at):
+            return none, none
+        window = window[number]
+        theirs = self._of_test(window, w.length)
+        here, there, done = self.ranks[w.widths[0]][at], theirs[w.widths[0]][window], w.widths[0]
+        for width in w.widths[1:]:
+            ok, known = self.ranks[width][at + done] > 0, (there > 0) & (theirs[width][window + done] > 0)
+            at, here, number, window, there = at[ok], here[ok], number[known], window[known], there[known]
+            table, inverse = np.unique(_pair(here, self.ranks[width][at + done]), return_inverse=True)
+            here, there = inverse + 1, _rank(table, _pair(there, theirs[width][window + done]))
+            done += width
+        number, there = number[there > 0], there[there > 0]
+        array = np.argsort(here, kind="stable")
+        ordered = here[array]
+        lower, upper = np.searchsorted(ordered, there, side="left"), np.searchsorted(ordered, there, side="right")
+        place, rank = at[array[_ranges(lower, upper - lower)]], np.repeat(number + 1, upper - lower)
+        order = np.argsort(place, kind="stable")
+        return place[order], rank[order]
 
 
 class Order:
@@ -231,9 +271,10 @@ def scan_texts(test: TestSet, column: pa.Array) -> tuple[pa.Array, pa.Array, pa.
             continue
         first, doc = words.first(), words.doc
         left = first[1:][doc] - np.arange(len(doc))
-        ranks, found = occurrences(test, words.hashes(), left)
+        shard = Shard(test, words.hashes(), left)
         steps = np.zeros(len(doc) + 1, np.int64)
-        for w, (at, rank) in zip(test.by_length, found, strict=True):
+        for w in test.by_length:
+            at, rank = shard.search(w)
             if not len(at):
                 continue
             np.add.at(steps, at, 1)
@@ -243,7 +284,7 @@ def scan_texts(test: TestSet, column: pa.Array) -> tuple[pa.Array, pa.Array, pa.
             n = w.owner_n[which]
             items.append(np.stack([np.repeat((held >> 32) + lo, n), w.owner[_ranges(w.owner_first[which], n)]], axis=1))
             if w.length == test.window:
-                start, length, q = longest(test, w, ranks, at, rank, doc)
+                start, length, q = longest(test, w, shard.words, at, rank, doc)
             else:
                 start, length, q = at, np.full(len(at), w.length), w.places[w.first[rank - 1]]
             matches.append(np.stack([doc[start] + lo, start - first[:-1][doc[start]], length, test.item[q], test.place[q]], axis=1))

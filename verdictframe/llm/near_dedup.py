@@ -25,7 +25,8 @@ shuffle), which Spark's adaptive skew join splits; blocks bound what a task hold
 
 Defined results: a null or empty text has no shingles and is a group of its own, kept. Rows with the same doc_id are
 the same document, also when their texts differ: links of each text are links of the document. A row with a null
-doc_id takes the group of its text, if others have it, and is kept only when it has none. Further columns are ignored.
+doc_id takes the group of its text, if others have it, and is kept only when it has none (deduplicate() tells such rows
+apart by their texts). Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -345,10 +346,26 @@ def near_duplicates(documents: DataFrame, slack: float | None = SLACK) -> DataFr
     )
 
 
+#: Rows without an id get one from their text here, beyond all others.
+NO_ID = 1 << 62
+
+
 def deduplicate(documents: DataFrame) -> DataFrame:
     """documents without those that aren't the first of their group; the columns stay as they are.
 
-    A row without an id can't be told from others, so it stays.
+    Of rows that repeat a text with its doc_id one stays. Rows without an id are known by their text: they come after
+    all that have one, and of equal ones a single row stays. Only rows whose id stands more than once are shuffled as a whole.
     """
-    removed = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("removed__"))
-    return documents.join(removed, documents["doc_id"].cast("long") == F.col("removed__"), "left_anti")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 60)))
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    text = F.col(names[documents.columns.index("text")])
+    plain = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, names, strict=True)), own.alias("own"))
+    found = cut(near_duplicates(plain.select(F.col("own").alias("doc_id"), text.alias("text"))).select("doc_id", "kept"))
+    removed = found.where("not kept").select(F.col("doc_id").alias("removed")).distinct()
+    repeated = cut(found.where("kept").groupBy(F.col("doc_id").alias("repeated")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("repeated"))
+    kept = plain.join(removed, F.col("own") == F.col("removed"), "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, F.col("own") == F.col("repeated"), "left_anti")
+        again = kept.join(repeated, F.col("own") == F.col("repeated"), "left_semi").withColumn("digest", F.md5(text)).dropDuplicates(["own", "digest"]).drop("digest")
+        kept = once.unionByName(again)
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)))

@@ -117,16 +117,18 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)(?::[0-9]+)?([^?#]*)"
+# the parts of a URL, for another engine's regular expressions
+_URL = r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2,}(?:[^/\\?#]*@)?(\[[^\]/\\?#@]*\]|[^/\\?#:@\[\]]+)(?::[0-9]*)?((?:[/\\][^?#]*)?)(?:[?#]|\z)"
 
 SQL: dict[str, str] = {
     "op1_url_filter": rf"""
-WITH parsed AS (
+WITH cleaned AS (SELECT page_id, url, regexp_replace(url, '[\t\r\n]', '', 'g') AS u FROM pages),
+parsed AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched_at,
-         lower(regexp_extract(url, '{_URL}', 1)) AS h,
-         list_filter(string_split(regexp_extract(url, '{_URL}', 2), '/'), lambda s: s <> '') AS seg
-  FROM pages),
-labels AS (SELECT *, string_split(h, '.') AS lab FROM parsed WHERE h <> ''),
+         regexp_replace(lower(regexp_extract(u, '{_URL}', 1)), '\.+$', '') AS h,
+         list_filter(string_split(replace(regexp_extract(u, '{_URL}', 2), '\', '/'), '/'), lambda s: s <> '') AS seg
+  FROM cleaned),
+labels AS (SELECT *, CASE WHEN regexp_matches(h, '^(?:[0-9.]+|\[.*)$') THEN [h] ELSE string_split(h, '.') END AS lab FROM parsed WHERE h <> ''),
 lookups AS (
   SELECT page_id, url, fetched_at, 'host:' || h AS pattern, 100 AS specificity FROM labels
   UNION ALL SELECT page_id, url, fetched_at, 'prefix:' || h || '/' || array_to_string(seg[1:k], '/'), 200 + k

@@ -12,6 +12,10 @@ spread over salts in proportion to their number, by a hash of the capture, and t
 each. How many captures share a pattern is counted with sums before the shuffle. The verdict of a capture is an
 aggregate over the capture's own few lookups, combined before the shuffle.
 
+URLs are read as browsers read them: tabs and line ends are dropped, a backslash is a slash, user info (up to the last @
+of the authority) and port are no part of the host, an address in brackets is one host, dots at the end of a host don't
+count. Addresses in numbers have no domains above them. Percent signs and letters outside ASCII stay as they are.
+
 Defined results: a null or unparsable URL, or a null fetch time, matches nothing and is allowed, with a null entry.
 Entries with a null pattern or date are ignored; of several entries of a pattern with one date, the one whose action
 and verdict come last in alphabetical order holds. Repeated captures each get a row. Further columns are ignored.
@@ -22,20 +26,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictframe.llm.cluster import broadcast_if_small, only
+from verdictframe.llm.cluster import broadcast_if_small, cut, only
 
 HOT = 4096
-URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)(?::[0-9]+)?([^?#]*)"
+#: Scheme, user info, host (1), port, path (2), and what ends them.
+URL = r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2,}(?:[^/\\?#]*@)?(\[[^\]/\\?#@]*\]|[^/\\?#:@\[\]]+)(?::[0-9]*)?((?:[/\\][^?#]*)?)(?:[?#]|\z)"
+#: Hosts without domains above them.
+ADDRESS = r"^(?:[0-9.]+|\[.*)$"
+
+
+def _read(url: Column) -> Column:
+    return F.translate(url, "\t\r\n", "")
 
 
 def host(url: Column) -> Column:
     """The host in lower case; null if there is none."""
-    found = F.lower(F.regexp_extract(url, URL, 1))
+    found = F.regexp_replace(F.lower(F.regexp_extract(_read(url), URL, 1)), r"\.+$", "")
     return F.when(found != "", found)
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(url, URL, 2)
+    return F.translate(F.regexp_extract(_read(url), URL, 2), "\\", "/")
 
 
 def patterns(url: Column, prefix_depth: int, domain_depth: int, least_labels: int = 1) -> Column:
@@ -49,7 +60,7 @@ def patterns(url: Column, prefix_depth: int, domain_depth: int, least_labels: in
     def entry(pattern: Column, specificity: Column) -> Column:
         return F.struct(pattern.alias("pattern"), specificity.cast("int").alias("specificity"))
 
-    labels = F.split(h, r"\.")
+    labels = F.when(h.rlike(ADDRESS), F.array(h)).otherwise(F.split(h, r"\."))
     prefixes = each(1, F.least(F.size(segments), F.lit(prefix_depth)), lambda k: entry(F.concat(F.lit("prefix:"), h, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), k), "/")), k + 200))
     domains = each(least_labels, F.least(F.size(labels), F.lit(domain_depth)), lambda k: entry(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")), k))
     own = F.array(entry(F.concat(F.lit("host:"), h), F.lit(100)))
@@ -82,7 +93,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id
 
     Captures with equal id, url and time are told apart by how often they come.
     """
-    rows = only(captures, capture_id, "url", "fetched_at")
+    rows, entries = only(captures, capture_id, "url", "fetched_at"), cut(only(entries, "pattern", "action", "verdict", "listed_at"))
     grouped = rows.groupBy(capture_id, "url", "fetched_at").agg(F.count(F.lit(1)).alias("copies"))
     looked_up = grouped.select("*", F.explode_outer(patterns(F.col("url"), *depths(entries))).alias("p")).select(capture_id, "url", "fetched_at", "copies", F.col("p.pattern").alias("looked_up"), "p.specificity")
     hot, _ = broadcast_if_small(looked_up.groupBy(F.col("looked_up").alias("shared")).agg(F.sum("copies").alias("n")).where(F.col("n") > HOT).select("shared", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))

@@ -80,8 +80,10 @@ def read_page(page: str) -> tuple[str, list[tuple[str, str]]]:
         out.append(page[at:tag])
         if page.startswith("<!--", tag):
             out.append(" ")
-            end = page.find("-->", tag + 4)
-            at = end + 3 if end >= 0 else len(page)
+            at = tag + 5 if page.startswith(">", tag + 4) else tag + 6 if page.startswith("->", tag + 4) else 0
+            if not at:  # <!--> and <!---> are comments already
+                end = page.find("-->", tag + 4)
+                at = end + 3 if end >= 0 else len(page)
             continue
         name_found = _NAME.match(page, tag)
         if not name_found and page[tag + 1 : tag + 2] not in ("!", "?", "/"):
