@@ -117,11 +117,6 @@ def refuse(found: DataFrame, key: str, what: str) -> DataFrame:
     return found
 
 
-def coverage_label(answers: Column, calls: Column, results: Column) -> Column:
-    """What an episode's evidence covers: full, tool_names_only (calls without their results), answer_only or none."""
-    return F.when(answers & calls & results, "full").when(calls, "tool_names_only").when(answers, "answer_only").otherwise("none")
-
-
 def unpaired(results: DataFrame, calls: DataFrame, key: str) -> DataFrame:
     """unpaired: how many results have no call."""
     return results.select(key).join(calls.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("unpaired"))

@@ -109,15 +109,6 @@ def epi03_outcome(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), A.resolve_outcome(oracle, judge).alias("outcome"))
 
 
-@query("WITH k AS (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS a, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY 1) SELECT conv_id AS episode_id, CASE WHEN a > 0 AND s > 0 AND u > 2 THEN 'full' WHEN s > 0 THEN 'tool_names_only' WHEN a > 0 THEN 'answer_only' ELSE 'none' END AS coverage FROM k")
-def epi06_coverage_label(spark, sf_dir):
-    def has(role):
-        return F.bool_or(F.col("role") == role)
-
-    k = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("episode_id")).agg(has("assistant").alias("a"), has("system").alias("s"), (F.count_if(F.col("role") == "user") > 2).alias("u"))
-    return k.select("episode_id", O.coverage_label(F.col("a"), F.col("s"), F.col("u")).alias("coverage"))
-
-
 @query("SELECT o_custkey AS case_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def epi10_duplicate_cases(spark, sf_dir):
     return O.duplicates(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id")), "case_id")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text", "runs", "comparisons", "ranking", "stress", "agents", "safety", "ingest", "more", "further")
+MODULES = ("text", "runs", "comparisons", "ranking", "stress", "agents", "safety", "ingest", "more", "further", "recorded")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _queries: dict[str, Query] = {}
