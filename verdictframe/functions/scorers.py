@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from verdictframe.errors import RegistryError
 from verdictframe.functions import text as T
 from verdictframe.functions import vectorised as V
 from verdictframe.functions.text import col
@@ -316,7 +317,7 @@ SCORERS: dict[str, Scorer] = {
 def register(scorer: Scorer) -> Scorer:
     """Add a scorer of one's own; a name can be taken once."""
     if scorer.name in SCORERS:
-        raise ValueError(f"a scorer named {scorer.name!r} exists")
+        raise RegistryError(f"a scorer named {scorer.name!r} exists")
     if scorer.direction not in (MAXIMIZE, MINIMIZE):
         raise ValueError("direction must be 'maximize' or 'minimize'")
     SCORERS[scorer.name] = scorer

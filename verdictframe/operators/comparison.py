@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from verdictframe.functions.scorers import MINIMIZE
 from verdictframe.operators.scoring import measured
+from verdictframe.operators.splits import group_ordinal
 
 WARN, FAIL = 0.02, 0.05
 #: From best to worst; a group's grade is its worst.
@@ -128,38 +129,109 @@ SIGNIFICANT = 0.05
 BOOTSTRAP = "n long, mean_baseline double, mean_candidate double, delta double, ci_low double, ci_high double, p_value double, significant boolean"
 
 
-def resampled(baseline: list[float], candidate: list[float], n_resamples: int, seed: int, confidence: float) -> tuple:
-    """A row of BOOTSTRAP: one seeded stream of picks; the interval is interpolated, and ties count as extreme."""
-    n = len(baseline)
-    if n < 2:
-        return (n, *[None] * 7)
-    differences = [c - b for b, c in zip(baseline, candidate, strict=True)]
-    observed = math.fsum(differences) / n
-    least = abs(observed) - TIE * max(1.0, abs(observed))
-    draw, values = random.Random(seed).randrange, np.array(differences)
-    means = np.array([values[[draw(n) for _ in range(n)]].mean() for _ in range(n_resamples)])
-    extreme = int((np.abs(means - observed) >= least).sum())
-    tail, p = (1 - confidence) / 2, (extreme + 1) / (n_resamples + 1)
-    low, high = np.quantile(means, [tail, 1 - tail])
-    return n, math.fsum(baseline) / n, math.fsum(candidate) / n, observed, float(low), float(high), p, p < SIGNIFICANT
+#: So many pairs of a group make up one block of resampling.
+BLOCK_PAIRS = 1 << 16
+
+
+def block_counts(sizes: np.ndarray, block: int, n_resamples: int, seed: int) -> np.ndarray:
+    """How many of n draws with replacement fall into a block, for each resample, n being the sum of sizes.
+
+    The draws are split down a binary tree over the blocks by binomial shares. Each node has a stream of its own that
+    follows from the seed and the node, so all blocks agree on the counts without knowing of each other.
+    """
+    lo, hi = 0, len(sizes)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    left = np.full(n_resamples, total[-1])
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        share = (total[middle] - total[lo]) / (total[hi] - total[lo])
+        drawn = np.random.default_rng([seed, lo, hi]).binomial(left, share)
+        lo, hi, left = (lo, middle, drawn) if block < middle else (middle, hi, left - drawn)
+    return left
+
+
+def block_sums(values: np.ndarray, draws: np.ndarray, seed: int, block: int) -> np.ndarray:
+    """Sums of so many draws with replacement from a block's values, for each resample."""
+    stream = np.random.default_rng([seed, block, 1 << 40])
+    picks = values[stream.integers(0, len(values), int(draws.sum()))] if len(values) else np.zeros(0)
+    ends = np.cumsum(draws)
+    running = np.concatenate([[0.0], np.cumsum(picks)])
+    return running[ends] - running[ends - draws]
+
+
+def stream_sums(values: np.ndarray, n_resamples: int, seed: int) -> np.ndarray:
+    """Sums of n_resamples resamples of all values, picked by one seeded stream of random.Random(seed).randrange(len(values)).
+
+    The generator's words are taken in bulk: a pick is a word's leading bits, and words that are too large are passed over.
+    """
+    n, (_, words, _) = len(values), random.Random(seed).getstate()
+    generator = np.random.MT19937()
+    generator.state = {"bit_generator": "MT19937", "state": {"key": np.array(words[:-1], np.uint32), "pos": words[-1]}}
+    shift, out, held = np.uint64(32 - n.bit_length()), np.empty(n_resamples), np.zeros(0, np.int64)
+    step = max(1, (1 << 21) // n)
+    for first in range(0, n_resamples, step):
+        k = min(step, n_resamples - first)
+        while len(held) < k * n:
+            drawn = (generator.random_raw(int((k * n - len(held)) * 1.1) + 64).astype(np.uint64) >> shift).astype(np.int64)
+            held = np.concatenate([held, drawn[drawn < n]])
+        out[first : first + k] = values[held[: k * n].reshape(k, n)].sum(1)
+        held = held[k * n :]
+    return out
 
 
 def paired_bootstrap(pairs: DataFrame, by: Sequence[str], n_resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """Exact paired bootstrap of each group's (baseline, candidate) pairs: both means, delta, interval, two-sided p-value.
 
-    A group is one comparison and is resampled in one task, in the order of sample_id, with one seeded stream; this
-    is meant for groups that fit a task. poisson_bootstrap() has no such limit. Fewer than two pairs give nulls.
+    A resample draws as many pairs as the group has, with replacement. A group of up to BLOCK_PAIRS pairs is drawn by one
+    seeded stream. The draws of a larger one are first dealt to blocks of BLOCK_PAIRS pairs (in the order of sample_id)
+    by exact binomial splits, then drawn inside each block, so a resample is a sum over blocks. A task holds one block
+    and a vector of n_resamples sums, and vectors are added up by group. The result follows from the pairs, the order of their ids and the seed. Ties with the observed change count as
+    extreme, the interval is interpolated, fewer than two pairs give nulls.
     """
     _check_resampling(n_resamples, confidence)
-    schema = ", ".join([*(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by), BOOTSTRAP])
     names = [part.split()[0] for part in BOOTSTRAP.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id", kind="stable")
-        row = resampled(pdf["baseline"].tolist(), pdf["candidate"].tolist(), n_resamples, seed, confidence)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, **{k: [v] for k, v in zip(names, row, strict=True)}})
-
-    return pairs.groupBy(*by).applyInPandas(run, schema)
+    keys = [f"by{i}__" for i in range(len(by))]
+    plain = pairs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)), "sample_id", F.col("baseline").cast("double").alias("baseline"), F.col("candidate").cast("double").alias("candidate"))
+    placed = group_ordinal(plain, keys, "sample_id", "baseline", "candidate").withColumn("block__", F.floor(F.col("place") / BLOCK_PAIRS).cast("int"))
+    types = ", ".join(f"{k} {plain.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place", kind="stable")
+        n, block = int(pdf["size"].iloc[0]), int(pdf["block__"].iloc[0])
+        sizes = np.minimum(BLOCK_PAIRS, n - np.arange(0, n, BLOCK_PAIRS))
+        a, b = pdf["baseline"].to_numpy(), pdf["candidate"].to_numpy()
+        v = stream_sums(b - a, n_resamples, seed) if len(sizes) == 1 else block_sums(b - a, block_counts(sizes, block, n_resamples, seed), seed, block)
+        row = {k: pdf[k].iloc[0] for k in keys} | {"n": len(pdf), "a": math.fsum(a), "b": math.fsum(b), "d": math.fsum(b - a), "v": v}
+        return pd.DataFrame({k: [v] for k, v in row.items()})
+
+    partial = placed.groupBy(*keys, "block__").applyInPandas(sums, f"{types}, n long, a double, b double, d double, v array<double>")
+    # vectors are added up by place in a few steps, so that no task holds more than a bounded number of them
+    spread = partial.withColumn("at__", F.pmod(F.xxhash64("a", "b", "d"), F.lit(ADD_TASKS))).select(*keys, "at__", "n", "a", "b", "d", "v")
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["d", "a", "b"], kind="stable")
+        row = {k: pdf[k].iloc[0] for k in keys} | {"n": int(pdf["n"].sum()), **{c: math.fsum(pdf[c]) for c in "abd"}, "v": np.sum(np.stack(pdf["v"].tolist()), axis=0)}
+        return pd.DataFrame({k: [v] for k, v in row.items()})
+
+    def closed(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = added(pdf).iloc[0]
+        n = int(row["n"])
+        found = (n, *[None] * 7)
+        if n >= 2:
+            observed, means = row["d"] / n, np.asarray(row["v"]) / n
+            least = abs(observed) - TIE * max(1.0, abs(observed))
+            tail, p = (1 - confidence) / 2, (int((np.abs(means - observed) >= least).sum()) + 1) / (n_resamples + 1)
+            low, high = np.quantile(means, [tail, 1 - tail])
+            found = (n, row["a"] / n, row["b"] / n, observed, float(low), float(high), p, p < SIGNIFICANT)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{k: [v] for k, v in zip(names, found, strict=True)}})
+
+    summed = spread.groupBy(*keys, "at__").applyInPandas(added, f"{types}, n long, a double, b double, d double, v array<double>")
+    done = summed.groupBy(*keys).applyInPandas(closed, f"{types}, {BOOTSTRAP}")
+    return done.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), *names)
+
+
+#: Vectors of a group's blocks are added up by so many tasks first.
+ADD_TASKS = 32
 
 
 #: Cumulative shares of Poisson(1).

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdictframe.functions.identity import code_of
 from verdictframe.functions.scorers import SCORERS, Scorer
 from verdictframe.operators import comparison as C
 from verdictframe.operators import scoring as R
@@ -31,24 +32,10 @@ def default_scorers(samples: DataFrame) -> list[str]:
     return ["exact_match"] if samples.where("target is not null").head(1) else []
 
 
-def _code(f: Callable) -> str:
-    """What a scorer's function does, as far as its code and the values it closes over say; where it stands doesn't matter."""
-    code = getattr(f, "__code__", None)
-    if code is None:
-        return type(f).__name__
-    constants = [_code_of(c) if hasattr(c, "co_code") else repr(c) for c in code.co_consts[1 if code.co_consts and isinstance(code.co_consts[0], str) else 0 :]]
-    held = [_code(c.cell_contents) if callable(c.cell_contents) else repr(c.cell_contents) for c in f.__closure__ or ()]
-    return hashlib.sha256(repr((code.co_code, code.co_names, constants, held, f.__defaults__)).encode()).hexdigest()
-
-
-def _code_of(code) -> str:
-    return hashlib.sha256(repr((code.co_code, code.co_names, [_code_of(c) if hasattr(c, "co_code") else repr(c) for c in code.co_consts])).encode()).hexdigest()
-
-
 def fingerprint(config: Mapping, scorers: Sequence[Scorer | str]) -> str:
     """16 hex digits that change with any setting that affects scores; the order of scorers is one."""
     names = [SCORERS[s] if isinstance(s, str) else s for s in scorers]
-    identity = {"config": dict(config), "scorers": [[s.name, s.direction, list(s.arguments), list(s.required), _code(s.build)] for s in names]}
+    identity = {"config": dict(config), "scorers": [[s.name, s.direction, list(s.arguments), list(s.required), code_of(s.build)] for s in names]}
     return hashlib.sha256(json.dumps(identity, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdictframe.errors import RegistryError
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text", "runs", "comparisons", "ranking", "stress", "agents", "safety", "ingest", "more", "further", "recorded")
+MODULES = ("text", "runs", "comparisons", "ranking", "stress", "agents", "safety", "ingest", "more", "further", "recorded", "custom")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _queries: dict[str, Query] = {}
@@ -20,7 +22,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     def keep(f: Query) -> Query:
         if f.__name__ in _queries:
-            raise ValueError(f"two queries named {f.__name__}")
+            raise RegistryError(f"two queries named {f.__name__}")
         _queries[f.__name__] = f
         if sql is not None:
             _sql[f.__name__] = sql
