@@ -7,7 +7,6 @@ import json
 from pyspark.sql import functions as F
 
 from verdictframe.functions import structured as J
-from verdictframe.functions.phrases import any_pattern
 from verdictframe.functions import text as T
 from verdictframe.operators import comparison as C
 from verdictframe.operators import redteam as X
@@ -15,7 +14,7 @@ from verdictframe.operators import reports as O  # noqa: N812
 from verdictframe.operators import splits as P
 from verdictframe.operators.agents import render_trace
 from verdictframe.operators.judges import label_probabilities
-from verdictframe.operators.refusals import patterns
+from verdictframe.operators.refusals import REFUSALS
 from verdictframe.operators.safety import red_team_summary
 from verdictframe.plans.agents import calls
 from verdictframe.plans.comparisons import _MSTATS, model_stats
@@ -166,11 +165,11 @@ def rtm03_invalid_counts(spark, sf_dir):
 def _detect_sql() -> str:
     first = r"regexp_extract(lower(trim(text)), '^([^.!?\n]*[.!?]*)', 1)"
     any_of = lambda parts: "(" + " OR ".join(f"contains(lower(text), '{p}')" for p in parts) + ")"
-    # the other engine's patterns can't look around
-    plain = lambda p: p.replace("(?<![\\p{L}\\p{N}])", "(?:^|[^\\p{L}\\p{N}])").replace("(?![\\p{L}\\p{N}])", "(?:[^\\p{L}\\p{N}]|$)").replace("'", "''")
-    refusal = f"regexp_matches({first}, '{plain(any_pattern(X.REFUSAL))}')"
-    leak = f"regexp_matches(text, '{plain(any_pattern(X.LEAK, ends=True))}')"
-    any_language = " OR ".join(f"regexp_matches({first}, '{plain(p)}')" for p in patterns().values())
+    # the other engine's word borders know no Arabic letters
+    either = lambda es: "(?is)" + "|".join(f"(?:{e})" for e in es).replace("'", "''")
+    refusal = f"regexp_matches({first}, '{either(X.REFUSAL)}')"
+    leak = f"regexp_matches(text, '{either(X.LEAK)}')"
+    any_language = " OR ".join(f"regexp_matches({first}, '{either(es) if lang != 'ar' else either(es).replace(chr(92) + 'b', '')}')" for lang, es in REFUSALS.items())
     return f"SELECT conv_id, turn, {any_of(X.KEYWORDS)} AS keyword, {refusal} AS refusal, {any_of(X.SUCCESS)} AS injection_success, NOT {refusal} AND {leak} AS system_prompt_leak, {any_language} AS refusal_multilingual FROM conversations WHERE role = 'assistant'"
 
 
