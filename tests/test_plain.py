@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,9 +111,57 @@ def test_text_scores(spark, sf, tables):
         assert found(spark, sf, name, "score") == {k: (pytest.approx(w[name], abs=1e-6),) for k, w in want.items()}
 
 
+def table_row(a, b):
+    """Common subsequence and edit distance by the last row of the whole table, in numpy."""
+    y = np.array([{t: i for i, t in enumerate(dict.fromkeys(b))}[t] for t in b], np.int64)
+    codes, at = {t: i for i, t in enumerate(dict.fromkeys(b))}, np.arange(len(b) + 1)
+    shared, edits = np.zeros(len(b) + 1, np.int64), at.copy()
+    for i, t in enumerate(a, 1):
+        k = codes.get(t, -1)
+        shared[1:] = np.maximum.accumulate(np.maximum(np.where(y == k, shared[:-1] + 1, shared[1:]), shared[1:]))
+        full = np.concatenate([[i], np.minimum(edits[1:] + 1, edits[:-1] + (y != k))])
+        edits = np.minimum.accumulate(full - at) + at
+    return int(shared[-1]), int(edits[-1])
+
+
+def test_bit_parallel_rows_equal_whole_tables(tables):
+    from verdictframe.functions.bitparallel import common_subsequence, edit_distance
+
+    rng = random.Random(7)
+    for _ in range(1500):
+        a, b = (rng.choices("abcd"[: rng.randrange(1, 5)], k=rng.randrange(70)) for _ in range(2))
+        assert (common_subsequence(a, b), edit_distance(a, b)) == table_row(a, b)
+    a, b = (rng.choices(range(50), k=n) for n in (3000, 2500))
+    b[100:1500] = a[300:1700]
+    assert (common_subsequence(a, b), edit_distance(b, a)) == table_row(a, b)
+    texts = tables("documents").text.dropna().tolist()
+    for x, y in list(zip(texts, texts[1:], strict=False))[:80]:
+        assert (common_subsequence(x.split(), y.split()), edit_distance(x.split(), y.split())) == table_row(x.split(), y.split())
+
+
+def test_long_texts_are_compared_fast(tables):
+    from verdictframe.functions.bitparallel import common_subsequence, edit_distance
+
+    rng = random.Random(1)
+    a, b = (rng.choices(range(2000), k=20_000) for _ in range(2))
+    began = time.perf_counter()
+    common_subsequence(a, b), edit_distance(a, b)
+    assert time.perf_counter() - began < 3  # the tables take half a minute
+
+
 def test_text_scores_of_documents(spark, sf, tables):
     texts = tables("documents").set_index("doc_id").text
     pairs = {k: (texts[k], texts[k + 1]) for k in texts.index if k + 1 in texts.index}
+    longest = max(pairs, key=lambda k: len(pairs[k][0].split()) * len(pairs[k][1].split()))
+    a, b = (x.split() for x in pairs[longest])
+    shared, edits = table_row(a, b)
+    assert found(spark, sf, "txt15_rouge_l_documents", "score")[longest] == (pytest.approx(2 * shared / (len(a) + len(b)), abs=1e-6),)
+    assert found(spark, sf, "txt17_word_error_rate_documents", "score")[longest] == (pytest.approx(max(0.0, 1 - edits / len(b)), abs=1e-6),)
+    characters = found(spark, sf, "txt10_levenshtein_documents", "score")
+    assert len(characters) == len(pairs)
+    for k in sorted(pairs, key=lambda k: len(pairs[k][0]) + len(pairs[k][1]))[:40]:
+        x, y = pairs[k]
+        assert characters[k] == (pytest.approx(1 - table_row(x, y)[1] / max(len(x), len(y)) if x or y else 0.0, abs=1e-6),)
     chosen = [k for k in sorted(pairs) if len(pairs[k][0].split()) * len(pairs[k][1].split()) < 40_000][:12]
     want = {k: plain_scores(*pairs[k]) for k in chosen}
     for name in ("txt14_bleu", "txt15_rouge_l", "txt16_chrf", "txt17_word_error_rate"):

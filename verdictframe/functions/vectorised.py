@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from verdictframe.functions.bitparallel import common_subsequence, edit_distance
 from verdictframe.functions.text import ARTICLES, col
 
 
@@ -111,19 +112,6 @@ def sentence_bleu(output: str, target: str, max_n: int = 4) -> float:
     return brevity * math.exp(sum(logs) / len(logs))
 
 
-def common_subsequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence, a row of the table at a time."""
-    codes = {t: i for i, t in enumerate(dict.fromkeys(b))}
-    y = np.array([codes[t] for t in b])
-    row = np.zeros(len(b) + 1, np.int64)
-    for t in a:
-        if (k := codes.get(t)) is None:
-            continue
-        take = np.where(y == k, row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(np.maximum(take, row[1:]))
-    return int(row[-1])
-
-
 def rouge_l_f1(output: str, target: str) -> float:
     a, b = output.split(), target.split()
     if not a and not b:
@@ -169,17 +157,6 @@ def chrf_score(output: str, target: str, n: int = 6, beta: float = 1.0) -> float
     return 0.0 if p + r == 0 else (1 + beta**2) * p * r / (beta**2 * p + r)
 
 
-def edit_distance(a: list, b: list) -> int:
-    codes = {t: i for i, t in enumerate(dict.fromkeys(b))}
-    y, at = np.array([codes[t] for t in b], np.int64), np.arange(len(b) + 1)
-    row = at.copy()
-    for i, t in enumerate(a, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (y != codes.get(t, -1)))
-        full = np.concatenate([[i], best])
-        row = np.minimum.accumulate(full - at) + at
-    return int(row[-1])
-
-
 def word_accuracy_score(output: str, target: str) -> float:
     """1 - word error rate, at least 0; without words in the target, 1 for an empty output and else 0."""
     a, b = output.split(), target.split()
@@ -199,6 +176,16 @@ chrf = _pairwise(chrf_score)
 word_accuracy = _pairwise(word_accuracy_score)
 
 
+def character_accuracy_score(output: str, target: str) -> float:
+    """1 - edit distance of the characters / the longer length; two empty texts score 0."""
+    longer = max(len(output), len(target))
+    return 1 - edit_distance(output, target) / longer if longer else 0.0
+
+
+#: For long texts what scorers.levenshtein is for short ones: the built-in function fills the whole table, cell by cell.
+character_accuracy = _pairwise(character_accuracy_score)
+
+
 def _refuse(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
