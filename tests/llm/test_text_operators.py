@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdictframe.llm import chat, cluster, decontaminate, language, license_scan, near_dedup, packing, quality_classifier, quality_rules
 from verdictframe.llm.components import components
@@ -150,7 +151,53 @@ def test_boilerplate_makes_no_candidate_group(spark):
     tied = near_dedup.buckets(sets)
     assert tied.select("doc_id").distinct().count() > 100
     nothing = spark.createDataFrame([], "node long, root long")
-    assert near_dedup.candidate_groups(tied, sets, nothing, near_dedup.SLACK).count() == 0
+    assert near_dedup.candidate_groups(tied, sets, nothing, near_dedup.SLACK, docs).count() == 0
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_members_of_hot_buckets_meet_by_rare_shingles(spark, monkeypatch, n):
+    """Texts that share a template fill buckets; nothing of them is compared, and real links among them are found."""
+    rng = random.Random(n)
+    template = [f"t{i}" for i in range(70)]
+    rows = [(i, " ".join(template + [f"u{i}x{k}" for k in range(70)])) for i in range(n)]
+    base = [f"b{i}" for i in range(100)]
+    rows += [(5000 + i, " ".join(template + edits(rng, base, rng.randrange(0, 5)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(near_dedup, "HOT_BUCKET", 20)
+    want = groups(rows) if n <= 200 else None
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {(d, root) for d, (_, root) in want.items()} if want else len({c for _, c in got}) >= n + 1
+    sets = near_dedup.cut(docs.mapInArrow(near_dedup._sketches, "doc_id long, n_shingles long, key1 long, key2 long, signature binary"))
+    members = near_dedup.buckets(sets).groupBy("band").count()
+    assert members.agg({"count": "max"}).first()[0] > n / 10  # the template makes a hot bucket
+    unlike = sets.where("doc_id < 5000").selectExpr("doc_id", "doc_id as label")
+    assert near_dedup.rare_postings(docs, unlike, sets).count() == 0
+
+
+def test_rare_shingles_lose_no_link(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_BUCKET", 1)
+    want = groups(rows)
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()} == {(d, root) for d, (_, root) in want.items()}
+    sets = near_dedup.cut(docs.mapInArrow(near_dedup._sketches, "doc_id long, n_shingles long, key1 long, key2 long, signature binary").where("n_shingles > 0").dropDuplicates(["doc_id"]))
+    postings = near_dedup.rare_postings(docs, sets.selectExpr("doc_id", "doc_id as label"), sets).collect()
+    keys = {}
+    for r in postings:
+        keys.setdefault(r.doc_id, set()).add(r.key)
+    full = {d: shingle_set(t) for d, t, *_ in rows}
+    for a in full:
+        for b in full:
+            if a < b and full[a] and full[b] and 100 * len(full[a] & full[b]) >= 75 * len(full[a] | full[b]):
+                assert keys[a] & keys[b]
+
+
+def test_filter_of_ids_loses_none(spark, monkeypatch):
+    for bits in (1 << 27, 1 << 16):
+        monkeypatch.setattr(cluster, "FILTER_BITS", bits)
+        df = spark.range(20_000).withColumn("x", F.lit(1))
+        ids = spark.range(0, 20_000, 7)
+        kept = {r.id for r in cluster.held_by(df, ids, "id").collect()}
+        assert set(range(0, 20_000, 7)) <= kept and len(kept) < (3000 if bits > 1 << 20 else 5000)
+    assert cluster.held_by(spark.range(5), spark.range(0), "id").count() == 0
 
 
 def test_words_of_any_structure_have_hashes_of_their_own():

@@ -43,6 +43,25 @@ def broadcast_if_small(df: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(stored) if n <= BROADCAST_ROWS else stored), n
 
 
+#: Bits of a filter of ids (16 MB, whatever there is to filter), and bits of one of its rows (fixed by Spark's functions).
+FILTER_BITS, ROW_BITS = 1 << 27, 1 << 15
+
+
+def held_by(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key may be among the ids (a column of the same name): few others, and none of these is lost.
+
+    A filter of fixed size, a bit for each hash of an id, is broadcast, so that rows which a join by the key wouldn't use
+    aren't shuffled for it. The more ids there are per bit, the more rows pass.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    row, bit = F.floor(place / ROW_BITS).cast("int"), (place % ROW_BITS).cast("int")
+    filters = ids.select(row.alias("row__"), bit.cast("long").alias("bit__")).distinct().groupBy("row__").agg(F.call_function("bitmap_construct_agg", F.col("bit__")).alias("bits__"))
+    marked = df.withColumn("at__", row).withColumn("bit__", bit)
+    byte = F.conv(F.hex(F.substring("bits__", F.floor(F.col("bit__") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    joined = marked.join(F.broadcast(cut(filters)), F.col("at__") == F.col("row__"))
+    return joined.where(F.call_function("getbit", byte, F.col("bit__") % 8) == 1).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 BATCH_BYTES = 4 << 20
 #: Fixed value: what Spark has where nothing is set.
 DEFAULT_BATCH_BYTES = "67108864b"

@@ -8,9 +8,11 @@
    that two representatives share puts them into one bucket, as a row a member, never as pairs.
 3. Each member of a bucket is held against a pivot (the smallest document of all its buckets) on full sets. Verified
    links alone are united; a group of copies, however large, is mostly one component after this linear pass.
-4. Buckets whose members are now of several components are searched by signatures, in pairs of bounded blocks and
-   across components only; pairs whose signatures agree form candidate groups. So texts that share a band by chance,
-   or some boilerplate, never make up a group.
+4. Buckets whose members are now of several components are searched by signatures, across components only; pairs whose
+   signatures agree form candidate groups. So texts that share a band by chance, or some boilerplate, never make up a
+   group. Boilerplate puts a share of all texts that hold it into one bucket, which must not be searched pair by
+   pair: members of buckets of more than HOT_BUCKET documents meet by their rarest shingles instead, of which a link
+   shares at least one. What they have in common is not rare among them, so those that only share a template don't meet.
 5. Each candidate group is verified on full sets, again across its components: those of its largest component meet
    the others, in pairs of bounded blocks, but not each other.
 6. Distributed union-find over the verified links gives the groups.
@@ -20,7 +22,11 @@ in steps 3 to 5 a pair is passed over when its signatures agree in fewer slots t
 threshold (5: 3e-7 of the pairs at the threshold). slack=None counts every pair of a bucket on full sets.
 Every link that is used is confirmed on full sets.
 
-Hot buckets: members meet their bucket by an equi-join whose bucket side has a row a bucket (summed before the
+Costs: a whole text is shuffled only if its document is held against another one (texts of others are filtered out by a
+bitmap of fixed size before the join; with far more such documents than bits they pass it). Members of a hot bucket
+that share 61 to 75 % beyond what is rare still meet in all pairs of blocks.
+
+Hot groups: members meet their bucket by an equi-join whose bucket side has a row a bucket (summed before the
 shuffle), which Spark's adaptive skew join splits; blocks bound what a task holds.
 
 Defined results: a null or empty text has no shingles and is a group of its own, kept. Rows with the same doc_id are
@@ -38,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.cluster import cut, only
+from verdictframe.llm.cluster import cut, held_by, only, summed
 from verdictframe.llm.components import components
 from verdictframe.llm.text_kernel import SPACED, U64, distinct, mix, shingles, word_chunks
 
@@ -278,42 +284,98 @@ def verified_links(texts: DataFrame, sets: DataFrame, members: DataFrame, slack:
     n, shingles = F.count_if("wide"), F.sum(F.when(F.col("wide"), F.col("n_shingles")).otherwise(0))
     sizes = known.groupBy("root").agg(_blocks(n, shingles).alias("wide_blocks"), _blocks(F.count(F.lit(1)) - n, F.sum("n_shingles") - shingles).alias("narrow_blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("wide"), F.col("wide_blocks")).otherwise(F.col("narrow_blocks"))).cast("int").alias("block")
-    placed = known.join(sizes, "root").select("doc_id", "key1", "signature", "root", "label", "wide", "narrow_blocks", "wide_blocks", block)
-    full = texts.join(placed, "doc_id").mapInArrow(_members, MEMBER)
+    placed = cut(known.join(sizes, "root").select("doc_id", "key1", "signature", "root", "label", "wide", "narrow_blocks", "wide_blocks", block))
+    full = held_by(texts, placed, "doc_id").join(placed, "doc_id").mapInArrow(_members, MEMBER)
     return full.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_verify(slack), "u long, v long")
 
 
-def candidate_groups(tied: DataFrame, sets: DataFrame, united: DataFrame, slack: float | None) -> DataFrame:
-    """root, doc_id, label and wide of the members of candidate groups: documents of several components that look alike.
+def _with_largest(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys with several labels, and per key: the largest label, its size, the number of the others."""
+    each = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = each.groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where("labels > 1")
+    return rows.join(mixed.select(key, F.col("top.label").alias("largest"), F.col("top.n").alias("n_wide"), (F.col("all") - F.col("top.n")).alias("n_narrow")), key).withColumn("wide", F.col("label") == F.col("largest"))
 
-    tied is as of buckets(), united has node and root of the components so far; label is a member's component, and
-    wide are the members of the group's largest one.
-    """
-    labelled = cut(tied.join(united.withColumnRenamed("root", "label"), F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
 
-    def with_largest(rows: DataFrame, key: str) -> DataFrame:
-        """The rows of keys with several labels, and per key: the largest label, its size, the number of the others."""
-        each = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = each.groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where("labels > 1")
-        return rows.join(mixed.select(key, F.col("top.label").alias("largest"), F.col("top.n").alias("n_wide"), (F.col("all") - F.col("top.n")).alias("n_narrow")), key).withColumn("wide", F.col("label") == F.col("largest"))
-
-    mixed = with_largest(labelled, "band")
+def ties(rows: DataFrame, sets: DataFrame, slack: float | None) -> DataFrame:
+    """u, v: documents of one key (rows: key, doc_id, label) and different labels whose signatures agree, by pairs of blocks."""
+    mixed = _with_largest(rows, "key")
     blocks = {c: F.ceil(F.col(f"n_{c}") / BLOCK_SIGNATURES).cast("int") for c in ("wide", "narrow")}
     block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("wide"), F.col("wide_blocks")).otherwise(F.col("narrow_blocks"))).cast("int")
-    sized = mixed.select("band", "doc_id", "label", "wide", *(c.alias(f"{n}_blocks") for n, c in blocks.items())).withColumn("block", block)
+    sized = mixed.select("key", "doc_id", "label", "wide", *(c.alias(f"{n}_blocks") for n, c in blocks.items())).withColumn("block", block)
     # as block_pairs()
     pair = "named_struct('lo', {}, 'hi', {})"
     across = f"transform(sequence(0, narrow_blocks - 1), k -> {pair.format('k', 'narrow_blocks + block')})"
     own = f"transform(filter(sequence(0, narrow_blocks - 1), k -> k <> block), k -> {pair.format('least(block, k)', 'greatest(block, k)')})"
     to_wide = f"transform(sequence(0, wide_blocks - 1), k -> {pair.format('block', 'narrow_blocks + k')})"
     places = F.when(F.col("wide"), F.expr(across)).otherwise(F.concat(F.expr(own), F.expr(to_wide)))
-    rows = sized.select("band", "doc_id", "label", "wide", F.explode(places).alias("p")).join(sets.select("doc_id", F.col("n_shingles").alias("size"), "signature"), "doc_id")
-    keyed = rows.select("band", "p.lo", "p.hi", "doc_id", "label", "wide", "size", "signature")
-    ties = keyed.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_estimate(slack), "u long, v long")
-    groups = components(ties)
+    found = sized.select("key", "doc_id", "label", "wide", F.explode(places).alias("p")).join(sets.select("doc_id", F.col("n_shingles").alias("size"), "signature"), "doc_id")
+    keyed = found.select("key", "p.lo", "p.hi", "doc_id", "label", "wide", "size", "signature")
+    return keyed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_estimate(slack), "u long, v long")
+
+
+#: Counters by which shingles are put in order, and buckets with more documents than this are searched by rare shingles.
+COUNTERS, HOT_BUCKET = 1 << 18, 1024
+
+
+def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """For each text (columns text, key1, ...): its batch, its place there and its set, unless another text of the id was meant."""
+    for batch in batches:
+        key1 = batch.column("key1").to_pylist()
+        for lo, values, counts in _sets(batch.column("text")):
+            keys, stop = _sums(mix(values), counts), np.cumsum(counts)
+            for i, (a, b) in enumerate(zip(stop - counts, stop, strict=True)):
+                if key1[lo + i] == keys[i]:
+                    yield batch, lo + i, values[a:b]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS)
+    for _, _, values in _own_sets(batches):
+        total += np.bincount((values & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+
+
+def rare_postings(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """key (a shingle), doc_id, label: the rarest shingles of members (doc_id, label), as many as a link must share one of.
+
+    Two sets with a similarity of t share at least t n shingles of the larger one's n; so whatever the order of all
+    shingles, they share one of the first n - tn + 1 of each. The order is by how often a shingle's counter was hit, then
+    by the shingle, so what many members have in common comes last. No link is lost.
+    """
+    known = cut(members.join(sets.select("doc_id", "key1"), "doc_id"))
+    held = cut(held_by(texts, known, "doc_id").join(known, "doc_id").select("doc_id", "label", "key1", "text"))
+    often = summed(held.mapInArrow(_counted, "k string, v binary"), "k", "v").get("all", np.zeros(COUNTERS))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, values in _own_sets(batches):
+            n = len(values)
+            prefix = np.lexsort((values, often[(values & U64(COUNTERS - 1)).astype(np.int64)]))[: n + (-n * THRESHOLD // 100) + 1]
+            doc, label = batch.column("doc_id")[i].as_py(), batch.column("label")[i].as_py()
+            keys = values[prefix].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), doc)), pa.array(np.full(len(keys), label))], names=["key", "doc_id", "label"])
+
+    every = held.mapInArrow(first, "key long, doc_id long, label long")
+    several = every.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    return every.join(several, "key")
+
+
+def candidate_groups(tied: DataFrame, sets: DataFrame, united: DataFrame, slack: float | None, texts: DataFrame) -> DataFrame:
+    """root, doc_id, label and wide of the members of candidate groups: documents of several components that look alike.
+
+    tied is as of buckets(), united has node and root of the components so far; label is a member's component, and
+    wide are the members of the group's largest one. Buckets of more than HOT_BUCKET documents aren't searched
+    themselves: their members meet by rare shingles instead.
+    """
+    labelled = cut(tied.join(united.withColumnRenamed("root", "label"), F.col("doc_id") == F.col("node"), "left").select(F.col("band").alias("key"), "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+    hot = cut(labelled.join(mixed.where(F.col("n") > HOT_BUCKET).select("key"), "key", "left_semi").select("doc_id", "label").distinct())
+    found = ties(labelled.join(mixed.where(F.col("n") <= HOT_BUCKET).select("key"), "key", "left_semi"), sets, slack)
+    if not hot.isEmpty():
+        found = found.union(ties(rare_postings(texts, hot, sets), sets, slack))
+    groups = components(found)
     nodes = groups.select(F.col("node").alias("doc_id"), "root").union(groups.select(F.col("root").alias("doc_id"), "root").distinct())
     named = nodes.join(united.select("node", F.col("root").alias("label")), F.col("doc_id") == F.col("node"), "left").select("root", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    return with_largest(named, "root").select("root", "doc_id", "label", "wide")
+    return _with_largest(named, "root").select("root", "doc_id", "label", "wide")
 
 
 def near_duplicates(documents: DataFrame, slack: float | None = SLACK) -> DataFrame:
@@ -334,7 +396,7 @@ def near_duplicates(documents: DataFrame, slack: float | None = SLACK) -> DataFr
     stars = stars.union(pivots.select("root").distinct().select("root", F.col("root").alias("doc_id"), F.col("root").alias("label"), F.lit(False).alias("wide")))
     first = cut(verified_links(texts, sets, stars, slack).union(of_id))
     united = components(first)
-    further = verified_links(texts, sets, candidate_groups(tied, sets, united, slack), slack)
+    further = verified_links(texts, sets, candidate_groups(tied, sets, united, slack, texts), slack)
     groups = components(united.select(F.col("node").alias("u"), F.col("root").alias("v")).union(further))
 
     labelled = sets.join(groups, F.col("doc_id") == F.col("node"), "left").select(*keys, F.coalesce("root", "doc_id").alias("component_id"))
