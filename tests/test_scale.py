@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdictframe.operators import comparison, splits
+from verdictframe.operators import comparison, retrieval, splits
 
 
 def test_group_ordinal_numbers_a_stratum_over_many_tasks(spark):
@@ -74,3 +74,63 @@ def test_bootstrap_over_blocks_agrees_with_the_plain_one(spark, monkeypatch):
         width = p.ci_high - p.ci_low
         assert abs(b.ci_low - p.ci_low) < 0.08 * width and abs(b.ci_high - p.ci_high) < 0.08 * width
         assert abs(b.p_value - p.p_value) < 0.05
+
+
+def vectors_of(spark, n=700, dim=12, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(9, dim))
+    x = centres[rng.integers(0, 9, n)] + 0.6 * rng.normal(size=(n, dim))
+    x[5] = x[9] = x[14]
+    x[20] = 0
+    return x, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(None, x[0].tolist()), (n, None)], "vec_id long, embedding array<double>").repartition(5)
+
+
+def plain_nearest(x, queries, k):
+    norm = np.linalg.norm(x, axis=1)
+    unit = x / np.where(norm > 0, norm, 1)[:, None]
+    out = {}
+    for q in queries:
+        s = unit @ unit[q]
+        rounded = np.sign(s) * np.floor(np.abs(s) * 1e6 + 0.5)
+        out[q] = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-rounded[i], i))[:k]
+    return out
+
+
+def ranks(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append(r.item)
+    return out
+
+
+@pytest.mark.parametrize("blocks", [(4096, 1024), (50, 7)])
+def test_nearest_in_blocks_equals_plain_ranks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", blocks[0])
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", blocks[1])
+    x, df = vectors_of(spark)
+    queries = df.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    want = plain_nearest(x, range(0, 700, 20), 10)
+    assert ranks(retrieval.nearest(df, queries, 10)) == want
+    index = retrieval.CellIndex(df)
+    assert ranks(index.search(queries, 10, probes=2, exact=True)) == want
+    got = ranks(index.search(queries, 10))
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values())) >= 0.9
+    assert index.probes() < len(index.centres)
+
+
+def test_index_recall_on_the_table(spark, sf):
+    from verdictframe.plans import ranking, registry
+
+    vectors = registry.table(spark, sf, "embeddings")
+    full = {(r.query_id, r.item) for r in retrieval.nearest(vectors, ranking.queries_of(vectors), ranking.K).collect()}
+    got = {(r.query_id, r.item) for r in ranking.ret01_nearest_by_cells(spark, sf).collect()}
+    assert len(got & full) >= 0.9 * len(full)
+
+
+def test_index_of_few_and_no_vectors(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    queries = none.selectExpr("vec_id as query_id", "embedding as query")
+    assert retrieval.nearest(none, queries, 3).count() == 0 and retrieval.CellIndex(none).search(queries, 3, exact=True).count() == 0
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    found = retrieval.CellIndex(two).search(two.selectExpr("vec_id as query_id", "embedding as query"), 5, exact=True)
+    assert ranks(found) == {1: [2], 2: [1]}

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdictframe.operators.cluster import cut
+
 
 def retrieval_scores(ranked: DataFrame, relevant: DataFrame, k: int | None = None) -> DataFrame:
     """Scores of each query with relevant items.
@@ -35,7 +37,7 @@ def retrieval_scores(ranked: DataFrame, relevant: DataFrame, k: int | None = Non
     kept = F.lit(True) if k is None else F.col("place") <= k
     best = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"), F.sum(F.when(kept, F.col("grade") / F.log2(F.col("place") + 1))).alias("idcg"))
     joined = best.join(per_query, "query_id", "left").fillna(0, ["found", "shown"]).fillna(0.0, ["precisions", "dcg"])
-    cut = F.col("n_relevant") if k is None else F.least(F.lit(k), F.col("n_relevant"))
+    shown_of = F.col("n_relevant") if k is None else F.least(F.lit(k), F.col("n_relevant"))
     depth = F.col("shown") if k is None else F.lit(k)
     return joined.select(
         "query_id",
@@ -43,7 +45,7 @@ def retrieval_scores(ranked: DataFrame, relevant: DataFrame, k: int | None = Non
         F.coalesce(F.try_divide(F.col("found"), depth), F.lit(0.0)).alias("precision"),
         (F.col("found") / F.col("n_relevant")).alias("recall"),
         F.coalesce(1 / F.col("first_rank"), F.lit(0.0)).alias("mrr"),
-        (F.col("precisions") / cut).alias("average_precision"),
+        (F.col("precisions") / shown_of).alias("average_precision"),
         (F.col("dcg") / F.col("idcg")).alias("ndcg"),
     )
 
@@ -56,8 +58,8 @@ def retrieved_precision(ranked: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.coalesce(F.try_divide(total, F.count_if("relevant")), F.lit(0.0)).alias("context_precision"))
 
 
-#: So many queries are held against all vectors at once; only they come to the driver and go to the tasks.
-QUERIES_AT_ONCE, ROWS_AT_ONCE = 10_000, 256
+#: A task holds so many vectors against so many queries at once; more of either are dealt to further blocks.
+BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 _PLACES = 1 << 40
 
 
@@ -68,53 +70,179 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def _nearest_in_task(query_ids: np.ndarray, unit: np.ndarray, k: int):
-    """The k nearest of a task's vectors, which come in the order of their ids, to each query, by matrix products."""
+def _named(df: DataFrame, id_: str, vector: str) -> DataFrame:
+    return df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+
+
+def _dealt(df: DataFrame, block: int) -> DataFrame:
+    """df (id, vector, cell) with part and parts: the blocks of a cell, by a hash of the id. Cells are a bounded number."""
+    sizes = df.groupBy(F.col("cell").alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    return df.join(F.broadcast(sizes), F.col("cell") == F.col("of")).drop("of").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _best_of_block(k: int):
+    """The k nearest vectors of a block to each of a block of queries, by a matrix product."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "item": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        if not asked.num_rows or not held.num_rows:
+            return empty
+        held = held.sort_by("id")
+        ids, queries = held.column("id").to_numpy(), asked.column("id").to_numpy()
+        similarity = _matrix(asked.column("vector").combine_chunks()) @ _matrix(held.column("vector").combine_chunks()).T
         nothing = np.iinfo(np.int64).min
-        best, ids, seen = np.full((len(query_ids), k), nothing), [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids.append(batch.column(0).to_numpy())
-            rows = _matrix(batch.column(1))
-            for lo in range(0, len(rows), ROWS_AT_ONCE):
-                part = rows[lo : lo + ROWS_AT_ONCE]
-                similarity = unit @ part.T
-                # a whole number orders by similarity to six places, then by the place of the vector
-                key = (np.sign(similarity) * np.floor(np.abs(similarity) * 1e6 + 0.5)).astype(np.int64) * _PLACES + (_PLACES - 1 - (seen + np.arange(len(part))))
-                key[query_ids[:, None] == ids[-1][lo : lo + ROWS_AT_ONCE]] = nothing
-                both = np.concatenate([best, key], axis=1)
-                best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-                seen += len(part)
-        if seen:
-            q, at = np.nonzero(best > nothing)
-            found = best[q, at]
-            items = np.concatenate(ids)[_PLACES - 1 - found % _PLACES]
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(items), pa.array(found // _PLACES / 1e6)], names=["query_id", "item", "similarity"])
+        # a whole number orders by similarity to six places, then by the place of the vector
+        key = (np.sign(similarity) * np.floor(np.abs(similarity) * 1e6 + 0.5)).astype(np.int64) * _PLACES + (_PLACES - 1 - np.arange(len(ids)))
+        key[queries[:, None] == ids] = nothing
+        if key.shape[1] > k:
+            key = np.partition(key, key.shape[1] - k, axis=1)[:, -k:]
+        q, at = np.nonzero(key > nothing)
+        found = key[q, at]
+        return pa.table({"query_id": pa.array(queries[q]), "item": pa.array(ids[_PLACES - 1 - found % _PLACES]), "similarity": pa.array(found // _PLACES / 1e6)})
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, item and rank of the k nearest vectors (vec_id, embedding) of each query, by cosine similarity to six places, ties by item.
+def _scanned(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """query_id, item, similarity: the k best of each pair of blocks of one cell; asked and held have id, vector and cell.
 
-    queries (query_id, query) is a stated set, held in blocks of QUERIES_AT_ONCE against all vectors; a block is one
-    scan, in which each task keeps the best k of its own vectors, so a query brings k rows a task to the shuffle.
+    A block of vectors stands once for each block of its cell's queries and the other way round. Nothing goes through
+    the driver, and no task holds more than a block of each.
     """
-    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    ordered = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null").sortWithinPartitions("vec_id")
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>")).orderBy("query_id").toArrow()
-        if not rows.num_rows:
-            continue
-        ids, unit = rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks())
-        best = ordered.mapInArrow(_nearest_in_task(ids, unit, k), "query_id long, item long, similarity double")
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, item long, similarity double, rank long")
+    q, v = _dealt(asked, BLOCK_QUERIES), _dealt(held, BLOCK_VECTORS)
+    sides = [d.select("cell", F.col("parts").alias(f"{n}_parts")).distinct() for d, n in ((q, "q"), (v, "v"))]
+    both = sides[0].join(sides[1], "cell")
+    each = F.sequence(F.lit(0), F.col("others") - 1)
+    q = q.join(F.broadcast(both.select(F.col("cell").alias("of"), F.col("v_parts").alias("others"))), F.col("cell") == F.col("of")).select("id", "vector", "cell", F.col("part").alias("q_part"), F.explode(each).alias("v_part"))
+    v = v.join(F.broadcast(both.select(F.col("cell").alias("of"), F.col("q_parts").alias("others"))), F.col("cell") == F.col("of")).select("id", "vector", "cell", F.explode(each).alias("q_part"), F.col("part").alias("v_part"))
+    keys = ["cell", "q_part", "v_part"]
+    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(_best_of_block(k), "query_id long, item long, similarity double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item")
-    return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, item, similarity and rank of the k nearest vectors (vec_id, embedding) of each query (query_id, query).
+
+    By cosine similarity to six places, ties by item, against all vectors: blocks of queries meet blocks of vectors in
+    matrix products, and a query brings k rows a block to the shuffle.
+    """
+    one = F.lit(0).alias("cell")
+    return _ranked(_scanned(_named(queries, "query_id", "query").select("*", one), _named(vectors, "vec_id", "embedding").select("*", one), k), k)
+
+
+#: Cells are fitted on so many vectors at most (those with the smallest hash of their id), and there are so many at most.
+SAMPLE_VECTORS, MOST_CELLS, ROUNDS = 20_000, 1024, 8
+
+
+def _means(x: np.ndarray, n: int) -> np.ndarray:
+    """n centres of the rows of x, by k-means from a seeded choice of rows; a centre that loses all its rows stays."""
+    centres = x[np.random.default_rng(11).permutation(len(x))[:n]].copy()
+    for _ in range(ROUNDS):
+        own = _cell_of(x, centres)[0]
+        counts = np.bincount(own, minlength=n)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        some = counts > 0
+        centres[some] = sums[some] / counts[some, None]
+    return centres
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)))
+
+
+def _cell_of(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = _distances(x, centres)
+    own = d.argmin(1)
+    return own, d[np.arange(len(x)), own]
+
+
+#: Neighbours of so many sampled vectors tell how many cells must be looked into.
+TRIED_QUERIES, TRIED_NEIGHBOURS, RECALL = 64, 20, 0.95
+
+
+def _depths(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For neighbours among the sampled vectors: in the how many nearest cells of the query the neighbour stands, sorted.
+
+    A sample is thinner than what it is drawn from, its neighbours are farther, so the depths are rather too large.
+    """
+    tried = x[:: max(1, len(x) // TRIED_QUERIES)][:TRIED_QUERIES]
+    if len(x) < 2:
+        return np.zeros(1, np.int64)
+    near = np.argsort(-(tried @ x.T), axis=1)[:, 1 : TRIED_NEIGHBOURS + 1]
+    place = np.argsort(np.argsort(_distances(tried, centres), axis=1), axis=1)
+    return np.sort(np.take_along_axis(place, _cell_of(x, centres)[0][near], axis=1).ravel())
+
+
+class CellIndex:
+    """An inverted file: every vector stands in the cell of its nearest centre; cells know their radius.
+
+    search() looks into the nearest cells of a query, as many as hold the share RECALL of the neighbours of sampled vectors,
+    if it isn't told how many; with exact=True it goes on with all cells that could hold a nearer
+    vector than the k-th one found: by the triangle inequality no vector of a cell is nearer to the query than the
+    cell's centre less its radius. Centres and radii, MOST_CELLS at most, are all that the driver and every task hold.
+    """
+
+    def __init__(self, vectors: DataFrame, cells: int | None = None):
+        rows = _named(vectors, "vec_id", "embedding")
+        n = rows.count()
+        parts = 1 << 40
+        thinned = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < min(parts, parts * 2 * SAMPLE_VECTORS // n)) if n > SAMPLE_VECTORS else rows
+        sample = thinned.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).select("vector").toArrow()
+        wanted = cells or max(1, min(MOST_CELLS, round(n**0.5)))
+        x = _matrix(sample.column(0).combine_chunks()) if sample.num_rows else np.zeros((1, 1))
+        self.centres = centres = _means(x, min(wanted, len(x)))
+        self.depths = _depths(x, centres)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    own, far = _cell_of(_matrix(batch.column(1)), centres)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(far)], names=["id", "vector", "cell", "far"])
+
+        self.held = cut(rows.mapInArrow(assign, "id long, vector array<double>, cell int, far double"))
+        self.radius = np.full(len(centres), -np.inf)
+        for cell, far in self.held.groupBy("cell").agg(F.max("far")).collect():
+            self.radius[cell] = far
+
+    def _asked(self, queries: DataFrame, probes: int) -> DataFrame:
+        centres, radius = self.centres, self.radius
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                d = np.where(np.isfinite(radius), _distances(_matrix(batch.column(1)), centres), np.inf)
+                near = np.argsort(d, axis=1, kind="stable")
+                place = np.empty_like(near)
+                np.put_along_axis(place, near, np.broadcast_to(np.arange(near.shape[1]), near.shape), axis=1)
+                if "least" in batch.schema.names:  # further cells, not looked into before, that could hold something nearer
+                    reach = np.sqrt(np.maximum(0, 2 - 2 * (batch.column("least").to_numpy() - 1e-6)))[:, None] + 1e-6
+                    chosen = (place >= probes) & np.isfinite(d) & (d - radius <= reach)
+                else:
+                    chosen = (place < probes) & np.isfinite(d)
+                q, cell = np.nonzero(chosen)
+                rows = pa.array(q)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cell.astype(np.int32))], names=["id", "vector", "cell"])
+
+        return queries.mapInArrow(run, "id long, vector array<double>, cell int")
+
+    def probes(self, recall: float = RECALL) -> int:
+        """How many cells hold this share of the neighbours of sampled vectors."""
+        return int(self.depths[min(len(self.depths) - 1, int(recall * len(self.depths)))]) + 1
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
+        """query_id, item, similarity and rank, as of nearest(); without exact, from the probes nearest cells alone."""
+        probes = probes or self.probes()
+        asked, held = _named(queries, "query_id", "query"), self.held.select("id", "vector", "cell")
+        found = _ranked(_scanned(self._asked(asked, probes), held, k), k)
+        if not exact:
+            return found
+        found = cut(found)
+        least = found.groupBy(F.col("query_id").alias("of")).agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("least"))
+        reached = asked.join(least, F.col("id") == F.col("of"), "left").select("id", "vector", F.coalesce("least", F.lit(-1.0)).alias("least"))
+        return _ranked(found.drop("rank").unionByName(_scanned(self._asked(reached, probes), held, k)), k)
