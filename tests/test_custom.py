@@ -1,6 +1,7 @@
-"""Sources and metrics of one's own."""
+"""Sources, metrics and models of one's own."""
 
 import random
+import time
 
 import pytest
 
@@ -101,3 +102,45 @@ def test_names_are_registered_once():
         @query()
         def src14_callable_source(spark, sf_dir):
             return None
+
+
+def test_a_hung_call_is_given_up_and_its_batch_kept(spark):
+    from verdictframe.operators.judges import ask
+
+    def make():
+        def model(texts):
+            if "hang" in texts:
+                time.sleep(60)
+            if "fail" in texts:
+                raise RuntimeError("no")
+            return [t.upper() for t in texts]
+
+        return model
+
+    rows = spark.createDataFrame([(t,) for t in ("a", "hang", "b", "fail", "c")], "prompt string").coalesce(1)
+    ask(rows.limit(1), make).collect()
+    began = time.perf_counter()
+    got = {r.prompt: (r.reply, r.error and r.error.split(":")[0]) for r in ask(rows, make, retries=0, timeout=0.3).collect()}
+    assert time.perf_counter() - began < 3
+    assert got == {"a": ("A", None), "b": ("B", None), "c": ("C", None), "hang": (None, "ModelTimeoutError"), "fail": (None, "RuntimeError")}
+
+
+def test_time_limits_hold_within_a_second():
+    from verdictframe.errors import ModelTimeoutError
+    from verdictframe.operators.judges import within
+
+    began = time.perf_counter()
+    with pytest.raises(ModelTimeoutError):
+        within(0.2, lambda texts: time.sleep(60), ["x"])
+    assert time.perf_counter() - began < 1
+    assert within(5, lambda texts: texts, ["x"]) == ["x"] and within(None, lambda texts: texts, ["x"]) == ["x"]
+
+
+def test_a_judge_is_part_of_the_fingerprint():
+    from verdictframe.operators.judges import Judge
+    from verdictframe.plans import api
+
+    one, two = (Judge("j", t, (("good", 1.0), ("bad", 0.0))) for t in ("Rate {output}", "Judge {output}"))
+    model = api.scripted({"a": "CHOICE: good"})
+    prints = {api.fingerprint({}, ["exact_match"], judges) for judges in ((), (one.identity(),), (two.identity(),), (one.identity(model),), (one.identity(api.scripted({"a": "CHOICE: bad"})),))}
+    assert len(prints) == 5

@@ -6,7 +6,9 @@ column expressions: a reply's last sentence becomes an array of tokens, in which
 
 from __future__ import annotations
 
+import queue
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdictframe.errors import ModelTimeoutError
+from verdictframe.functions.identity import code_of
 from verdictframe.functions.scorers import MAXIMIZE, MINIMIZE
 from verdictframe.functions.text import bind, strip, strip_thinking
 
@@ -29,10 +33,34 @@ def render(template: str, fields: dict[str, Column]) -> Column:
     return out
 
 
-def ask(prompts: DataFrame, make_model: Callable[[], Model], prompt: str = "prompt", batch: int = 32, retries: int = 2, delay: float = 0.1) -> DataFrame:
+def within(seconds: float | None, model: Model, texts: list[str]) -> list[str]:
+    """model(texts), given up with a ModelTimeoutError when it takes longer; its thread is left behind."""
+    if seconds is None:
+        return model(texts)
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work() -> None:
+        try:
+            done.put((model(texts), None))
+        except BaseException as e:  # noqa: BLE001
+            done.put((None, e))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        replies, error = done.get(timeout=seconds)
+    except queue.Empty:
+        raise ModelTimeoutError(f"no reply within {seconds:g} s") from None
+    if error is not None:
+        raise error
+    return replies
+
+
+def ask(prompts: DataFrame, make_model: Callable[[], Model], prompt: str = "prompt", batch: int = 32, retries: int = 2, delay: float = 0.1, timeout: float | None = None) -> DataFrame:
     """prompts with reply and error: batches go to the model, a failing batch is tried again, then row by row.
 
-    Replies don't depend on partitions, so a task that runs again gives the same rows if the model does.
+    A call that takes longer than timeout (seconds) is given up. Its rows are asked one by one, so that only those that
+    hang have an error; a call that was given up isn't tried again, and the model, whose old call may still hold it, is made
+    anew. Replies don't depend on partitions, so a task that runs again gives the same rows if the model does.
     """
     at = prompts.columns.index(prompt)
 
@@ -40,12 +68,16 @@ def ask(prompts: DataFrame, make_model: Callable[[], Model], prompt: str = "prom
         model = make_model()
 
         def call(texts: list[str]) -> list[tuple[str | None, str | None]]:
+            nonlocal model
             for attempt in range(retries + 1):
                 try:
-                    replies = model(texts)
+                    replies = within(timeout, model, texts)
                     if len(replies) != len(texts):
                         raise ValueError(f"{len(replies)} replies for {len(texts)} prompts")
                     return [(r, None) for r in replies]
+                except ModelTimeoutError as e:
+                    error, model = f"{type(e).__name__}: {e}", make_model()
+                    break
                 except Exception as e:  # noqa: BLE001
                     error = f"{type(e).__name__}: {e}"
                     if attempt < retries:
@@ -243,6 +275,10 @@ class Judge:
             return f"{self.template}\n\nThink step by step, then write 'CHOICE: ' and one of: {', '.join(k for k, _ in self.choices)}"
         return f"{self.template}\n\nThink step by step, then write 'SCORE: ' and a number from {self.scale[0]:g} to {self.scale[1]:g}"
 
+    def identity(self, make_model: Callable[[], Model] | None = None) -> dict:
+        """Everything that a verdict depends on: what is asked, how the reply is read, and what the model does."""
+        return {"name": self.name, "prompt": self.prompt(), "choices": [list(c) for c in self.choices], "scale": self.scale, "direction": self.direction, "model": make_model and code_of(make_model)}
+
     def value(self, reply: Column) -> Column:
         answer = strip_thinking(reply)
         return choice_score(answer, dict(self.choices)) if self.choices else scale_score(answer, *self.scale)

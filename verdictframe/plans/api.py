@@ -32,10 +32,10 @@ def default_scorers(samples: DataFrame) -> list[str]:
     return ["exact_match"] if samples.where("target is not null").head(1) else []
 
 
-def fingerprint(config: Mapping, scorers: Sequence[Scorer | str]) -> str:
-    """16 hex digits that change with any setting that affects scores; the order of scorers is one."""
+def fingerprint(config: Mapping, scorers: Sequence[Scorer | str], judges: Sequence[dict] = ()) -> str:
+    """16 hex digits that change with any setting that affects scores; the order of scorers is one. judges are their identity()s."""
     names = [SCORERS[s] if isinstance(s, str) else s for s in scorers]
-    identity = {"config": dict(config), "scorers": [[s.name, s.direction, list(s.arguments), list(s.required), code_of(s.build)] for s in names]}
+    identity = {"config": dict(config), "scorers": [[s.name, s.direction, list(s.arguments), list(s.required), code_of(s.build)] for s in names]} | ({"judges": list(judges)} if judges else {})
     return hashlib.sha256(json.dumps(identity, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
