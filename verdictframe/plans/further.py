@@ -24,12 +24,6 @@ def src13_truthfulqa(spark, sf_dir):
     return B.truthfulqa(rows, "doc_id").select("doc_id", "input", "target")
 
 
-@query("SELECT event_id FROM events WHERE event_type <> 'view'")
-def flt11_recorded_only(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "view", True).when(F.col("event_type") == "click", False).alias("is_task"))
-    return O.recorded_only(rows).select("event_id")
-
-
 @query(
     """SELECT event_type AS metric, count(*) FILTER (WHERE event_id % 4 < 2) AS scored, count(*) FILTER (WHERE event_id % 4 < 2 AND value > 50) AS flagged, count(*) FILTER (WHERE event_id % 4 < 2 AND value <= 50) AS pass,
  count(*) FILTER (WHERE event_id % 4 = 2) AS unknown, count(*) FILTER (WHERE event_id % 4 = 3) AS not_tested FROM events GROUP BY 1"""
@@ -39,27 +33,6 @@ def agg25_stress_coverage(spark, sf_dir):
     return O.stress_coverage(table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), status.alias("status"), (F.col("value") > 50).alias("flagged")))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'inferred' WHEN 1 THEN 'missing' ELSE 'observed' END AS coverage FROM events")
-def rst11_event_coverage(spark, sf_dir):
-    k = F.col("event_id") % 4
-    events = F.when(k == 2, F.array().cast("array<string>")).when(k == 3, F.array(F.lit("x")))
-    return table(spark, sf_dir, "events").select("event_id", O.event_coverage(F.when(k == 0, "inferred"), events).alias("coverage"))
-
-
-@query(
-    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'task_completion,tool_call_f1,trajectory_match,tool_call_validity,redundant_tool_calls,parallel_tool_calls' WHEN 1 THEN 'task_completion,tool_call_f1,trajectory_match,tool_call_validity,redundant_tool_calls'
- WHEN 2 THEN 'task_completion,tool_call_f1_name,tool_call_validity,retrieval' WHEN 3 THEN 'task_completion' ELSE 'task_completion,retrieval' END AS scorers FROM events"""
-)
-def epi11_supported_scorers(spark, sf_dir):
-    k = F.col("event_id") % 5
-
-    def part(name, *when):
-        return F.lit(name), F.when(k.isin(*when), "observed").otherwise("missing")
-
-    coverage = F.create_map(*part("tool_call_names", 0, 1, 2), *part("tool_call_arguments", 0, 1, 3), *part("parallel_grouping", 0), *part("retrieved_contexts", 2, 4))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(O.supported_scorers(coverage), ",").alias("scorers"))
-
-
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS amount, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_custkey::DOUBLE END AS other FROM orders")
 def fn13_money(spark, sf_dir):
     price = F.concat(F.lit("$ "), F.format_number("o_totalprice", 2))
@@ -72,11 +45,3 @@ def fn09_dates(spark, sf_dir):
     k = F.col("o_orderkey") % 3
     text = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("soon")
     return table(spark, sf_dir, "orders").select("o_orderkey", T.date_of(text, ["yyyy-MM-dd", "dd/MM/yyyy"]).cast("string").alias("day"))
-
-
-@query("SELECT event_id, event_id % 4 = 1 AS progress FROM events")
-def set06_argument_words(spark, sf_dir):
-    """Messages that are the same, differ in a call's word, in another word, or in both."""
-    k = F.col("event_id") % 4
-    after = F.when(k == 0, F.lit("Weather in Paris.")).when(k == 1, F.lit("weather in ROME")).when(k == 2, F.lit("forecast in Paris")).otherwise("forecast in Rome")
-    return table(spark, sf_dir, "events").select("event_id", M.progress(F.lit("Weather in Paris."), after, F.array(F.lit("paris"), F.lit("rome"))).alias("progress"))

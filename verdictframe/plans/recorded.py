@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdictframe.functions import structured
+from verdictframe.functions import matching, structured
+from verdictframe.operators import rag
+from verdictframe.operators import reports as O  # noqa: N812
 from verdictframe.plans.registry import query, table
 from verdictframe.sources import recorded as R
 
@@ -124,3 +126,65 @@ def fn01_json_depth(spark, sf_dir):
     deep = F.col("event_id") % 128
     text = F.concat(F.repeat(F.lit("["), deep.cast("int")), F.col("props"), F.repeat(F.lit("]"), deep.cast("int")))
     return table(spark, sf_dir, "events").select("event_id", structured.json_depth(text).cast("long").alias("depth"), structured.json_refused(text).alias("refused"))
+
+
+@query(
+    _USERS
+    + f""" SELECT record_id, CASE WHEN k IN (0, 1, 2, 6) THEN 'task_completion,tool_call_f1,trajectory_match,tool_call_validity,redundant_tool_calls,parallel_tool_calls'
+ WHEN k = 4 THEN 'task_completion,tool_call_f1_name,tool_call_validity' ELSE 'task_completion' END AS scorers FROM u"""
+)
+def epi11_supported_scorers(spark, sf_dir):
+    """Which scorers each record can feed, by what it was seen to cover."""
+    found = R.episodes(records(spark, sf_dir))
+    return found.select("record_id", F.array_join(O.supported_scorers(F.col("coverage")), ",").alias("scorers"))
+
+
+@query(_USERS + " SELECT record_id FROM u WHERE k <> 5")
+def flt11_recorded_only(spark, sf_dir):
+    """The records that hold a run: tasks to run aren't scored."""
+    found = R.episodes(records(spark, sf_dir)).withColumn("is_task", F.col("shape") == "task")
+    return O.recorded_only(found).select("record_id")
+
+
+@query(_USERS + " SELECT record_id, CASE WHEN k IN (3, 6) THEN 'inferred' WHEN k = 7 THEN 'missing' ELSE 'observed' END AS coverage FROM u")
+def rst11_event_coverage(spark, sf_dir):
+    """Whether a record's events were observed (none is an observation, too), inferred, or never captured."""
+    found = R.episodes(records(spark, sf_dir))
+    said = F.when(F.col("coverage")["call_result_pairing"] == R.INFERRED, R.INFERRED)
+    listed = F.when(F.col("shape") != "unknown", F.transform("events", lambda e: e["type"]))
+    return found.select("record_id", O.event_coverage(said, listed).alias("coverage"))
+
+
+_TURNS = "SELECT conv_id, turn, text AS after, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user'"
+_W = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
+
+
+@query(
+    f"WITH t AS ({_TURNS}), w AS (SELECT conv_id, turn, {_W.format('before')} AS b, {_W.format('after')} AS a FROM t WHERE before IS NOT NULL),"
+    " d AS (SELECT *, list_concat(list_filter(a, lambda x: NOT list_contains(b, x)), list_filter(b, lambda x: NOT list_contains(a, x))) AS apart, CASE WHEN turn % 4 = 0 THEN list_concat(a, b) ELSE b END AS words FROM w)"
+    " SELECT conv_id, turn, len(apart) > 0 AND len(list_filter(apart, lambda x: NOT list_contains(words, x))) = 0 AS progress FROM d"
+)
+def set06_argument_words(spark, sf_dir):
+    """User turns that differ from the turn before in nothing but words of its calls: here those of both turns, or of the first."""
+    turns = spark.sql(_TURNS.replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, sf_dir, "conversations")).where("before is not null")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    given = F.when(F.col("turn") % 4 == 0, F.concat(words("after"), words("before"))).otherwise(words("before"))
+    return turns.select("conv_id", "turn", matching.progress(F.col("before"), F.col("after"), given).alias("progress"))
+
+
+_DECLINES = "|".join(rag.DECLINES).replace("'", "''")
+_OPENS = "|".join(rag.DECLINING_OPENERS)
+
+
+@query(
+    "WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'Sadly I cannot answer: ' || text WHEN conv_id % 3 = 1 THEN text || ' I cannot answer.' ELSE text END AS reply, CASE WHEN conv_id % 5 = 0 THEN turn % 4 = 1 END AS flag, CASE WHEN conv_id % 5 = 1 THEN turn % 3 END AS claims FROM conversations WHERE role = 'assistant'),"
+    r" f AS (SELECT *, regexp_extract(lower(trim(regexp_replace(reply, '\s+', ' ', 'g'))), '^(.*?[.!?])(?: |$)', 1) AS head, lower(trim(regexp_replace(reply, '\s+', ' ', 'g'))) AS low FROM r)"
+    f" SELECT conv_id, turn, CASE WHEN flag IS NOT NULL THEN flag WHEN claims IS NOT NULL THEN claims = 0 ELSE regexp_matches(CASE WHEN head = '' THEN low ELSE head END, '{_DECLINES}|^[*_`\"'' ]*(?:{_OPENS})') END AS abstained FROM f"
+)
+def rst05_abstention(spark, sf_dir):
+    """Replies that abstain: by an explicit flag, by the number of claims, or by the phrases of their first sentence."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    third, fifth = F.col("conv_id") % 3, F.col("conv_id") % 5
+    reply = F.when(third == 0, F.concat(F.lit("Sadly I cannot answer: "), "text")).when(third == 1, F.concat("text", F.lit(" I cannot answer."))).otherwise(F.col("text"))
+    flag, claims = F.when(fifth == 0, F.col("turn") % 4 == 1), F.when(fifth == 1, F.col("turn") % 3)
+    return said.select("conv_id", "turn", rag.abstained(flag, claims, reply).alias("abstained"))

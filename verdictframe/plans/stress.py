@@ -121,28 +121,6 @@ def agg26_operational_stress(spark, sf_dir):
 
 
 #: Replies, and whether their phrases decline.
-_DECLINED = [
-    ("I’m not able to say. It is 5.", True),
-    ("It is 5. I cannot say more.", False),
-    ("No relevant fee applies", True),
-    ("Yes, there is no relevant document for it.", False),
-    ("In short there is no relevant document for it.", True),
-    ("Customers not able to pay are charged.", False),
-    ("*Insufficient information* to tell", True),
-]
-
-
-def _reply(k: int) -> str:
-    return "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN {x[k] if isinstance(x[k], bool) else repr(x[k])}" for i, x in enumerate(_DECLINED)) + " END"
-
-
-@query(f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_id % 2 = 0 WHEN event_id % 5 = 1 THEN event_id % 3 = 0 WHEN event_id % 5 = 2 THEN NULL ELSE {_reply(1)} END AS abstained FROM events")
-def rst05_abstention(spark, sf_dir):
-    """By an explicit flag, by the number of claims, without any signal, and by phrases."""
-    rows = view(spark, sf_dir, f"SELECT event_id, {_reply(0)} AS reply FROM {{events}}")
-    k = F.col("event_id") % 5
-    flag, claims = F.when(k == 0, F.col("event_id") % 2 == 0), F.when(k == 1, F.col("event_id") % 3)
-    return rows.select("event_id", G.abstained(flag, claims, F.when(k != 2, F.col("reply"))).alias("abstained"))
 
 
 @query(
