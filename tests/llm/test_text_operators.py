@@ -191,7 +191,7 @@ def test_rare_shingles_lose_no_link(spark, docs, rows, monkeypatch):
 
 
 def test_filter_of_ids_loses_none(spark, monkeypatch):
-    for bits in (1 << 27, 1 << 16):
+    for bits in (1 << 26, 1 << 16):
         monkeypatch.setattr(cluster, "FILTER_BITS", bits)
         df = spark.range(20_000).withColumn("x", F.lit(1))
         ids = spark.range(0, 20_000, 7)

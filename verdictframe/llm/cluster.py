@@ -43,8 +43,8 @@ def broadcast_if_small(df: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(stored) if n <= BROADCAST_ROWS else stored), n
 
 
-#: Bits of a filter of ids (16 MB, whatever there is to filter), and bits of one of its rows (fixed by Spark's functions).
-FILTER_BITS, ROW_BITS = 1 << 27, 1 << 15
+#: Bits of a filter of ids (8 MB, whatever there is to filter), and bits of one of its rows (fixed by Spark's functions).
+FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
 
 
 def held_by(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

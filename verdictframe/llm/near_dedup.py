@@ -317,21 +317,24 @@ def ties(rows: DataFrame, sets: DataFrame, slack: float | None) -> DataFrame:
 COUNTERS, HOT_BUCKET = 1 << 18, 1024
 
 
-def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    """For each text (columns text, key1, ...): its batch, its place there and its set, unless another text of the id was meant."""
-    for batch in batches:
-        key1 = batch.column("key1").to_pylist()
-        for lo, values, counts in _sets(batch.column("text")):
-            keys, stop = _sums(mix(values), counts), np.cumsum(counts)
-            for i, (a, b) in enumerate(zip(stop - counts, stop, strict=True)):
-                if key1[lo + i] == keys[i]:
-                    yield batch, lo + i, values[a:b]
+def _own_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """The place and the set of each text of a batch (columns text, key1, ...), unless another text of its id was meant."""
+    key1 = batch.column("key1").to_numpy()
+    for lo, values, counts in _sets(batch.column("text")):
+        keys, stop = _sums(mix(values), counts), np.cumsum(counts)
+        for i in np.flatnonzero(keys == key1[lo : lo + len(counts)]):
+            yield lo + int(i), values[stop[i] - counts[i] : stop[i]]
+
+
+def _counters(values: np.ndarray) -> np.ndarray:
+    return (values & U64(COUNTERS - 1)).astype(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS)
-    for _, _, values in _own_sets(batches):
-        total += np.bincount((values & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    for batch in batches:
+        for _, values, _ in _sets(batch.column("text")):
+            total += np.bincount(_counters(values), minlength=COUNTERS)
     yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
 
 
@@ -347,12 +350,15 @@ def rare_postings(texts: DataFrame, members: DataFrame, sets: DataFrame) -> Data
     often = summed(held.mapInArrow(_counted, "k string, v binary"), "k", "v").get("all", np.zeros(COUNTERS))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, values in _own_sets(batches):
-            n = len(values)
-            prefix = np.lexsort((values, often[(values & U64(COUNTERS - 1)).astype(np.int64)]))[: n + (-n * THRESHOLD // 100) + 1]
-            doc, label = batch.column("doc_id")[i].as_py(), batch.column("label")[i].as_py()
-            keys = values[prefix].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), doc)), pa.array(np.full(len(keys), label))], names=["key", "doc_id", "label"])
+        for batch in batches:
+            place, keys = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+            for i, values in _own_sets(batch):
+                n = len(values)
+                prefix = values[np.lexsort((values, often[_counters(values)]))[: n + (-n * THRESHOLD // 100) + 1]]
+                place.append(np.full(len(prefix), i))
+                keys.append(prefix)
+            rows = pa.array(np.concatenate(place))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column("doc_id").take(rows), batch.column("label").take(rows)], names=["key", "doc_id", "label"])
 
     every = held.mapInArrow(first, "key long, doc_id long, label long")
     several = every.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
