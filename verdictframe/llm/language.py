@@ -203,7 +203,7 @@ def decode(scores: np.ndarray, first: np.ndarray, size: np.ndarray, before: np.n
     order = np.argsort(-size, kind="stable")
     first, size, before, last = first[order], size[order], before[order], last[order]
     begin = np.where((before[:, None] < 0) | (before[:, None] == np.arange(n)), 0.0, -1e300)
-    came = np.zeros(scores.shape, np.int32)
+    came = np.zeros(scores.shape, np.min_scalar_type(n))
     best = _run(scores, first, size, begin, penalty, came)
     state = np.where(last < 0, best.argmax(1), last)
     active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")

@@ -50,8 +50,10 @@ def path(url: Column) -> Column:
 
 
 def patterns(url: Column, prefix_depth: int, domain_depth: int, least_labels: int = 1) -> Column:
-    """(pattern, specificity) of every entry up to the depths that could match: URL prefixes, the host, the domains above it."""
-    h, segments = host(url), F.filter(F.split(path(url), "/"), lambda s: s != "")
+    """(pattern, specificity) of every entry up to the depths that could match: URL prefixes, the host, the domains above it.
+
+    Host and path are read once, and handed to what is made of them as the fields of a row.
+    """
 
     def each(least: int, most: Column, make) -> Column:
         ks = F.when(most >= least, F.sequence(F.lit(least), most))
@@ -60,11 +62,18 @@ def patterns(url: Column, prefix_depth: int, domain_depth: int, least_labels: in
     def entry(pattern: Column, specificity: Column) -> Column:
         return F.struct(pattern.alias("pattern"), specificity.cast("int").alias("specificity"))
 
-    labels = F.when(h.rlike(ADDRESS), F.array(h)).otherwise(F.split(h, r"\."))
-    prefixes = each(1, F.least(F.size(segments), F.lit(prefix_depth)), lambda k: entry(F.concat(F.lit("prefix:"), h, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), k), "/")), k + 200))
-    domains = each(least_labels, F.least(F.size(labels), F.lit(domain_depth)), lambda k: entry(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")), k))
-    own = F.array(entry(F.concat(F.lit("host:"), h), F.lit(100)))
-    return F.when(h.isNotNull(), F.concat(prefixes, own, domains))
+    def of(read: Column) -> Column:
+        h, segments, labels = read["host"], read["segments"], read["labels"]
+        prefixes = each(1, F.least(F.size(segments), F.lit(prefix_depth)), lambda k: entry(F.concat(F.lit("prefix:"), h, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), k), "/")), k + 200))
+        domains = each(least_labels, F.least(F.size(labels), F.lit(domain_depth)), lambda k: entry(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")), k))
+        return F.when(h.isNotNull(), F.concat(prefixes, F.array(entry(F.concat(F.lit("host:"), h), F.lit(100))), domains))
+
+    def cut_up(read: Column) -> Column:
+        labels = F.when(read["host"].rlike(ADDRESS), F.array(read["host"])).otherwise(F.split(read["host"], r"\."))
+        return F.struct(read["host"].alias("host"), F.filter(F.split(read["path"], "/"), lambda s: s != "").alias("segments"), labels.alias("labels"))
+
+    read = F.transform(F.array(F.struct(host(url).alias("host"), path(url).alias("path"))), cut_up)
+    return F.element_at(F.transform(read, of), 1)
 
 
 def depths(entries: DataFrame) -> tuple[int, int]:
