@@ -144,3 +144,24 @@ def test_a_judge_is_part_of_the_fingerprint():
     model = api.scripted({"a": "CHOICE: good"})
     prints = {api.fingerprint({}, ["exact_match"], judges) for judges in ((), (one.identity(),), (two.identity(),), (one.identity(model),), (one.identity(api.scripted({"a": "CHOICE: bad"})),))}
     assert len(prints) == 5
+
+
+def test_runs_of_an_experiment_are_compared_by_place_and_by_name(spark):
+    from verdictframe.plans import api
+
+    def run(name, right):
+        rows = [(str(k), "a", "a" if k < right else "b") for k in range(10)]
+        return api.evaluate(spark.createDataFrame(rows, "sample_id string, target string, actual_output string"), ["exact_match"], name=name)
+
+    runs = [run("one", 5), run("two", 9), run("three", 9)]
+    experiment = api.Experiment("e")
+    for r in runs:
+        experiment.add(r)
+    assert [(r.place, r.run, r.mean) for r in experiment.leaderboard().orderBy("place").collect()] == [(1, "two", 0.9), (2, "three", 0.9), (3, "one", 0.5)]
+    assert experiment.pairwise_diff().first().delta == pytest.approx(0.4) and experiment.pairwise_diff(1, 0).first().grade == "fail"
+    assert api.pairwise({r.name: r for r in runs}, "two", "three").first().grade == "pass"
+    assert api.compare(runs[1], runs[0], fail=0.5).first().grade == "warn"
+    with pytest.raises(KeyError, match="four"):
+        api.pairwise({r.name: r for r in runs}, "two", "four")
+    with pytest.raises(ValueError):
+        api.compare([])

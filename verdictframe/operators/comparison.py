@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from verdictframe.functions.scorers import MINIMIZE
+from verdictframe.functions.scorers import MAXIMIZE, MINIMIZE
 from verdictframe.operators.scoring import measured
 from verdictframe.operators.splits import group_ordinal
 
@@ -65,6 +65,23 @@ def grade(delta: Column, direction: Column, warn: float = WARN, fail: float = FA
     return F.when(delta.isNull(), "not_comparable").when(worse >= fail, "fail").when(worse >= warn, "warn").otherwise("pass")
 
 
+def first_directions(scores: DataFrame, order: str) -> DataFrame:
+    """name and direction: the first direction that each metric's scores say, in the order of a column; an unknown one is to maximise."""
+    said = scores.where("direction is not null").groupBy("name").agg(F.min_by("direction", order).alias("direction"))
+    return said.withColumn("direction", F.when(F.col("direction") == MINIMIZE, MINIMIZE).otherwise(MAXIMIZE))
+
+
+def with_direction(rows: DataFrame, directions: DataFrame) -> DataFrame:
+    """rows (name) with direction: the metric's own, else that of the metric behind a "task:" prefix, else to maximise.
+
+    directions has a row a metric, so it is broadcast.
+    """
+    own, base = (directions.select(F.col("name").alias(n), F.col("direction").alias(f"{n}_direction")) for n in ("own__", "base__"))
+    stripped = F.when(F.contains("name", F.lit(":")), F.regexp_replace("name", "^[^:]*:", "")).otherwise(F.col("name"))
+    joined = rows.join(F.broadcast(own), F.col("name") == F.col("own__"), "left").join(F.broadcast(base), stripped == F.col("base__"), "left")
+    return joined.withColumn("direction", F.coalesce("own___direction", "base___direction", F.lit(MAXIMIZE))).drop("own__", "base__", "own___direction", "base___direction")
+
+
 def worst_grade(grades: Column) -> Column:
     """The worst of a group's grades; not_comparable for an empty group."""
     rank = F.max(F.array_position(F.array(*(F.lit(g) for g in GRADES)), grades))

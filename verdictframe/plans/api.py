@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictframe.functions.identity import code_of
@@ -96,14 +96,62 @@ def evaluate_many(datasets: Mapping[str, DataFrame], scorers: Sequence[Scorer |
     return runs
 
 
-def compare(baseline: Run, candidate: Run) -> DataFrame:
-    """Both runs' statistics side by side, with the change and its grade."""
+def compare(baseline: Run | Sequence[Run], candidate: Run | None = None, metric: str | None = None, warn: float = C.WARN, fail: float = C.FAIL) -> DataFrame:
+    """Two runs: their statistics side by side, with the change and its grade. A list of runs: their leaderboard.
+
+    A metric's direction is the first one that the runs' scores say; of a metric named "task:name" it may be that of name.
+    """
+    if candidate is None:
+        return leaderboard(baseline, metric)
     found = C.metric_deltas(baseline.statistics(), candidate.statistics())
-    # a metric's direction is the baseline's; metrics that only the candidate has bring their own
     each = [run.scores.select("name", "direction", F.lit(k).alias("k")) for k, run in enumerate((baseline, candidate))]
-    directions = each[0].unionByName(each[1]).groupBy("name").agg(F.min_by("direction", "k").alias("direction"))
-    graded = found.join(F.broadcast(directions), "name", "left")
-    return graded.withColumn("grade", C.grade(F.col("delta"), F.col("direction")))
+    graded = C.with_direction(found, C.first_directions(each[0].unionByName(each[1]), "k"))
+    return graded.withColumn("grade", C.grade(F.col("delta"), F.col("direction"), warn, fail))
+
+
+def leaderboard(runs: Sequence[Run], metric: str | None = None) -> DataFrame:
+    """A row a run and metric: place, run, fingerprint, name, mean and n, from the best run by a metric (else the first run's first one) to the worst.
+
+    A run that didn't measure it comes last; runs that are equal keep their order.
+    """
+    if not runs:
+        raise ValueError("a leaderboard needs a run")
+    rows = None
+    for k, run in enumerate(runs):
+        own = run.statistics().select(F.lit(k).alias("run_no"), F.lit(run.name).alias("run"), F.lit(run.fingerprint).alias("fingerprint"), "name", "mean", "n")
+        rows = own if rows is None else rows.unionByName(own)
+    if metric is None:
+        first = runs[0].scores.groupBy("name").agg(F.min("score_no").alias("score_no")).orderBy("score_no", "name").first()
+        metric = first and first["name"]
+    means = rows.groupBy("run_no").agg(F.max(F.when(F.col("name") == F.lit(metric), F.col("mean"))).alias("by"))
+    # as many rows as there are runs
+    placed = means.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("by"), "run_no")))
+    return rows.join(F.broadcast(placed.select("run_no", "place")), "run_no").select("place", "run", "fingerprint", "name", "mean", "n")
+
+
+def pairwise(runs: Mapping[str, Run], baseline: str, candidate: str, **limits: float) -> DataFrame:
+    """compare() of two of several named runs."""
+    if missing := [n for n in (baseline, candidate) if n not in runs]:
+        raise KeyError(f"no runs named {', '.join(missing)}; there are {', '.join(runs)}")
+    return compare(runs[baseline], runs[candidate], **limits)
+
+
+@dataclass
+class Experiment:
+    """Runs in the order in which they were added."""
+
+    name: str
+    runs: list[Run] = field(default_factory=list)
+
+    def add(self, run: Run) -> None:
+        self.runs.append(run)
+
+    def pairwise_diff(self, a: int = 0, b: int = -1) -> DataFrame:
+        """compare() of two runs by their places; by default the last against the first."""
+        return compare(self.runs[a], self.runs[b])
+
+    def leaderboard(self, metric: str | None = None) -> DataFrame:
+        return leaderboard(self.runs, metric)
 
 
 def compare_models(samples: DataFrame, models: Mapping[str, Callable[[], Model]], scorers: Sequence[Scorer | str] | None = None) -> tuple[DataFrame, dict[str, str]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdictframe.functions.metrics import FieldScores
+from verdictframe.operators import comparison as C
+from verdictframe.plans import api
 from verdictframe.plans.registry import query, table
 from verdictframe.sources.callables import from_callable
 
@@ -46,3 +48,38 @@ def udf02_several_scores(spark, sf_dir):
     third, even = F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 2 == 0
     samples = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.when(third, F.lit("no JSON")).otherwise(made).alias("output"), F.when(~third | even, wanted).alias("target"))
     return FieldScores().scores(samples).drop("status")
+
+
+@query(
+    "WITH m AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1)"
+    " SELECT 'task' || substr(p, 1, 1) || ':' || substr(p, 3) AS name, CASE WHEN p < '3' THEN 'minimize' ELSE 'maximize' END AS direction FROM m"
+)
+def cmp03_directions(spark, sf_dir):
+    """Directions of metrics named by task: the metric's own, else that of its base, else to maximise."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("task"), F.substring("o_orderpriority", 3, 100).alias("base")).distinct()
+    said = o.where("task < '3'").select(F.col("base").alias("name"), F.lit("minimize").alias("direction"), "o_orderkey")
+    names = o.select(F.concat(F.lit("task"), "task", F.lit(":"), "base").alias("name")).distinct()
+    return C.with_direction(names, C.first_directions(said, "o_orderkey"))
+
+
+def _runs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.lit("F").alias("target"), F.col("o_orderstatus").alias("actual_output"), "o_orderpriority")
+    return [api.evaluate(o.where(F.col("o_orderpriority").startswith(str(k))), ["exact_match"], name=f"run{k}") for k in range(1, 6)]
+
+
+@query(
+    "WITH m AS (SELECT substr(o_orderpriority, 1, 1) AS k, avg((o_orderstatus = 'F')::INT) AS mean, count(*) AS n FROM orders GROUP BY 1)"
+    " SELECT CAST(row_number() OVER (ORDER BY mean DESC, k) AS INTEGER) AS place, 'run' || k AS run, round(mean, 9) AS mean, n FROM m"
+)
+def api04_leaderboard(spark, sf_dir):
+    """Several runs compared: a leaderboard by their first metric."""
+    return api.compare(_runs(spark, sf_dir)).select("place", "run", F.round("mean", 9).alias("mean"), "n")
+
+
+@query(
+    "WITH m AS (SELECT substr(o_orderpriority, 1, 1) AS k, avg((o_orderstatus = 'F')::INT) AS mean FROM orders GROUP BY 1), d AS (SELECT (SELECT mean FROM m WHERE k = '5') - (SELECT mean FROM m WHERE k = '1') AS delta)"
+    " SELECT 'exact_match' AS name, round(delta, 9) AS delta, CASE WHEN -delta >= 0.05 THEN 'fail' WHEN -delta >= 0.02 THEN 'warn' ELSE 'pass' END AS grade FROM d"
+)
+def cmp11_pairwise_diff(spark, sf_dir):
+    """The last run of an experiment against its first."""
+    return api.Experiment("orders", _runs(spark, sf_dir)).pairwise_diff().select("name", F.round("delta", 9).alias("delta"), "grade")
