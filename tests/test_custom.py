@@ -165,3 +165,11 @@ def test_runs_of_an_experiment_are_compared_by_place_and_by_name(spark):
         api.pairwise({r.name: r for r in runs}, "two", "four")
     with pytest.raises(ValueError):
         api.compare([])
+
+
+def test_calls_with_equal_arguments_have_one_key(spark):
+    from verdictframe.operators.agents import call_key
+
+    rows = [("f", '{"a": 1.0, "b": [1, 2]}'), ("f", '{"b":[1,2],"a":1}'), ("f", '{"a": 1, "b": [2, 1]}'), ("g", ""), ("g", None), ("g", "{}"), ("g", "{"), (None, "{}")]
+    keys = [r[0] for r in spark.createDataFrame(rows, "n string, a string").coalesce(1).select(call_key("n", "a")).collect()]
+    assert keys[0] == keys[1] != keys[2] and keys[3] == keys[4] == keys[5] == "g:{}" and keys[6:] == [None, None]

@@ -12,6 +12,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from verdictframe.operators.scoring import pass_at_k, pass_hat_k
 
 
+def call_key(name: Column | str, arguments: Column | str) -> Column:
+    """A canonical form of a call: its name and its arguments as JSON with sorted keys and no trailing zeros; null when they can't be read.
+
+    An empty text is a call without arguments. It stays inside the JVM, unlike matching.canonical().
+    """
+    text = F.coalesce(F.nullif(F.trim(arguments), F.lit("")), F.lit("{}"))
+    return F.concat(F.col(name) if isinstance(name, str) else name, F.lit(":"), F.to_json(F.try_parse_json(text)))
+
+
 def tool_call_scores(predicted: DataFrame, reference: DataFrame) -> DataFrame:
     """tool_call_precision, recall, f1 and exact of each episode, by exact matching of calls.
 

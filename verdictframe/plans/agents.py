@@ -14,7 +14,7 @@ _CALLS = "WITH c AS (SELECT user_id AS episode_id, event_id, event_type AS name,
 
 def calls(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("episode_id"), "event_id", F.col("event_type").alias("name"), "props", F.concat_ws(":", "event_type", "props").alias("call_key"), "value", "ts", F.date_trunc("hour", "ts").alias("turn"))
+    return e.select(F.col("user_id").alias("episode_id"), "event_id", F.col("event_type").alias("name"), "props", A.call_key("event_type", "props").alias("call_key"), "value", "ts", F.date_trunc("hour", "ts").alias("turn"))
 
 
 @query(
