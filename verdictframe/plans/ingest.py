@@ -87,10 +87,10 @@ def src10_unpivot(spark, sf_dir):
     return unpivot_languages(wide, "event_id", ["en", "de", "fr"])
 
 
-@query("SELECT o_orderkey AS sample_id, instr('ABCD', chr(CAST(64 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS INTEGER))) - 1 AS target FROM orders WHERE o_orderpriority < '5'")
+@query("SELECT o_orderkey AS sample_id, instr('ABCDE', chr(CAST(64 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS INTEGER))) - 1 AS target FROM orders")
 def src12_answer_letters(spark, sf_dir):
-    letter = F.element_at(F.array(*map(F.lit, "ABCD")), F.substring("o_orderpriority", 1, 1).cast("int"))
-    return table(spark, sf_dir, "orders").where("o_orderpriority < '5'").select(F.col("o_orderkey").alias("sample_id"), S.answer_index(letter).alias("target"))
+    letter = F.element_at(F.array(*map(F.lit, "ABCDE")), F.substring("o_orderpriority", 1, 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), S.answer_index(letter, "ABCDE").alias("target"))
 
 
 @query("SELECT u.conv_id, u.turn, a.turn AS answer_turn FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
