@@ -12,3 +12,27 @@ def test_answer_letters_of_every_order(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     assert found.count() == orders.count()
     assert {r.target for r in found.select("target").distinct().collect()} == set(range(5))
+
+
+def test_draws_of_a_block_in_parts_pick_the_same_values(monkeypatch):
+    import numpy as np
+
+    from verdictframe.operators import comparison
+
+    values, draws = np.random.default_rng(1).normal(size=1001), np.random.default_rng(2).binomial(4000, 0.25, 300)
+    draws[5:9] = 0
+    whole = comparison.block_sums(values, draws, 1, 2)
+    monkeypatch.setattr(comparison, "DRAWS_AT_ONCE", 5000)
+    asked, make = [], np.random.default_rng
+
+    class Stream:
+        def __init__(self, seed):
+            self.stream = make(seed)
+
+        def integers(self, low, high, size):
+            asked.append(size)
+            return self.stream.integers(low, high, size)
+
+    monkeypatch.setattr(np.random, "default_rng", Stream)
+    np.testing.assert_allclose(comparison.block_sums(values, draws, 1, 2), whole, atol=1e-9)
+    assert sum(asked) == draws.sum() and max(asked) <= 5000 + draws.max()

@@ -148,6 +148,8 @@ BOOTSTRAP = "n long, mean_baseline double, mean_candidate double, delta double,
 
 #: So many pairs of a group make up one block of resampling.
 BLOCK_PAIRS = 1 << 16
+#: About so many draws of a block stand in memory at once, or those of one resample.
+DRAWS_AT_ONCE = 1 << 21
 
 
 def block_counts(sizes: np.ndarray, block: int, n_resamples: int, seed: int) -> np.ndarray:
@@ -169,11 +171,13 @@ def block_counts(sizes: np.ndarray, block: int, n_resamples: int, seed: int) ->
 
 def block_sums(values: np.ndarray, draws: np.ndarray, seed: int, block: int) -> np.ndarray:
     """Sums of so many draws with replacement from a block's values, for each resample."""
-    stream = np.random.default_rng([seed, block, 1 << 40])
-    picks = values[stream.integers(0, len(values), int(draws.sum()))] if len(values) else np.zeros(0)
-    ends = np.cumsum(draws)
-    running = np.concatenate([[0.0], np.cumsum(picks)])
-    return running[ends] - running[ends - draws]
+    stream, out = np.random.default_rng([seed, block, 1 << 40]), np.zeros(len(draws))
+    part = np.cumsum(draws) // DRAWS_AT_ONCE  # the stream goes on from part to part, so parts of any size pick the same values
+    for at in np.split(np.arange(len(draws)), np.flatnonzero(np.diff(part)) + 1) if len(values) else ():
+        ends = np.cumsum(draws[at])
+        running = np.concatenate([[0.0], np.cumsum(values[stream.integers(0, len(values), int(ends[-1]))])])
+        out[at] = running[ends] - running[ends - draws[at]]
+    return out
 
 
 def stream_sums(values: np.ndarray, n_resamples: int, seed: int) -> np.ndarray:
