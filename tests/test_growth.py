@@ -36,3 +36,17 @@ def test_draws_of_a_block_in_parts_pick_the_same_values(monkeypatch):
     monkeypatch.setattr(np.random, "default_rng", Stream)
     np.testing.assert_allclose(comparison.block_sums(values, draws, 1, 2), whole, atol=1e-9)
     assert sum(asked) == draws.sum() and max(asked) <= 5000 + draws.max()
+
+
+def test_texts_are_sketched_in_small_chunks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from verdictframe.llm import near_dedup
+
+    held, sketch = [], near_dedup.superminhash
+    monkeypatch.setattr(near_dedup, "superminhash", lambda values, counts: held.append(len(values)) or sketch(values, counts))
+    texts = pa.array([" ".join(f"w{i * j % 997}" for j in range(300)) for i in range(1, 800)])
+    ids = pa.array(np.arange(len(texts)))
+    (out,) = near_dedup._sketches(iter([pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])]))
+    assert out.num_rows == len(texts) and max(held) * near_dedup.SLOTS <= 16 << 20

@@ -54,6 +54,8 @@ BANDS, ROWS = 48, 5
 SLOTS = BANDS * ROWS
 #: A block of full sets has about so many documents and shingles at most; a block of signatures so many documents.
 BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_SIGNATURES = 128, 1_000_000, 1024
+#: Texts are sketched in chunks of so many bytes: a shingle's walk takes SLOTS bytes, so the walks of a chunk about 6 MB.
+SKETCHED_BYTES = 1 << 17
 SLACK = 5.0
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("signature", pa.binary())])
@@ -97,7 +99,7 @@ def superminhash(values: np.ndarray, counts: np.ndarray, slots: int = SLOTS) ->
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each chunk of texts, the index of its first text, the texts' shingle sets and the sizes of these."""
-    for lo, words in word_chunks(column, SPACED, lower=True):
+    for lo, words in word_chunks(column, SPACED, lower=True, limit=SKETCHED_BYTES):
         yield lo, *distinct(*shingles(words.hashes(), words, WORDS), words.n_docs)
 
 
@@ -362,7 +364,7 @@ def rare_postings(texts: DataFrame, members: DataFrame, sets: DataFrame) -> Data
 
     every = held.mapInArrow(first, "key long, doc_id long, label long")
     several = every.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    return every.join(several, "key")
+    return every.join(several, "key", "left_semi")
 
 
 def candidate_groups(tied: DataFrame, sets: DataFrame, united: DataFrame, slack: float | None, texts: DataFrame) -> DataFrame:
