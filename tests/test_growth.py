@@ -50,3 +50,32 @@ def test_texts_are_sketched_in_small_chunks(monkeypatch):
     ids = pa.array(np.arange(len(texts)))
     (out,) = near_dedup._sketches(iter([pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])]))
     assert out.num_rows == len(texts) and max(held) * near_dedup.SLOTS <= 16 << 20
+
+
+def test_numbers_of_groups_as_pair_by_pair(spark):
+    from verdictframe.operators import rag
+
+    gold = spark.createDataFrame([(i, i % 3, f"no {i % 7}, 1,0{i % 2}0") for i in range(60)] + [(99, 0, "none")], "case_id long, group int, text string")
+    replies = spark.createDataFrame([(i % 3, f"{i % 7} and {1000 + 10 * (i % 2)}") for i in range(40)], "group int, text string")
+    got = rag.numeric_accuracy_of_groups(gold, replies, 5)
+    want = gold.withColumnRenamed("text", "a").join(replies, "group").select("case_id", rag.numeric_accuracy(F.col("a"), F.col("text")))
+    assert sorted(map(str, got.collect())) == sorted(str(r).replace(r.__fields__[1], "numeric_accuracy") for r in want.collect())
+
+
+def test_scores_by_label_as_from_all_relevant_pairs(spark):
+    from verdictframe.operators import retrieval
+
+    items = spark.createDataFrame([(i, i * i % 5) for i in range(60)] + [(60, 9)], "item long, label int")
+    queries = items.where("item % 10 = 0").select(F.col("item").alias("query_id"), "label")
+    ranked = spark.createDataFrame([(q, q * 7 % 61 + k if q * 7 % 61 + k < 61 else k, k + 1) for q in range(0, 61, 10) for k in range(8)], "query_id long, item long, rank long").where("query_id <> item")
+    every = queries.join(items, "label").where("query_id <> item").select("query_id", "item", F.lit(1.0).alias("grade"))
+    plain = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    assert plain(retrieval.retrieval_scores_by_label(ranked, items, queries, 5)) == plain(retrieval.retrieval_scores(ranked, every, 5))
+
+
+def test_slow_scorers_get_their_rows_in_many_tasks(spark, sf):
+    from verdictframe.plans import text
+
+    for rows in (text.NAMES, text.QA):
+        assert text.scored_rows(spark, sf, rows).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 20) + "b"

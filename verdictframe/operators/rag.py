@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictframe.functions.text import bind, fold_apostrophes, strip
+from verdictframe.operators.cluster import spread
 
 
 def evidence_recall(retrieved: DataFrame, required: DataFrame) -> DataFrame:
@@ -16,9 +17,12 @@ def evidence_recall(retrieved: DataFrame, required: DataFrame) -> DataFrame:
     retrieved has case_id and item, required has case_id, set_id and item. Relational division: counts of each
     set's items that were retrieved, so a set of any size is rows, never one value.
     """
-    need = required.select("case_id", "set_id", "item").distinct()
-    held = retrieved.select("case_id", "item").distinct().withColumn("held", F.lit(1))
-    sets = need.join(held, ["case_id", "item"], "left").groupBy("case_id", "set_id").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("k"))
+    need = required.select("case_id", "set_id", "item", F.lit(1).alias("needed"), F.lit(None).cast("int").alias("held"))
+    held = retrieved.where("case_id is not null and item is not null").select("case_id", F.lit(None).cast(required.schema["set_id"].dataType).alias("set_id"), "item", F.lit(0).alias("needed"), F.lit(1).alias("held"))
+    # one shuffle by case and item takes the place of two distincts and a join
+    rows = spread(need.unionByName(held), "case_id", "item").groupBy("case_id", "item", "set_id", "needed").agg(F.max("held").alias("held"))
+    known = rows.withColumn("held", F.max("held").over(Window.partitionBy("case_id", "item"))).where("needed = 1")
+    sets = known.groupBy("case_id", "set_id").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("k"))
     return sets.groupBy("case_id").agg(F.max((F.col("n") == F.col("k")).cast("double")).alias("evidence_set_recall"), F.max(F.col("k") / F.col("n")).alias("best_recall"))
 
 
@@ -139,15 +143,32 @@ def abstained(flag: Column, n_claims: Column, reply: Column) -> Column:
     return F.when(flag.isNotNull(), flag).when(n_claims.isNotNull(), n_claims == 0).otherwise(declines(reply))
 
 
+def number_values(text: Column) -> Column:
+    """The distinct numbers of a text, commas ignored."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")))
+
+
+def numbers_held(want: Column, held: Column) -> Column:
+    """1 when all wanted numbers are among those held, as of number_values(); null without any."""
+    return F.when(F.size(want) > 0, (F.size(F.array_except(want, held)) == 0).cast("double"))
+
+
 def numeric_accuracy(gold: Column, reply: Column) -> Column:
     """1 when every number of the gold answer stands in the reply, commas ignored; null without numbers."""
+    return numbers_held(number_values(gold), number_values(reply))
+
 
-    def values(c: Column) -> Column:
-        found = F.regexp_extract_all(c, F.lit(r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?"), F.lit(0))
-        return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")))
+def numeric_accuracy_of_groups(gold: DataFrame, replies: DataFrame, parts: int = 64) -> DataFrame:
+    """case_id and numeric_accuracy of each gold answer (case_id, group, text) with every reply (group, text) of its group.
 
-    want = values(gold)
-    return F.when(F.size(want) > 0, (F.size(F.array_except(want, values(reply))) == 0).cast("double"))
+    The numbers of a text are read once, not once a pair. A group's answers are dealt to so many parts, each of which
+    meets the group's replies, so that few large groups are as many tasks as there are parts.
+    """
+    asked = gold.select("case_id", "group", number_values(F.col("text")).alias("want"), F.pmod(F.xxhash64("case_id"), F.lit(parts)).alias("part"))
+    held = replies.select("group", number_values(F.col("text")).alias("held"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    pairs = spread(asked, "group", "part").join(spread(held, "group", "part").hint("merge"), ["group", "part"])
+    return pairs.select("case_id", numbers_held(F.col("want"), F.col("held")).alias("numeric_accuracy"))
 
 
 def agreement(rows: DataFrame, *by: str) -> DataFrame:

@@ -137,5 +137,6 @@ def rst04_wrong_version(spark, sf_dir):
 
 @query("SELECT c_custkey AS case_id, CASE WHEN CAST(substr(c_name, 10) AS BIGINT) = CAST(substr(s_name, 10) AS BIGINT) THEN 1.0::DOUBLE ELSE 0 END AS numeric_accuracy FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def rst06_numeric_accuracy(spark, sf_dir):
-    rows = view(spark, sf_dir, "SELECT c_custkey AS case_id, replace(c_name, '#', ' ') AS gold, replace(s_name, '#', ' ') AS reply FROM {customer} JOIN {supplier} ON c_nationkey = s_nationkey")
-    return rows.select("case_id", G.numeric_accuracy(F.col("gold"), F.col("reply")).alias("numeric_accuracy"))
+    gold = view(spark, sf_dir, "SELECT c_custkey AS case_id, c_nationkey AS group, replace(c_name, '#', ' ') AS text FROM {customer}")
+    replies = view(spark, sf_dir, "SELECT s_nationkey AS group, replace(s_name, '#', ' ') AS text FROM {supplier}")
+    return G.numeric_accuracy_of_groups(gold, replies)
