@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from verdictframe.errors import RegistryError
+from verdictframe.operators.cluster import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ("text", "runs", "comparisons", "ranking", "stress", "agents", "safety", "ingest", "more", "further", "recorded", "custom")
@@ -32,6 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
