@@ -84,6 +84,16 @@ def multiset_overlap(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(ordered, state(F.lit(None).cast("string"), zero, zero, zero), step, lambda acc: acc["total"] + F.least(acc["left"], acc["right"]))
 
 
+def rounded(c: Column | str, places: int = 6) -> Column:
+    """A double to so many places as SQL engines round it: the product with 10 ** places to a whole number, halves away from zero.
+
+    F.round rounds the shortest decimal that names the double instead, which differs where that is a half and the
+    product is below it: 41 / 640 = 0.0640625 is 0.064062 here, and 0.064063 there.
+    """
+    scale = F.lit(float(10**places))
+    return F.round(col(c) * scale) / scale
+
+
 def count_of(c: Column | str) -> Column:
     return F.size(col(c)).cast("double")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdictframe.functions import matching as M
+from verdictframe.functions import text as T
 from verdictframe.operators import agents as A
 from verdictframe.operators import reports as O  # noqa: N812
 from verdictframe.plans.registry import query, table
@@ -27,19 +28,19 @@ SELECT episode_id, n_predicted, n_reference, round(coalesce(s / nullif(n_predict
 def agt01_tool_call_f1(spark, sf_dir):
     c = calls(spark, sf_dir)
     found = A.tool_call_scores(c.where("value >= 20"), c.where("value < 60"))
-    return found.withColumns({x: F.round(x, 6) for x in ("tool_call_precision", "tool_call_recall", "tool_call_f1")})
+    return found.withColumns({x: T.rounded(x) for x in ("tool_call_precision", "tool_call_recall", "tool_call_f1")})
 
 
 @query(_CALLS + ", k AS (SELECT episode_id, call_key, count(*) AS k FROM c GROUP BY 1, 2) SELECT episode_id, CAST(sum(k) AS BIGINT) AS n_calls, round((sum(k) - count(*))::DOUBLE / sum(k), 6) AS redundant_tool_calls, max(k) >= 3 AS repeats_often FROM k GROUP BY 1")
 def agt05_redundant_calls(spark, sf_dir):
-    return A.redundancy(calls(spark, sf_dir)).withColumn("redundant_tool_calls", F.round("redundant_tool_calls", 6))
+    return A.redundancy(calls(spark, sf_dir)).withColumn("redundant_tool_calls", T.rounded("redundant_tool_calls"))
 
 
 @query(_CALLS + " SELECT episode_id, count(*) AS n_calls, round(avg(CASE WHEN name <> 'error' AND name IN ('click', 'view', 'error') THEN 1.0 ELSE 0 END), 6) AS tool_permission FROM c GROUP BY 1")
 def agt07_tool_permission(spark, sf_dir):
     c = calls(spark, sf_dir)
     rules = c.select("episode_id").distinct().select("episode_id", F.array(*map(F.lit, ("click", "view", "error"))).alias("allowed"), F.array(F.lit("error")).alias("denied"))
-    return A.permission(c, rules).withColumn("tool_permission", F.round("tool_permission", 6))
+    return A.permission(c, rules).withColumn("tool_permission", T.rounded("tool_permission"))
 
 
 @query(

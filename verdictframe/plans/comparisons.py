@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdictframe.functions import text as T
 from verdictframe.operators import comparison as C
 from verdictframe.plans.registry import plain, query, table, view
 
@@ -59,14 +60,14 @@ _STATS = f"WITH v AS ({plain(_RUN)}), a AS (SELECT name, avg(value) AS mean, cou
 @query(_STATS + " SELECT coalesce(a.name, b.name) AS name, round(a.mean, 6) AS baseline_mean, a.n AS baseline_n, round(b.mean, 6) AS candidate_mean, b.n AS candidate_n, round(b.mean - a.mean, 6) AS delta FROM a FULL OUTER JOIN b ON a.name = b.name")
 def join03_metric_deltas(spark, sf_dir):
     found = C.metric_deltas(_stats(spark, sf_dir, "F", "name"), _stats(spark, sf_dir, "O", "name"))
-    return found.withColumns({c: F.round(c, 6) for c in ("baseline_mean", "candidate_mean", "delta")})
+    return found.withColumns({c: T.rounded(c) for c in ("baseline_mean", "candidate_mean", "delta")})
 
 
 @query(_STATS + " SELECT a.name, CASE WHEN a.mean - b.mean >= 0.005 THEN 'fail' WHEN a.mean - b.mean >= 0.002 THEN 'warn' ELSE 'pass' END AS grade, round((b.mean - a.mean) / a.mean * 100, 4) AS pct, round(b.mean / a.mean, 6) AS retention FROM a JOIN b ON a.name = b.name")
 def cmp02_grades(spark, sf_dir):
     found = C.metric_deltas(_stats(spark, sf_dir, "F", "name"), _stats(spark, sf_dir, "O", "name"))
     base, cand = F.col("baseline_mean"), F.col("candidate_mean")
-    return found.select("name", C.grade(F.col("delta"), F.lit("maximize"), 0.002, 0.005).alias("grade"), F.round(C.relative_pct(F.col("delta"), base), 4).alias("pct"), F.round(C.retention(cand, base), 6).alias("retention"))
+    return found.select("name", C.grade(F.col("delta"), F.lit("maximize"), 0.002, 0.005).alias("grade"), T.rounded(C.relative_pct(F.col("delta"), base), 4).alias("pct"), T.rounded(C.retention(cand, base)).alias("retention"))
 
 
 @query(_STATS + ", g AS (SELECT max(CASE WHEN a.mean - b.mean >= 0.005 THEN 3 WHEN a.mean - b.mean >= 0.002 THEN 2 ELSE 1 END) AS r FROM a JOIN b ON a.name = b.name) SELECT CASE r WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' ELSE 'pass' END AS grade FROM g")
@@ -86,7 +87,7 @@ def agg30_coverage_warnings(spark, sf_dir):
 def join04_per_task_deltas(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("task"), "o_orderstatus", F.col("o_totalprice").alias("value"))
     a, b = (rows.where(F.col("o_orderstatus") == s).groupBy("name", "task").agg(F.avg("value").alias("mean"), F.count("value").alias("n")) for s in ("F", "O"))
-    return C.metric_deltas(a, b, ("name", "task")).select("name", "task", F.round("delta", 4).alias("delta"))
+    return C.metric_deltas(a, b, ("name", "task")).select("name", "task", T.rounded("delta", 4).alias("delta"))
 
 
 #: Models as market segments, metrics as order priorities.
@@ -107,13 +108,13 @@ def join13_model_deltas(spark, sf_dir):
 @query(_MSTATS + " SELECT name, " + ", ".join(f"round(max(CASE WHEN model = '{m}' THEN mean END), 6) AS \"{m}_score\", CAST(max(CASE WHEN model = '{m}' THEN n END) AS BIGINT) AS \"{m}_n\", round(max(CASE WHEN model = '{m}' THEN std END), 6) AS \"{m}_std\"" for m in MODELS) + ", arg_max(model, mean) AS winner FROM s GROUP BY 1")
 def cmp06_comparison_table(spark, sf_dir):
     found = C.comparison_table(model_stats(spark, sf_dir), MODELS)
-    return found.withColumns({f"{m}_{c}": F.round(f"`{m}_{c}`", 6) for m in MODELS for c in ("score", "std")})
+    return found.withColumns({f"{m}_{c}": T.rounded(f"`{m}_{c}`") for m in MODELS for c in ("score", "std")})
 
 
 @query(_MSTATS + ", t AS (SELECT model, avg(mean) AS value FROM s GROUP BY 1) SELECT model, round(value, 6) AS value, row_number() OVER (ORDER BY coalesce(value, 0) DESC, model) AS place FROM t")
 def srt01_leaderboard(spark, sf_dir):
     value = model_stats(spark, sf_dir).groupBy("model").agg(F.avg("mean").alias("value")).withColumn("run_no", F.col("model"))
-    return C.leaderboard(value).select("model", F.round("value", 6).alias("value"), "place")
+    return C.leaderboard(value).select("model", T.rounded("value").alias("value"), "place")
 
 
 @query(_MSTATS + ", t AS (SELECT model, name, CASE WHEN n > (SELECT avg(n) FROM s) THEN mean END AS value FROM s) SELECT model, name, row_number() OVER (ORDER BY value DESC NULLS LAST, model || name) AS place FROM t")
@@ -127,12 +128,12 @@ def srt02_experiment_leaderboard(spark, sf_dir):
 @query(_MSTATS + " SELECT name, model, round(mean, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY mean DESC, model) AS rn FROM s) WHERE rn = 1")
 def srt04_best_model(spark, sf_dir):
     rows = model_stats(spark, sf_dir).select("name", "model", F.col("model").alias("model_no"), F.col("mean").alias("value"))
-    return C.best_model(rows, ["name"]).select("name", "model", F.round("value", 6).alias("value"))
+    return C.best_model(rows, ["name"]).select("name", "model", T.rounded("value").alias("value"))
 
 
 @query(_MSTATS + ", t AS (SELECT model, avg(mean) AS value FROM s GROUP BY 1) SELECT model, round(value, 6) AS value FROM t ORDER BY value DESC, model LIMIT 2")
 def srt06_best_two(spark, sf_dir):
-    return model_stats(spark, sf_dir).groupBy("model").agg(F.avg("mean").alias("value")).orderBy(F.col("value").desc(), "model").limit(2).select("model", F.round("value", 6).alias("value"))
+    return model_stats(spark, sf_dir).groupBy("model").agg(F.avg("mean").alias("value")).orderBy(F.col("value").desc(), "model").limit(2).select("model", T.rounded("value").alias("value"))
 
 
 @query(_MSTATS + ", n AS (SELECT name, count(DISTINCT model) AS k FROM s GROUP BY 1) SELECT m.model, e.name FROM (SELECT DISTINCT model FROM s) m CROSS JOIN (SELECT DISTINCT name FROM s) e EXCEPT SELECT model, name FROM s")
@@ -170,7 +171,7 @@ def win09_last_wins(spark, sf_dir):
 def agg28_cost(spark, sf_dir):
     usage = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("prompt_tokens"), F.col("o_orderkey").alias("completion_tokens"))
     pricing = spark.createDataFrame([("1-URGENT", 10.0, 30.0), ("2-HIGH", 5.0, 15.0)], "model string, prompt_price double, completion_price double")
-    return C.cost(usage, pricing).withColumn("cost", F.round("cost", 9))
+    return C.cost(usage, pricing).withColumn("cost", T.rounded("cost", 9))
 
 
 @query(None)

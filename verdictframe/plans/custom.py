@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdictframe.functions import text as T
 from verdictframe.functions.metrics import FieldScores
 from verdictframe.operators import comparison as C
 from verdictframe.plans import api
@@ -73,7 +74,7 @@ def _runs(spark, sf_dir):
 )
 def api04_leaderboard(spark, sf_dir):
     """Several runs compared: a leaderboard by their first metric."""
-    return api.compare(_runs(spark, sf_dir)).select("place", "run", F.round("mean", 9).alias("mean"), "n")
+    return api.compare(_runs(spark, sf_dir)).select("place", "run", T.rounded("mean", 9).alias("mean"), "n")
 
 
 @query(
@@ -82,4 +83,4 @@ def api04_leaderboard(spark, sf_dir):
 )
 def cmp11_pairwise_diff(spark, sf_dir):
     """The last run of an experiment against its first."""
-    return api.Experiment("orders", _runs(spark, sf_dir)).pairwise_diff().select("name", F.round("delta", 9).alias("delta"), "grade")
+    return api.Experiment("orders", _runs(spark, sf_dir)).pairwise_diff().select("name", T.rounded("delta", 9).alias("delta"), "grade")

@@ -27,7 +27,7 @@ _TOOLS = {"click": {"type": "object", "properties": {"k": {"type": "integer", "m
 @query("SELECT user_id AS episode_id, count(*) AS n_calls, round(avg(CASE WHEN (event_type = 'click' AND CAST(json_extract(props, '$.k') AS BIGINT) <= 50) OR event_type = 'view' THEN 1.0 ELSE 0 END), 6) AS tool_call_validity FROM events GROUP BY 1")
 def agt04_tool_call_validity(spark, sf_dir):
     c = calls(spark, sf_dir).withColumn("ok", J.call_valid("name", "props", _TOOLS).cast("double"))
-    return c.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_calls"), F.round(F.avg("ok"), 6).alias("tool_call_validity"))
+    return c.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_calls"), T.rounded(F.avg("ok")).alias("tool_call_validity"))
 
 
 @query("SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 10 AND 60 THEN 1.0::DOUBLE ELSE 0 END AS score FROM events")
@@ -66,20 +66,20 @@ def flt08_eligibility(spark, sf_dir):
 def flt09_disagreements(spark, sf_dir):
     verdicts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.lit("O").alias("one"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("other"))
     rates = O.disagreement(verdicts, "case_id").select("case_id", F.col("disagreement_rate").alias("rate"))
-    return O.at_least(rates, "rate", 0.5).withColumn("rate", F.round("rate", 6))
+    return O.at_least(rates, "rate", 0.5).withColumn("rate", T.rounded("rate"))
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS passed, round(count(*) FILTER (WHERE quality = 1)::DOUBLE / count(*), 6) AS pass_rate FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
 def agg27_pass_rates(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", (F.col("quality") == 1).alias("passed"))
-    return O.pass_rates(joined, "lang").withColumn("pass_rate", F.round("pass_rate", 6))
+    return O.pass_rates(joined, "lang").withColumn("pass_rate", T.rounded("pass_rate"))
 
 
 #: Results of another harness: 'metric,filter' keys in a map, one of them a standard error.
 @query("SELECT c_mktsegment || ':' || 'acc' AS name, round(avg(c_acctbal), 6) AS value FROM customer GROUP BY c_mktsegment UNION ALL SELECT c_mktsegment || ':' || 'acc_norm', round(max(c_acctbal), 6) FROM customer GROUP BY c_mktsegment")
 def agg31_harness_results(spark, sf_dir):
     raw = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.create_map(F.lit("acc,none"), F.avg("c_acctbal"), F.lit("acc_stderr,none"), F.stddev("c_acctbal"), F.lit("acc_norm,strict"), F.max("c_acctbal")).alias("results"))
-    return O.harness_results(raw, "c_mktsegment").withColumn("value", F.round("value", 6))
+    return O.harness_results(raw, "c_mktsegment").withColumn("value", T.rounded("value"))
 
 
 @query("SELECT conv_id, turn, len(list_intersect(regexp_split_to_array(input, ' '), regexp_split_to_array(output, ' ')))::BIGINT AS shared FROM (SELECT u.conv_id, u.turn, u.text AS input, a.text AS output FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')")
@@ -101,21 +101,21 @@ def set08_lineage_conflicts(spark, sf_dir):
 
 @query(_MSTATS + " SELECT name, model, round(mean, 6) AS score, n, round(std, 6) AS std, row_number() OVER (PARTITION BY name ORDER BY mean DESC, model) AS place FROM s")
 def cmp05_per_metric(spark, sf_dir):
-    return O.per_metric(model_stats(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("score", "std")})
+    return O.per_metric(model_stats(spark, sf_dir)).withColumns({c: T.rounded(c) for c in ("score", "std")})
 
 
 @query("SELECT c_mktsegment AS model, count(*) AS n_calls, round(avg(o_totalprice), 4) AS mean_ms, round(quantile_cont(o_totalprice, 0.95), 4) AS p95_ms, round(count(*) / (sum(o_totalprice) / 1000), 9) AS per_second FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def cmp07_performance_table(spark, sf_dir):
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     found = O.performance_table(joined.select(F.col("c_mktsegment").alias("model"), "o_totalprice"), "model", "o_totalprice")
-    return found.withColumns({"mean_ms": F.round("mean_ms", 4), "p95_ms": F.round("p95_ms", 4), "per_second": F.round("per_second", 9)})
+    return found.withColumns({"mean_ms": T.rounded("mean_ms", 4), "p95_ms": T.rounded("p95_ms", 4), "per_second": T.rounded("per_second", 9)})
 
 
 @query("WITH f AS (SELECT o_custkey, avg(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), g AS (SELECT o_custkey, avg(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT f.o_custkey AS case_id, round(g.m / f.m, 6) AS retention FROM f JOIN g ON f.o_custkey = g.o_custkey")
 def cmp04_retention(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     f, g = (o.where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.avg("o_totalprice").alias(n)) for s, n in (("F", "f"), ("O", "g")))
-    return f.join(g, "o_custkey").select(F.col("o_custkey").alias("case_id"), F.round(C.retention(F.col("g"), F.col("f")), 6).alias("retention"))
+    return f.join(g, "o_custkey").select(F.col("o_custkey").alias("case_id"), T.rounded(C.retention(F.col("g"), F.col("f"))).alias("retention"))
 
 
 @query("SELECT c_custkey, round(CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 0.9 * 1.0 + 0.1 * 0.5 WHEN 'MACHINERY' THEN 0.6 * 0.5 + 0.4 * 0.0 ELSE 1.0 END AS DOUBLE), 6) AS score, CASE c_mktsegment WHEN 'MACHINERY' THEN 'fair' ELSE 'good' END AS label FROM customer")
@@ -123,7 +123,7 @@ def jdg13_label_probabilities(spark, sf_dir):
     """Expected score and likeliest label of label probabilities, with labels of the encoder's own names."""
     p = F.when(F.col("c_mktsegment") == "BUILDING", F.create_map(F.lit("LABEL_0"), F.lit(0.9), F.lit("fair"), F.lit(0.1))).when(F.col("c_mktsegment") == "MACHINERY", F.create_map(F.lit("fair"), F.lit(0.6), F.lit("bad"), F.lit(0.4))).otherwise(F.create_map(F.lit("LABEL_0"), F.lit(0.5), F.lit("other"), F.lit(0.5)))
     found = label_probabilities(p, {"good": 1.0, "fair": 0.5, "bad": 0.0}, {"LABEL_0": "good"})
-    return table(spark, sf_dir, "customer").select("c_custkey", found.alias("f")).select("c_custkey", F.round("f.value", 6).alias("score"), "f.label")
+    return table(spark, sf_dir, "customer").select("c_custkey", found.alias("f")).select("c_custkey", T.rounded("f.value").alias("score"), "f.label")
 
 
 @query("SELECT conv_id, turn, text AS answer FROM conversations WHERE role = 'assistant'")

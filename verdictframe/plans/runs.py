@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdictframe.functions import text as T
 from verdictframe.functions.scorers import Scorer, contains, exact_match, starts_with, token_overlap
 from verdictframe.operators import reports as O  # noqa: N812
 from verdictframe.operators import scoring as R
@@ -32,7 +33,7 @@ def qa_scores(spark, sf_dir):
 
 
 def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: T.rounded(c) for c in columns})
 
 
 @query(_SCORES_SQL + "SELECT name, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(CASE WHEN count(*) < 2 THEN 0 ELSE stddev_pop(value) / sqrt(count(*)) END, 6) AS stderr, round(min(value), 6) AS min, round(max(value), 6) AS max FROM scores GROUP BY 1")
@@ -63,7 +64,7 @@ def agg29_weighted_sum(spark, sf_dir):
 @query(_SCORES_SQL + "SELECT sample_id, round(max(CASE WHEN score_no = 1 THEN value END), 6) AS score, max(CASE WHEN score_no = 1 THEN (value >= 0.25)::INT END) = 1 AS passed FROM scores GROUP BY 1")
 def txt39_score_gate(spark, sf_dir):
     gated = qa_scores(spark, sf_dir).where("score_no = 1")
-    return gated.select("sample_id", F.round("value", 6).alias("score"), R.passed(F.col("value"), F.lit(0.25), F.col("direction")).alias("passed"))
+    return gated.select("sample_id", T.rounded("value").alias("score"), R.passed(F.col("value"), F.lit(0.25), F.col("direction")).alias("passed"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
@@ -88,7 +89,7 @@ def agg04_throughput(spark, sf_dir):
 @query("SELECT event_type, round(sum(CAST(json_extract(props, '$.k') AS BIGINT)) / (sum(value) / 1000), 6) AS tokens_per_second FROM events GROUP BY 1")
 def agg05_token_throughput(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select("event_type", "value", F.get_json_object("props", "$.k").try_cast("long").alias("tokens"))
-    return calls.groupBy("event_type").agg(F.round(F.sum("tokens") / (F.sum("value") / 1000), 6).alias("tokens_per_second"))
+    return calls.groupBy("event_type").agg(T.rounded(F.sum("tokens") / (F.sum("value") / 1000)).alias("tokens_per_second"))
 
 
 _STATUS = "SELECT d.lang AS task, 'quality' AS name, CAST(l.quality AS DOUBLE) AS value, CASE WHEN l.doc_id IS NULL THEN 'not_tested' WHEN l.quality = 0 AND l.toxic = 1 THEN 'unknown' END AS status FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"
@@ -149,7 +150,7 @@ def agg16_reliability(spark, sf_dir):
 def agg20_pass_at_k(spark, sf_dir):
     counts = view(spark, sf_dir, _TRIALS).groupBy("case_id").agg(F.count_if(F.col("verdict") == "success").alias("s"), F.count_if(F.col("verdict") == "failure").alias("f"))
     n = F.col("s") + F.col("f")
-    return counts.agg(F.round(F.avg(R.pass_at_k(n, F.col("s"), 2)), 6).alias("mean_pass_at_2"), F.count_if(F.col("s") == F.col("f")).alias("ties"), F.count(F.lit(1)).alias("n_cases"))
+    return counts.agg(T.rounded(F.avg(R.pass_at_k(n, F.col("s"), 2))).alias("mean_pass_at_2"), F.count_if(F.col("s") == F.col("f")).alias("ties"), F.count(F.lit(1)).alias("n_cases"))
 
 
 @query(
@@ -171,7 +172,7 @@ def agg11_route_distribution(spark, sf_dir):
 def agg19_agent_summary(spark, sf_dir):
     verdict = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failure").otherwise("unknown")
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), verdict.alias("verdict"), F.when(F.col("o_orderpriority") != "5-LOW", "completed").alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", "full").alias("coverage"), F.col("o_totalprice").alias("latency"))
-    return O.agent_summary(rows, "case_id").withColumn("median_latency", F.round("median_latency", 6))
+    return O.agent_summary(rows, "case_id").withColumn("median_latency", T.rounded("median_latency"))
 
 
 @query(
@@ -182,10 +183,10 @@ SELECT v.case_id, round(coalesce(max(n)::DOUBLE / nullif(count(b), 0), 0), 6) AS
 def agg18_disagreement(spark, sf_dir):
     verdicts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderstatus").alias("one"), F.when(F.col("o_orderpriority") != "5-LOW", F.when(F.col("o_orderpriority") == "1-URGENT", "F").otherwise("O")).alias("other"))
     found = O.disagreement(verdicts, "case_id")
-    return found.select("case_id", F.round("disagreement_rate", 6).alias("disagreement_rate"), "n_disagree", F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("kinds"))
+    return found.select("case_id", T.rounded("disagreement_rate").alias("disagreement_rate"), "n_disagree", F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("kinds"))
 
 
 @query("WITH h AS (SELECT o_custkey AS experiment, o_orderstatus AS run, avg(o_totalprice) AS headline FROM orders GROUP BY 1, 2) SELECT experiment, round(avg(headline), 4) AS mean_headline FROM h GROUP BY 1")
 def agg15_experiment_mean(spark, sf_dir):
     found = O.experiment_mean(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "experiment"), "experiment", "o_orderstatus", "o_totalprice")
-    return found.withColumn("mean_headline", F.round("mean_headline", 4))
\ No newline at end of file
+    return found.withColumn("mean_headline", T.rounded("mean_headline", 4))
\ No newline at end of file

@@ -75,7 +75,7 @@ def sec01_redact_json(spark, sf_dir):
 SELECT c_custkey, round(-sum(k::DOUBLE / n * log2(k::DOUBLE / n)), 6) AS entropy FROM k GROUP BY 1"""
 )
 def fn07_entropy(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(entropy("c_name"), 6).alias("entropy"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.rounded(entropy("c_name")).alias("entropy"))
 
 
 #: Replies in the languages of refusals, some of them refusals (in English, too), one in a language without phrases.
