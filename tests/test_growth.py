@@ -79,3 +79,42 @@ def test_slow_scorers_get_their_rows_in_many_tasks(spark, sf):
     for rows in (text.NAMES, text.QA):
         assert text.scored_rows(spark, sf, rows).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 20) + "b"
+
+
+def test_distances_side_by_side_equal_those_one_by_one(monkeypatch):
+    import random
+
+    from verdictframe.functions import bitparallel
+
+    rng, pairs = random.Random(5), []
+    for _ in range(250):
+        letters = rng.choice(["ab", "abcdefgh ", "aé漢😀 x"])
+        pairs.append(tuple("".join(rng.choices(letters, k=rng.choice([0, 1, 63, 64, 65, 128, rng.randrange(400)]))) for _ in range(2)))
+    pairs += [("same", "same"), ("", ""), ("a" * 200, "a" * 130), ("x" * 70, "y" * 700)]
+    want = [bitparallel.edit_distance(a, b) for a, b in pairs]
+    one_by_one = bitparallel.edit_distance
+    monkeypatch.setattr(bitparallel, "STEP_COST", 0.0)
+    monkeypatch.setattr(bitparallel, "LANE_COST", 0.0)
+    monkeypatch.setattr(bitparallel, "edit_distance", lambda a, b: 1 / 0)
+    assert bitparallel.edit_distances(pairs) == want
+    monkeypatch.setattr(bitparallel, "LANES", 7)
+    assert bitparallel.edit_distances(pairs) == want
+    monkeypatch.setattr(bitparallel, "edit_distance", one_by_one)
+    monkeypatch.setattr(bitparallel, "MASKS", 60)  # too many symbols for most
+    assert bitparallel.edit_distances(pairs) == want
+
+
+def test_long_texts_are_scored_many_at_a_time(spark, sf, monkeypatch):
+    from verdictframe.functions import bitparallel, vectorised
+
+    alone = []
+    one_by_one = bitparallel.edit_distance
+    monkeypatch.setattr(bitparallel, "edit_distance", lambda a, b: alone.append(1) or one_by_one(a, b))
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    pairs = list(zip(texts, texts[1:]))
+    got = vectorised.character_accuracies(pairs)
+    assert got == [vectorised.character_accuracy_score(a, b) for a, b in pairs]
+    assert len(alone) - len(pairs) < len(pairs) / 2
+    monkeypatch.undo()
+    rows = spark.createDataFrame([*pairs, (None, "x"), ("", None)], "output string, target string").repartition(3)
+    assert sorted(r[0] for r in rows.select(vectorised.character_accuracy("output", "target")).collect()) == sorted([*got, 0.0, 0.0])

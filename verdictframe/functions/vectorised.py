@@ -7,6 +7,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from verdictframe.functions.bitparallel import common_subsequence, edit_distance
+from verdictframe.functions.bitparallel import common_subsequence, edit_distance, edit_distances
 from verdictframe.functions.text import ARTICLES, col
 
 
@@ -182,8 +183,36 @@ def character_accuracy_score(output: str, target: str) -> float:
     return 1 - edit_distance(output, target) / longer if longer else 0.0
 
 
-#: For long texts what scorers.levenshtein is for short ones: the built-in function fills the whole table, cell by cell.
-character_accuracy = _pairwise(character_accuracy_score)
+#: Characters of the pairs that are held at a time, so that many of them can be taken side by side.
+HELD_CHARACTERS = 1 << 22
+
+
+def character_accuracies(pairs: list[tuple[str, str]]) -> list[float]:
+    """character_accuracy_score of each pair."""
+    longer = [max(len(a), len(b)) for a, b in pairs]
+    return [1 - d / n if n else 0.0 for d, n in zip(edit_distances(pairs), longer, strict=True)]
+
+
+@F.pandas_udf(DoubleType())
+def _character_accuracy(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    held: list[tuple[str, str]] = []
+    size = 0
+    for outputs, targets in batches:
+        for a, b in zip(outputs, targets, strict=True):
+            held.append((a or "", b or ""))
+            size += len(held[-1][0]) + len(held[-1][1])
+        if size >= HELD_CHARACTERS:
+            yield pd.Series(character_accuracies(held), dtype="float64")
+            held, size = [], 0
+    yield pd.Series(character_accuracies(held), dtype="float64")
+
+
+def character_accuracy(output: Column | str, target: Column | str) -> Column:
+    """For long texts what scorers.levenshtein is for short ones: the built-in function fills the whole table, cell by cell.
+
+    Best over rows in the order of their longer texts: pairs of one length are taken side by side. A null counts as an empty text.
+    """
+    return _character_accuracy(col(output), col(target))
 
 
 def _refuse(name: str) -> None:
