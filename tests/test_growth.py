@@ -118,3 +118,26 @@ def test_long_texts_are_scored_many_at_a_time(spark, sf, monkeypatch):
     monkeypatch.undo()
     rows = spark.createDataFrame([*pairs, (None, "x"), ("", None)], "output string, target string").repartition(3)
     assert sorted(r[0] for r in rows.select(vectorised.character_accuracy("output", "target")).collect()) == sorted([*got, 0.0, 0.0])
+
+
+def test_numbers_of_groups_look_only_at_pairs_that_share_one(spark, monkeypatch):
+    from verdictframe.operators import rag
+
+    texts = ["", None, "none", "0", "-0", "0.0 and 7", "7", "7, 7 and 8", "8 or 7", "1,000", "1000 8 7", "9"]
+    gold = spark.createDataFrame([(i, i % 3 if i % 10 else None, texts[i % len(texts)]) for i in range(150)], "case_id long, group int, text string")
+    replies = spark.createDataFrame([(i % 2 if i % 9 else None, texts[i * 5 % len(texts)]) for i in range(130)], "group int, text string")
+    want = gold.withColumnRenamed("text", "a").join(replies, "group").select("case_id", rag.numeric_accuracy(F.col("a"), F.col("text")).alias("v"))
+    got = rag.numeric_accuracy_of_groups(gold, replies, 3)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(want, held):
+        calls.add(1)
+        return float(set(want) <= set(held))
+
+    monkeypatch.setattr(rag, "numbers_held", counted)
+    many = spark.range(200).selectExpr("id as case_id", "id % 2 as group", "concat('n ', id) as text")
+    assert rag.numeric_accuracy_of_groups(many, many.select("group", "text")).groupBy("numeric_accuracy").count().collect() is not None
+    assert 0 < calls.value < 1000

@@ -144,9 +144,9 @@ def abstained(flag: Column, n_claims: Column, reply: Column) -> Column:
 
 
 def number_values(text: Column) -> Column:
-    """The distinct numbers of a text, commas ignored."""
+    """The distinct numbers of a text, commas ignored; -0 is 0."""
     found = F.regexp_extract_all(text, F.lit(r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")))
+    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double") + F.lit(0.0)))
 
 
 def numbers_held(want: Column, held: Column) -> Column:
@@ -159,16 +159,31 @@ def numeric_accuracy(gold: Column, reply: Column) -> Column:
     return numbers_held(number_values(gold), number_values(reply))
 
 
-def numeric_accuracy_of_groups(gold: DataFrame, replies: DataFrame, parts: int = 64) -> DataFrame:
+def numeric_accuracy_of_groups(gold: DataFrame, replies: DataFrame, run: int = 4096) -> DataFrame:
     """case_id and numeric_accuracy of each gold answer (case_id, group, text) with every reply (group, text) of its group.
 
-    The numbers of a text are read once, not once a pair. A group's answers are dealt to so many parts, each of which
-    meets the group's replies, so that few large groups are as many tasks as there are parts.
+    The result has a row a pair, but only pairs that share a number are looked at: equal sets of numbers of a group are
+    taken once, and a wanted set meets the replies that hold its rarest number. What remains is counted: so many replies hold
+    all, so many don't, so many can't be told. These counts become rows in pieces of `run` at most, dealt to all tasks.
     """
-    asked = gold.select("case_id", "group", number_values(F.col("text")).alias("want"), F.pmod(F.xxhash64("case_id"), F.lit(parts)).alias("part"))
-    held = replies.select("group", number_values(F.col("text")).alias("held"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    pairs = spread(asked, "group", "part").join(spread(held, "group", "part").hint("merge"), ["group", "part"])
-    return pairs.select("case_id", numbers_held(F.col("want"), F.col("held")).alias("numeric_accuracy"))
+    asked = gold.select("case_id", "group", number_values(F.col("text")).alias("want")).where(F.col("group").isNotNull())
+    held = replies.select("group", number_values(F.col("text")).alias("held")).groupBy("group", "held").agg(F.count(F.lit(1)).alias("n"))
+    sizes = held.groupBy("group").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held").isNull(), F.col("n")).otherwise(0)).alias("untold"))
+    postings = held.select("group", "held", "n", F.explode("held").alias("number"))
+    often = postings.groupBy("group", "number").agg(F.count(F.lit(1)).alias("sets"))
+    wanted = asked.select("group", "want").distinct().select("group", "want", F.explode("want").alias("number"))
+    rarest = wanted.join(often, ["group", "number"], "left").groupBy("group", "want").agg(F.min_by("number", F.struct(F.coalesce("sets", F.lit(0)), "number")).alias("number"))
+    found = rarest.join(postings, ["group", "number"]).where(numbers_held(F.col("want"), F.col("held")) == 1).groupBy("group", "want").agg(F.sum("n").alias("holding"))
+
+    def some(value: float | None, rows: Column) -> Column:
+        return F.struct(F.lit(value).cast("double").alias("value"), rows.cast("long").alias("rows"))
+
+    holding, n, untold = F.coalesce("holding", F.lit(0)), F.col("n"), F.col("untold")
+    runs = F.when(F.size("want") > 0, F.array(some(1.0, holding), some(0.0, n - untold - holding), some(None, untold))).otherwise(F.array(some(None, n)))
+    counted = asked.join(sizes, "group").join(found, ["group", "want"], "left").select("case_id", F.inline(runs)).where("rows > 0")
+    pieces = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / run))).alias("piece"))
+    dealt = spread(pieces.select("case_id", "piece", "value", F.least(F.lit(run), F.col("rows") - F.col("piece") * run).cast("int").alias("rows")), "case_id", "piece")
+    return dealt.select("case_id", F.explode(F.array_repeat("value", F.col("rows"))).alias("numeric_accuracy"))
 
 
 def agreement(rows: DataFrame, *by: str) -> DataFrame:
