@@ -50,6 +50,9 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", pack),
 ]
 
+#: Bytes of a row group of what a stage keeps: a task holds one that it reads and one that it writes.
+ROW_GROUP_BYTES = 16 << 20
+
 #: SQL can't express the fitted models, the signatures or the packing; tests hold the pipeline against plain Python.
 ORACLE_SQL: str | None = None
 
@@ -70,7 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
             if k:
                 _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
